@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, decontaminate, license_scan, sharding
+from ledgerlark.llm import bpe, decontaminate, license_scan, pii, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op7_pii": pii.op7_pii,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_sharding": sharding.OP2_SQL,
+    "op8_url_filter": url_filter.op8_sql(),
 }
