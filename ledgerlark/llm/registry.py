@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import bpe, decontaminate, license_scan, pii, sharding, url_filter
+from ledgerlark.llm import ann, bpe, decontaminate, license_scan, pii, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op3_nearest": ann.op3_nearest,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op7_pii": pii.op7_pii,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_bpe": bpe.op9_bpe,
