@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import ann, bpe, decontaminate, license_scan, pii, quality, sharding, toxicity, url_filter
+from ledgerlark.llm import ann, bpe, decontaminate, jaccard_join, license_scan, pii, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -18,10 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": pii.op7_pii,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_bpe": bpe.op9_bpe,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_sharding": sharding.OP2_SQL,
     "op8_url_filter": url_filter.op8_sql(),
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }

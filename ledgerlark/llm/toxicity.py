@@ -28,8 +28,13 @@ from ledgerlark.llm.linear import Rows, fold, labelled_sample, platt, sigmoid, s
 
 MOST_LABELLED = 12_000
 MOST_FEATURES = 3_000
-#: A word or stem counts only if so many texts of the sample have it.
+#: A word or stem counts only if so many texts of the sample have it, and if its share of texts with
+#: label 1 is so many deviations from that of the sample.
 LEAST_TEXTS = 4
+LEAST_DEVIATIONS = 4.0
+#: It votes if its share of texts with label 1 is surely (by three deviations) over this.
+LEAST_PRECISION = 0.6
+L1 = 3e-4
 STEMS = (4, 5)
 GROUPS = 6
 FOLDS = 5
@@ -94,10 +99,18 @@ def _vocabulary(sample: DataFrame) -> list[tuple[bytes, int, int]]:
     counts = counts.agg(F.sum("y").cast("bigint").alias("a"), F.sum(1 - F.col("y")).cast("bigint").alias("b"))
     a, b = F.col("a"), F.col("b")
     gap = F.abs(a / n1 - b / n0) / F.sqrt((a + b + 1) / (n1 + n0))
-    kept = counts.where(a + b >= LEAST_TEXTS).select("feature", "a", "b", F.round(gap, 9).alias("gap"))
+    share = n1 / (n1 + n0)
+    deviations = F.abs(a - (a + b) * share) / F.sqrt((a + b) * share * (1 - share))
+    kept = counts.where((a + b >= LEAST_TEXTS) & (deviations >= LEAST_DEVIATIONS)).select("feature", "a", "b", F.round(gap, 9).alias("gap"))
     return [(bytes(r[0]), r[1], r[2]) for r in kept.orderBy(F.desc("gap"), "feature").limit(MOST_FEATURES).collect()]
 
 
+def surely(a: int, n: int, z: float = 3.0) -> float:
+    """Lower end of the Wilson interval of a share a / n."""
+    p = a / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of 0/1 votes; rates of firing (2 x voters); correlations.
 
@@ -165,8 +178,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     prior = float(y[seen].mean()) if seen.any() else float(y.mean())
 
     # Voters: general lexicons, patterns, and lists of telling words and of telling stems.
-    n1, n0 = y.sum() + 1.0, len(y) - y.sum() + 1.0
-    telling = [(f, i) for i, (f, a, b) in enumerate(chosen) if a / n1 > 8 * (b + 0.5) / n0]
+    telling = [(f, i) for i, (f, a, b) in enumerate(chosen) if surely(a, a + b) > LEAST_PRECISION]
     voters = [np.array([places[w] for w in words]) for words in general.values()]
     for stems in (False, True):
         kind = [i for f, i in telling if f.startswith(b"^") == stems]
@@ -181,7 +193,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     posterior, _, _ = label_model(votes[seen], prior)
 
     sparse = Rows([lists[i] for i in np.flatnonzero(seen)], len(places))
-    w, bias = sparse_logistic(sparse, posterior, np.ones(len(posterior)), l1=2e-4)
+    w, bias = sparse_logistic(sparse, posterior, np.ones(len(posterior)), l1=L1)
     rest = np.flatnonzero(calibrating) if len(set(y[calibrating])) == 2 else np.arange(len(y))
     raw = Rows([lists[i] for i in rest], len(places)).dot(w) + bias
     scale, offset = platt(raw, y[rest])
