@@ -24,15 +24,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
     that comes along as ``meta``.
 
     Ids are taken in the order of a hash, so the sample is the same in every run. Several labels of an
-    id count as the greatest, and several texts as the smallest; null ids and labels are left out.
+    id count as the greatest, and several texts as the smallest; equal texts count once, with their
+    greatest label; null ids and labels are left out.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learn).groupBy(F.col(doc_id).alias("_id"))
     ids = ids.agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = documents.select(F.col(doc_id).alias("_id"), F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(meta) if meta else F.lit(None)).cast("bigint").alias("meta")).alias("r"))
     # At most ``most`` ids of 16 bytes: the broadcast is bounded by the parameter.
     joined = rows.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("r").alias("r"), F.max("y").alias("y"))
+    joined = joined.groupBy("r.text").agg(F.min("_id").alias("_id"), F.min("r.meta").alias("meta"), F.max("y").alias("y"))
     part = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)).cast("int")
-    return materialise(joined.select("r.text", "r.meta", (F.col("y") > 0).cast("int").alias("y"), part.alias("part")))
+    return materialise(joined.select("text", "meta", (F.col("y") > 0).cast("int").alias("y"), part.alias("part")))
 
 
 def platt(raw: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:

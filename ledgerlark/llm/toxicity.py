@@ -31,9 +31,9 @@ MOST_FEATURES = 3_000
 #: A word or stem counts only if so many texts of the sample have it, and if its share of texts with
 #: label 1 is so many deviations from that of the sample.
 LEAST_TEXTS = 4
-LEAST_DEVIATIONS = 4.0
-#: It votes if its share of texts with label 1 is surely (by three deviations) over this.
-LEAST_PRECISION = 0.6
+LEAST_DEVIATIONS = 3.5
+#: It votes if its share of texts with label 1 is surely (by two and a half deviations) over this.
+LEAST_PRECISION = 0.5
 L1 = 3e-4
 STEMS = (4, 5)
 GROUPS = 6
@@ -105,7 +105,7 @@ def _vocabulary(sample: DataFrame) -> list[tuple[bytes, int, int]]:
     return [(bytes(r[0]), r[1], r[2]) for r in kept.orderBy(F.desc("gap"), "feature").limit(MOST_FEATURES).collect()]
 
 
-def surely(a: int, n: int, z: float = 3.0) -> float:
+def surely(a: int, n: int, z: float = 2.5) -> float:
     """Lower end of the Wilson interval of a share a / n."""
     p = a / n
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
