@@ -14,7 +14,8 @@ Candidates from the signatures are verified on the whole sets: first the best hu
 then the other hubs, then all pairs of a signature that still lie in different components. Only
 links that can't change any component are left unverified, so the components are exact.
 
-Shingles, sets and classes are known by 64-bit hashes (128 bits decide whether sets are equal).
+Before whole sets are fetched, candidates are tested by sketches, whose distance is never over that
+of the sets. Shingles and classes are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import LOWER, materialise, raw_texts, table
+from ledgerlark.llm.common import materialise, table
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -37,6 +38,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Signature rows that one task sorts, about.
 ROWS_A_TASK = 2_000_000
+#: Ids that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Classes of one signature that are compared with each other in one task, about.
+BLOCK_MEMBERS = 4_096
 #: Signatures that one of a single shingle counts as, as many unlike texts may share it.
 LONE = 14
 
@@ -50,31 +55,137 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, of which so many are remembered."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
 
+#: Bytes that are hashed at once, about; longer texts are cut at white space.
+PIECE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random value for each byte, the same for both cases of A-Z, and none for white space.
+_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
+_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
+_VALUE[_SPACE] = 0
 
-_HASHES = _WordHashes()
 
+class _Powers:
+    """Powers of the base and of its inverse, as many as texts have asked for."""
 
-def shingle_set(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text: words ``[^\\x20\\x09-\\x0D]+`` after
-    lower-casing A-Z; fewer than ``size`` words make one shingle, none make none."""
-    words = raw.translate(LOWER).split() if raw else []
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = np.array(list(map(_HASHES.__getitem__, words)), dtype=np.uint64)
-    width = min(size, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
+    up = _powers(_BASE, PIECE)
+    down = _powers(pow(_BASE, -1, 1 << 64), PIECE)
+
+    @classmethod
+    def upto(cls, n: int) -> None:
+        if n > len(cls.up):
+            cls.up, cls.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+
+
+def _word_hashes(b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of ``b``, and its first byte. No word crosses the positions ``firsts``."""
+    if not len(b):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    _Powers.upto(len(b))
+    blank = _SPACE[b]
+    edge = np.zeros(len(b) + 1, bool)
+    edge[firsts] = True
+    edge[0] = edge[-1] = True
+    starts = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | edge[:-1]))
+    ends = np.flatnonzero(~blank & (np.r_[blank[1:], True] | edge[1:])) + 1
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUE[b] * _Powers.up[: len(b)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * _Powers.down[starts]), starts
+
+
+def _chained(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    n = max(len(words) - width + 1, 0)
+    total = np.full(n, width, np.uint64) * _MIX[1]
     for k in range(width):
-        total = _mixed(total + ids[k : k + len(total)]) * _MIX[0] if k % 2 else (total ^ ids[k : k + len(total)]) * _MIX[1 + k // 2]
-    return np.unique(_mixed(total))
+        total = _mixed(total ^ words[k : k + n]) + _MIX[2]
+    return total
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def _long_text(b: np.ndarray) -> np.ndarray:
+    """Word hashes of one text of any length, piece by piece, each cut at white space."""
+    out, at = [], 0
+    while at < len(b):
+        past = min(at + PIECE, len(b))
+        while past < len(b):
+            if len(found := np.flatnonzero(_SPACE[b[past : past + PIECE]])):
+                past += int(found[0])
+                break
+            past = min(past + PIECE, len(b))
+        out.append(_word_hashes(b[at:past], np.empty(0, np.int64))[0])
+        at = past
+    return np.concatenate([np.empty(0, np.uint64), *out])
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text: words ``[^\\x20\\x09-\\x0D]+`` after
+    lower-casing A-Z; fewer than ``size`` words make one shingle, none make none; null has none."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1 + raw.offset)[raw.offset :] if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) and raw.buffers()[2] is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(raw):
+        past = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        first, end = int(offsets[at]), int(offsets[past])
+        if past == at + 1 and end - first > PIECE:
+            words, of = _long_text(data[first:end]), None
+            counts = np.array([len(words)])
+        else:
+            firsts = offsets[at:past] - first
+            words, starts = _word_hashes(data[first:end], firsts[firsts < end - first])
+            of = np.searchsorted(firsts, starts, side="right") - 1
+            counts = np.bincount(of, minlength=past - at)
+        grams = _chained(words, size)
+        if of is not None and len(grams):
+            grams = grams[of[: len(grams)] == of[size - 1 :]]
+        word, gram = 0, 0
+        for n in counts:
+            if n >= size:
+                yield _distinct(grams[gram : gram + n - size + 1])
+                gram += n - size + 1
+            elif n:
+                yield _chained(words[word : word + n], n)
+            else:
+                yield np.empty(0, np.uint64)
+            word += n
+        at = past
+
+
+def shingle_set(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    return next(shingle_sets(pa.array([raw], pa.binary()).cast(pa.string()), size))
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of hashed shingles, about one bit a shingle: bits of two sketches that differ are at
+    most the shingles in which the sets differ."""
+    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    at = _mixed(tokens ^ _MIX[4]) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The least number of shingles in which sets with these sketches differ."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 @cache
@@ -168,22 +279,19 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _set_key(tokens: np.ndarray) -> bytes | None:
-    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-
-
-def _node(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def _node(tokens: np.ndarray) -> int:
+    """Name of the class of texts with this set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True)
 
 
 def _sized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        sets = [shingle_set(raw) for raw in raw_texts(batch)]
-        keys = [_set_key(s) for s in sets]
-        yield pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in sets], pa.int64()), pa.array([k and _node(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())],
-            names=["n", "node", "key"],
-        )
+        sizes, nodes, sketches = [], [], []
+        for tokens in shingle_sets(batch):
+            sizes.append(len(tokens))
+            nodes.append(_node(tokens) if len(tokens) else None)
+            sketches.append(sketch(tokens) if len(tokens) else None)
+        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["n", "node", "sketch"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +299,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: set[int] = set()
     for batch in batches:
         sigs, nodes, held = [], [], 0
-        for raw in raw_texts(batch.column(0)):
-            tokens = shingle_set(raw)
-            if not len(tokens) or (node := _node(_set_key(tokens))) in done:
+        for tokens in shingle_sets(batch.column(0)):
+            if not len(tokens) or (node := _node(tokens)) in done:
                 continue
             done.add(node)
             s = signatures(tokens)
@@ -240,35 +347,101 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (sig, node, hub)], names=["sig", "node", "hub"])
 
 
-def _set_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([shingle_set(raw).tobytes() for raw in raw_texts(batch)], pa.binary())
+def _near(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Whether sizes and sketches leave it open that two classes link."""
+    for n, sketched, m, other in batches:
+        out = []
+        for a, x, b, y in zip(n.to_pylist(), sketched.to_pylist(), m.to_pylist(), other.to_pylist(), strict=True):
+            out.append(100 * min(a, b) >= PERCENT * max(a, b) and apart(x, y) <= distance(a, b))
+        yield pa.array(out, pa.bool_())
 
 
 def _verified(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in batches:
         out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            if len(x) > len(y):
-                x, y = y, x
-            if not len(x) or 100 * len(x) < PERCENT * len(y):
-                out.append(False)
-                continue
-            at = np.searchsorted(y, x)
-            both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-            out.append(linked(len(x), len(y), both))
+        for x, y in zip(shingle_sets(left), shingle_sets(right), strict=True):
+            both = len(x) + len(y) - len(_distinct(np.concatenate([x, y])))
+            out.append(bool(len(x) and len(y)) and linked(len(x), len(y), both))
         yield pa.array(out, pa.bool_())
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link. ``sets``: node and tokens."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts link. ``texts``: node and text."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_y"))
     both = pairs.join(right, "b").join(left, "a")
     return both.where(F.arrow_udf(_verified, "boolean")(F.col("_x"), F.col("_y"))).select("a", "b")
 
 
+def _of_class(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, nodes in batches:
+        yield pa.array([bool(len(s)) and _node(s) == n for s, n in zip(shingle_sets(texts), nodes.to_pylist(), strict=True)], pa.bool_())
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each class in ``nodes``, written to the shared folder."""
+    wanted = materialise(classes.join(nodes.distinct(), "node").select("node", F.col("least").alias("_id")))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    # An id may have several rows, or be null: the set of a text tells whether it is of the class.
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).where(F.arrow_udf(_of_class, "boolean")(F.col("text"), F.col("node")))
+    return materialise(found.groupBy("node").agg(F.min("text").alias("text")))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open pairs of each (sig, i, j): members of block i with those of block j, of different roots,
+    whose sizes and sketches leave it open that they link. Rows of a key are consecutive."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(kept)
+        node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        sketches = rows.column("sketch").to_pylist()
+        width = np.array([len(x) for x in sketches])
+        sets = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+        bits = {w: np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in sets.items()}
+        for w, left in sets.items():
+            for v, right in sets.items():
+                if v < w:
+                    continue
+                folded = bits[v]
+                if v > w:
+                    folded = np.bitwise_xor.reduce(folded.reshape(len(right), v // w, w // 8), axis=1)
+                for row, a in enumerate(left):
+                    b = right[row + 1 :] if v == w else right
+                    z = folded[row + 1 :] if v == w else folded
+                    if i != j:
+                        ok = block[b] != block[a]
+                    else:
+                        ok = np.ones(len(b), bool)
+                    ok &= (root[b] != root[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+                    b, z = b[ok], z[ok]
+                    if not len(b):
+                        continue
+                    far = np.bitwise_count(z ^ bits[w][row]).sum(axis=1)
+                    b = b[far <= (n[a] + n[b]) * (100 - PERCENT) // (100 + PERCENT)]
+                    if len(b):
+                        x = np.full(len(b), node[a])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, node[b])), pa.array(np.maximum(x, node[b]))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
+        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        for at, past in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            key = tuple(keys[:, at].tolist())
+            if kept and key != last:
+                yield from close()
+                kept = []
+            last = key
+            kept.append(batch.slice(int(at), int(past - at)))
+    if kept:
+        yield from close()
+
+
 def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``documents``.
 
@@ -279,28 +452,29 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = "struct<n:bigint,node:bigint,key:binary>"
-    sized = docs.select("doc_id", F.arrow_udf(_sized, kind)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.node")
+    kind = "struct<n:bigint,node:bigint,sketch:binary>"
+    sized = docs.select("doc_id", F.arrow_udf(_sized, kind)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.node", "s.sketch")
     sized = materialise(sized)
     total = sized.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * 6 // (10 * ROWS_A_TASK)))
 
     signed = docs.select("text").mapInArrow(_signed, "sig bigint, node bigint")
-    shared = signed.repartition(tasks, "sig").mapInArrow(_shared, "sig bigint, node bigint, hub bigint")
-    shared = materialise(shared)
-
-    # The sets of the classes that share a signature, from one text of each.
-    wanted = shared.select("node").distinct()
-    one = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    texts = docs.join(one, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
-    sets = materialise(texts.select("node", F.arrow_udf(_set_rows, "binary")(F.col("text")).alias("tokens")))
-
-    # First every class with the hub that it shares most signatures with.
-    hubs = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    hubs = materialise(hubs)
-    first = hubs.groupBy("node").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    pairs = first.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = materialise(verify(pairs, sets))
+    shared = materialise(signed.repartition(tasks, "sig").mapInArrow(_shared, "sig bigint, node bigint, hub bigint"))
+    least = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = least.join(sized.where("node is not null").select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "node")
+    classes = materialise(classes)
+
+    # Pairs of a class and a hub that sizes and sketches leave open; most shared signatures first.
+    def open_pairs(pairs: DataFrame) -> DataFrame:
+        left = classes.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("sketch").alias("_x"))
+        right = classes.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("sketch").alias("_y"))
+        return pairs.join(left, "a").join(right, "b").where(F.arrow_udf(_near, "boolean")(F.col("_n"), F.col("_x"), F.col("_m"), F.col("_y")))
+
+    hubs = shared.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    hubs = materialise(open_pairs(hubs).select("a", "b", "c"))
+    texts = _texts_of(docs, classes, hubs.select(F.col("a").alias("node")).unionByName(hubs.select(F.col("b").alias("node"))))
+    first = hubs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    links = materialise(verify(first, texts))
     roots = materialise(components(links, "a", "b"))
 
     def rooted(df: DataFrame, node: str, to: str) -> DataFrame:
@@ -308,27 +482,31 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         return df.join(own, node, "left").withColumn(to, F.coalesce(to, node))
 
     # Then the other hubs that lie in another component.
-    rest = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(pairs, ["a", "b"], "left_anti")
+    rest = hubs.select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = rooted(rooted(rest, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    links = materialise(links.unionByName(verify(rest, sets)))
+    links = materialise(links.unionByName(verify(rest, texts)))
     roots = materialise(components(links, "a", "b"))
 
-    # Then pairs without a hub, of signatures whose classes still lie in several components.
-    members = rooted(shared.select("sig", "node", "hub"), "node", "root")
-    open_ = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    members = members.where("node <> hub").join(open_, "sig").select("sig", "node", "root")
-    one_side = members.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = members.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    last = one_side.join(other, "sig").where("a < b and ra <> rb").select("a", "b").distinct()
-    links = materialise(links.unionByName(verify(last, sets)))
-    roots = components(links, "a", "b")
-
-    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = materialise(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return sized.join(named, "node", "left").select(
+    # Then pairs without a hub, of signatures whose classes still lie in several components, block by block.
+    members = rooted(shared, "node", "root")
+    spread = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2")
+    members = members.join(spread.select("sig", F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int").alias("blocks")), "sig").where("node <> hub")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
+    members = members.join(classes.select("node", "n", "sketch"), "node").select("sig", "i", "j", "block", "node", "root", "n", "sketch")
+    last = members.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
+    last = materialise(last.join(hubs.select("a", "b"), ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        texts = _texts_of(docs, classes, last.select(F.col("a").alias("node")).unionByName(last.select(F.col("b").alias("node"))))
+        links = materialise(links.unionByName(verify(last, texts)))
+        roots = materialise(components(links, "a", "b"))
+
+    named = roots.join(least, "node")
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.select("node", "root").join(names, "root").select("node", F.col("component_id").alias("_linked"))
+    named = least.join(named, "node", "left").select("node", F.when(F.col("_linked").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id"))
+    return sized.select("doc_id", "n", "node").join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
