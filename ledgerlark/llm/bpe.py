@@ -37,7 +37,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs without white space, with one blank before them if there is one; PATTERN never crosses them.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Pieces that one worker remembers: two generations of so many.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Pairs of tokens in the table of pairs; when it is full it starts anew.
+PAIRS = 500_000
 
 
 @cache
@@ -93,6 +95,7 @@ class Codec:
         sizes = np.array([len(whole.get(i, b"")) for i in range(max(whole) + 1)], dtype=np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.blob = np.frombuffer(b"".join(whole.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
+        self.pairs: dict[int, bool] = {}
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
@@ -132,16 +135,26 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Tokens (by rank) of one piece, as merging by rank gives them."""
         n, lengths, longest = len(piece), self.lengths, self.longest(piece)
+        if lengths[longest[0]] == n:
+            return [longest[0]]
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        pairs, known = self.pairs, self.pairs.get
         open_, out = bytearray(b"\x01") * (n + 1), []
         pos, token = 0, longest[0]
         while pos < n:
             while True:
                 end = pos + lengths[token]
-                if open_[end] and (not out or self.may_follow(out[-1], token)):
-                    out.append(token)
-                    pos = end
-                    token = longest[pos] if pos < n else -1
-                    break
+                if open_[end]:
+                    if not out:
+                        fits = True
+                    elif (fits := known(pair := out[-1] << 20 | token)) is None:
+                        fits = pairs[pair] = self.may_follow(out[-1], token)
+                    if fits:
+                        out.append(token)
+                        pos = end
+                        token = longest[pos] if pos < n else -1
+                        break
                 if (token := self.shorter[token]) < 0:
                     open_[pos] = 0
                     token = out.pop()
@@ -156,7 +169,12 @@ class Codec:
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Ids of a run, as int32 bytes and as decimal text."""
-        ids = [self.ids[t] for piece in self.pattern.findall(text) for t in self.merge(piece.encode())]
+        pieces = self.pattern.findall(text)
+        if len(pieces) > 1:
+            # A piece of its own is what a run of only that piece is: it may be remembered.
+            parts = [self.young.get(p) or self.remember(p) for p in pieces]
+            return b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts])
+        ids = [self.ids[t] for t in self.merge(text.encode())]
         return array("i", ids).tobytes(), ",".join(map(str, ids))
 
     def remember(self, text: str) -> tuple[bytes, str]:

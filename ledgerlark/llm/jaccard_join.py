@@ -170,9 +170,9 @@ def shingle_set(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of hashed shingles, about one bit a shingle: bits of two sketches that differ are at
+    """Parities of hashed shingles, two to four bits a shingle: bits of two sketches that differ are at
     most the shingles in which the sets differ."""
-    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    bits = 1 << max(6, (len(tokens) - 1).bit_length() + 1)
     at = _mixed(tokens ^ _MIX[4]) & np.uint64(bits - 1)
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
@@ -388,62 +388,66 @@ def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFram
     return materialise(found.groupBy("node").agg(F.min("text").alias("text")))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open pairs of each (sig, i, j): members of block i with those of block j, of different roots,
-    whose sizes and sketches leave it open that they link. Rows of a key are consecutive."""
-    kept: list[pa.RecordBatch] = []
-    last = None
-
-    def close() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(kept)
-        node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        sketches = rows.column("sketch").to_pylist()
-        width = np.array([len(x) for x in sketches])
-        sets = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-        bits = {w: np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in sets.items()}
-        for w, left in sets.items():
-            for v, right in sets.items():
-                if v < w:
-                    continue
-                folded = bits[v]
-                if v > w:
-                    folded = np.bitwise_xor.reduce(folded.reshape(len(right), v // w, w // 8), axis=1)
-                for row, a in enumerate(left):
-                    b = right[row + 1 :] if v == w else right
-                    z = folded[row + 1 :] if v == w else folded
-                    if i != j:
-                        ok = block[b] != block[a]
-                    else:
-                        ok = np.ones(len(b), bool)
-                    ok &= (root[b] != root[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
-                    b, z = b[ok], z[ok]
-                    if not len(b):
-                        continue
+def _open_pairs(rows: pa.Table, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block (or two) of a signature whose roots differ, and whose sizes and sketches leave
+    it open that they link. With ``forest``, only as many as would join all that they join."""
+    node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+    mixed = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    sketches = rows.column("sketch").to_pylist()
+    width = np.array([len(x) for x in sketches])
+    sets = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    bits = {w: np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in sets.items()}
+    label = root.copy()
+    for w, left in sets.items():
+        for v, right in sets.items():
+            if v < w:
+                continue
+            folded = bits[v] if v == w else np.bitwise_xor.reduce(bits[v].reshape(len(right), v // w, w // 8), axis=1)
+            for row, a in enumerate(left):
+                b, z = (right[row + 1 :], folded[row + 1 :]) if v == w else (right, folded)
+                ok = (label[b] != label[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+                if mixed:
+                    ok &= block[b] != block[a]
+                b, z = b[ok], z[ok]
+                if len(b):
                     far = np.bitwise_count(z ^ bits[w][row]).sum(axis=1)
                     b = b[far <= (n[a] + n[b]) * (100 - PERCENT) // (100 + PERCENT)]
-                    if len(b):
-                        x = np.full(len(b), node[a])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, node[b])), pa.array(np.maximum(x, node[b]))], names=["a", "b"])
+                if not len(b):
+                    continue
+                if forest:
+                    joined, firsts = np.unique(label[b], return_index=True)
+                    b = b[firsts]
+                    label[np.isin(label, joined)] = label[a]
+                x = np.full(len(b), node[a])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, node[b])), pa.array(np.maximum(x, node[b]))], names=["a", "b"])
+
+
+def _block_pairs(forest: bool):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Open pairs of each (sig, i, j), whose rows are consecutive."""
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
+            cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+            for at, past in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                key = tuple(keys[:, at].tolist())
+                if kept and key != last:
+                    yield from _open_pairs(pa.Table.from_batches(kept), forest)
+                    kept = []
+                last = key
+                kept.append(batch.slice(int(at), int(past - at)))
+        if kept:
+            yield from _open_pairs(pa.Table.from_batches(kept), forest)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
-        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        for at, past in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-            key = tuple(keys[:, at].tolist())
-            if kept and key != last:
-                yield from close()
-                kept = []
-            last = key
-            kept.append(batch.slice(int(at), int(past - at)))
-    if kept:
-        yield from close()
+    return blocks
 
 
 def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``documents``.
+    """doc_id, n_shingles, component_id, class_id (one for each set) and group_id (one for each
+    component of sets) of every row of ``documents``.
 
     A null or empty text, and one of white space only, has no shingles and is linked with nothing:
     its component is its own id. Texts with equal sets are one class. A component is named by its
@@ -487,32 +491,72 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     links = materialise(links.unionByName(verify(rest, texts)))
     roots = materialise(components(links, "a", "b"))
 
-    # Then pairs without a hub, of signatures whose classes still lie in several components, block by block.
-    members = rooted(shared, "node", "root")
-    spread = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2")
-    members = members.join(spread.select("sig", F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int").alias("blocks")), "sig").where("node <> hub")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
-    members = members.join(classes.select("node", "n", "sketch"), "node").select("sig", "i", "j", "block", "node", "root", "n", "sketch")
-    last = members.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
-    last = materialise(last.join(hubs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not last.isEmpty():
+    # Then pairs without a hub, of signatures whose classes still lie in several components, block by
+    # block: first as few as would join what may be joined, at last all that are still open.
+    def hubless(forest: bool) -> DataFrame:
+        members = rooted(shared, "node", "root")
+        spread = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi and g > 2")
+        members = members.join(spread.select("sig", F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int").alias("blocks")), "sig").where("node <> hub")
+        members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = members.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = members.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
+        members = members.join(classes.select("node", "n", "sketch"), "node").select("sig", "i", "j", "block", "node", "root", "n", "sketch")
+        pairs = members.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_block_pairs(forest), "a bigint, b bigint")
+        return materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("c")))
+
+    tried = hubs.select("a", "b")
+    for forest in (True, False):
+        last = materialise(hubless(forest).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if last.isEmpty():
+            continue
+        tried = tried.unionByName(last)
         texts = _texts_of(docs, classes, last.select(F.col("a").alias("node")).unionByName(last.select(F.col("b").alias("node"))))
         links = materialise(links.unionByName(verify(last, texts)))
         roots = materialise(components(links, "a", "b"))
 
     named = roots.join(least, "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "root").join(names, "root").select("node", F.col("component_id").alias("_linked"))
-    named = least.join(named, "node", "left").select("node", F.when(F.col("_linked").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id"))
-    return sized.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    named = named.select("node", "root").join(names, "root").select("node", "root", F.col("component_id").alias("_linked"))
+    named = least.join(named, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("group_id"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id")
     )
+    return sized.select("doc_id", "n", "node").join(named, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("node").alias("class_id"), "group_id",
+    )
+
+
+def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` but for one row of each component: that of its smallest id.
+
+    Texts without words are linked with nothing and stay. Of rows that share an id and a set, and of
+    a component of null ids only, one row stays. Columns stay as they are.
+    """
+    groups = materialise(similar_groups(documents, doc_id=doc_id, text=text))
+    linked = groups.where("class_id is not null")
+    # Ids whose rows are not told apart by the id alone are judged row by row.
+    doubled = materialise(groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"))
+    gone = linked.where("doc_id <> component_id").join(doubled, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
+    gone = materialise(gone)
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = documents.join(gone, documents[doc_id] == F.col("_gone"), "left_anti")
+    if doubled.isEmpty():
+        return kept
+    ids = doubled.select(F.col("doc_id").alias("_id"))
+    single = kept.join(ids, kept[doc_id].eqNullSafe(F.col("_id")), "left_anti")
+    kind = "struct<n:bigint,node:bigint,sketch:binary>"
+    rows = documents.join(ids, documents[doc_id].eqNullSafe(F.col("_id")), "left_semi")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("_id"), F.arrow_udf(_sized, kind)(F.col(text))["node"].alias("_node"))
+    names = linked.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), "group_id", "component_id").distinct()
+    found = rows.join(names, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_c")), "left")
+    empty = found.where("_node is null").select("r.*")
+    one = found.where("_node is not null and _id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    return single.unionByName(empty).unionByName(one.select("r.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 _SQL_WORDS = (
