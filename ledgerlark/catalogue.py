@@ -2,9 +2,428 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ledgerlark.functions import completions as C
+from ledgerlark.functions import hashing as H
+from ledgerlark.functions import text as X
+from ledgerlark.operators import builder as B
+from ledgerlark.operators import evaluation as E
+from ledgerlark.operators import integrity as I
+from ledgerlark.operators import metric_log as M
+from ledgerlark.operators import scoring as S
+from ledgerlark.operators import validation as V
+from ledgerlark.plans import views as W
+from ledgerlark.streaming import metrics as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Candidates of the metric fallback, best first.
+CANDIDATES = ("refund", "purchase", "click")
+DENIED = ("worthless", "casino", "validation")
+LANGUAGES = ("de", "en", "es", "fr")
+REPLICATES = 20
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL if there is any."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    """Floating-point sums depend on their order in the last digits; these are cut before comparison."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Evaluation
+
+_SCOPED = f"""WITH {W.OBS_SQL},
+pairs AS (SELECT c.model_key, c.doc_hash, b.family, c.accuracy - b.accuracy AS delta FROM obs c JOIN obs b ON c.doc_hash = b.doc_hash
+          WHERE c.model_key <> 'baseline' AND b.model_key = 'baseline'),
+scoped AS (SELECT model_key, doc_hash, delta, 'overall' AS scope FROM pairs UNION ALL SELECT model_key, doc_hash, delta, family FROM pairs)"""
+_DELTA = "SELECT model_key, scope, round(avg(delta), 9) AS mean_delta, count(*) AS n FROM scoped GROUP BY ALL"
+_BOOT = f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY model_key, scope ORDER BY doc_hash) - 1 AS i, count(*) OVER (PARTITION BY model_key, scope) AS n FROM scoped),
+draws AS (SELECT model_key, scope, r, CAST(concat('0x', substr(sha256(concat_ws(':', model_key, scope, r, i)), 1, 15)) AS BIGINT) % n AS i
+          FROM ranked, (SELECT unnest(range({REPLICATES})) AS r)),
+means AS (SELECT model_key, scope, r, avg(delta) AS m FROM draws JOIN (SELECT model_key, scope, i, delta FROM ranked) USING (model_key, scope, i) GROUP BY ALL),
+ci AS (SELECT model_key, scope, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, count(*) AS replicates FROM means GROUP BY ALL)"""
+
+
+@query(f"{_SCOPED} {_DELTA}")
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.paired_delta(W.observations(spark, sf_dir), W.BASELINE), "mean_delta")
+
+
+@query(f"WITH {W.OBS_SQL} SELECT model_key, family, round(avg(accuracy), 9) AS avg_accuracy, count(*) AS n FROM obs GROUP BY ALL")
+def family_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.means_by(W.observations(spark, sf_dir), "model_key", "family"), "avg_accuracy")
+
+
+@query(f"WITH {W.OBS_SQL} SELECT model_key, supercategory, round(avg(accuracy), 9) AS avg_accuracy, count(*) AS n FROM obs GROUP BY ALL")
+def supercategory_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.means_by(W.observations(spark, sf_dir), "model_key", "supercategory"), "avg_accuracy")
+
+
+@query(f"WITH {W.OBS_SQL} SELECT model_key, {', '.join(f'''round(avg(accuracy) FILTER (family = '{x}'), 9) AS {x}''' for x in LANGUAGES)} FROM obs GROUP BY ALL")
+def family_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.family_pivot(W.observations(spark, sf_dir), LANGUAGES), *LANGUAGES)
+
+
+@query(f"{_SCOPED} {_BOOT} SELECT model_key, scope, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, replicates FROM ci")
+def paired_bootstrap_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(E.bootstrap_portable(W.observations(spark, sf_dir), W.BASELINE, REPLICATES), "ci_low", "ci_high")
+
+
+@query()
+def paired_bootstrap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.bootstrap_exact(W.observations(spark, sf_dir), W.BASELINE)
+
+
+@query(f"""{_SCOPED} {_BOOT}, d AS (SELECT model_key, scope, avg(delta) AS x FROM scoped GROUP BY ALL)
+SELECT model_key, scope, round(x, 9) AS mean_delta, round(x - ci_low, 9) AS below, round(ci_high - x, 9) AS above FROM d JOIN ci USING (model_key, scope)""")
+def delta_error_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = W.observations(spark, sf_dir)
+    bars = E.error_bars(E.paired_delta(obs, W.BASELINE), E.bootstrap_portable(obs, W.BASELINE, REPLICATES))
+    return _rounded(bars, "mean_delta", "below", "above")
+
+
+@query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS side
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
+def paired_key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.key_mismatch(W.table(spark, sf_dir, "documents"), W.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""WITH {W.OBS_SQL} SELECT c.model_key, c.doc_hash FROM obs c JOIN obs b ON c.doc_hash = b.doc_hash AND b.model_key = 'baseline'
+WHERE c.model_key <> 'baseline' AND (c.family IS DISTINCT FROM b.family OR c.supercategory IS DISTINCT FROM b.supercategory)""")
+def inconsistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.inconsistent_pairs(E.paired(W.observations(spark, sf_dir), W.BASELINE)).select("model_key", "doc_hash")
+
+
+@query(f"""WITH {W.OBS_SQL} SELECT model_key, CASE model_key WHEN 'cand_c' THEN 1 WHEN 'baseline' THEN 2 ELSE 3 END AS position,
+round(avg(accuracy), 9) AS avg_accuracy, count(*) AS n FROM obs WHERE model_key <> 'cand_b' GROUP BY ALL""")
+def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = E.means_by(W.observations(spark, sf_dir), "model_key")
+    return _rounded(E.in_registry_order(means, ("cand_c", "baseline", "cand_a")), "avg_accuracy").withColumn("position", F.col("position").cast("int"))
+
+
+@query(f"WITH {W.OBS_SQL} SELECT model_key, family, count(*) AS n FROM obs WHERE family NOT IN ('count', 'index', 'constraint') GROUP BY ALL")
+def bad_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = E.bad_observations(W.observations(spark, sf_dir)).where(F.array_contains("reasons", "family"))
+    return bad.groupBy("model_key", "family").agg(F.count("*").alias("n"))
+
+
+# Completions
+
+_TYPE_SQL = "concat(event_type, CASE event_id % 4 WHEN 0 THEN '_Count' WHEN 1 THEN '_INDEX' WHEN 2 THEN '_generation_count' ELSE '' END)"
+
+
+@query(f"""WITH t AS (SELECT lower({_TYPE_SQL}) AS t FROM events)
+SELECT CASE WHEN t LIKE '%constraint%' OR t LIKE '%generation%' THEN 'constraint' WHEN t LIKE '%index%' THEN 'index' WHEN t LIKE '%count%' THEN 'count' ELSE 'unknown' END AS family,
+count(*) AS n FROM t GROUP BY ALL""")
+def task_family_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("_Count", "_INDEX", "_generation_count", "")]), F.pmod("event_id", F.lit(4)).cast("int") + 1)
+    events = W.table(spark, sf_dir, "events").select(X.task_family(F.concat("event_type", tail)).alias("family"))
+    return events.groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT CASE WHEN trim(completion, concat(' ', chr(9), chr(10))) = '' THEN 'EMPTY'
+ WHEN shape = 2 THEN 'MALFORMED' WHEN shape = 4 THEN 'CONFLICT' ELSE 'OTHER' END AS status, count(*) AS n FROM rollouts GROUP BY ALL""")
+def parse_status_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be told without decoding: all in generated code."""
+    text = F.col("completion")
+    blocks = F.transform(X.answer_blocks(text), X.payload)
+    status = F.when(X.stripped(text) == "", "EMPTY").when(X.unbalanced(text), "MALFORMED").when(F.size(F.array_distinct(blocks)) > 1, "CONFLICT").otherwise("OTHER")
+    return W.rollouts(spark, sf_dir).select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {W.ROLLOUTS_SQL} SELECT status, count(*) AS n, count_if(format_ok) AS n_format_ok FROM rollouts GROUP BY ALL")
+def parse_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = C.read_completions(W.rollouts(spark, sf_dir), F.col("completion"), F.col("task_family"))
+    return read.groupBy(F.col("reading.status").alias("status")).agg(F.count("*").alias("n"), F.count_if("reading.format_ok").alias("n_format_ok"))
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_id, status, CASE WHEN status = 'OK' THEN concat('{{"k":', CAST(json_extract(props, '$.k') AS BIGINT), '}}') END AS answer, format_ok FROM rollouts""")
+def parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = C.read_completions(W.rollouts(spark, sf_dir), F.col("completion"), F.col("task_family"))
+    return read.select("event_id", "reading.status", "reading.answer", "reading.format_ok")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.score(W.rollouts(spark, sf_dir), S.Weights(validity=0.0))
+
+
+@query(f"WITH {W.ROLLOUTS_SQL} SELECT event_id, status, correctness, format_reward, validity, round(total, 9) AS total FROM scored")
+def score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("status", "correctness", "format_reward", "validity", "total")
+    return _rounded(_scored(spark, sf_dir).select("event_id", *[f"score.{c}" for c in columns]), "total")
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_type, round(avg(correctness), 9) AS mean_correctness, round(avg(format_reward), 9) AS mean_format_reward,
+round(avg(validity), 9) AS mean_validity, round(avg(total), 9) AS mean_total FROM scored GROUP BY ALL""")
+def component_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"mean_{c}" for c in ("correctness", "format_reward", "validity", "total")]
+    return _rounded(S.component_means(_scored(spark, sf_dir), "event_type"), *names)
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_type, round(avg(CAST(status <> 'OK' AS INT)), 9) AS failure_fraction, 0.0e0 AS invalid_value_fraction,
+0.0e0 AS verifier_error_fraction, count(*) AS n FROM scored GROUP BY ALL""")
+def failure_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.failure_fractions(_scored(spark, sf_dir), F.col("score.status"), "event_type"), "failure_fraction")
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL}, c AS (SELECT example_id, trim(completion, concat(' ', chr(9), chr(10))) AS t, count(*) AS c FROM rollouts GROUP BY ALL)
+SELECT round(sum(c - 1) / sum(c), 9) AS duplicate_fraction, CAST(sum(c) AS BIGINT) AS n FROM c""")
+def duplicate_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.duplicate_fraction(W.rollouts(spark, sf_dir), "example_id", X.stripped(F.col("completion"))), "duplicate_fraction")
+
+
+@query(f"""WITH {W.ROLLOUTS_SQL}, v AS (SELECT example_id, var_pop(total) AS v FROM scored GROUP BY ALL)
+SELECT round(avg(v), 9) AS mean_variance, round(avg(CAST(v <= 1e-12 AS INT)), 9) AS zero_variance_fraction, count(*) AS n_groups FROM v""")
+def group_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(S.group_variance(_scored(spark, sf_dir), "example_id", F.col("score.total")), "mean_variance", "zero_variance_fraction")
+
+
+@query(f"WITH {W.ROLLOUTS_SQL} SELECT status AS reason, event_type, count(*) AS n FROM rollouts WHERE status <> 'OK' GROUP BY ALL")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = C.read_completions(W.rollouts(spark, sf_dir), F.col("completion"), F.col("task_family"))
+    return B.drop_reasons(read, F.nullif(F.col("reading.status"), F.lit(C.OK)), "event_type")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.rollouts(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# Contracts
+
+_PROMPTS_SQL = "p AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id)"
+
+
+@query(f"""WITH {_PROMPTS_SQL} SELECT conv_id, CAST(len(prompt) AS INT) AS messages,
+coalesce(len(prompt) = 2 AND prompt[1].role = 'system' AND prompt[2].role = 'user' AND prompt[1].content IS NOT NULL AND prompt[2].content IS NOT NULL, false) AS holds,
+sha256(array_to_string(list_transform(prompt, lambda m: m.content), chr(10))) AS prompt_sha256 FROM p""")
+def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = F.col("prompt")
+    return W.prompts(spark, sf_dir).select("conv_id", F.size(prompt).alias("messages"), X.prompt_contract(prompt).alias("holds"), H.sha256(X.prompt_text(prompt)).alias("prompt_sha256"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.repeated_keys(W.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT rule, count(*) AS n FROM (
+ SELECT unnest(list_filter([CASE WHEN NOT coalesce(l_discount BETWEEN 0.0e0 AND 0.05e0, false) THEN 'discount' END,
+  CASE WHEN NOT coalesce(l_returnflag IN ('N', 'A'), false) THEN 'returnflag' END,
+  CASE WHEN NOT coalesce(l_quantity >= 1 AND isfinite(l_quantity), false) THEN 'quantity' END,
+  CASE WHEN NOT coalesce(length(l_linestatus) > 0, false) THEN 'linestatus' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem) GROUP BY ALL""")
+def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [
+        V.Rule("discount", X.in_domain(F.col("l_discount"), 0.0, 0.05)),
+        V.Rule("returnflag", F.col("l_returnflag").isin("N", "A")),
+        V.Rule("quantity", X.finite(F.col("l_quantity")) & (F.col("l_quantity") >= 1)),
+        V.Rule("linestatus", F.length("l_linestatus") > 0),
+    ]
+    return V.violation_counts(W.table(spark, sf_dir, "lineitem"), rules)
+
+
+@query("""SELECT count_if(ts IS NULL OR user_id IS NULL OR event_type IS NULL) AS missing, count_if(NOT coalesce(isfinite(value), false)) AS not_finite,
+count_if(trim(coalesce(props, '')) = '') AS blank, count(*) AS n FROM events""")
+def required_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.table(spark, sf_dir, "events").agg(
+        F.count_if(F.col("ts").isNull() | F.col("user_id").isNull() | F.col("event_type").isNull()).alias("missing"),
+        F.count_if(~X.finite(F.col("value"))).alias("not_finite"),
+        F.count_if(F.trim(F.coalesce("props", F.lit(""))) == "").alias("blank"),
+        F.count("*").alias("n"),
+    )
+
+
+@query("""WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS xs FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, CAST(len(xs) AS INT) AS n, len(list_distinct(xs)) = len(xs) AND list_min(xs) >= 0 AS holds FROM a""")
+def index_array_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = W.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("xs"))
+    return arrays.select("l_orderkey", F.size("xs").alias("n"), X.strictly_sorted(F.col("xs")).alias("holds"))
+
+
+@query("""SELECT event_type, count_if(json_keys(props) = ['k']) AS agree, count_if(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) AS whole, count(*) AS n FROM events GROUP BY ALL""")
+def key_set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.json_object_keys("props")
+    value = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
+    return W.table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count_if(V.same_keys(keys, F.array(F.lit("k")))).alias("agree"), F.count_if(F.schema_of_variant(value) == "BIGINT").alias("whole"), F.count("*").alias("n")
+    )
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 24) AS pool_id, true AS holds FROM documents")
+def identity_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.pool(spark, sf_dir)
+    return rows.select("doc_id", "pool_id", (H.prefix_id(F.col("text")) == F.col("pool_id")).alias("holds"))
+
+
+@query("SELECT source, lang, count(*) AS n, count_if(" + " OR ".join(f"contains(lower(text), '{t}')" for t in DENIED) + ") AS denied FROM documents GROUP BY ALL")
+def denylist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(V.denied(F.col("text"), DENIED)).alias("denied"))
+
+
+@query("""SELECT count_if(contains(text, concat('"', lang, '"')) OR contains(text, source)) AS leaked, count(*) AS n FROM documents""")
+def leak_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    kept = V.not_leaked(F.concat(F.lit('"'), "lang", F.lit('"')), text, "{}") & V.not_leaked(F.col("source"), text, "")
+    return W.table(spark, sf_dir, "documents").agg(F.count_if(~kept).alias("leaked"), F.count("*").alias("n"))
+
+
+# Builder
+
+_VALID = "n_chars >= 200"
+
+
+@query(f"""SELECT source, doc_id, CAST(position AS INT) AS position FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position
+FROM documents WHERE {_VALID}) WHERE position <= 3""")
+def first_n_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = W.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return B.first_n_valid(docs, F.expr(_VALID), 3, group="source", order="doc_id").select("source", "doc_id", "position")
+
+
+def _hex(key: str) -> str:
+    return f"CAST(concat('0x', substr(sha256({key}), 1, 15)) AS BIGINT)"
+
+
+@query(f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) OVER () AS n FROM documents),
+e AS (SELECT doc_id, n, unnest(range(2)) AS epoch FROM p),
+o AS (SELECT doc_id, n, epoch, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY {_hex("concat_ws(':', 'specs', epoch, doc_id)")}, doc_id) - 1 AS attempt FROM e)
+SELECT attempt, epoch, doc_id, {_hex("concat_ws(':', 'specs', 'load', attempt)")} % 3 + 1 AS load, {_hex("concat_ws(':', 'specs', 'seed', attempt)")} AS question_seed
+FROM o WHERE attempt < n + n // 2""")
+def epoch_cycle_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = W.table(spark, sf_dir, "documents").select("doc_id")
+    n = docs.count()
+    return B.epoch_specs(docs, n + n // 2, key="doc_id", seed="specs", loads=(1, 3), size=n)
+
+
+# Integrity
+
+_NATION = "concat_ws('|', n_nationkey, n_name, n_regionkey)"
+
+
+@query(f"SELECT sha256(string_agg(concat({_NATION}, chr(10)), '' ORDER BY n_nationkey)) AS records_sha256, count(*) AS n FROM nation")
+def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.ordered_hash(W.table(spark, sf_dir, "nation"), F.expr(_NATION), "n_nationkey")
+
+
+@query("""WITH f AS (SELECT concat('/', r_name, '/', n_name) AS path, sha256(n_name) AS sha256 FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT sha256(string_agg(concat(path, chr(0), sha256, chr(0)), '' ORDER BY path)) AS tree_sha256, count(*) AS n_files FROM f""")
+def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = W.table(spark, sf_dir, "nation"), W.table(spark, sf_dir, "region")
+    files = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return I.tree_hash(files.select(F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name").alias("path"), H.sha256(F.col("n_name")).alias("sha256")))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45), e AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size <= 25)
+SELECT coalesce(e.k, a.k) AS k, CASE WHEN a.k IS NULL THEN 'missing' ELSE 'extra' END AS state FROM e FULL JOIN a ON e.k = a.k WHERE e.k IS NULL OR a.k IS NULL""")
+def listing_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = W.table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("k"))
+    actual = W.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    return I.listing_diff(expected, actual, "k")
+
+
+@query("""SELECT o_orderkey, sha256(o_orderstatus) AS expected, sha256(l_linestatus) AS actual FROM orders
+JOIN (SELECT l_orderkey, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey WHERE o_orderstatus <> l_linestatus""")
+def hash_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = W.table(spark, sf_dir, "orders").select("o_orderkey", H.sha256(F.col("o_orderstatus")).alias("sha256"))
+    lines = W.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("s"))
+    return I.hash_mismatch(expected, lines.select("o_orderkey", H.sha256(F.col("s")).alias("sha256")), "o_orderkey")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS id, count(*) AS c FROM lineitem GROUP BY ALL), w AS (SELECT unnest(range((SELECT count(*) FROM orders))) AS id)
+SELECT coalesce(w.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'missing' WHEN w.id IS NULL THEN 'beyond' ELSE 'repeated' END AS state
+FROM w FULL JOIN c ON w.id = c.id WHERE c.id IS NULL OR w.id IS NULL OR c.c > 1""")
+def contiguous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.id_gaps(W.table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey", W.table(spark, sf_dir, "orders").count())
+
+
+@query("SELECT o_custkey, arg_max(concat('checkpoint-', o_orderkey), o_orderkey) AS name, max(o_orderkey) AS number FROM orders GROUP BY ALL")
+def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = W.table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("name"))
+    return I.latest_by_number(names, "o_custkey", "name")
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS protocols, count(*) AS n FROM orders GROUP BY ALL")
+def protocol_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.distinct_protocols(W.table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
+
+
+@query("""SELECT c_custkey, array_to_string(list_sort(list_filter([CASE WHEN NOT coalesce(n_nationkey IS NOT NULL, false) THEN 'nation' END,
+CASE WHEN NOT coalesce(r_name <> 'ASIA', false) THEN 'region' END, CASE WHEN NOT coalesce(c_acctbal >= 0, false) THEN 'balance' END,
+CASE WHEN NOT coalesce(c_mktsegment = 'BUILDING', false) THEN 'segment' END], lambda x: x IS NOT NULL)), ',') AS failed
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def named_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = W.table(spark, sf_dir, "nation"), W.table(spark, sf_dir, "region")
+    rows = W.table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    checks = {"nation": F.col("n_nationkey").isNotNull(), "region": F.col("r_name") != "ASIA", "balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment") == "BUILDING"}
+    return I.failed_checks(rows, checks).select("c_custkey", F.array_join("failed", ",").alias("failed"))
+
+
+@query("""WITH r AS (SELECT o_custkey, count_if(o_orderstatus = 'F') AS n_complete FROM orders GROUP BY ALL)
+SELECT o_custkey, n_complete, CASE WHEN n_complete = 0 THEN 'pending' WHEN n_complete = 1 THEN 'complete' ELSE 'ambiguous' END AS state FROM r""")
+def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.run_state(W.table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "F")
+
+
+@query("""SELECT a.label, count(*) AS pairs, round(max(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))), 6) AS max_abs
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY ALL""")
+def embedding_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.table(spark, sf_dir, "embeddings")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    gap = F.array_max(F.zip_with("embedding", "other", lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    return rows.join(other, "vec_id").groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.max(gap), 6).alias("max_abs"))
+
+
+@query("SELECT user_id, CAST(CAST(concat('0x', substr(sha256(CAST(user_id AS VARCHAR)), 1, 16)) AS UBIGINT) AS VARCHAR) AS seed FROM (SELECT DISTINCT user_id FROM events)")
+def hash_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = W.table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", H.seed_of(F.col("user_id").cast("string")).cast("string").alias("seed"))
+
+
+# Metric logs
+
+
+@query(f"""WITH {W.METRIC_SQL} SELECT model_key, CASE WHEN bool_or(metric = '{CANDIDATES[0]}') THEN '{CANDIDATES[0]}' WHEN bool_or(metric = '{CANDIDATES[1]}') THEN '{CANDIDATES[1]}'
+WHEN bool_or(metric = '{CANDIDATES[2]}') THEN '{CANDIDATES[2]}' END AS metric FROM metric_log GROUP BY ALL""")
+def metric_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.fallback(W.metric_log(spark, sf_dir), CANDIDATES)
+
+
+@query(f"WITH {W.METRIC_SQL} SELECT model_key, step, round(avg(value), 9) AS value, count(*) AS n FROM metric_log WHERE metric = 'click' GROUP BY ALL")
+def metric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.curve(W.metric_log(spark, sf_dir), F.col("metric") == "click"), "value")
+
+
+@query(f"""WITH {W.METRIC_SQL} SELECT model_key, count_if(metric LIKE '%k') AS n, min(value) FILTER (metric LIKE '%k') AS least,
+bool_and(isfinite(value)) AND bool_or(metric LIKE '%k' AND value >= 0 AND value < 1) AS passes FROM metric_log GROUP BY ALL""")
+def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.gate(W.metric_log(spark, sf_dir), F.col("metric").endswith("k"), by="model_key")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS greatest FROM events GROUP BY ALL")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream, one micro-batch after another; state and results are in the
+    folder that the cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = W.table(spark, sf_dir, "events").schema
+    stream.follow(spark, f"{sf_dir}/events.parquet*", schema, f"{at}/sink", f"{at}/state").awaitTermination()
+    return stream.totals(spark, f"{at}/sink")
+
