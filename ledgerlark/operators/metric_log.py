@@ -26,7 +26,8 @@ def fallback(long: DataFrame, candidates: Sequence[str], *, model: str = "model_
     named = F.array(*[F.lit(c) for c in candidates])
     at = F.when(finite(F.col("value")), F.nullif(F.array_position(named, F.col("metric")), F.lit(0)))
     first = long.groupBy(model).agg(F.min(at).alias("_at"))
-    return first.select(model, F.element_at(named, F.col("_at").cast("int")).alias("metric"))
+    # element_at of a literal array takes a null position for the first one.
+    return first.select(model, F.when(F.col("_at").isNotNull(), F.element_at(named, F.col("_at").cast("int"))).alias("metric"))
 
 
 def with_suffix(columns: Sequence[str], suffix: str) -> list[str]:

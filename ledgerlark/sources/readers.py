@@ -42,7 +42,7 @@ def first_valid_results(spark: SparkSession, root: str, task: str, metrics: Sequ
     # Keys of metrics hold a comma, so they are looked up in a map, not by path.
     body = F.from_json("value", "results map<string, map<string, string>>")["results"][task]
     values = files.select(F.col("_metadata.file_path").alias("path"), *[F.try_element_at(body, F.lit(f"{m},all")).try_cast("double").alias(m) for m in metrics])
-    valid = values.where(F.forall(F.array(*metrics), in_domain))
+    valid = values.where(F.forall(F.array(*metrics), lambda x: in_domain(x)))
     return valid.agg(*[F.min_by(c, "path").alias(c) for c in ("path", *metrics)]).where("path is not null")
 
 
@@ -98,10 +98,13 @@ def hash_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def completed_runs(spark: SparkSession, root: str, marker: str = "_COMPLETE") -> DataFrame:
-    """(model_key, run) of every ``<model>/<run>/<marker>`` below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", marker).load(root)
-    parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -3).alias("model_key"), F.element_at(parts, -2).alias("run"))
+    """(model_key, run) of every ``<model>/<run>/<marker>`` below a folder. The file sources skip names
+    with a leading underscore, so the markers (one a run) are listed through Hadoop's file system."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*/{marker}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    parts = [f.getPath().toString().split("/") for f in found]
+    return spark.createDataFrame([(p[-3], p[-2]) for p in parts], "model_key string, run string")
 
 
 def single_runs(runs: DataFrame, models: Sequence[str]) -> dict[str, str]:
