@@ -126,7 +126,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seen: np.ndarr
     m = Machine(BUCKETS + k, RANK, seed)
     if not len(y) or y.min() == y.max():
         m.v[:] = 0
-        m.scale, m.offset = 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        m.scale, m.offset = 0.0, float(np.log((y.sum() + 9) / (len(y) - y.sum() + 1)))
         return m
     train = np.flatnonzero(seen)
     stats = np.stack([rows[i][1][-k:] for i in train])
@@ -178,7 +178,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", meta: str | None = None, learn: Column | None = None) -> Machine:
     """The machine for ``label``, learned from labelled rows where ``learn`` holds.
 
-    Without labelled rows, or with labels of one value, every text gets the smoothed prior."""
+    Without labelled rows, or with labels of one value, every text gets the prior, smoothed as if nine of
+    ten further texts were good."""
     learn = fold(doc_id, FOLDS) != 2 if learn is None else learn
     sample = labelled_sample(documents, labels, label, learn, MOST_LABELLED, doc_id=doc_id, text=text, meta=meta)
     got = sample.mapInArrow(_measured, "y int, part int, index binary, values binary").toArrow()

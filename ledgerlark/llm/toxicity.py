@@ -156,7 +156,8 @@ def _placer(places: dict[bytes, int]):
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", learn: Column | None = None) -> Model:
     """The classifier for ``label``, learned from labelled rows where ``learn`` holds.
 
-    Without labelled rows, or with labels of one value, every text gets the smoothed prior."""
+    Without labelled rows, or with labels of one value, every text gets the prior, smoothed as if one of
+    ten further texts were toxic."""
     learn = fold(doc_id, FOLDS) != 0 if learn is None else learn
     sample = labelled_sample(documents, labels, label, learn, MOST_LABELLED, doc_id=doc_id, text=text)
     chosen = _vocabulary(sample)
@@ -173,7 +174,7 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     order = sorted(range(len(y)), key=lambda i: (part[i], y[i], len(lists[i]), lists[i].tolist(), hits[i]))
     y, part, lists, hits = y[order], part[order], [lists[i] for i in order], [hits[i] for i in order]
     if not len(y) or y.min() == y.max():
-        return Model({}, 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+        return Model({}, 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 9))))
     seen, calibrating = part != 4, part == 4
     prior = float(y[seen].mean()) if seen.any() else float(y.mean())
 

@@ -1,0 +1,455 @@
+"""Operators on small tables: nulls, empty and long texts, repeats, ties, clashing names, no rows."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import ann, bpe, components, decontaminate, gbdt, jaccard_join, license_scan, linear, pii, quality, sharding, toxicity, url_filter
+
+LONG = "lorem ipsum dolor " * 20_000
+
+
+def frame(spark, texts, ids=None):
+    """Documents with odd rows, and extra columns with names that operators use."""
+    rows = [(i if ids is None else ids[i], t, "x", i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, node string, n_chars bigint").withColumns({"url": F.lit("u"), "a": F.lit(1), "shard": F.lit("s"), "_in": F.lit(0)})
+
+
+# Decontamination
+
+
+def brute_windows(text, items, width=10):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    hit, found = set(), set()
+    for item, t in items:
+        p = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        m = min(width, len(p))
+        for k in range(len(p) - m + 1 if m else 0):
+            for i in range(len(w) - m + 1):
+                if w[i : i + m] == p[k : k + m]:
+                    hit |= set(range(i, i + m))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 60])
+def test_windows_as_brute_force(spark, bound):
+    r = random.Random(1)
+    line = lambda n, k=4: " ".join(r.choice("ABCDé123"[:k]) for _ in range(n))
+    items = [(i, line(r.choice([0, 1, 2, 5, 9, 10, 11, 14]), 8)) for i in range(12)] + [(3, "x y z"), (None, "a a a"), (50, None), (51, "A, b!")]
+    texts = [None, "", " ,. ", LONG, items[4][1] + " and " + items[5][1]] + [line(r.randint(0, 60), 8) for _ in range(40)]
+    texts += texts[:6]
+    docs = frame(spark, texts, [i % 30 for i in range(len(texts))]).withColumn("windows", F.lit("clash")).withColumn("k", F.monotonically_increasing_id())
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.find_windows(docs, bench, max_pattern_bytes=bound).collect()
+    assert len(rows) == len(texts)
+    good = [(i, t) for i, t in items if i is not None]
+    for row in rows:
+        n, hit, found = brute_windows(row["text"], good)
+        assert (row["windows"]["n_words"], row["windows"]["n_hit"], row["windows"]["items"]) == (n, hit, found)
+    clean = decontaminate.decontaminate(docs.drop("windows"), bench, max_pattern_bytes=bound)
+    assert clean.columns == docs.drop("windows").columns and clean.count() == sum(not brute_windows(t, good)[1] for t in texts)
+
+
+def test_no_benchmark_and_no_documents(spark):
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.decontaminate(frame(spark, ["a b", None]), bench).count() == 2
+    assert decontaminate.decontaminate(frame(spark, ["a"]).limit(0), bench).count() == 0
+
+
+# Sharding
+
+
+def test_shards_are_even_and_slots_gapless(spark):
+    texts = [None, "", "é"] + [f"t{i}" for i in range(2000)] + ["same"] * 700
+    ids = list(range(2003)) + [7] * 700
+    docs = frame(spark, texts, ids).union(frame(spark, ["null id"], [None]))
+    tree = sharding.even_tree(16)
+    rows = sharding.place(docs, tree, grown=sharding.grow(tree)).collect()
+    assert len(rows) == len(texts) + 1
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 16)
+    assert sorted(by) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    distinct = {r["doc_id"]: r["shard"] for r in rows if r["doc_id"] is not None}
+    counts = np.bincount(list(distinct.values()), minlength=16)
+    assert counts.min() > 80 and counts.max() < 180
+    moved = np.mean([r["grown_shard"] == 16 for r in {r["doc_id"]: r for r in rows}.values()])
+    assert 0.03 < moved < 0.1
+    assert {r["doc_id"]: r["size"] for r in rows}[2] == 3 and {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows}[0] == (1, 0)
+    assert sharding.place(docs.limit(0), tree).count() == 0
+
+
+def test_weights_move_keys_only_in_their_subtrees(spark):
+    tree = sharding.even_tree(16)
+    heavier = (sharding.Region("r0", (sharding.Rack("k0", ((0, 3), (1, 1), (2, 1), (3, 0))), tree[0].racks[1])), tree[1])
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("key"))
+    rows = sharding.with_shard(sharding.with_shard(keys, tree, "key", "a"), heavier, "key", "b").collect()
+    share = np.bincount([r["b"] for r in rows], minlength=16) / 4000
+    assert abs(share[0] - 3 / 17) < 0.03 and share[3] == 0
+    assert all(r["a"] == r["b"] for r in rows if r["a"] >= 8 and r["b"] >= 8)
+    assert all(r["b"] < 8 for r in rows if r["a"] < 8)
+
+
+# Nearest neighbours
+
+
+def test_nearest_odd_rows(spark):
+    v = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1)).withColumn("list", F.lit("x"))
+    rows = ann.search(df, k=20).orderBy("query_id", "rank").collect()
+    got = {q: [(r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q] for q in (0, 20)}
+    assert got[0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.5), (4, 20, 0.0)]
+    assert [x[1] for x in got[20]] == [3, 0, 1, 2]
+    assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 5")).count() == 0
+
+
+def test_recall_of_lists_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "BATCH_QUERIES", 50)
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(size=(2000, 24)), np.repeat(r.normal(size=(10, 24)), 100, axis=0) + 0.05 * r.normal(size=(1000, 24))]) * r.uniform(0.5, 2, (3000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    found = {}
+    for row in ann.search(df).collect():
+        found.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    hits = []
+    for q, near in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = set(np.lexsort((np.arange(3000), -s))[:20].tolist())
+        hits.append(len(best & {n[1] for n in near}) / 20)
+        assert len(near) == 20 and all(abs(s[n[1]] - n[2]) < 1e-9 for n in near)
+    assert len(found) == 150 and np.mean(hits) >= 0.9
+
+
+# Licences
+
+
+def test_licence_expressions():
+    f = lambda e: license_scan.evaluate(license_scan.postfix(e))
+    assert f("MIT") == ({"mit"}, 1.0)
+    assert f("GPL-3.0-only OR MIT AND CC-BY-NC-4.0") == ({"gpl-3", "mit", "cc-by-nc"}, 0.3)
+    assert f("(GPL-3.0-only OR MIT) AND CC-BY-NC-4.0")[1] == 0.2
+    assert f("GPL-2.0-or-later WITH Classpath-exception-2.0 and Apache-2.0") == ({"gpl-2", "apache-2"}, 0.65)
+    assert license_scan.postfix("MIT */ code") == ["MIT"] and license_scan.postfix("MIT and more text") == ["MIT", "more", "AND"]
+    for bad in ("", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "()"):
+        assert license_scan.postfix(bad) is None
+    assert license_scan.label_of("LicenseRef-Own") == "licenseref-own"
+
+
+def test_licence_rows(spark):
+    texts = [None, "", "Under the\nMIT-License; under the mit license.", "x SPDX-License-Identifier: (MIT OR Apache-2.0)\nnext", "spdx license identifier only", LONG + "CC BY-NC", "the mit license", "commit license under the mit licenses"]
+    rows = license_scan.find_licences(frame(spark, texts).withColumn("licences", F.lit(0))).orderBy("n_chars").collect()
+    x = [r["licences"] for r in rows]
+    assert [(y["n_base"], y["first_word"], y["last_word"], y["labels"]) for y in x[:4]] == [(0, None, None, ""), (0, None, None, ""), (2, 0, 4, "mit"), (0, None, None, "apache-2,mit")]
+    assert x[3]["expressions"] == ["MIT Apache-2.0 OR"] and x[3]["score"] == 1.0 and x[4]["labels"] == ""
+    assert (x[5]["n_base"], x[5]["first_word"], x[5]["n_words"]) == (1, 60_000, 60_003) and [x[6]["n_base"], x[7]["n_base"]] == [0, 0]
+
+
+# Classifiers
+
+
+def labelled(spark, n=400):
+    r = random.Random(4)
+    plain = ["tree", "river", "stone", "cloud", "house", "green", "walk"]
+    texts = [" ".join([*r.choices(plain, k=20), *(["grumpfish"] * (i % 3 == 0))]) for i in range(n)] + [None, ""]
+    docs = frame(spark, texts)
+    y = [(i, int(i % 3 == 0), int(i % 3 != 0)) for i in range(n)] + [(5, 0, 1), (None, 1, 1), (n + 50, 1, 1), (7, None, None)]
+    return docs, spark.createDataFrame(y, "doc_id bigint, toxic int, quality int")
+
+
+def test_toxicity_learns_words_it_has_no_lexicon_for(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score_documents(docs.withColumn("toxicity", F.lit("x")), model).collect()
+    assert len(rows) == 402 and all((r["toxicity"] >= 0.5) == (r["text"] is not None and "grumpfish" in r["text"]) for r in rows)
+    assert model.score(None) == model.score(b"") and model.score((LONG + "grumpfish").encode()) >= 0.5
+
+
+def test_classifiers_without_labels(spark):
+    docs, labels = labelled(spark, 30)
+    for few in (labels.limit(0), labels.where("toxic = 0 and quality = 1")):
+        assert all(0 < r["toxicity"] < 0.5 for r in toxicity.score_documents(docs, toxicity.train(docs, few)).collect())
+        assert all(0 < r["quality"] < 1 for r in quality.score_documents(docs, quality.train(docs, few)).collect())
+    assert toxicity.score_documents(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+    assert quality.score_documents(docs.limit(0), quality.train(docs.limit(0), labels, meta="n_chars")).count() == 0
+
+
+def test_label_model_finds_good_voters_and_discounts_copies():
+    r = np.random.default_rng(2)
+    y = r.random(4000) < 0.2
+    good = [np.where(y, r.random(4000) < 0.7, r.random(4000) < 0.02) for _ in range(3)]
+    noise = r.random(4000) < 0.1
+    votes = np.stack([*good, noise, noise], axis=1).astype(float)
+    q, rates, corr = toxicity.label_model(votes, 0.2)
+    assert np.mean((q > 0.5) == y) > 0.93 and corr[3, 4] > 0.9
+    assert all(rates[1, i] > 0.5 and rates[0, i] < 0.1 for i in range(3))
+
+
+def test_machine_uses_the_identity_of_squares():
+    m = quality.Machine(quality.BUCKETS + len(quality.STATISTICS), 3, 1)
+    r = np.random.default_rng(0)
+    m.w[:], m.v[:], m.w0 = r.normal(size=m.w.shape), r.normal(size=m.v.shape), 0.3
+    index, values = quality.inputs(b"one two two THREE.\nfour", 23)
+    x = m.standard(values)
+    pairs = sum(m.v[index[i]] @ m.v[index[j]] * x[i] * x[j] for i in range(len(x)) for j in range(i))
+    assert m.raw(index, values) == pytest.approx(0.3 + m.w[index] @ x + pairs, rel=1e-4)
+
+
+def test_quality_learns_interactions(spark):
+    r = np.random.default_rng(3)
+    a, b = r.random(1200) < 0.5, r.random(1200) < 0.5
+    y = (a == b).astype(float)
+    rows = [quality.inputs(f"{'alpha' if p else 'beta'} {'gamma' if q else 'delta'}".encode(), None) for p, q in zip(a, b, strict=True)]
+    m = quality.fit(rows, y, np.arange(1200) % 5 != 4, rate=0.2)
+    assert np.mean([(m.score(*x) >= 0.5) == t for x, t in zip(rows, y, strict=True)]) > 0.95
+
+
+def test_platt_never_turns_the_order():
+    assert linear.platt(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1.0, 1.0, 0.0, 0.0]))[0] == 0.0
+    a, b = linear.platt(np.array([-2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0]))
+    assert a > 0 and abs(b) < 0.1
+
+
+def test_boosted_trees_and_their_sql(spark):
+    r = np.random.default_rng(1)
+    x = r.random((600, 3)).round(3)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = gbdt.fit(x, y)
+    assert np.mean((m.raw(x) > 0) == y) > 0.95 and m.raw_one(x[0].tolist()) == pytest.approx(m.raw(x[:1])[0])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i int, a double, b double, c double")
+    raw = dict(df.select("i", F.expr(m.sql(["a", "b", "c"]))).collect())
+    assert np.allclose([raw[i] for i in range(600)], m.raw(x), atol=1e-9)
+    assert gbdt.fit(np.zeros((0, 3)), np.zeros(0)).trees == () and gbdt.threshold_for(np.zeros(0), np.zeros(0), 0.9) == float("inf")
+    assert gbdt.threshold_for(np.array([3.0, 2.0, 2.0, 1.0]), np.array([1.0, 1.0, 0.0, 1.0]), 0.9) == 3.0
+
+
+# Personal data
+
+
+def test_redaction(spark):
+    texts = [None, "", "mail a.b@c.example.org or +1 (222) 555-1234, ip 1.2.3.4 not 1.2.3.400", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end", "contact: jane [at] corp [dot] com", "é" * 5 + " 4111 1111 1111 1111", "plain text with no data at all", LONG + "x@y.zz"]
+    rows = pii.find_personal_data(frame(spark, texts).withColumn("personal", F.lit(0)), redact=True).orderBy("n_chars").collect()
+    x = [r["personal"] for r in rows]
+    assert [y["redacted"] for y in x[:2]] == [None, ""]
+    assert x[2]["redacted"] == "mail <EMAIL> or <PHONE>, ip <IP> not 1.2.3.400" and x[2]["spans"].startswith("email:5:")
+    assert x[3]["redacted"] == 'token = "<SECRET>" end' and "email_text" in rows[4]["personal"]["spans"]
+    assert x[5]["spans"] == "card:6:25" and x[6]["redacted"] == texts[6] and x[7]["redacted"] == LONG + "<EMAIL>"
+
+
+@pytest.mark.parametrize("kind", pii.MORE)
+def test_loose_candidates_are_judged_well(kind):
+    model, threshold = pii.default_models()[kind]
+    x, y = pii._examples(kind, 200, 99)
+    called = model.raw(x) >= threshold
+    assert y[called].mean() > 0.95 and called[y == 1].mean() > 0.8
+
+
+def test_base_spans_as_brute_force():
+    from test_queries import base_spans
+
+    r = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(r.choice(r.choice(["a.@-_%+1 b", "1.2 5-0+()", "@a.b_c@d", "0123456789 -+", "49.255"])) for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == base_spans(text)
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "a@", "1.", "+1", "A", "x_", "1 ", "aaaa:", "(1", "DE12 "])
+def test_patterns_stay_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    pii.find(unit * 200_000, pii.default_models())
+    assert time.perf_counter() - began < 5
+
+
+# URLs
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTPS://WWW.Example.COM/en/x?y#z", "http://a.example.com/en/", "http://example.com/en", "http://x.net/fr/1", "http://net/es/", "http://xnet/es/", "ftp://b.com", "http://b.com/", "a://b://c.com/d", "http://cheap-fast-pills.biz/" + "a/" * 5000, "http://host?q=/x", "http://é.com/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string").withColumns({"host": F.lit("clash"), "score": F.lit(1), "_in": F.lit(2), "rule": F.lit("r"), "url_verdict": F.lit(0)})
+    out = url_filter.judge(df, url_filter.default_model()).orderBy("page_id").collect()
+    v = [r["url_verdict"] for r in out]
+    assert [(x["host"], x["path"]) for x in v[:6]] == [("", ""), ("", ""), ("", ""), ("www.example.com", "/en/x"), ("a.example.com", "/en/"), ("example.com", "/en")]
+    assert [x["rule"] for x in v] == [None, None, None, "www.example.com/en/", "example.com/en/", "com/", "net/fr/", "net/es/", None, None, "com/", None, None, None, "com/"]
+    assert [x["verdict"] for x in v[3:8]] == ["allow", "block", "allow", "block", "block"] and v[12]["verdict"] == "block"
+    assert (v[11]["host"], v[13]["host"], v[13]["path"]) == ("b:", "host", "") and out[0]["host"] == "clash"
+    plan = url_filter.judge(df, url_filter.default_model())._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    with pytest.raises(ValueError):
+        url_filter.rule_sql([("allow", f"h{i}/") for i in range(201)])
+
+
+def test_url_model_on_urls_it_has_not_seen():
+    model = url_filter.default_model()
+    fresh = url_filter.training_urls(1000, seed=77)
+    raw = model.trees.raw(model._measure([u for u, _ in fresh]))
+    assert np.mean((raw >= model.threshold) == [y for _, y in fresh]) > 0.9
+
+
+# Tokens
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_codec_equals_the_library(tokenizer):
+    path, t = tokenizer
+    c = bpe.Codec(bpe.Vocabulary(path))
+    r = random.Random(1)
+    texts = ["", "a" * 50_000, "ab" * 20_000, " " * 999, "'s't I'll  \n\n x", "<|endoftext|><|endoftext|> a", "\u2028\x85\x1c\xa0 x"]
+    texts += ["".join(r.choice("ab the's'll  \n\t\r'1234.,!<|endoftext|>é中\U0001f600 ") for _ in range(r.randint(0, 60))) + r.choice(["", "<|endoftext|>"]) for _ in range(3000)]
+    for text in texts:
+        ids, listed = c.encode(text)
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and listed == ",".join(map(str, ids.tolist()))
+        assert c.decode(ids) == text.encode()
+
+
+def test_forgotten_pieces_change_nothing(tokenizer, monkeypatch):
+    path, t = tokenizer
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "PAIRS", 5)
+    c = bpe.Codec(bpe.Vocabulary(path))
+    text = "The quick, brown foxes' tails; don't 123-45 jump " * 3
+    assert c.encode(text)[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_encoded_rows(spark, tokenizer):
+    path, t = tokenizer
+    texts = [None, "", LONG, "x<|endoftext|>y", "rep", "rep"]
+    rows = bpe.encode_documents(frame(spark, texts).withColumn("tokens", F.lit(0)), path).orderBy("n_chars").collect()
+    assert [r["tokens"]["ids"] for r in rows] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert bpe.encode_documents(frame(spark, texts).limit(0), path).count() == 0
+
+
+# Similarity join
+
+
+def brute_groups(rows):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def near_copies(seed, n=60):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcde") for _ in range(3))
+    texts = [None, "", " \t\n", "one", "ONE", "one two", LONG[:4000], "a b c d e", "a b c d e f", "A B c d e"]
+    shared = [word() for _ in range(55)]
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.3 or len(texts) < 20:
+            w = [word() for _ in range(r.choice([3, 5, 6, 8, 12, 30, 80, 300]))]
+        elif kind < 0.5:
+            w = [word() for _ in range(r.randint(2, 25))] + shared + [word() for _ in range(r.randint(2, 25))]
+        else:
+            w = (r.choice(texts) or "x").split()
+            for _ in range(r.randint(0, 1 + len(w) // 40)):
+                w.insert(r.randint(0, len(w)), word())
+            w = w[r.choice([0, 0, 1, len(w) // 20]) :] or ["y"]
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_as_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
+    texts = near_copies(seed, 120)
+    ids = list(range(100, 100 + len(texts)))
+    ids[12] = ids[15] = ids[30]
+    ids[40] = ids[44] = None
+    df = frame(spark, texts, ids)
+    got = jaccard_join.similar_groups(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_groups(list(zip(ids, texts, strict=True)))))
+
+
+def test_one_of_each_group_stays(spark):
+    texts = near_copies(5, 80)
+    ids = list(range(len(texts)))
+    kept = jaccard_join.keep_one(frame(spark, texts, ids))
+    want = sorted(d for d, n, c in brute_groups(list(zip(ids, texts, strict=True))) if c == d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == frame(spark, []).columns
+    odd = frame(spark, ["p q r s t u", "p q r s t u", "v w x y z", "v w x y z", None, None, "k l m n o"], [1, 1, None, None, 3, 3, 1])
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(odd).collect()])) == sorted(
+        map(repr, [(1, "p q r s t u"), (None, "v w x y z"), (3, None), (3, None), (1, "k l m n o")])
+    )
+    assert jaccard_join.keep_one(odd.limit(0)).count() == 0
+
+
+def test_signatures_miss_no_link():
+    r = np.random.default_rng(0)
+    checked = 0
+    for _ in range(6000):
+        n = int(r.integers(1, r.choice([6, 12, 30, 200, 900])))
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.delete(a, r.choice(len(a), min(int(r.integers(0, len(a) // 5 + 2)), len(a)), replace=False))
+        b = np.unique(np.concatenate([b, r.integers(0, 2**63, int(r.integers(0, len(a) // 4 + 2)), dtype=np.uint64)]))
+        if not len(b) or np.array_equal(a, b) or not jaccard_join.linked(len(a), len(b), len(np.intersect1d(a, b))):
+            continue
+        checked += 1
+        assert len(np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)))
+        assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b)) <= jaccard_join.distance(len(a), len(b))
+    assert checked > 1000
+    assert any(jaccard_join.allocation(k)[1] for k in range(5))
+
+
+def test_shingles_in_pieces(monkeypatch):
+    texts = near_copies(3, 40) + ["É x Y z w q", "é " * 300]
+    whole = [s.tobytes() for s in jaccard_join.shingle_sets(pa.array(texts))]
+    monkeypatch.setattr(jaccard_join, "PIECE", 50)
+    assert [s.tobytes() for s in jaccard_join.shingle_sets(pa.array(texts))] == whole
+    assert [s.tobytes() for s in jaccard_join.shingle_sets(pa.array(texts).slice(7, 20))] == whole[7:27]
+    for text, s in zip(texts, whole, strict=True):
+        assert len(s) // 8 == brute_groups([(0, text)])[0][1]
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)] + [(r.randint(2000, 2300), r.randint(2000, 2300)) for _ in range(250)] + [(None, 1)]
+    df = spark.createDataFrame(edges, "x bigint, y bigint")
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        return i if root[i] == i else find(root[i])
+
+    for a, b in edges:
+        if a is not None:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {row["node"]: row["root"] for row in components.components(df, "x", "y").collect()}
+    assert got == {i: find(i) for i in root}
+    assert components.components(df.limit(0), "x", "y").count() == 0

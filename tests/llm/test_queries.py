@@ -1,0 +1,119 @@
+"""Every registered query against its SQL, or against a plain version of the same contract."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from oracle import connection, spark_rows, sql_rows
+
+from ledgerlark.llm import registry
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connection(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_matches_sql(spark, sf_dir, con, name):
+    assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == sql_rows(con, registry.ORACLE_SQL[name])
+
+
+def documents(con):
+    return con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+
+
+def lower(text):
+    return (text or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_nearest_are_exact_on_a_small_table(spark, sf_dir, con):
+    rows = con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    found = {}
+    for r in registry.QUERIES["op3_nearest"](spark, sf_dir).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(found) == sorted(i for i in ids if i % 20 == 0)
+    for q, near in found.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        near.sort()
+        assert [n[1] for n in near] == ids[best].tolist() and [n[0] for n in near] == list(range(1, 21))
+        assert np.allclose([n[2] for n in near], s[best], atol=1e-12)
+
+
+def test_licence_places(spark, sf_dir, con):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op4_license_scan"](spark, sf_dir).collect()}
+    for doc_id, text in documents(con):
+        w = words(text)
+        places = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[doc_id]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+@pytest.mark.parametrize("name,folds,held,label,cut", [("op5_toxicity", 5, 0, "toxic", 0.5), ("op6_quality", 4, 2, "quality", 0.7)])
+def test_scores(spark, con, name, folds, held, label, cut):
+    sf_dir = "/root/testdata/sf0.1"
+    y = dict(connection(sf_dir).execute(f"SELECT doc_id, {label} FROM labels").fetchall())
+    rows = registry.QUERIES[name](spark, sf_dir).collect()
+    assert len(rows) == 10_000
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut)
+    judged = [(r["predicted"], y[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in y]
+    assert np.mean([p == t for p, t in judged]) > 0.96
+    positive = 1 if name == "op5_toxicity" else 0
+    called = [t for p, t in judged if p == positive]
+    assert np.mean([t == positive for t in called]) > 0.95
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def base_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], ("email", "ip", "card", "phone").index(s[0])))
+
+
+def test_personal_data(spark, sf_dir, con):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op7_pii"](spark, sf_dir).collect()}
+    for doc_id, text in documents(con):
+        base, r = base_spans(text or ""), got[doc_id]
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r["base_sha256"] == sha(",".join(listed)) and set(listed) <= set(r["spans"].split(",")) | {""}
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+
+
+def test_bpe_equals_the_library(spark, sf_dir, con):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_bpe"](spark, sf_dir).collect()}
+    for doc_id, text in documents(con):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        r = got[doc_id]
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids))))
+        assert r["decoded_sha256"] == sha(t.decode(ids, skip_special_tokens=False))
