@@ -116,10 +116,15 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate:
 
 
 def threshold_for(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on at least ``precision`` of the rows have label 1 (ties together);
-    above all scores if there is none."""
+    """The least threshold over which at least ``precision`` of the rows have label 1, halfway to the
+    next lower score (ties stay together); above all scores if there is none."""
     order = np.argsort(-scores, kind="stable")
     s, hits = scores[order], np.cumsum(y[order])
     last = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
-    good = np.flatnonzero(last & (hits / np.arange(1, len(s) + 1) >= precision))
-    return float(s[good[-1]]) if len(good) else float("inf")
+    # Rows under the last row of label 1 would only add mistakes.
+    useful = np.flatnonzero(last & (hits / np.arange(1, len(s) + 1) >= precision))
+    if not len(useful):
+        return float("inf")
+    least = useful[-1]
+    least = useful[np.searchsorted(hits[useful], hits[least])]
+    return float((s[least] + s[least + 1]) / 2) if least + 1 < len(s) else float(s[least])

@@ -104,7 +104,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-FEATURE_NAMES = ("length", "digits", "letters", "upper", "entropy", "separators", "groups", "switches", "hex", "vowels", "cue", "quoted", "assigned", "checksum", "distinct")
+FEATURE_NAMES = ("length", "digits", "letters", "upper", "entropy", "separators", "groups", "switches", "hex", "vowels", "cue", "quoted", "assigned", "checksum", "distinct", "ending")
 
 
 def features(kind: str, text: str, first: int, past: int) -> list[float]:
@@ -112,7 +112,7 @@ def features(kind: str, text: str, first: int, past: int) -> list[float]:
     before it, quotes around it, an assignment before it."""
     span = text[first:past]
     n = len(span)
-    counts = Counter(span)
+    counts, groups = Counter(span), _WORD.findall(span)
     digits = sum(map(str.isdigit, span))
     letters = sum(map(str.isalpha, span))
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
@@ -129,7 +129,7 @@ def features(kind: str, text: str, first: int, past: int) -> list[float]:
         sum(map(str.isupper, span)) / n,
         entropy,
         float(n - digits - letters),
-        float(len(_WORD.findall(span))),
+        float(len(groups)),
         sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n,
         sum(c in "0123456789abcdefABCDEF" for c in span) / n,
         sum(c in "aeiouAEIOU" for c in span) / n,
@@ -138,6 +138,7 @@ def features(kind: str, text: str, first: int, past: int) -> list[float]:
         float(any(c in "=:" for c in near)),
         float(checksum),
         len(counts) / n,
+        float(len(groups[-1]) if groups else 0),
     ]
 
 
@@ -156,7 +157,10 @@ def _examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         # A look-alike may have no cue, personal data mostly has one.
         lead = f"{word()} {cue}{r.choice([': ', ' = ', ' ', '=', ' is '])}" if y and r.random() < 0.9 else f"{word()} {word()} "
         if kind == "email_text":
-            span = f"{word()}.{word()} [at] {word()} [dot] {r.choice(['com', 'org', 'net'])}" if y else f"{word()} (at) {word()} (dot) {word(3, 6)}"
+            left, right = r.choice(["[]", "()"])
+            local = word() + r.choice(["", ".", "_"]) + r.choice(["", word(), num(2)])
+            end = r.choice(["com", "org", "net", "edu", "io", "de", "fr", "es"]) if y else word(3, 6)
+            span = f"{local} {left}at{right} {word()} {left}dot{right} {end}"
         elif kind == "phone_local":
             span = f"({num(3)}) {num(3)}-{num(4)}" if y and r.random() < 0.5 else f"{num(3)}-{num(3)}-{num(4)}" if y else r.choice([f"{num(4)}-{num(2)}-{num(4)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(2)} {num(3)}"])
         elif kind == "secret":
