@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,9 +36,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs without white space, with one blank before them if there is one; PATTERN never crosses them.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Pieces that one worker remembers: two generations of so many.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pairs of tokens in the table of pairs; when it is full it starts anew.
-PAIRS = 500_000
+PAIRS = 200_000
 
 
 @cache
@@ -78,7 +77,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         tokens = vocabulary.tokens
-        self.ids = vocabulary.ids
+        self.names = [str(i) for i in vocabulary.ids]
         self.halves = vocabulary.halves
         self.lengths = [len(t) for t in tokens]
         self.merged = {pair: i for i, pair in enumerate(vocabulary.halves) if i >= 256}
@@ -96,8 +95,8 @@ class Codec:
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.blob = np.frombuffer(b"".join(whole.get(i, b"") for i in range(len(sizes))), dtype=np.uint8)
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge crosses the boundary of two tokens before they are whole.
@@ -167,17 +166,15 @@ class Codec:
                         token = self.shorter[token]
         return out
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
-        """Ids of a run, as int32 bytes and as decimal text."""
+    def chunk(self, text: str) -> str:
+        """Ids of a run, in decimal."""
         pieces = self.pattern.findall(text)
         if len(pieces) > 1:
             # A piece of its own is what a run of only that piece is: it may be remembered.
-            parts = [self.young.get(p) or self.remember(p) for p in pieces]
-            return b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts])
-        ids = [self.ids[t] for t in self.merge(text.encode())]
-        return array("i", ids).tobytes(), ",".join(map(str, ids))
+            return ",".join([self.young.get(p) or self.remember(p) for p in pieces])
+        return ",".join([self.names[t] for t in self.merge(text.encode())])
 
-    def remember(self, text: str) -> tuple[bytes, str]:
+    def remember(self, text: str) -> str:
         if (got := self.old.get(text)) is None:
             got = self.chunk(text)
         if len(text) <= 64:
@@ -188,19 +185,19 @@ class Codec:
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a text, and the same in decimal with commas between them."""
-        parts: list[tuple[bytes, str]] = []
+        parts: list[str] = []
         get, remember = self.young.get, self.remember
         for i, segment in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
-                token = self.special[segment]
-                parts.append((array("i", [token]).tobytes(), str(token)))
+                parts.append(str(self.special[segment]))
                 continue
             for chunk in _CHUNK.findall(segment):
                 if (got := get(chunk)) is None:
                     got = remember(chunk)
                     get = self.young.get
                 parts.append(got)
-        return np.frombuffer(b"".join([p[0] for p in parts]), dtype=np.int32), ",".join([p[1] for p in parts])
+        listed = ",".join(parts)
+        return np.fromstring(listed, dtype=np.int32, sep=","), listed
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a run of ids, by offsets into the blob of all tokens."""
@@ -245,6 +242,8 @@ def _coder(path: str, keep_ids: bool):
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids_of]))))
                 names = [*fields, pa.field("ids", pa.list_(pa.int32()))]
             yield pa.StructArray.from_arrays(columns, fields=names)
+        # The worker may stay for other work: it keeps one generation.
+        coder.old = {}
 
     return coded
 
