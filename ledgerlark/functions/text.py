@@ -73,3 +73,18 @@ def strictly_sorted(values: Column) -> Column:
 def whole_if_integral(value: Column) -> Column:
     """Decimal text of a number, without a fraction where it has none."""
     return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
+def safe_name(text: Column) -> Column:
+    """A name with every character that files and URLs might not take replaced."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-")
+
+
+def key_values(entries: Column) -> Column:
+    """``key=value`` of a map's entries without null values, sorted by key, with commas between them."""
+    kept = F.array_sort(F.map_entries(F.map_filter(entries, lambda k, v: v.isNotNull())))
+    return F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+
+def is_sha256(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^[0-9a-f]{64}$"), F.lit(False))

@@ -94,3 +94,9 @@ def output_manifest(spark, folder: str) -> dict[str, Any]:
     listing = file_listing(spark, folder)
     whole = tree_hash(listing, size="size_bytes").first().asDict()
     return whole | {"files": [r.asDict() for r in listing.orderBy("path").toLocalIterator()]}
+
+
+def write_pointer(path: str | Path, folder: str | Path, root: str | Path) -> None:
+    """A one-line file that names a folder below ``root``."""
+    with open(path, "x", encoding="utf-8") as f:
+        f.write(Path(folder).resolve().relative_to(Path(root).resolve()).as_posix() + "\n")

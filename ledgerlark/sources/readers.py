@@ -73,11 +73,28 @@ def pool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORED) -> DataFrame:
-    """(path below the folder, size_bytes, sha256) of every file whose path has no ignored part."""
+    """(path below the folder, size_bytes, sha256) of every file whose path has no ignored part.
+
+    Contents are hashed where they are read. The file sources leave out empty files and names with a
+    leading dot or underscore, as markers have them: those are hashed by the driver, as streams.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
-    listed = files.select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
+    listed = files.where("length > 0").select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    rest, found = [], fs.listFiles(top, True)
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toString().split(f"{base}/", 1)[1]
+        if status.getLen() == 0 or any(p[0] in "._" for p in name.split("/")):
+            stream = fs.open(status.getPath())
+            rest.append((name, status.getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            stream.close()
+    visible = listed.where(~F.exists(F.split("path", "/"), lambda p: p.startswith("_") | p.startswith(".")))
+    listed = visible.unionByName(spark.createDataFrame(rest, listed.schema)) if rest else visible
     return listed.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(i) for i in ignored]))) if ignored else listed
 
 
