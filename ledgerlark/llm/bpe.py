@@ -36,9 +36,9 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs without white space, with one blank before them if there is one; PATTERN never crosses them.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 #: Pieces that one worker remembers: two generations of so many.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Pairs of tokens in the table of pairs; when it is full it starts anew.
-PAIRS = 200_000
+PAIRS = 100_000
 
 
 @cache

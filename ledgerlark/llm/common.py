@@ -34,8 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts in one Arrow batch. Spark bounds batches by rows alone; its own 10,000 rows of long texts are
+#: hundreds of megabytes, held by the executor and its Python worker at once.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Make Arrow batches of the session hold BATCH_ROWS rows, unless it has a setting of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share, below one of the
+    application's own, which may be deleted once its results are written.
 
     Where the session names none (tests, one machine) it is set here.
     """
@@ -43,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

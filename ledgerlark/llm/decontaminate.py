@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
 
 WIDTH = 10
 MAX_PATTERN_BYTES = 16 << 20
@@ -161,6 +161,7 @@ def find_windows(
     empty benchmark hits nothing. Columns of ``documents`` other than ``text`` stay as they are,
     whatever their names; a column ``windows`` is replaced.
     """
+    bound_batches(documents)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
     size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = -(-size // max_pattern_bytes) or 1

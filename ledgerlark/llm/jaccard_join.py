@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import materialise, table
+from ledgerlark.llm.common import bound_batches, materialise, table
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -455,6 +455,7 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     each returned. Other columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    bound_batches(documents)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = "struct<n:bigint,node:bigint,sketch:binary>"
     sized = docs.select("doc_id", F.arrow_udf(_sized, kind)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.node", "s.sketch")
@@ -464,9 +465,11 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     signed = docs.select("text").mapInArrow(_signed, "sig bigint, node bigint")
     shared = materialise(signed.repartition(tasks, "sig").mapInArrow(_shared, "sig bigint, node bigint, hub bigint"))
-    least = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = least.join(sized.where("node is not null").select("node", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "node")
-    classes = materialise(classes)
+    # One row a class, copies combined before they are shuffled.
+    whole = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    whole = materialise(whole)
+    least = whole.select("node", "least")
+    classes = materialise(whole.join(shared.select("node").distinct(), "node", "left_semi"))
 
     # Pairs of a class and a hub that sizes and sketches leave open; most shared signatures first.
     def open_pairs(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import materialise
+from ledgerlark.llm.common import bound_batches, materialise
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -27,6 +27,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
     id count as the greatest, and several texts as the smallest; equal texts count once, with their
     greatest label; null ids and labels are left out.
     """
+    bound_batches(documents)
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learn).groupBy(F.col(doc_id).alias("_id"))
     ids = ids.agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = documents.select(F.col(doc_id).alias("_id"), F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(meta) if meta else F.lit(None)).cast("bigint").alias("meta")).alias("r"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import gbdt
-from ledgerlark.llm.common import table
+from ledgerlark.llm.common import bound_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("email_text", "phone_local", "secret", "ipv6", "iban", "ssn")
@@ -272,6 +272,7 @@ def find_personal_data(documents: DataFrame, *, text: str = "text", redact: bool
     count code points. Repeated rows are searched one by one; other columns stay, but a column
     ``personal`` is replaced.
     """
+    bound_batches(documents)
     return documents.withColumn("personal", _finder(redact)(F.col(text)))
 
 

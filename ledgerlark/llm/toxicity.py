@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
 from ledgerlark.llm.linear import Rows, fold, labelled_sample, platt, sigmoid, sparse_logistic
 
 MOST_LABELLED = 12_000
@@ -210,6 +210,7 @@ def score_documents(documents: DataFrame, model: Model, *, text: str = "text") -
         for batch in batches:
             yield pa.array([model.score(raw) for raw in raw_texts(batch)], pa.float64())
 
+    bound_batches(documents)
     return documents.withColumn("toxicity", scored(F.col(text)))
 
 
