@@ -523,6 +523,8 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     named = least.join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("group_id"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id")
     )
+    # Written first, so that the last join has two plain sides and can split a class with very many rows.
+    named = materialise(named)
     return sized.select("doc_id", "n", "node").join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("node").alias("class_id"), "group_id",
