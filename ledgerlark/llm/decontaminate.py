@@ -183,28 +183,28 @@ def find_windows(
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
         one = (
-            documents.select(key.alias("_key"), _scanner([tuple(r) for r in block], width)(F.col(text)).alias("w"))
+            documents.select(key.alias("__windows_key"), _scanner([tuple(r) for r in block], width)(F.col(text)).alias("w"))
             .where(F.size("w.items") > 0)
-            .select("_key", F.lit(k).alias("k"), "w.spans", "w.items")
-            .dropDuplicates(["_key", "k"])
+            .select("__windows_key", F.lit(k).alias("k"), "w.spans", "w.items")
+            .dropDuplicates(["__windows_key", "k"])
         )
         hits = one if hits is None else hits.unionByName(one)
-    hits = hits.groupBy("_key").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("_items"),
+    hits = hits.groupBy("__windows_key").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("__windows_spans"),
+        F.array_sort(F.flatten(F.collect_list("items"))).alias("__windows_items"),
     )
     none = _scanner([], width)(F.col(text))
-    out = documents.withColumn("windows", none).withColumn("_key", key).join(hits, "_key", "left")
-    spans = F.coalesce("_spans", "windows.spans")
+    out = documents.withColumn("windows", none).withColumn("__windows_key", key).join(hits, "__windows_key", "left")
+    spans = F.coalesce("__windows_spans", "windows.spans")
     return out.withColumn(
         "windows",
         F.struct(
             F.col("windows.n_words").alias("n_words"),
             _union_length(spans).alias("n_hit"),
             spans.alias("spans"),
-            F.coalesce("_items", "windows.items").alias("items"),
+            F.coalesce("__windows_items", "windows.items").alias("items"),
         ),
-    ).drop("_key", "_spans", "_items")
+    ).drop("__windows_key", "__windows_spans", "__windows_items")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -380,11 +380,11 @@ def _of_class(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 
 def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text of each class in ``nodes``, written to the shared folder."""
-    wanted = materialise(classes.join(nodes.distinct(), "node").select("node", F.col("least").alias("_id")))
+    wanted = materialise(classes.join(nodes.distinct(), "node").select("node", F.col("least").alias("__id")))
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     # An id may have several rows, or be null: the set of a text tells whether it is of the class.
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).where(F.arrow_udf(_of_class, "boolean")(F.col("text"), F.col("node")))
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id"))).where(F.arrow_udf(_of_class, "boolean")(F.col("text"), F.col("node")))
     return materialise(found.groupBy("node").agg(F.min("text").alias("text")))
 
 
@@ -541,22 +541,22 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     linked = groups.where("class_id is not null")
     # Ids whose rows are not told apart by the id alone are judged row by row.
     doubled = materialise(groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"))
-    gone = linked.where("doc_id <> component_id").join(doubled, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone"))
+    gone = linked.where("doc_id <> component_id").join(doubled, "doc_id", "left_anti").select(F.col("doc_id").alias("__gone"))
     gone = materialise(gone)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    kept = documents.join(gone, documents[doc_id] == F.col("_gone"), "left_anti")
+    kept = documents.join(gone, documents[doc_id] == F.col("__gone"), "left_anti")
     if doubled.isEmpty():
         return kept
-    ids = doubled.select(F.col("doc_id").alias("_id"))
-    single = kept.join(ids, kept[doc_id].eqNullSafe(F.col("_id")), "left_anti")
+    ids = doubled.select(F.col("doc_id").alias("__id"))
+    single = kept.join(ids, kept[doc_id].eqNullSafe(F.col("__id")), "left_anti")
     kind = "struct<n:bigint,node:bigint,sketch:binary>"
-    rows = documents.join(ids, documents[doc_id].eqNullSafe(F.col("_id")), "left_semi")
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("_id"), F.arrow_udf(_sized, kind)(F.col(text))["node"].alias("_node"))
+    rows = documents.join(ids, documents[doc_id].eqNullSafe(F.col("__id")), "left_semi")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("__id"), F.arrow_udf(_sized, kind)(F.col(text))["node"].alias("_node"))
     names = linked.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), "group_id", "component_id").distinct()
-    found = rows.join(names, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_c")), "left")
+    found = rows.join(names, F.col("__id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_c")), "left")
     empty = found.where("_node is null").select("r.*")
-    one = found.where("_node is not null and _id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    one = found.where("_node is not null and __id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
     return single.unionByName(empty).unionByName(one.select("r.*"))
 
 

@@ -16,7 +16,7 @@ LONG = "lorem ipsum dolor " * 20_000
 def frame(spark, texts, ids=None):
     """Documents with odd rows, and extra columns with names that operators use."""
     rows = [(i if ids is None else ids[i], t, "x", i) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, node string, n_chars bigint").withColumns({"url": F.lit("u"), "a": F.lit(1), "shard": F.lit("s"), "_in": F.lit(0)})
+    return spark.createDataFrame(rows, "doc_id bigint, text string, node string, n_chars bigint").withColumns({"url": F.lit("u"), "a": F.lit(1), "shard": F.lit("s"), "_in": F.lit(0), "_id": F.lit(1), "_gone": F.lit(2), "_key": F.lit("k"), "_spans": F.lit(3)})
 
 
 # Decontamination
