@@ -34,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents table, dealt to all cores where its files make fewer tasks: what is done
+    to a text costs far more than to move it once."""
+    df = table(spark, sf_dir, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Texts in one Arrow batch. Spark bounds batches by rows alone; its own 10,000 rows of long texts are
 #: hundreds of megabytes, held by the executor and its Python worker at once.
 BATCH_ROWS = 2_000

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
 
 WIDTH = 10
 MAX_PATTERN_BYTES = 16 << 20
@@ -213,7 +213,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_windows(documents_of(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         F.col("windows.n_words").alias("n_words"),

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, materialise, table
+from ledgerlark.llm.common import bound_batches, documents_of, materialise
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -561,7 +561,7 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similar_groups(documents_of(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 _SQL_WORDS = (

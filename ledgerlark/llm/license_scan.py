@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, words_of
 
 #: Phrases whose places are counted, and the labels they give.
 BASE_PHRASES = {
@@ -237,5 +237,5 @@ def find_licences(documents: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_licences(documents_of(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", *[F.col(f"licences.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import gbdt
-from ledgerlark.llm.common import bound_batches, table
+from ledgerlark.llm.common import bound_batches, documents_of
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("email_text", "phone_local", "secret", "ipv6", "iban", "ssn")
@@ -277,7 +277,7 @@ def find_personal_data(documents: DataFrame, *, text: str = "text", redact: bool
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_personal_data(documents_of(spark, sf_dir, "doc_id", "text"))
     return found.select(
         "doc_id",
         *[F.col(f"personal.{c}").alias(c) for c in _COUNTS],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
 from ledgerlark.llm.linear import fold, labelled_sample, platt, sigmoid
 
 MOST_LABELLED = 8_000
@@ -203,7 +203,7 @@ def score_documents(documents: DataFrame, machine: Machine, *, text: str = "text
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    documents = documents_of(spark, sf_dir, "doc_id", "text", "n_chars")
     machine = train(documents, table(spark, sf_dir, "labels"), meta="n_chars")
     found = score_documents(documents, machine, meta="n_chars")
     score = F.col("quality")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
 from ledgerlark.llm.linear import Rows, fold, labelled_sample, platt, sigmoid, sparse_logistic
 
 MOST_LABELLED = 12_000
@@ -215,7 +215,7 @@ def score_documents(documents: DataFrame, model: Model, *, text: str = "text") -
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents_of(spark, sf_dir, "doc_id", "text")
     model = train(documents, table(spark, sf_dir, "labels"))
     found = score_documents(documents, model)
     score = F.col("toxicity")
