@@ -35,7 +35,7 @@ LEAST_DEVIATIONS = 3.5
 #: It votes if its share of texts with label 1 is surely (by two and a half deviations) over this.
 LEAST_PRECISION = 0.5
 L1 = 3e-4
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (4, 5)
 GROUPS = 6
 FOLDS = 5
 #: General lexicons, one voter each.
