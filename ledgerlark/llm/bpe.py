@@ -122,13 +122,14 @@ class Codec:
                         return True
 
     def longest(self, piece: bytes) -> list[int]:
-        """The longest token that starts at each position."""
-        n = len(piece)
-        out, lengths = [-1] * n, self.lengths
+        """The longest token that starts at each position: of the tokens that end at one place of the
+        reversed piece, the automaton gives the longest first."""
+        last, before = len(piece) - 1, -1
+        out = [-1] * len(piece)
         for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):
-            start = n - 1 - end
-            if out[start] < 0 or lengths[token] > lengths[out[start]]:
-                out[start] = token
+            if end != before:
+                out[last - end] = token
+                before = end
         return out
 
     def merge(self, piece: bytes) -> list[int]:
