@@ -29,7 +29,7 @@ ORACLE_SQL: dict[str, str] = {}
 CANDIDATES = ("refund", "purchase", "click")
 DENIED = ("worthless", "casino", "validation")
 LANGUAGES = ("de", "en", "es", "fr")
-REPLICATES = 20
+REPLICATES = E.REPLICATES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.hashing import hash_draw
 from ledgerlark.functions.text import FAMILIES, in_domain
 
 OVERALL = "overall"
 REPLICATES = 2_000
 CHUNK = 200
+#: Replicates of the portable bootstrap in one row of work.
+BLOCK = 50
 SEED_PREFIX = "paired-bootstrap-v1"
 
 
@@ -84,7 +86,7 @@ def bootstrap_exact(obs: DataFrame, baseline: str, replicates: int = REPLICATES)
     """Paired bootstrap intervals drawn by NumPy's generator, seeded by model and scope.
 
     The draw sequence depends on the order of all deltas of a scope, so a scope is one task: its size
-    is that of a benchmark, not of a corpus. ``bootstrap_portable`` has no such bound.
+    is that of a benchmark, not of a corpus. ``bootstrap_portable`` spreads the draws over tasks.
     """
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,20 +102,51 @@ def bootstrap_exact(obs: DataFrame, baseline: str, replicates: int = REPLICATES)
     return rows.groupBy("model_key", "scope").applyInPandas(interval, "model_key string, scope string, mean_delta double, ci_low double, ci_high double, n bigint, seed string")
 
 
-def bootstrap_portable(obs: DataFrame, baseline: str, replicates: int = 100) -> DataFrame:
+def bootstrap_portable(obs: DataFrame, baseline: str, replicates: int = REPLICATES) -> DataFrame:
     """The same statistic with draws hashed from model, scope, replicate and position: any SQL engine
-    gives the same intervals, and draws spread over the cluster."""
-    w = Window.partitionBy("model_key", "scope")
-    rows = scoped(paired(obs, baseline)).select("model_key", "scope", "doc_hash", "delta")
-    rows = rows.withColumn("i", F.row_number().over(w.orderBy("doc_hash")) - 1).withColumn("n", F.count("*").over(w))
-    draws = rows.select("model_key", "scope", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    key = F.concat_ws(":", "model_key", "scope", "r", "i")
-    draws = draws.withColumn("i", (hash_draw(key) % F.col("n")).cast("int")).select("model_key", "scope", "r", "i")
-    means = draws.join(rows.select("model_key", "scope", "i", "delta"), ["model_key", "scope", "i"]).groupBy("model_key", "scope", "r").agg(F.avg("delta").alias("m"))
+    gives the same intervals.
+
+    The deltas of a scope travel as one array, eight bytes a document, to tasks of ``BLOCK``
+    replicates each; a replicate costs one hash a document, so draws, not memory, bound the size.
+    """
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model, scope, first, deltas in zip(*(batch.column(c) for c in ("model_key", "scope", "first", "deltas")), strict=True):
+                values, first = deltas.values, first.as_py()
+                told = values.is_valid().to_numpy(zero_copy_only=False)
+                bases = [hashlib.sha256(f"{model}:{scope}:{r}:".encode()) for r in range(first, min(first + BLOCK, replicates))]
+                means = _drawn_means(bases, values.fill_null(0.0).to_numpy(), told)
+                yield pa.RecordBatch.from_pydict({"model_key": [model.as_py()] * len(means), "scope": [scope.as_py()] * len(means), "m": pa.array(means, pa.float64())})
+
+    rows = scoped(paired(obs, baseline)).where("scope is not null").groupBy("model_key", "scope")
+    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("doc_hash", "delta"))).alias("x"))
+    blocks = ordered.select("model_key", "scope", F.col("x.delta").alias("deltas"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("first"))
+    # Blocks are few and dear: by size, adaptive execution would put them into one task.
+    dealt = blocks.repartition(8 * obs.sparkSession.sparkContext.defaultParallelism, "model_key", "scope", "first")
+    means = dealt.mapInArrow(drawn, "model_key string, scope string, m double")
     ends = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy("model_key", "scope").agg(ends[0].alias("ci_low"), ends[1].alias("ci_high"), F.count("*").alias("replicates"))
 
 
+def _drawn_means(bases: list, deltas: np.ndarray, told: np.ndarray) -> list[float | None]:
+    """Means of the deltas at the hashed positions, as ``hash_draw`` gives them, one for each base (the
+    hash of all of a key but its position, copied for each draw); deltas that are null don't count."""
+    n, totals, counts = len(deltas), [0.0] * len(bases), [0] * len(bases)
+    for at in range(0, n, 65_536):
+        positions = [b"%d" % i for i in range(at, min(at + 65_536, n))]
+        for k, base in enumerate(bases):
+            copy, raw = base.copy, []
+            for position in positions:
+                h = copy()
+                h.update(position)
+                raw.append(h.digest())
+            drawn = ((np.frombuffer(b"".join(raw), ">u8")[::4] >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
+            totals[k] += float(deltas[drawn].sum())
+            counts[k] += int(told[drawn].sum())
+    return [t / c if c else None for t, c in zip(totals, counts, strict=True)]
+
+
 def error_bars(deltas: DataFrame, intervals: DataFrame) -> DataFrame:
     """Lengths of the error bars below and above each mean delta."""
     both = deltas.join(intervals.select("model_key", "scope", "ci_low", "ci_high"), ["model_key", "scope"])

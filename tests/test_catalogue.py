@@ -21,6 +21,15 @@ def test_exact_bootstrap_is_repeatable_and_ordered(spark, sf_dir):
     assert all(r["ci_low"] <= r["mean_delta"] <= r["ci_high"] for r in first.values())
 
 
+def test_registered_bootstraps_take_all_replicates(spark, sf_dir):
+    rows = catalogue.QUERIES["paired_bootstrap_portable"](spark, sf_dir).collect()
+    assert len(rows) == 15 and {r["replicates"] for r in rows} == {2_000}
+    ends = {(r["model_key"], r["scope"]): r for r in rows}
+    for r in catalogue.QUERIES["delta_error_bars"](spark, sf_dir).collect():
+        end = ends[r["model_key"], r["scope"]]
+        assert r["mean_delta"] - r["below"] == pytest.approx(end["ci_low"], abs=1e-8) and r["mean_delta"] + r["above"] == pytest.approx(end["ci_high"], abs=1e-8)
+
+
 def test_results_do_not_depend_on_partitions(spark, sf_dir):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:

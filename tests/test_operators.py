@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,23 @@ def test_paired_bootstrap_has_a_row_per_model_and_scope(spark):
     assert all(deltas[r["model_key"], r["scope"]] == pytest.approx(r["mean_delta"]) for r in out)
 
 
+def test_portable_bootstrap_as_brute_force(spark):
+    n = 9
+    value = {(m, i): ((i * k) % 5) / 4 for k, m in enumerate(("base", "a"), 1) for i in range(n)}
+    rows = [(m, f"d{i}", ("count", "index")[i % 2], "s", v) for (m, i), v in value.items()]
+    obs = spark.createDataFrame(rows, "model_key string, doc_hash string, family string, supercategory string, accuracy double")
+    intervals = E.bootstrap_portable(obs, "base")
+    bars = {r["scope"]: r for r in E.error_bars(E.paired_delta(obs, "base"), intervals).collect()}
+    got = {r["scope"]: r for r in intervals.collect()}
+    assert set(got) == {"overall", "count", "index"}
+    for scope, r in got.items():
+        d = [value["a", i] - value["base", i] for i in range(n) if scope in ("overall", ("count", "index")[i % 2])]
+        means = [np.mean([d[int(H.text_sha256(f"a:{scope}:{k}:{i}")[:15], 16) % len(d)] for i in range(len(d))]) for k in range(2_000)]
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert (r["ci_low"], r["ci_high"], r["replicates"]) == (pytest.approx(low), pytest.approx(high), 2_000)
+        assert (bars[scope]["below"], bars[scope]["above"]) == (pytest.approx(np.mean(d) - low), pytest.approx(high - np.mean(d)))
+
+
 def test_hashes(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "t string, k int")
     plain = H.text_sha256("a\nb\n")
