@@ -109,6 +109,26 @@ def test_nearest_odd_rows(spark):
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 5")).count() == 0
 
 
+def test_recall_outside_the_sample(spark, monkeypatch):
+    """Rows that only the scan can find: without it, all that is returned is of the sample."""
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 24)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    sample = {row[0] for row in df.orderBy(F.xxhash64("vec_id")).limit(400).collect()}
+    found = {}
+    for row in ann.search(df).collect():
+        found.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hits = []
+    for q, near in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += [i in near for i in np.lexsort((np.arange(3000), -s))[:20].tolist() if i not in sample]
+    assert len(found) == 150 and {len(near) for near in found.values()} == {20} and np.mean(hits) >= 0.9
+    monkeypatch.setattr(ann, "scan", lambda *a: [])
+    assert {row["vec_id"] for row in ann.search(df).collect()} <= sample
+
+
 def test_recall_of_lists_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
     monkeypatch.setattr(ann, "BATCH_QUERIES", 50)
