@@ -46,7 +46,7 @@ _NO_DIGIT = re.compile(r"[^0-9]+")
 
 _EMAIL_TEXT = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+)+", re.IGNORECASE)
 _PHONE_LOCAL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![\w-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,200}+(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+(?![A-Za-z0-9_])")
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")

@@ -272,6 +272,14 @@ def test_loose_candidates_are_judged_well(kind):
     assert y[called].mean() > 0.95 and called[y == 1].mean() > 0.8
 
 
+def test_long_keys_are_candidates():
+    r = random.Random(4)
+    for n in (200, 201, 256, 1024):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(n))
+        text = f'api key: "{key}" end'
+        assert pii.find(text, pii.default_models())[1] == [("secret", 10, 10 + n)]
+
+
 def test_base_spans_as_brute_force():
     from test_queries import base_spans
 
