@@ -481,3 +481,10 @@ def test_components_of_chains_and_stars(spark):
     got = {row["node"]: row["root"] for row in components.components(df, "x", "y").collect()}
     assert got == {i: find(i) for i in root}
     assert components.components(df.limit(0), "x", "y").count() == 0
+
+
+def test_components_converge_or_raise(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "x bigint, y bigint")
+    with pytest.raises(RuntimeError):
+        components.components(df, "x", "y", rounds=1)
+    assert {row["root"] for row in components.components(df, "x", "y").collect()} == {0}
