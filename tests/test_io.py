@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import integrity as I
+from ledgerlark.operators.scoring import Weights
 from ledgerlark.sinks import writers as K
 from ledgerlark.sources import config, readers as R
 from ledgerlark.streaming import metrics as stream
@@ -143,6 +144,25 @@ def test_stream_counts_nothing_twice(spark, tmp_path, sf_dir):
     assert stream.totals(spark, str(tmp_path / "sink")).agg(F.sum("n")).first()[0] == 110
 
 
+def test_stream_of_completions_has_metrics_of_each_batch(spark, tmp_path):
+    good, wrong = '<answer>{"k":1}</answer>', '<answer>{"k":2}</answer>'
+    batches = [[("a", good), ("a", f" {good} "), ("a", wrong), ("b", "")], [("a", good), ("b", good)]]
+    schema = "example_id string, completion string, task_family string, task_type string, target_json string, constraints_json string"
+    args = (spark, str(tmp_path / "src"), schema, str(tmp_path / "sink"), str(tmp_path / "state"))
+    for rows in batches:
+        df = spark.createDataFrame([(e, t, "count", "single_count", '{"k":1}', "[]") for e, t in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        stream.follow_completions(*args, weights=Weights(validity=0.0)).awaitTermination()
+    first, second = [r.asDict() for r in spark.read.parquet(str(tmp_path / "sink")).orderBy("batch").collect()]
+    totals = [1.05, 1.05, 0.05]
+    assert first == pytest.approx({
+        "batch": 0, "n": 4, "n_groups": 2, "mean_correctness": 0.5, "mean_format_reward": 0.75, "mean_validity": 0.0, "mean_total": sum(totals) / 4,
+        "failure_fraction": 0.25, "invalid_value_fraction": 0.0, "verifier_error_fraction": 0.0,
+        "duplicate_fraction": 0.25, "mean_variance": 2 / 9 / 2, "zero_variance_fraction": 0.5,
+    })
+    assert (second["batch"], second["n"], second["mean_correctness"], second["duplicate_fraction"], second["zero_variance_fraction"]) == (1, 2, 1.0, 0.0, 1.0)
+
+
 def test_json_log_appends(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "step int")
     K.append_json(df, str(tmp_path / "log"))
