@@ -281,7 +281,7 @@ def test_long_keys_are_candidates():
 
 
 def test_base_spans_as_brute_force():
-    from test_queries import base_spans
+    from test_llm_queries import base_spans
 
     r = random.Random(8)
     for _ in range(20_000):

@@ -36,14 +36,14 @@ def test_toxic_documents_go_and_others_stay(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
-    from test_operators import brute_groups
+    from test_llm_operators import brute_groups
 
     rows = [(r["doc_id"], r["text"]) for r in stages[1].orderBy("doc_id").collect()]
     assert ids(stages[2]) == sorted(d for d, _, c in brute_groups(rows) if c == d)
 
 
 def test_contaminated_documents_go(stages):
-    from test_operators import brute_windows
+    from test_llm_operators import brute_windows
 
     items = [tuple(r) for r in stages[0].sparkSession.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text").collect()]
     texts = {r["doc_id"]: r["text"] for r in stages[2].collect()}
