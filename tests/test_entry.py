@@ -26,6 +26,15 @@ def test_engine_stands_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
 
 
+def test_operators_that_fail_to_import_are_an_error(tmp_path):
+    shutil.copytree(ROOT / "ledgerlark", tmp_path / "ledgerlark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "ledgerlark" / "llm").mkdir()
+    (tmp_path / "ledgerlark" / "llm" / "registry.py").write_text("import no_such_module_at_all\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode and "no_such_module_at_all" in done.stderr
+
+
 def test_nothing_else_imports_them():
     for path in (ROOT / "ledgerlark").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:

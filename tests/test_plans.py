@@ -3,7 +3,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import RECORD, SYSTEM, record
+from records import RECORD, SYSTEM, record
 
 from ledgerlark.functions import text as X
 from ledgerlark.operators import evaluation as E
