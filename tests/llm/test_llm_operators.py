@@ -100,38 +100,41 @@ def test_weights_move_keys_only_in_their_subtrees(spark):
 
 
 def test_nearest_odd_rows(spark):
-    v = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0]), (1, [1.0, 0.0])]
-    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1)).withColumn("list", F.lit("x"))
+    v = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (3, [0.5, -0.5])]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in ("label", "list", "cls", "ids", "vec", "floor")})
     rows = ann.search(df, k=20).orderBy("query_id", "rank").collect()
     got = {q: [(r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q] for q in (0, 20)}
     assert got[0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.5), (4, 20, 0.0)]
-    assert [x[1] for x in got[20]] == [3, 0, 1, 2]
+    assert [x[1:] for x in got[20]] == [(3, 0.5), (0, 0.0), (1, 0.0), (2, 0.0)]
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 5")).count() == 0
+    with pytest.raises(ValueError):
+        ann.search(df.unionByName(df.where("vec_id = 0").withColumn("embedding", F.array(F.lit(1.0)))))
+
 
+def nearest(x, q, ids=None):
+    s = x @ x[q]
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:20].tolist()
 
-def test_recall_outside_the_sample(spark, monkeypatch):
-    """Rows that only the scan can find: without it, all that is returned is of the sample."""
-    monkeypatch.setattr(ann, "SAMPLE", 400)
+
+def test_every_row_comes_out_of_the_scan(spark, monkeypatch):
+    """With far more rows than the sample, most neighbours are outside it; without the scan there are none."""
+    monkeypatch.setattr(ann, "SAMPLE", 200)
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 24)).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    sample = {row[0] for row in df.orderBy(F.xxhash64("vec_id")).limit(400).collect()}
     found = {}
     for row in ann.search(df).collect():
         found.setdefault(row["query_id"], set()).add(row["vec_id"])
-    hits = []
-    for q, near in found.items():
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += [i in near for i in np.lexsort((np.arange(3000), -s))[:20].tolist() if i not in sample]
-    assert len(found) == 150 and {len(near) for near in found.values()} == {20} and np.mean(hits) >= 0.9
-    monkeypatch.setattr(ann, "scan", lambda *a: [])
-    assert {row["vec_id"] for row in ann.search(df).collect()} <= sample
+    assert len(found) == 150 and {len(near) for near in found.values()} == {20}
+    assert np.mean([len(near & set(nearest(x, q))) / 20 for q, near in found.items()]) >= 0.9
+    monkeypatch.setattr(ann, "scan", lambda *a: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
+    assert ann.search(df).count() == 0
 
 
-def test_recall_of_lists_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(ann, "BATCH_QUERIES", 50)
+def test_recall_of_lists_blocks_and_batches(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 16, "BATCH_QUERIES": 20, "FIRST_ROWS": 4, "NEXT_ROWS": 8, "A_LIST": 8}.items():
+        monkeypatch.setattr(ann, name, value)
     r = np.random.default_rng(0)
     x = np.concatenate([r.normal(size=(2000, 24)), np.repeat(r.normal(size=(10, 24)), 100, axis=0) + 0.05 * r.normal(size=(1000, 24))]) * r.uniform(0.5, 2, (3000, 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
@@ -141,14 +144,25 @@ def test_recall_of_lists_and_blocks(spark, monkeypatch):
         found.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
     hits = []
     for q, near in found.items():
-        s = x @ x[q]
-        s[q] = -np.inf
-        best = set(np.lexsort((np.arange(3000), -s))[:20].tolist())
-        hits.append(len(best & {n[1] for n in near}) / 20)
-        assert len(near) == 20 and all(abs(s[n[1]] - n[2]) < 1e-9 for n in near)
+        hits.append(len(set(nearest(x, q)) & {n[1] for n in near}) / 20)
+        assert len(near) == 20 and all(abs(x[n[1]] @ x[q] - n[2]) < 1e-9 for n in near)
     assert len(found) == 150 and np.mean(hits) >= 0.9
 
 
+def test_vectors_that_very_many_rows_share(spark, monkeypatch):
+    """A third of the rows have one vector: all scores tie, so the smallest ids win, over many blocks."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 8)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 8)).round(3)
+    x[300:600] = x[300] * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = ann.search(df).collect()
+    for q in range(300, 600, 20):
+        got = [v["vec_id"] for v in sorted((v for v in rows if v["query_id"] == q), key=lambda v: v["rank"])]
+        assert got == [i for i in range(300, 322) if i != q][:20]
+    assert len(rows) == 45 * 20
+
+
 # Licences
 
 
