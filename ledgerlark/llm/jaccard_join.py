@@ -14,8 +14,12 @@ Candidates from the signatures are verified on the whole sets: first the best hu
 then the other hubs, then all pairs of a signature that still lie in different components. Only
 links that can't change any component are left unverified, so the components are exact.
 
+Signatures that very many classes share are found in a part of the classes and left out before anything
+is shuffled; their segments then count as empty ones, and shingles as common come last in a prefix.
+
 Before whole sets are fetched, candidates are tested by sketches, whose distance is never over that
-of the sets. Shingles and classes are known by 64-bit hashes.
+of the sets. Shingles are known by 64-bit hashes that mix all bytes of their words, classes by 128-bit
+names; the numbers that stand for classes in signature rows may coincide, and are told apart.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, materialise
+from ledgerlark.llm.common import documents_of, materialise
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -42,6 +46,14 @@ ROWS_A_TASK = 2_000_000
 MOST_BROADCAST = 1_000_000
 #: Classes of one signature that are compared with each other in one task, about.
 BLOCK_MEMBERS = 4_096
+#: A signature of about so many classes or more is left out, the commonest ones up to a number that tasks
+#: can carry; one in so many classes is counted to find them.
+HOT = 16_384
+MOST_HOT = 1_000_000
+ONE_OF = 32
+#: Bits of the numbers of classes.
+NUMBER_BITS = 63
+NO_SIGNATURES = np.empty(0, np.uint64)
 #: Signatures that one of a single shingle counts as, as many unlike texts may share it.
 LONE = 14
 
@@ -55,49 +67,49 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 #: Bytes that are hashed at once, about; longer texts are cut at white space.
 PIECE = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
+#: Keys of the two hashes that every word and shingle gets.
+_KEYS = (np.uint64(0x8BB84B93962EACC9), np.uint64(0x2D358DCCAA6C78A5))
+#: Longer words are hashed one by one.
+_LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A random value for each byte, the same for both cases of A-Z, and none for white space.
-_VALUE = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
-_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
-_VALUE[_SPACE] = 0
-
+#: A-Z to a-z, every other byte as it is.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 
-class _Powers:
-    """Powers of the base and of its inverse, as many as texts have asked for."""
 
-    up = _powers(_BASE, PIECE)
-    down = _powers(pow(_BASE, -1, 1 << 64), PIECE)
-
-    @classmethod
-    def upto(cls, n: int) -> None:
-        if n > len(cls.up):
-            cls.up, cls.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-
-
-def _word_hashes(b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of ``b``, and its first byte. No word crosses the positions ``firsts``."""
+def _word_hashes(b: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word of ``b``, and its first byte. No word crosses the positions
+    ``firsts``. Each takes in eight bytes after another, mixing all bits in between."""
     if not len(b):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    _Powers.upto(len(b))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     blank = _SPACE[b]
     edge = np.zeros(len(b) + 1, bool)
     edge[firsts] = True
     edge[0] = edge[-1] = True
     starts = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | edge[:-1]))
     ends = np.flatnonzero(~blank & (np.r_[blank[1:], True] | edge[1:])) + 1
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUE[b] * _Powers.up[: len(b)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * _Powers.down[starts]), starts
+    low = np.concatenate([_LOWER[b], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(b) + 1, "<u8", low, strides=(1,))
+    sizes = ends - starts
+    one = _mixed(sizes.astype(np.uint64) * _MIX[3] ^ _KEYS[0])
+    two = _mixed(sizes.astype(np.uint64) * _MIX[4] ^ _KEYS[1])
+    short = sizes <= _LONG_WORD
+    left, at, step = (np.arange(len(sizes)), starts, sizes) if short.all() else (np.flatnonzero(short), starts[short], sizes[short])
+    while len(left):
+        lane = eight[at] & _FIRST[np.minimum(step, 8)]
+        one[left] = _mixed(one[left] ^ lane) + _KEYS[1]
+        two[left] = _mixed(two[left] + lane * _MIX[4]) ^ _KEYS[0]
+        more = step > 8
+        left, at, step = left[more], at[more] + 8, step[more] - 8
+    for i in np.flatnonzero(~short):
+        digest = xxhash.xxh3_128_digest(low[starts[i] : ends[i]].tobytes(), int(_KEYS[0]))
+        one[i], two[i] = np.frombuffer(digest, np.uint64)
+    return one, two, starts
 
 
 def _chained(words: np.ndarray, width: int) -> np.ndarray:
@@ -109,14 +121,23 @@ def _chained(words: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+def _summed(words: np.ndarray, width: int) -> np.ndarray:
+    """Another hash of each run of ``width`` words, from their second hashes."""
+    n = max(len(words) - width + 1, 0)
+    total, factor = np.full(n, width, np.uint64) * _MIX[3], _KEYS[1] | np.uint64(1)
+    for k in range(width):
+        total = total * factor + words[k : k + n]
+    return _mixed(total)
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def _long_text(b: np.ndarray) -> np.ndarray:
+def _long_text(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of one text of any length, piece by piece, each cut at white space."""
-    out, at = [], 0
+    one, two, at = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
     while at < len(b):
         past = min(at + PIECE, len(b))
         while past < len(b):
@@ -124,14 +145,17 @@ def _long_text(b: np.ndarray) -> np.ndarray:
                 past += int(found[0])
                 break
             past = min(past + PIECE, len(b))
-        out.append(_word_hashes(b[at:past], np.empty(0, np.int64))[0])
+        first, second, _ = _word_hashes(b[at:past], np.empty(0, np.int64))
+        one.append(first)
+        two.append(second)
         at = past
-    return np.concatenate([np.empty(0, np.uint64), *out])
+    return np.concatenate(one), np.concatenate(two)
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Sorted hashes of the distinct shingles of each text: words ``[^\\x20\\x09-\\x0D]+`` after
-    lower-casing A-Z; fewer than ``size`` words make one shingle, none make none; null has none."""
+def named_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """Sorted hashes of the distinct shingles of each text, and a 128-bit name of the set: words
+    ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than ``size`` words make one shingle; a text
+    without words, or null, has no shingle and no name. The name comes from both hashes of the shingles."""
     if texts.null_count:
         texts = texts.fill_null("")
     raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).cast(pa.large_binary())
@@ -142,29 +166,43 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
         past = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
         first, end = int(offsets[at]), int(offsets[past])
         if past == at + 1 and end - first > PIECE:
-            words, of = _long_text(data[first:end]), None
-            counts = np.array([len(words)])
+            (one, two), of = _long_text(data[first:end]), None
+            counts = np.array([len(one)])
         else:
             firsts = offsets[at:past] - first
-            words, starts = _word_hashes(data[first:end], firsts[firsts < end - first])
+            one, two, starts = _word_hashes(data[first:end], firsts[firsts < end - first])
             of = np.searchsorted(firsts, starts, side="right") - 1
             counts = np.bincount(of, minlength=past - at)
-        grams = _chained(words, size)
+        grams, others = _chained(one, size), _summed(two, size)
         if of is not None and len(grams):
-            grams = grams[of[: len(grams)] == of[size - 1 :]]
+            same = of[: len(grams)] == of[size - 1 :]
+            grams, others = grams[same], others[same]
         word, gram = 0, 0
         for n in counts:
             if n >= size:
-                yield _distinct(grams[gram : gram + n - size + 1])
+                yield _named(grams[gram : gram + n - size + 1], others[gram : gram + n - size + 1])
                 gram += n - size + 1
             elif n:
-                yield _chained(words[word : word + n], n)
+                yield _named(_chained(one[word : word + n], n), _summed(two[word : word + n], n))
             else:
-                yield np.empty(0, np.uint64)
+                yield np.empty(0, np.uint64), None
             word += n
         at = past
 
 
+def _named(tokens: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, bytes]:
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    fresh = np.r_[True, tokens[1:] != tokens[:-1]]
+    tokens = tokens[fresh]
+    return tokens, xxhash.xxh3_128_digest(tokens.tobytes() + others[order][fresh].sum().tobytes())
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sets of ``named_sets``."""
+    return (tokens for tokens, _ in named_sets(texts, size))
+
+
 def shingle_set(raw: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return next(shingle_sets(pa.array([raw], pa.binary()).cast(pa.string()), size))
 
@@ -242,12 +280,26 @@ def allocation(band: int) -> tuple[int, int, int]:
     return choice
 
 
-def signatures(tokens: np.ndarray) -> np.ndarray:
-    """Signatures of a set (sorted hashes of its shingles); two sets that link share one, if they differ."""
+def _in(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
+
+
+def _lone(tokens: np.ndarray) -> np.ndarray:
+    """Signatures of single shingles, by which common ones are known."""
+    return _mixed(tokens ^ _MIX[1])
+
+
+def signatures(tokens: np.ndarray, hot: np.ndarray = NO_SIGNATURES) -> np.ndarray:
+    """Signatures of a set (sorted hashes of its shingles); two sets that link share one, if they differ.
+
+    Signatures in ``hot`` (sorted) are left out, and their segments are as good as empty: two sets that
+    agree in one of them both have it, so the slack covers them too. Sets with more lost than that index
+    a prefix, in an order that puts common shingles last."""
     n, starts = len(tokens), bands()
     out = []
     if n < starts[0]:
-        return np.empty(0, np.uint64)
+        return NO_SIGNATURES
     band = int(np.searchsorted(starts, n, side="right")) - 1
     schemes = [band]
     if n * 100 // PERCENT >= starts[band + 1]:
@@ -264,54 +316,73 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
         present, sums = segment[firsts], np.add.reduceat(value, firsts)
         sizes = np.diff(np.r_[firsts, n])
         name = lambda sums, present: _mixed((sums ^ salt) + (present.astype(np.uint64) + np.uint64(1)) * _MIX[3])
-        out.append(name(sums, present))
-        lost = ones - np.count_nonzero(present >= twos)
+        found = name(sums, present)
+        spoilt = _in(found, hot)
+        out.append(found[~spoilt])
+        # Segments 0 to twos - 1 count 2: one whose single shingle is deleted is empty, and not indexed.
+        strong = (present < twos) & (sizes > 1)
         if twos:
-            # Segments 0 to twos - 1 count 2: one whose single shingle is deleted is empty, and not indexed.
-            strong = (present < twos) & (sizes > 1)
-            lost += 2 * (twos - np.count_nonzero(strong))
             less = np.flatnonzero(np.repeat(strong, sizes))
             at = np.repeat(np.arange(len(firsts)), sizes)[less]
-            out.append(name(sums[at] - value[less], present[at]))
+            found = name(sums[at] - value[less], present[at])
+            common = _in(found, hot)
+            out.append(found[~common])
+            spoilt[at[common]] = True
+        lost = ones - np.count_nonzero((present >= twos) & ~spoilt) + 2 * (twos - np.count_nonzero(strong & ~spoilt))
         if lost > slack:
-            prefix = tokens[: n - -(-n * PERCENT // 100) + 1]
+            common = _in(_lone(tokens), hot)
+            prefix = np.concatenate([tokens[~common], tokens[common]])[: n - -(-n * PERCENT // 100) + 1]
             out.append(_mixed(_mixed(prefix + salt) ^ _MIX[2]))
     return np.unique(np.concatenate(out))
 
 
-def _node(tokens: np.ndarray) -> int:
-    """Name of the class of texts with this set."""
-    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "little", signed=True)
+def _short(name: bytes, bits: int) -> int:
+    """The number by which a class goes in signature rows; classes with one number are told apart later."""
+    return int.from_bytes(name[:8], "little") % (1 << bits)
 
 
-def _sized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        sizes, nodes, sketches = [], [], []
-        for tokens in shingle_sets(batch):
-            sizes.append(len(tokens))
-            nodes.append(_node(tokens) if len(tokens) else None)
-            sketches.append(sketch(tokens) if len(tokens) else None)
-        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["n", "node", "sketch"])
+def _sized(bits: int):
+    """Size, name, number and sketch of the set of each text."""
 
+    def structs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes, names, nodes, sketches = [], [], [], []
+            for tokens, name in named_sets(batch):
+                sizes.append(len(tokens))
+                names.append(name)
+                nodes.append(None if name is None else _short(name, bits))
+                sketches.append(sketch(tokens) if len(tokens) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.StructArray.from_arrays(columns, names=["n", "name", "node", "sketch"])
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node) rows, once for each class that the partition holds."""
-    done: set[int] = set()
-    for batch in batches:
-        sigs, nodes, held = [], [], 0
-        for tokens in shingle_sets(batch.column(0)):
-            if not len(tokens) or (node := _node(tokens)) in done:
-                continue
-            done.add(node)
-            s = signatures(tokens)
-            sigs.append(s)
-            nodes.append((node, len(s)))
-            held += len(s)
-            if held >= 1 << 18:
+    return F.arrow_udf(structs, "struct<n:bigint,name:binary,node:bigint,sketch:binary>")
+
+
+def _signed(hot: np.ndarray, bits: int, one_of: int = 0):
+    """(sig, node) rows, once for each class that the partition holds; with ``one_of``, of one in so many
+    classes, and with its single shingles."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
+        for batch in batches:
+            sigs, nodes, held = [], [], 0
+            for tokens, name in named_sets(batch.column(0)):
+                if name is None or name in done or one_of and name[8] % one_of:
+                    continue
+                done.add(name)
+                s = signatures(tokens, hot)
+                if one_of:
+                    s = np.concatenate([s, _lone(tokens)])
+                sigs.append(s)
+                nodes.append((_short(name, bits), len(s)))
+                held += len(s)
+                if held >= 1 << 18:
+                    yield _rows(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
+            if held:
                 yield _rows(sigs, nodes)
-                sigs, nodes, held = [], [], 0
-        if held:
-            yield _rows(sigs, nodes)
+
+    return rows
 
 
 def _rows(sigs: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -319,6 +390,15 @@ def _rows(sigs: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(ids, counts))], names=["sig", "node"])
 
 
+def hot_signatures(docs: DataFrame) -> np.ndarray:
+    """Signatures, and single shingles, that about HOT classes share, or more, by the count in one of
+    ONE_OF classes. They travel with tasks, so only the commonest MOST_HOT are left out."""
+    rows = docs.select("text").mapInArrow(_signed(NO_SIGNATURES, NUMBER_BITS, ONE_OF), "sig bigint, node bigint")
+    counts = rows.distinct().groupBy("sig").count().where(F.col("count") >= max(2, HOT // ONE_OF))
+    found = counts.orderBy(F.desc("count"), "sig").limit(MOST_HOT).select("sig").toArrow()
+    return np.sort(found.column("sig").to_numpy().view(np.uint64))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the signatures that several classes share, with the smallest class as hub. A partition
     holds all rows of its signatures."""
@@ -374,17 +454,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _of_class(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, nodes in batches:
-        yield pa.array([bool(len(s)) and _node(s) == n for s, n in zip(shingle_sets(texts), nodes.to_pylist(), strict=True)], pa.bool_())
+    for texts, wanted in batches:
+        yield pa.array([name is not None and name == w for (_, name), w in zip(named_sets(texts), wanted.to_pylist(), strict=True)], pa.bool_())
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text of each class in ``nodes``, written to the shared folder."""
-    wanted = materialise(classes.join(nodes.distinct(), "node").select("node", F.col("least").alias("__id")))
+    wanted = materialise(classes.join(nodes.distinct(), "node").select("node", "name", F.col("least").alias("__id")))
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     # An id may have several rows, or be null: the set of a text tells whether it is of the class.
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id"))).where(F.arrow_udf(_of_class, "boolean")(F.col("text"), F.col("node")))
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id"))).where(F.arrow_udf(_of_class, "boolean")(F.col("text"), F.col("name")))
     return materialise(found.groupBy("node").agg(F.min("text").alias("text")))
 
 
@@ -455,20 +535,31 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     each returned. Other columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    bound_batches(documents)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = "struct<n:bigint,node:bigint,sketch:binary>"
-    sized = docs.select("doc_id", F.arrow_udf(_sized, kind)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.node", "s.sketch")
+    sized = docs.select("doc_id", _sized(NUMBER_BITS)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.name", "s.node", "s.sketch")
     sized = materialise(sized)
     total = sized.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) * 6 // (10 * ROWS_A_TASK)))
 
-    signed = docs.select("text").mapInArrow(_signed, "sig bigint, node bigint")
+    signed = docs.select("text").mapInArrow(_signed(hot_signatures(docs), NUMBER_BITS), "sig bigint, node bigint")
     shared = materialise(signed.repartition(tasks, "sig").mapInArrow(_shared, "sig bigint, node bigint, hub bigint"))
     # One row a class, copies combined before they are shuffled.
-    whole = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    whole = sized.where("node is not null").groupBy("name").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("node").alias("node"))
     whole = materialise(whole)
-    least = whole.select("node", "least")
+    # Classes that share their number with one of a smaller name get numbers of their own, which are
+    # hashes of the name; where one is taken already, the join can't go on.
+    twins = whole.join(whole.groupBy("node").agg(F.min("name").alias("_first"), F.count("*").alias("c")).where("c > 1"), "node").where("name <> _first")
+    twins = materialise(twins.select("name", F.col("node").alias("_node"), F.xxhash64("name", "node").alias("_own")))
+    if not twins.isEmpty():
+        rename = lambda df: df.join(twins.select("name", "_own"), "name", "left").withColumn("node", F.coalesce("_own", "node")).drop("_own")
+        whole, sized = materialise(rename(whole)), materialise(rename(sized))
+        if not whole.groupBy("node").count().where("count > 1").isEmpty():
+            raise RuntimeError("several classes have one number")
+        others = shared.join(twins.select(F.col("_node").alias("node"), "_own"), "node").select("sig", F.col("_own").alias("node"), "hub")
+        # What only classes of one number share was taken for one class: they are put under a signature.
+        among = twins.select("_node", F.explode(F.array("_node", "_own")).alias("node")).distinct().select(F.col("_node").alias("sig"), "node", F.col("_node").alias("hub"))
+        shared = materialise(shared.unionByName(others).unionByName(among))
+    least = whole.select("node", "name", "least")
     classes = materialise(whole.join(shared.select("node").distinct(), "node", "left_semi"))
 
     # Pairs of a class and a hub that sizes and sketches leave open; most shared signatures first.
@@ -521,13 +612,13 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("node", "root").join(names, "root").select("node", "root", F.col("component_id").alias("_linked"))
     named = least.join(named, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("group_id"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id")
+        "node", F.hex("name").alias("class_id"), F.coalesce("root", "node").alias("group_id"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_linked")).alias("component_id")
     )
     # Written first, so that the last join has two plain sides and can split a class with very many rows.
     named = materialise(named)
     return sized.select("doc_id", "n", "node").join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("node").alias("class_id"), "group_id",
+        "class_id", "group_id",
     )
 
 
@@ -550,13 +641,12 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         return kept
     ids = doubled.select(F.col("doc_id").alias("__id"))
     single = kept.join(ids, kept[doc_id].eqNullSafe(F.col("__id")), "left_anti")
-    kind = "struct<n:bigint,node:bigint,sketch:binary>"
     rows = documents.join(ids, documents[doc_id].eqNullSafe(F.col("__id")), "left_semi")
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("__id"), F.arrow_udf(_sized, kind)(F.col(text))["node"].alias("_node"))
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("__id"), F.hex(_sized(NUMBER_BITS)(F.col(text))["name"]).alias("_name"))
     names = linked.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), "group_id", "component_id").distinct()
-    found = rows.join(names, F.col("__id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_c")), "left")
-    empty = found.where("_node is null").select("r.*")
-    one = found.where("_node is not null and __id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
+    found = rows.join(names, F.col("__id").eqNullSafe(F.col("_d")) & (F.col("_name") == F.col("_c")), "left")
+    empty = found.where("_name is null").select("r.*")
+    one = found.where("_name is not null and __id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
     return single.unionByName(empty).unionByName(one.select("r.*"))
 
 

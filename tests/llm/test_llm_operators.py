@@ -426,18 +426,56 @@ def near_copies(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_as_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,bits,hot", [(1, 63, False), (2, 63, True), (3, 4, False)])
+def test_groups_as_brute_force(spark, seed, bits, hot, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
+    # Numbers of few bits, so that very many classes share one.
+    monkeypatch.setattr(jaccard_join, "NUMBER_BITS", bits)
+    if hot:
+        monkeypatch.setattr(jaccard_join, "HOT", 3)
+        monkeypatch.setattr(jaccard_join, "ONE_OF", 1)
     texts = near_copies(seed, 120)
     ids = list(range(100, 100 + len(texts)))
     ids[12] = ids[15] = ids[30]
     ids[40] = ids[44] = None
     df = frame(spark, texts, ids)
+    if hot:
+        assert len(jaccard_join.hot_signatures(df.select("doc_id", "text"))) > 10
     got = jaccard_join.similar_groups(df).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_groups(list(zip(ids, texts, strict=True)))))
 
 
+def thue_morse(k):
+    t = "a"
+    while len(t) < k:
+        t += t.translate({97: 98, 98: 97})
+    return t
+
+
+@pytest.mark.parametrize("n", [8, 256, 1024, 4096])
+def test_words_that_differ_have_different_hashes(spark, n):
+    """A word of two letters and its complement, which a polynomial modulo a power of two takes for one."""
+    t = thue_morse(n)
+    other = t.translate({97: 98, 98: 97})
+    assert jaccard_join.shingle_set(t.encode()).tolist() != jaccard_join.shingle_set(other.encode()).tolist()
+    df = spark.createDataFrame([(1, t), (2, other), (3, t.upper())], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_take_in_every_byte():
+    """Words that differ in one byte, at any place, or in their length only."""
+    words = {bytes([97] * n) for n in range(1, 40)}
+    words |= {bytes([97] * i + [c] + [97] * (n - i - 1)) for n in (1, 7, 8, 9, 16, 23, 300) for i in range(n) for c in (98, 122, 195)}
+    words = sorted(words)
+    raw = b" ".join(words)
+    one, two, starts = jaccard_join._word_hashes(np.frombuffer(raw, np.uint8), np.empty(0, np.int64))
+    assert len(starts) == len(words) and len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+    # Neither hash tells the other, and bits are even.
+    for h in (one, two, one ^ two):
+        share = np.unpackbits(h.view(np.uint8)).reshape(len(h), 64).mean(axis=0)
+        assert 0.4 < share.min() and share.max() < 0.6
+
+
 def test_one_of_each_group_stays(spark):
     texts = near_copies(5, 80)
     ids = list(range(len(texts)))
@@ -454,7 +492,7 @@ def test_one_of_each_group_stays(spark):
 def test_signatures_miss_no_link():
     r = np.random.default_rng(0)
     checked = 0
-    for _ in range(6000):
+    for _ in range(4000):
         n = int(r.integers(1, r.choice([6, 12, 30, 200, 900])))
         a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
         b = np.delete(a, r.choice(len(a), min(int(r.integers(0, len(a) // 5 + 2)), len(a)), replace=False))
@@ -462,9 +500,14 @@ def test_signatures_miss_no_link():
         if not len(b) or np.array_equal(a, b) or not jaccard_join.linked(len(a), len(b), len(np.intersect1d(a, b))):
             continue
         checked += 1
-        assert len(np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b)))
+        both = np.intersect1d(jaccard_join.signatures(a), jaccard_join.signatures(b))
+        assert len(both)
+        # Without some of what they share, or all of it and common shingles, they still share others.
+        lone = jaccard_join._lone(np.intersect1d(a, b))
+        for hot in (both[:3], both[::2], both, np.union1d(both, lone[: len(lone) // 2])):
+            assert len(np.intersect1d(jaccard_join.signatures(a, hot), jaccard_join.signatures(b, hot)))
         assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b)) <= jaccard_join.distance(len(a), len(b))
-    assert checked > 1000
+    assert checked > 700
     assert any(jaccard_join.allocation(k)[1] for k in range(5))
 
 
