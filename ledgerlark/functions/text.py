@@ -21,8 +21,8 @@ def task_family(task_type: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without leading and trailing white space of any kind (``trim`` takes blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without leading and trailing white space of any kind, as Python knows it (``trim`` takes blanks only)."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def payload(text: Column) -> Column:

@@ -137,7 +137,3 @@ def single_runs(runs: DataFrame, models: Sequence[str]) -> dict[str, str]:
 def key_values(text: Column, pair: str = "\n", separator: str = "=") -> Column:
     """Map of the ``key=value`` lines of a record."""
     return F.str_to_map(text, F.lit(pair), F.lit(separator))
-
-
-def message_text(message: Column) -> Column:
-    return F.coalesce(message["content"], F.lit(""))
