@@ -56,10 +56,12 @@ pairs AS (SELECT c.model_key, c.doc_hash, b.family, c.accuracy - b.accuracy AS d
           WHERE c.model_key <> 'baseline' AND b.model_key = 'baseline'),
 scoped AS (SELECT model_key, doc_hash, delta, 'overall' AS scope FROM pairs UNION ALL SELECT model_key, doc_hash, delta, family FROM pairs)"""
 _DELTA = "SELECT model_key, scope, round(avg(delta), 9) AS mean_delta, count(*) AS n FROM scoped GROUP BY ALL"
-_BOOT = f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY model_key, scope ORDER BY doc_hash) - 1 AS i, count(*) OVER (PARTITION BY model_key, scope) AS n FROM scoped),
-draws AS (SELECT model_key, scope, r, CAST(concat('0x', substr(sha256(concat_ws(':', model_key, scope, r, i)), 1, 15)) AS BIGINT) % n AS i
-          FROM ranked, (SELECT unnest(range({REPLICATES})) AS r)),
-means AS (SELECT model_key, scope, r, avg(delta) AS m FROM draws JOIN (SELECT model_key, scope, i, delta FROM ranked) USING (model_key, scope, i) GROUP BY ALL),
+_WEIGHT = "CASE " + " ".join(f"WHEN u < {cut} THEN {k}" for k, cut in enumerate(E.poisson_cuts())) + f" ELSE {len(E.poisson_cuts())} END"
+_BOOT = f""", blocks AS (SELECT model_key, scope, delta, b, sha256(concat_ws(':', model_key, scope, doc_hash, b)) AS h
+           FROM scoped, (SELECT unnest(range({-(-REPLICATES // E.DRAWS)})) AS b)),
+draws AS (SELECT model_key, scope, delta, {E.DRAWS} * b + j AS r, CAST(concat('0x', substr(h, 4 * j + 1, 4)) AS INTEGER) AS u
+          FROM blocks, (SELECT CAST(unnest(range({E.DRAWS})) AS INTEGER) AS j)),
+means AS (SELECT model_key, scope, r, sum(w * delta) / nullif(sum(w), 0) AS m FROM (SELECT *, {_WEIGHT} AS w FROM draws WHERE r < {REPLICATES}) GROUP BY ALL),
 ci AS (SELECT model_key, scope, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, count(*) AS replicates FROM means GROUP BY ALL)"""
 
 
@@ -107,10 +109,16 @@ def paired_key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.key_mismatch(W.table(spark, sf_dir, "documents"), W.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"""WITH {W.OBS_SQL} SELECT c.model_key, c.doc_hash FROM obs c JOIN obs b ON c.doc_hash = b.doc_hash AND b.model_key = 'baseline'
+@query(f"""WITH {W.OBS_SQL}, o AS (SELECT model_key, doc_hash, accuracy,
+ CASE WHEN model_key = 'cand_c' AND doc_hash LIKE '0%' THEN 'moved' ELSE family END AS family, CASE WHEN model_key = 'cand_a' AND doc_hash LIKE '1%' THEN NULL ELSE supercategory END AS supercategory FROM obs)
+SELECT c.model_key, c.doc_hash FROM o c JOIN o b ON c.doc_hash = b.doc_hash AND b.model_key = 'baseline'
 WHERE c.model_key <> 'baseline' AND (c.family IS DISTINCT FROM b.family OR c.supercategory IS DISTINCT FROM b.supercategory)""")
 def inconsistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.inconsistent_pairs(E.paired(W.observations(spark, sf_dir), W.BASELINE)).select("model_key", "doc_hash")
+    obs = W.observations(spark, sf_dir)
+    first = F.substring("doc_hash", 1, 1)
+    obs = obs.withColumn("family", F.when((F.col("model_key") == "cand_c") & (first == "0"), "moved").otherwise(F.col("family")))
+    obs = obs.withColumn("supercategory", F.when(~((F.col("model_key") == "cand_a") & (first == "1")), F.col("supercategory")))
+    return E.inconsistent_pairs(E.paired(obs, W.BASELINE)).select("model_key", "doc_hash")
 
 
 @query(f"""WITH {W.OBS_SQL} SELECT model_key, CASE model_key WHEN 'cand_c' THEN 1 WHEN 'baseline' THEN 2 ELSE 3 END AS position,
@@ -120,10 +128,26 @@ def registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.in_registry_order(means, ("cand_c", "baseline", "cand_a")), "avg_accuracy").withColumn("position", F.col("position").cast("int"))
 
 
-@query(f"WITH {W.OBS_SQL} SELECT model_key, family, count(*) AS n FROM obs WHERE family NOT IN ('count', 'index', 'constraint') GROUP BY ALL")
+@query(f"""WITH {W.OBS_SQL}, o AS (SELECT model_key, doc_hash, CASE substr(doc_hash, 1, 1) WHEN '0' THEN accuracy + 0.5e0 WHEN '1' THEN NULL WHEN '2' THEN 'nan'::DOUBLE ELSE accuracy END AS accuracy,
+ CASE family WHEN 'de' THEN 'count' WHEN 'en' THEN 'index' WHEN 'es' THEN 'constraint' ELSE family END AS family, CASE substr(doc_hash, 2, 1) WHEN '0' THEN '' WHEN '1' THEN 'unknown' WHEN '2' THEN 'None' ELSE supercategory END AS supercategory FROM obs),
+b AS (SELECT model_key, concat_ws(',', CASE WHEN NOT coalesce(accuracy BETWEEN 0 AND 1 AND NOT isnan(accuracy), false) THEN 'accuracy' END,
+ CASE WHEN NOT coalesce(family IN ('count', 'index', 'constraint'), false) THEN 'family' END, CASE WHEN coalesce(supercategory, '') IN ('', 'unknown') THEN 'supercategory' END) AS reasons FROM o)
+SELECT model_key, reasons, count(*) AS n FROM b WHERE reasons <> '' GROUP BY ALL""")
 def bad_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = E.bad_observations(W.observations(spark, sf_dir)).where(F.array_contains("reasons", "family"))
-    return bad.groupBy("model_key", "family").agg(F.count("*").alias("n"))
+    obs, first, second = W.observations(spark, sf_dir), F.substring("doc_hash", 1, 1), F.substring("doc_hash", 2, 1)
+    accuracy = F.when(first == "0", F.col("accuracy") + 0.5).when(first == "1", None).when(first == "2", F.lit(float("nan"))).otherwise(F.col("accuracy"))
+    family = F.when(F.col("family") == "de", "count").when(F.col("family") == "en", "index").when(F.col("family") == "es", "constraint").otherwise(F.col("family"))
+    supercategory = F.when(second == "0", "").when(second == "1", "unknown").when(second == "2", "None").otherwise(F.col("supercategory"))
+    bad = E.bad_observations(obs.withColumns({"accuracy": accuracy, "family": family, "supercategory": supercategory}))
+    return bad.groupBy("model_key", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k": null}' WHEN 1 THEN '{}' WHEN 2 THEN '{"k": "x y"}' ELSE props END AS props FROM events)
+SELECT CASE WHEN json_type(props, '$.k') IS NULL THEN 'unknown' WHEN json_type(props, '$.k') = 'NULL' THEN 'None' ELSE json_extract_string(props, '$.k') END AS k, count(*) AS n FROM p GROUP BY ALL""")
+def missing_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key that is missing has its default; one with JSON null is told as the text that stands for it."""
+    props = F.when(F.pmod("event_id", F.lit(4)) == 0, '{"k": null}').when(F.pmod("event_id", F.lit(4)) == 1, "{}").when(F.pmod("event_id", F.lit(4)) == 2, '{"k": "x y"}').otherwise(F.col("props"))
+    return W.table(spark, sf_dir, "events").groupBy(X.given(props, "k", "unknown").alias("k")).agg(F.count("*").alias("n"))
 
 
 # Completions
@@ -268,10 +292,12 @@ def key_set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 24) AS pool_id, true AS holds FROM documents")
+@query("""SELECT doc_id FROM (SELECT doc_id, text, substr(sha256(CASE WHEN doc_id % 7 = 3 THEN concat(text, '.') ELSE text END), 1, CAST(20 + doc_id % 5 AS INT)) AS claimed FROM documents)
+WHERE claimed <> substr(sha256(text), 1, length(claimed))""")
 def identity_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.pool(spark, sf_dir)
-    return rows.select("doc_id", "pool_id", (H.prefix_id(F.col("text")) == F.col("pool_id")).alias("holds"))
+    """Documents whose claimed identity, 20 to 24 digits, isn't that of their text."""
+    claimed = F.expr("left(sha2(CASE WHEN doc_id % 7 = 3 THEN concat(text, '.') ELSE text END, 256), CAST(20 + doc_id % 5 AS INT))")
+    return I.identity_mismatch(W.table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), claimed).select("doc_id")
 
 
 @query("SELECT source, lang, count(*) AS n, count_if(" + " OR ".join(f"contains(lower(text), '{t}')" for t in DENIED) + ") AS denied FROM documents GROUP BY ALL")

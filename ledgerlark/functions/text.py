@@ -87,4 +87,20 @@ def key_values(entries: Column) -> Column:
 
 
 def is_sha256(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^[0-9a-f]{64}$"), F.lit(False))
+    return is_named(text, SHA256)
+
+
+def given(json: Column, key: str, default: str, null: str = "None") -> Column:
+    """Text of a top-level value of a JSON object: ``default`` where the key is missing, ``null`` where the
+    value is JSON null."""
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    return F.when(value.isNull(), default).when(F.is_variant_null(value), null).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+# Fixed formats of identifiers.
+SHA256, COMMIT, CHECKPOINT, RUN = r"[0-9a-f]{64}", r"[0-9a-f]{40}", r"checkpoint-[0-9]+", r"[A-Za-z0-9][A-Za-z0-9._-]*"
+
+
+def is_named(text: Column, pattern: str) -> Column:
+    """Whether a text is as a whole what a pattern tells; null is not."""
+    return F.coalesce(text.rlike(rf"^(?:{pattern})\z"), F.lit(False))

@@ -15,6 +15,8 @@ from ledgerlark.functions.hashing import hash_draw
 
 #: Seeds of families are so far apart.
 FAMILY_STRIDE = 1009
+#: Rows of an epoch that are put in order together, about.
+PLACED = 200_000
 
 
 class ShortfallError(RuntimeError):
@@ -60,8 +62,15 @@ def epoch_specs(pool: DataFrame, attempts: int, *, key: str, seed: str, loads: t
         return pool.sparkSession.createDataFrame([], f"attempt bigint, epoch bigint, {key} string, load bigint, question_seed bigint")
     epochs = -(-attempts // n)
     rows = pool.select(F.col(key).cast("string").alias(key)).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(hash_draw(F.concat_ws(":", F.lit(seed), "epoch", key)), key))
-    rows = rows.withColumn("attempt", F.col("epoch") * n + place - 1).where(F.col("attempt") < attempts)
+    rows = rows.withColumn("place", hash_draw(F.concat_ws(":", F.lit(seed), "epoch", key)))
+    # Hashes are spread evenly, so equal ranges of them hold about PLACED rows each; a range is sorted by
+    # itself, behind the rows of the ranges before it.
+    ranges = max(1, n // PLACED)
+    rows = rows.withColumn("range", F.expr(f"place DIV {-(-(16**15) // ranges)}L"))
+    before = F.sum("count").over(Window.partitionBy("epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("epoch", "range").count().select("epoch", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("epoch", "range").orderBy("place", key))
+    rows = rows.join(counts, ["epoch", "range"]).withColumn("attempt", F.col("epoch") * n + F.col("before") + within - 1).where(F.col("attempt") < attempts)
     low, high = loads
     draw = lambda what: hash_draw(F.concat_ws(":", F.lit(seed), F.lit(what), "attempt"))
     return rows.select("attempt", "epoch", key, (draw("load") % (high - low + 1) + low).alias("load"), draw("seed").alias("question_seed"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.text import FAMILIES, in_domain
@@ -16,8 +17,6 @@ from ledgerlark.functions.text import FAMILIES, in_domain
 OVERALL = "overall"
 REPLICATES = 2_000
 CHUNK = 200
-#: Replicates of the portable bootstrap in one row of work.
-BLOCK = 50
 SEED_PREFIX = "paired-bootstrap-v1"
 
 
@@ -57,10 +56,16 @@ def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def paired(obs: DataFrame, baseline: str) -> DataFrame:
-    """Every other model's observations beside the baseline's of the same document: a shuffle on the
-    document, which both sides share."""
-    base = obs.where(F.col("model_key") == baseline).select("doc_hash", F.col("accuracy").alias("base"), F.col("family").alias("base_family"), F.col("supercategory").alias("base_supercategory"))
-    return obs.where(F.col("model_key") != baseline).join(base, "doc_hash")
+    """Every other model's observations beside the baseline's of the same document. The observations are
+    read and shuffled once, on the document, of which each model has a few rows at most."""
+    row = F.struct("model_key", "accuracy", "family", "supercategory")
+    held = obs.where("doc_hash is not null and model_key is not null").groupBy("doc_hash").agg(F.collect_list(row).alias("rows"))
+    is_base = lambda r: r["model_key"] == baseline
+    sides = held.select("doc_hash", F.filter("rows", is_base).alias("bases"), F.explode(F.filter("rows", lambda r: ~is_base(r))).alias("c"))
+    both = sides.select("doc_hash", "c", F.explode("bases").alias("b"))
+    return both.select(
+        "doc_hash", "c.*", F.col("b.accuracy").alias("base"), F.col("b.family").alias("base_family"), F.col("b.supercategory").alias("base_supercategory")
+    )
 
 
 def inconsistent_pairs(pairs: DataFrame) -> DataFrame:
@@ -102,51 +107,58 @@ def bootstrap_exact(obs: DataFrame, baseline: str, replicates: int = REPLICATES)
     return rows.groupBy("model_key", "scope").applyInPandas(interval, "model_key string, scope string, mean_delta double, ci_low double, ci_high double, n bigint, seed string")
 
 
+def poisson_cuts(uniform: int = 1 << 16) -> list[int]:
+    """From how many of ``uniform`` equally likely draws on a Poisson variable of mean 1 exceeds 0, 1, and
+    so on."""
+    chance = below = math.exp(-1)
+    cuts, k = [], 0
+    while (cut := int(uniform * below)) < uniform - 1:
+        cuts.append(cut)
+        k += 1
+        chance /= k
+        below += chance
+    return cuts
+
+
+#: Draws of one SHA-256: each takes four hex digits.
+DRAWS = 16
+
+
 def bootstrap_portable(obs: DataFrame, baseline: str, replicates: int = REPLICATES) -> DataFrame:
-    """The same statistic with draws hashed from model, scope, replicate and position: any SQL engine
+    """Bootstrap intervals with weights instead of draws: in a replicate a document counts as often as a
+    Poisson variable of mean 1 says, hashed from model, scope, document and replicate, so any SQL engine
     gives the same intervals.
 
-    The deltas of a scope travel as one array, eight bytes a document, to tasks of ``BLOCK``
-    replicates each; a replicate costs one hash a document, so draws, not memory, bound the size.
-    """
+    Weighted sums of all replicates are added up where the pairs are, and a task sends one row for each
+    model, scope and replicate, however many documents there are."""
+    cuts = np.array(poisson_cuts())
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = -(-replicates // DRAWS)
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        tails = [b":%d" % b for b in range(blocks)]
         for batch in batches:
-            for model, scope, first, deltas in zip(*(batch.column(c) for c in ("model_key", "scope", "first", "deltas")), strict=True):
-                values, first = deltas.values, first.as_py()
-                told = values.is_valid().to_numpy(zero_copy_only=False)
-                bases = [hashlib.sha256(f"{model}:{scope}:{r}:".encode()) for r in range(first, min(first + BLOCK, replicates))]
-                means = _drawn_means(bases, values.fill_null(0.0).to_numpy(), told)
-                yield pa.RecordBatch.from_pydict({"model_key": [model.as_py()] * len(means), "scope": [scope.as_py()] * len(means), "m": pa.array(means, pa.float64())})
-
-    rows = scoped(paired(obs, baseline)).where("scope is not null").groupBy("model_key", "scope")
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("doc_hash", "delta"))).alias("x"))
-    blocks = ordered.select("model_key", "scope", F.col("x.delta").alias("deltas"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK))).alias("first"))
-    # Blocks are few and dear: by size, adaptive execution would put them into one task.
-    dealt = blocks.repartition(8 * obs.sparkSession.sparkContext.defaultParallelism, "model_key", "scope", "first")
-    means = dealt.mapInArrow(drawn, "model_key string, scope string, m double")
+            for model, scope, doc, delta in zip(*(batch.column(c).to_pylist() for c in ("model_key", "scope", "doc_hash", "delta")), strict=True):
+                base, raw = hashlib.sha256(f"{model}:{scope}:{doc}".encode()), []
+                for tail in tails:
+                    h = base.copy()
+                    h.update(tail)
+                    raw.append(h.digest())
+                weights = np.searchsorted(cuts, np.frombuffer(b"".join(raw), ">u2"), side="right")[:replicates]
+                held = sums.setdefault((model, scope), np.zeros((2, replicates)))
+                held[0] += weights * delta
+                held[1] += weights
+        for (model, scope), (total, weight) in sums.items():
+            columns = {"model_key": [model] * replicates, "scope": [scope] * replicates, "r": np.arange(replicates), "total": total, "weight": weight}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    rows = scoped(paired(obs, baseline)).where("scope is not null and delta is not null").select("model_key", "scope", "doc_hash", "delta")
+    sums = rows.mapInArrow(summed, "model_key string, scope string, r bigint, total double, weight double")
+    means = sums.groupBy("model_key", "scope", "r").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
     ends = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return means.groupBy("model_key", "scope").agg(ends[0].alias("ci_low"), ends[1].alias("ci_high"), F.count("*").alias("replicates"))
 
 
-def _drawn_means(bases: list, deltas: np.ndarray, told: np.ndarray) -> list[float | None]:
-    """Means of the deltas at the hashed positions, as ``hash_draw`` gives them, one for each base (the
-    hash of all of a key but its position, copied for each draw); deltas that are null don't count."""
-    n, totals, counts = len(deltas), [0.0] * len(bases), [0] * len(bases)
-    for at in range(0, n, 65_536):
-        positions = [b"%d" % i for i in range(at, min(at + 65_536, n))]
-        for k, base in enumerate(bases):
-            copy, raw = base.copy, []
-            for position in positions:
-                h = copy()
-                h.update(position)
-                raw.append(h.digest())
-            drawn = ((np.frombuffer(b"".join(raw), ">u8")[::4] >> np.uint64(4)) % np.uint64(n)).astype(np.int64)
-            totals[k] += float(deltas[drawn].sum())
-            counts[k] += int(told[drawn].sum())
-    return [t / c if c else None for t, c in zip(totals, counts, strict=True)]
-
-
 def error_bars(deltas: DataFrame, intervals: DataFrame) -> DataFrame:
     """Lengths of the error bars below and above each mean delta."""
     both = deltas.join(intervals.select("model_key", "scope", "ci_low", "ci_high"), ["model_key", "scope"])
@@ -158,6 +170,13 @@ def family_pivot(obs: DataFrame, families: Sequence[str]) -> DataFrame:
     return obs.groupBy("model_key").pivot("family", list(families)).agg(F.avg("accuracy"))
 
 
+def require_models(df: DataFrame, models: Sequence[str], key: str = "model_key") -> None:
+    """Raise unless the models of a table are just those of the registry (a few names come to the driver)."""
+    found = {r[0] for r in df.select(key).distinct().limit(len(models) + 10).collect()}
+    if found != set(models):
+        raise EvaluationError(f"missing {sorted(set(models) - found)}, extra {sorted(map(str, found - set(models)))}")
+
+
 def in_registry_order(df: DataFrame, models: Sequence[str], key: str = "model_key") -> DataFrame:
     """Add the position of the model in the registry; models that it doesn't list go."""
     at = F.array_position(F.array(*[F.lit(m) for m in models]), F.col(key))

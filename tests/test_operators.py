@@ -104,12 +104,47 @@ def test_portable_bootstrap_as_brute_force(spark):
     assert set(got) == {"overall", "count", "index"}
     for scope, r in got.items():
         d = [value["a", i] - value["base", i] for i in range(n) if scope in ("overall", ("count", "index")[i % 2])]
-        means = [np.mean([d[int(H.text_sha256(f"a:{scope}:{k}:{i}")[:15], 16) % len(d)] for i in range(len(d))]) for k in range(2_000)]
+        docs = [f"d{i}" for i in range(n) if scope in ("overall", ("count", "index")[i % 2])]
+        means = []
+        for k in range(2_000):
+            draws = [int(H.text_sha256(f"a:{scope}:{doc}:{k // 16}")[k % 16 * 4 :][:4], 16) for doc in docs]
+            weights = [sum(u >= c for c in E.poisson_cuts()) for u in draws]
+            if sum(weights):
+                means.append(np.average(d, weights=weights))
         low, high = np.quantile(means, [0.025, 0.975])
         assert (r["ci_low"], r["ci_high"], r["replicates"]) == (pytest.approx(low), pytest.approx(high), 2_000)
         assert (bars[scope]["below"], bars[scope]["above"]) == (pytest.approx(np.mean(d) - low), pytest.approx(high - np.mean(d)))
 
 
+def test_poisson_weights():
+    cuts = E.poisson_cuts()
+    shares = np.diff([0, *cuts, 1 << 16]) / (1 << 16)
+    assert np.allclose(shares[:4], [np.exp(-1), np.exp(-1), np.exp(-1) / 2, np.exp(-1) / 6], atol=2e-5)
+    assert (shares * np.arange(len(shares))).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_models_must_be_those_of_the_registry(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "model_key string")
+    E.require_models(df, ["b", "a"])
+    for models in (["a"], ["a", "b", "c"]):
+        with pytest.raises(E.EvaluationError):
+            E.require_models(df, models)
+
+
+def test_identifiers(spark):
+    df = spark.createDataFrame([("a" * 64,), ("a" * 40,), ("checkpoint-12",), ("run.1-x",), ("a" * 64 + "\n",), (None,)], "t string")
+    rows = df.select(*[X.is_named(F.col("t"), p) for p in (X.SHA256, X.COMMIT, X.CHECKPOINT, X.RUN)]).collect()
+    assert [tuple(r) for r in rows] == [(True, False, False, True), (False, True, False, True), (False, False, True, True), (False, False, False, True), (False,) * 4, (False,) * 4]
+
+
+def test_epoch_order_in_many_ranges(spark, monkeypatch):
+    pool = spark.range(1000).select(F.col("id").cast("string").alias("k"))
+    want = {r["attempt"]: r["k"] for r in B.epoch_specs(pool, 2500, key="k", seed="s", loads=(1, 3)).collect()}
+    monkeypatch.setattr(B, "PLACED", 30)
+    assert {r["attempt"]: r["k"] for r in B.epoch_specs(pool, 2500, key="k", seed="s", loads=(1, 3)).collect()} == want
+    assert sorted(want) == list(range(2500)) and len({want[i] for i in range(1000)}) == 1000
+
+
 def test_hashes(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "t string, k int")
     plain = H.text_sha256("a\nb\n")
