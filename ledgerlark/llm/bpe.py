@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of
+from ledgerlark.llm.common import documents_of
 
 #: Fixed by the tokenizer: how a byte-level pre-tokenizer splits.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -257,7 +257,6 @@ def encode_documents(documents: DataFrame, path: str, *, text: str = "text", kee
     which has no tokens. Repeated rows are encoded one by one; other columns stay, but a column
     ``tokens`` is replaced.
     """
-    bound_batches(documents)
     return documents.withColumn("tokens", _coder(path, keep_ids)(F.col(text)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -42,29 +43,39 @@ def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Texts in one Arrow batch. Spark bounds batches by rows alone; its own 10,000 rows of long texts are
-#: hundreds of megabytes, held by the executor and its Python worker at once.
-BATCH_ROWS = 2_000
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def bound_batches(df: DataFrame) -> None:
-    """Make Arrow batches of the session hold BATCH_ROWS rows, unless it has a setting of its own."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+def _tables(spark: SparkSession) -> str:
+    """The folder of this application's tables under ``spark.checkpoint.dir``, which driver and executors
+    share. A session of one machine that names none has them in its temporary folder; any other must."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/ledgerlark"
+    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share, below one of the
-    application's own, which may be deleted once its results are written.
+    """A new folder for one table of this application."""
+    return f"{_tables(spark)}/{uuid.uuid4().hex}"
 
-    Where the session names none (tests, one machine) it is set here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all tables that operators have written in this application. Results that are not yet
+    written read them, so this is for when they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

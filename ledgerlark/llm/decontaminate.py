@@ -6,23 +6,31 @@ of two words tells how far the search may jump because no window can end in betw
 shift 0 lead to a bucket of windows by their last block, further divided by their first block, and
 a word-by-word comparison confirms the occurrence.
 
-The patterns travel to the executors only while their text is under ``max_pattern_bytes``. A larger
-benchmark is searched in as many blocks as that bound asks for, each block over all documents.
+Patterns travel to the executors in blocks of at most about ``max_windows`` windows, each block over all
+documents and written before the next is fetched; a worker builds the tables of a block once. Long
+items are cut into pieces that share no window.
 """
 
 from __future__ import annotations
 
+import pickle
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
+from ledgerlark.llm.common import documents_of, fresh, materialise, raw_texts, table, words_of
 
 WIDTH = 10
-MAX_PATTERN_BYTES = 16 << 20
+#: Windows of one block, about: tables of 100 MB in each worker.
+MAX_WINDOWS = 500_000
+#: Windows of one piece of a long item.
+PIECE_WINDOWS = 50_000
 
 _SCAN_TYPE = "struct<n_words:bigint,spans:array<struct<first:bigint,past:bigint>>,items:array<string>>"
 _SCAN_ARROW = pa.struct(
@@ -35,66 +43,100 @@ _SCAN_ARROW = pa.struct(
 
 
 class WuManber:
-    """Shift, suffix and prefix tables for patterns (tuples of words) of one length."""
+    """Shift, suffix and prefix tables for the windows of one length of some pieces of items.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], length: int) -> None:
-        self.length = length
+    Words are numbered, blocks of two words are whole numbers, and a window is a place in a piece, so
+    that what windows share is held once: about 200 bytes a window."""
+
+    def __init__(self, pieces: list[tuple[str, list[bytes]]], length: int, number: dict[bytes, int]) -> None:
+        self.length, self.number = length, number
         self.block = min(2, length)
         self.jump = length - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list[tuple[tuple[bytes, ...], list[str]]]]] = {}
-        for pattern, items in patterns.items():
-            blocks = self.blocks(pattern)
+        self.items = [item for item, _ in pieces]
+        self.words = [[number.setdefault(w, len(number)) for w in words] for _, words in pieces]
+        self.shift: dict[int, int] = {}
+        ends: list[tuple[int, int, int, int]] = []
+        for piece, words in enumerate(self.words):
+            blocks = self.blocks(words)
+            last = len(words) - length
             for at, block in enumerate(blocks):
-                left = len(blocks) - 1 - at
+                # The block ends a window that starts at ``at - jump + 1``, or is so far from the end of one.
+                left = max(0, self.jump - 1 - at)
                 if left < self.shift.get(block, self.jump):
                     self.shift[block] = left
-            self.buckets.setdefault(blocks[-1], {}).setdefault(blocks[0], []).append((pattern, items))
-
-    def blocks(self, words: tuple[bytes, ...]) -> list[bytes]:
-        return list(words) if self.block == 1 else [a + b" " + b for a, b in pairwise(words)]
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """(first word, items) of each occurrence, from left to right."""
-        m, n, shift, jump, buckets = self.length, len(words), self.shift.get, self.jump, self.buckets
+                if 0 <= (first := at - self.jump + 1) <= last:
+                    ends.append((block, blocks[first], piece, first))
+        ends.sort()
+        # Buckets by last block, within them by first block: sorted, and found by bisection.
+        self.last = array("q", [x for x, *_ in ends])
+        self.prefix = array("q", [x for _, x, _, _ in ends])
+        self.piece = array("l", [x for _, _, x, _ in ends])
+        self.first = array("q", [x for _, _, _, x in ends])
+
+    def blocks(self, words: list[int]) -> list[int]:
+        return words if self.block == 1 else [a << 32 | b for a, b in pairwise(words)]
+
+    def search(self, words: list[int]) -> Iterator[tuple[int, set[str]]]:
+        """(first word, items) of each occurrence, from left to right; unknown words are -1."""
+        m, n, shift, jump, prefix = self.length, len(words), self.shift.get, self.jump, self.prefix
         at = m - 1
-        if self.block == 1:
-            for at, word in enumerate(words):
-                for _, items in buckets.get(word, {}).get(word, ()):
-                    yield at, items
-            return
         while at < n:
-            block = words[at - 1] + b" " + words[at]
+            a, b = words[at - self.block + 1], words[at]
+            if a < 0 or b < 0:
+                # No window holds the word, so none ends before it is passed.
+                at += m if b < 0 else jump
+                continue
+            block = a << 32 | b if self.block == 2 else b
             if skip := shift(block, jump):
                 at += skip
                 continue
             first = at - m + 1
-            for pattern, items in buckets[block].get(words[first] + b" " + words[first + 1], ()):
-                if tuple(words[first : at + 1]) == pattern:
-                    yield first, items
+            head = words[first] << 32 | words[first + 1] if self.block == 2 else words[first]
+            low = bisect_left(self.last, block)
+            high = bisect_right(self.last, block, low)
+            k, found, window = bisect_left(prefix, head, low, high), set(), words[first : at + 1]
+            while k < high and prefix[k] == head:
+                start = self.first[k]
+                if self.words[self.piece[k]][start : start + m] == window:
+                    found.add(self.items[self.piece[k]])
+                k += 1
+            if found:
+                yield first, found
             at += 1
 
 
-def searchers(items: list[tuple[str, str | None]], width: int = WIDTH) -> list[WuManber]:
-    """One table for each window length that the items have."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    for item, text in items:
-        words = words_of((text or "").encode())
-        length = min(width, len(words))
-        if length:
-            for i in range(len(words) - length + 1):
-                owners = by_length.setdefault(length, {}).setdefault(tuple(words[i : i + length]), [])
-                if item not in owners:
-                    owners.append(item)
-    return [WuManber(patterns, length) for length, patterns in sorted(by_length.items())]
+def pieces_of(item: str, words: list[bytes], width: int = WIDTH) -> Iterator[tuple[str, list[bytes], int]]:
+    """(item, words, windows) of an item; a long one in pieces of PIECE_WINDOWS windows, each of which
+    lies in one of them."""
+    length = min(width, len(words))
+    windows = len(words) - length + 1 if length else 0
+    for at in range(0, windows, PIECE_WINDOWS):
+        n = min(PIECE_WINDOWS, windows - at)
+        yield item, words[at : at + n + length - 1], n
+
+
+def searchers(pieces: list[tuple[str, list[bytes]]], width: int = WIDTH) -> tuple[list[WuManber], dict[bytes, int]]:
+    """One table for each window length that the pieces have, and the numbers of their words."""
+    number: dict[bytes, int] = {}
+    by_length: dict[int, list[tuple[str, list[bytes]]]] = {}
+    for item, words in pieces:
+        by_length.setdefault(min(width, len(words)), []).append((item, words))
+    return [WuManber(by_length[length], length, number) for length in sorted(by_length)], number
 
 
-def scan(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
+@lru_cache(maxsize=1)
+def _loaded(raw: bytes, width: int) -> tuple[list[WuManber], dict[bytes, int]]:
+    """The tables of one block, once for each worker."""
+    return searchers(pickle.loads(raw), width)
+
+
+def scan(words: list[bytes], tables: list[WuManber], number: dict[bytes, int]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged spans of hit words, and the items with an occurring window."""
     spans: list[tuple[int, int]] = []
     found: set[str] = set()
+    numbers = [number.get(w, -1) for w in words]
     for t in tables:
-        for first, items in t.search(words):
+        for first, items in t.search(numbers):
             found.update(items)
             if spans and spans[-1][0] <= first <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(spans[-1][1], first + t.length))
@@ -110,27 +152,35 @@ def scan(words: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, in
     return merged, found
 
 
-def _scanner(items: list[tuple[str, str | None]], width: int):
+def _scanner(pieces: list[tuple[str, list[bytes]]], width: int):
+    block = pickle.dumps(pieces)
+
     @F.arrow_udf(_SCAN_TYPE)
     def windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tables = searchers(items, width)
+        tables, number = _loaded(block, width)
         for batch in batches:
             out = []
             for raw in raw_texts(batch):
                 words = words_of(raw)
-                spans, found = scan(words, tables)
-                out.append(
-                    {
-                        "n_words": len(words),
-                        "spans": [{"first": a, "past": b} for a, b in spans],
-                        "items": sorted(found),
-                    }
-                )
+                spans, found = scan(words, tables, number)
+                out.append({"n_words": len(words), "spans": [{"first": a, "past": b} for a, b in spans], "items": sorted(found)})
             yield pa.array(out, _SCAN_ARROW)
 
     return windows
 
 
+def _cut(width: int):
+    """(item, words, windows) of the pieces of benchmark items."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column("item").to_pylist(), raw_texts(batch.column("text")), strict=True):
+                if cut := list(pieces_of(item, words_of(raw), width)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in cut]), pa.array([b" ".join(w) for _, w, _ in cut], pa.binary()), pa.array([n for _, _, n in cut], pa.int64())], names=["item", "words", "windows"])
+
+    return rows
+
+
 def _union_length(spans: Column) -> Column:
     """Words in any span of an array sorted by first word."""
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("end"))
@@ -152,64 +202,53 @@ def find_windows(
     item: str = "item_id",
     item_text: str = "text",
     width: int = WIDTH,
-    max_pattern_bytes: int = MAX_PATTERN_BYTES,
+    max_windows: int = MAX_WINDOWS,
+    to: str = "windows",
 ) -> DataFrame:
-    """Add ``windows`` (struct n_words, n_hit, spans, items) to every row of ``documents``.
+    """Add ``to`` (struct n_words, n_hit, spans, items) to every row of ``documents``.
 
     Null and empty texts have no words and no hits; an item with a null id or without words has no
     windows; rows of one item id count as one item; repeated documents are judged one by one; an
     empty benchmark hits nothing. Columns of ``documents`` other than ``text`` stay as they are,
-    whatever their names; a column ``windows`` is replaced.
+    whatever their names; a column ``to`` is replaced.
     """
-    bound_batches(documents)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = -(-size // max_pattern_bytes) or 1
+    pieces = items.mapInArrow(_cut(width), "item string, words binary, windows bigint")
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    blocks = -(-total // max_windows) or 1
+
+    def block(k: int) -> list[tuple[str, list[bytes]]]:
+        """Pieces of one block, about ``max_windows`` windows."""
+        own = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else pieces
+        return [(r["item"], bytes(r["words"]).split(b" ")) for r in own.select("item", "words").toLocalIterator()]
+
     if blocks == 1:
-        found = documents.withColumn("windows", _scanner([tuple(r) for r in items.collect()], width)(F.col(text)))
-        return found.withColumn(
-            "windows",
-            F.struct(
-                F.col("windows.n_words").alias("n_words"),
-                _union_length(F.col("windows.spans")).alias("n_hit"),
-                F.col("windows.spans").alias("spans"),
-                F.col("windows.items").alias("items"),
-            ),
-        )
-    # Each block of patterns goes over all documents; only documents that it hits are kept, keyed by
-    # their text, and equal texts have equal hits.
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        found = documents.withColumn(to, _scanner(block(0), width)(F.col(text)))
+        parts = [F.col(f"{to}.{c}") for c in ("n_words", "spans", "items")]
+        return found.withColumn(to, _result(*parts))
+    # The driver and each worker hold one block at a time. What it hits is written, keyed by the text, as
+    # equal texts have equal hits.
+    key_, spans_, items_, own_ = fresh(documents, "_key", "_spans", "_items", "_own")
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias(key_)
     hits = None
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        one = (
-            documents.select(key.alias("__windows_key"), _scanner([tuple(r) for r in block], width)(F.col(text)).alias("w"))
-            .where(F.size("w.items") > 0)
-            .select("__windows_key", F.lit(k).alias("k"), "w.spans", "w.items")
-            .dropDuplicates(["__windows_key", "k"])
-        )
+        one = documents.select(key, _scanner(block(k), width)(F.col(text)).alias("w")).where(F.size("w.items") > 0)
+        one = materialise(one.select(key_, "w.spans", "w.items").dropDuplicates([key_]))
         hits = one if hits is None else hits.unionByName(one)
-    hits = hits.groupBy("__windows_key").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("__windows_spans"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("__windows_items"),
-    )
-    none = _scanner([], width)(F.col(text))
-    out = documents.withColumn("windows", none).withColumn("__windows_key", key).join(hits, "__windows_key", "left")
-    spans = F.coalesce("__windows_spans", "windows.spans")
-    return out.withColumn(
-        "windows",
-        F.struct(
-            F.col("windows.n_words").alias("n_words"),
-            _union_length(spans).alias("n_hit"),
-            spans.alias("spans"),
-            F.coalesce("__windows_items", "windows.items").alias("items"),
-        ),
-    ).drop("__windows_key", "__windows_spans", "__windows_items")
+    hits = materialise(hits.groupBy(key_).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(spans_), F.array_distinct(F.array_sort(F.flatten(F.collect_list("items")))).alias(items_)))
+    out = documents.withColumn(own_, _scanner([], width)(F.col(text))).withColumn(key_, key).join(hits, key_, "left")
+    found = _result(F.col(f"{own_}.n_words"), F.coalesce(spans_, f"{own_}.spans"), F.coalesce(items_, f"{own_}.items"))
+    return out.withColumn(to, found).select(*[F.col(f"`{c}`") for c in documents.columns if c != to], to)
+
+
+def _result(n_words: Column, spans: Column, items: Column) -> Column:
+    return F.struct(n_words.alias("n_words"), _union_length(spans).alias("n_hit"), spans.alias("spans"), items.alias("items"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that hold no window of the benchmark."""
-    return find_windows(documents, benchmark, **options).where("windows.n_hit = 0").drop("windows")
+    """The rows of ``documents`` that hold no window of the benchmark, with their columns."""
+    (to,) = fresh(documents, "windows")
+    return find_windows(documents, benchmark, to=to, **options).where(F.col(f"{to}.n_hit") == 0).drop(to)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents_of, materialise
+from ledgerlark.llm.common import documents_of, fresh, materialise
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -630,24 +630,24 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     groups = materialise(similar_groups(documents, doc_id=doc_id, text=text))
     linked = groups.where("class_id is not null")
+    gone_, id_, row_, name_ = fresh(documents, "_gone", "_id", "_row", "_name")
     # Ids whose rows are not told apart by the id alone are judged row by row.
-    doubled = materialise(groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"))
-    gone = linked.where("doc_id <> component_id").join(doubled, "doc_id", "left_anti").select(F.col("doc_id").alias("__gone"))
+    doubled = materialise(groups.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select(F.col("doc_id").alias(id_)))
+    gone = linked.where("doc_id <> component_id").join(doubled, F.col("doc_id") == F.col(id_), "left_anti").select(F.col("doc_id").alias(gone_))
     gone = materialise(gone)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    kept = documents.join(gone, documents[doc_id] == F.col("__gone"), "left_anti")
+    kept = documents.join(gone, documents[doc_id] == F.col(gone_), "left_anti")
     if doubled.isEmpty():
         return kept
-    ids = doubled.select(F.col("doc_id").alias("__id"))
-    single = kept.join(ids, kept[doc_id].eqNullSafe(F.col("__id")), "left_anti")
-    rows = documents.join(ids, documents[doc_id].eqNullSafe(F.col("__id")), "left_semi")
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("r"), F.col(doc_id).alias("__id"), F.hex(_sized(NUMBER_BITS)(F.col(text))["name"]).alias("_name"))
+    single = kept.join(doubled, kept[doc_id].eqNullSafe(F.col(id_)), "left_anti")
+    rows = documents.join(doubled, documents[doc_id].eqNullSafe(F.col(id_)), "left_semi")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row_), F.col(doc_id).alias(id_), F.hex(_sized(NUMBER_BITS)(F.col(text))["name"]).alias(name_))
     names = linked.select(F.col("doc_id").alias("_d"), F.col("class_id").alias("_c"), "group_id", "component_id").distinct()
-    found = rows.join(names, F.col("__id").eqNullSafe(F.col("_d")) & (F.col("_name") == F.col("_c")), "left")
-    empty = found.where("_name is null").select("r.*")
-    one = found.where("_name is not null and __id <=> component_id").groupBy("group_id").agg(F.min_by("r", F.to_json("r")).alias("r"))
-    return single.unionByName(empty).unionByName(one.select("r.*"))
+    found = rows.join(names, F.col(id_).eqNullSafe(F.col("_d")) & (F.col(name_) == F.col("_c")), "left")
+    empty = found.where(F.col(name_).isNull()).select(f"{row_}.*")
+    one = found.where(F.col(name_).isNotNull() & F.col(id_).eqNullSafe(F.col("component_id"))).groupBy("group_id").agg(F.min_by(row_, F.to_json(row_)).alias(row_))
+    return single.unionByName(empty).unionByName(one.select(f"{row_}.*"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, words_of
+from ledgerlark.llm.common import documents_of, raw_texts, words_of
 
 #: Phrases whose places are counted, and the labels they give.
 BASE_PHRASES = {
@@ -232,7 +232,6 @@ def find_licences(documents: DataFrame, *, text: str = "text") -> DataFrame:
     postfix order and a score, the freedom of the strictest notice or tag (0 where there is none).
     Null and empty texts hold nothing; repeated rows are read one by one; other columns stay, but a
     column ``licences`` is replaced."""
-    bound_batches(documents)
     return documents.withColumn("licences", F.arrow_udf(_licences, _TYPE)(F.col(text)))
 
 

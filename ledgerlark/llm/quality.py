@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
+from ledgerlark.llm.common import documents_of, raw_texts, table, words_of
 from ledgerlark.llm.linear import fold, labelled_sample, platt, sigmoid
 
 MOST_LABELLED = 8_000
@@ -198,7 +198,6 @@ def score_documents(documents: DataFrame, machine: Machine, *, text: str = "text
         for texts, counts in batches:
             yield pa.array([machine.score(*inputs(raw, n)) for raw, n in zip(raw_texts(texts), counts.to_pylist(), strict=True)], pa.float64())
 
-    bound_batches(documents)
     return documents.withColumn("quality", scored(F.col(text), (F.col(meta) if meta else F.lit(None)).cast("bigint")))
 
 

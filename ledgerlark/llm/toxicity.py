@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table, words_of
+from ledgerlark.llm.common import documents_of, raw_texts, table, words_of
 from ledgerlark.llm.linear import Rows, fold, labelled_sample, platt, sigmoid, sparse_logistic
 
 MOST_LABELLED = 12_000
@@ -201,17 +201,16 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     return Model({f: float(w[i]) for f, i in places.items() if w[i]}, bias, scale, offset)
 
 
-def score_documents(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Add ``toxicity``, a score from 0 to 1, to every row. A null text is scored as the empty text;
-    repeated rows get one score; other columns stay, but a column ``toxicity`` is replaced."""
+def score_documents(documents: DataFrame, model: Model, *, text: str = "text", to: str = "toxicity") -> DataFrame:
+    """Add ``to``, a score from 0 to 1, to every row. A null text is scored as the empty text; repeated
+    rows get one score; other columns stay, but a column ``to`` is replaced. An empty table stays empty."""
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([model.score(raw) for raw in raw_texts(batch)], pa.float64())
 
-    bound_batches(documents)
-    return documents.withColumn("toxicity", scored(F.col(text)))
+    return documents.withColumn(to, scored(F.col(text)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
