@@ -7,6 +7,7 @@ driver from a bounded list of labelled URLs.
 
 from __future__ import annotations
 
+import json
 import random
 from functools import cache
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import gbdt
-from ledgerlark.llm.common import table
+from ledgerlark.llm.common import materialise, table
 
 #: (verdict, host and path): fits the host and all its subdomains if the path starts so.
 RULES = (
@@ -26,6 +27,7 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
+#: Rules in one expression; more are joined as a table.
 MOST_RULES = 200
 #: Labelled URLs of the built-in training list.
 TRAINING_URLS = 4000
@@ -54,8 +56,6 @@ def parts_sql(url: str, dialect: str = "spark") -> dict[str, str]:
 
 def rule_sql(rules=RULES, host: str = "host", path: str = "path") -> tuple[str, str]:
     """SQL of the longest rule that fits (else null), and of the verdict of column ``rule``."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit into one expression")
     if not rules:
         return "CAST(NULL AS STRING)", "CAST(NULL AS STRING)"
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -177,23 +177,49 @@ def default_model() -> UrlModel:
     return UrlModel(training_urls())
 
 
-def judge(pages: DataFrame, model: UrlModel, *, url: str = "url", rules=RULES) -> DataFrame:
-    """Add ``url_verdict`` (struct host, path, rule, score, verdict) to every row.
+def _with_rules(rows: DataFrame, rules) -> DataFrame:
+    """Add rule and its verdict to rows with host and path, by a table of rules: each pair of host and
+    path is taken once, its suffixes of whole labels and its prefixes of the lengths that rules have are
+    looked up, and of the rules found the longest is kept."""
+    spark = rows.sparkSession
+    parts = [(*rule.partition("/"), rule, verdict) for verdict, rule in rules]
+    told = json.dumps([{"rule_host": h, "rule_path": slash + p, "rule": rule, "verdict": verdict, "size": len(rule)} for h, slash, p, rule, verdict in parts])
+    listed = spark.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<rule_host:string,rule_path:string,rule:string,verdict:string,size:int>>")))
+    lengths = sorted({len(slash + p) for _, slash, p, _, _ in parts})
+    pairs = rows.select("host", "path").distinct()
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    keyed = pairs.withColumn("rule_host", F.explode(suffixes)).withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    keyed = keyed.where(F.length("path") >= F.col("length")).withColumn("rule_path", F.expr("left(path, length)"))
+    best = keyed.join(listed, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
+    # Written first, so that the join has two plain sides and can split a pair that very many rows have.
+    best = materialise(best.select("host", "path", "best.rule", "best.verdict"))
+    return rows.join(best, ["host", "path"], "left")
+
+
+def judge(pages: DataFrame, model: UrlModel, *, url: str = "url", rules=RULES, to: str = "url_verdict") -> DataFrame:
+    """Add ``to`` (struct host, path, rule, score, verdict) to every row.
 
     A null url, and one without ``://``, has empty host and path; no rule fits them, and the trees
-    judge them as they stand. Repeated rows are judged one by one; other columns stay, but a column
-    ``url_verdict`` is replaced.
+    judge them as they stand. Of two rules of one length and text the first counts. Repeated rows are
+    judged one by one; other columns stay, but a column ``to`` is replaced. No rules, or an empty table,
+    are no error.
     """
-    rule, verdict = rule_sql(rules)
+    rules = list({rule: (verdict, rule) for verdict, rule in reversed(rules)}.values())
     features = feature_sql(model.rates, model.default)
     # Every step is a struct of its own, so no column of ``pages`` can clash with a feature.
     inner = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_in"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     inner = inner.withColumns({k: F.expr(v) for k, v in parts_sql("url").items()})
-    inner = inner.withColumns({"rule": F.expr(rule)} | {k: F.expr(v) for k, v in features.items()})
+    if len(rules) > MOST_RULES:
+        inner = _with_rules(inner, rules)
+    else:
+        rule, verdict = rule_sql(rules)
+        inner = inner.withColumn("rule", F.expr(rule)).withColumn("verdict", F.expr(verdict))
+    inner = inner.withColumns({k: F.expr(v) for k, v in features.items()})
     inner = inner.withColumn("score", F.expr(f"1 / (1 + exp(-({model.trees.sql(FEATURES)})))"))
     cut = 1 / (1 + np.exp(-model.threshold))
-    judged = F.struct("host", "path", "rule", "score", F.coalesce(F.expr(verdict), F.when(F.col("score") >= float(cut), "block").otherwise("allow")).alias("verdict"))
-    return inner.select(*[F.col(f"_in.`{c}`") for c in pages.columns if c != "url_verdict"], judged.alias("url_verdict"))
+    judged = F.struct("host", "path", "rule", "score", F.coalesce("verdict", F.when(F.col("score") >= float(cut), "block").otherwise("allow")).alias("verdict"))
+    return inner.select(*[F.col(f"_in.`{c}`") for c in pages.columns if c != to], judged.alias(to))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,14 +228,20 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
+    """Hosts, paths and rules in a wording of their own; what the trees say, by the fitted trees."""
     model = default_model()
-    rule, verdict = rule_sql()
-    parts, features = parts_sql("url", "duckdb"), feature_sql(model.rates, model.default, "duckdb")
+    features = feature_sql(model.rates, model.default, "duckdb")
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-p AS (SELECT page_id, url, {", ".join(f"{v} AS {k}" for k, v in parts.items())} FROM u),
-f AS (SELECT page_id, host, path, {rule} AS rule, {", ".join(f"{features[k]} AS {k}" for k in FEATURES)} FROM p)
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages),
+r AS (SELECT page_id, url, CASE WHEN at > 0 THEN url[at + 3 :] ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, url, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS raw, rest FROM r),
+p AS (SELECT page_id, url, translate(raw, '{_UP}', '{_LOW}') AS host, split_part(split_part(rest[length(raw) + 1 :], '?', 1), '#', 1) AS path FROM h),
+t AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+      ('block', 'net', '/es/'), ('block', 'net', '/fr/')) v(verdict, rule_host, rule_path)),
+m AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS said
+      FROM p JOIN t ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path) GROUP BY page_id),
+f AS (SELECT page_id, host, path, {", ".join(f"{features[k]} AS {k}" for k in FEATURES)} FROM p)
 SELECT page_id, host, path, rule,
-       coalesce({verdict}, CASE WHEN {model.trees.sql(FEATURES)} >= {model.threshold}e0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM f
+       coalesce(said, CASE WHEN {model.trees.sql(FEATURES)} >= {model.threshold}e0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM f LEFT JOIN m USING (page_id)
 """

@@ -36,8 +36,9 @@ def brute_windows(text, items, width=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 60])
-def test_windows_as_brute_force(spark, bound):
+@pytest.mark.parametrize("bound,piece", [(1 << 20, 50_000), (8, 3)])
+def test_windows_as_brute_force(spark, bound, piece, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", piece)
     r = random.Random(1)
     line = lambda n, k=4: " ".join(r.choice("ABCDé123"[:k]) for _ in range(n))
     items = [(i, line(r.choice([0, 1, 2, 5, 9, 10, 11, 14]), 8)) for i in range(12)] + [(3, "x y z"), (None, "a a a"), (50, None), (51, "A, b!")]
@@ -45,14 +46,28 @@ def test_windows_as_brute_force(spark, bound):
     texts += texts[:6]
     docs = frame(spark, texts, [i % 30 for i in range(len(texts))]).withColumn("windows", F.lit("clash")).withColumn("k", F.monotonically_increasing_id())
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    rows = decontaminate.find_windows(docs, bench, max_pattern_bytes=bound).collect()
+    rows = decontaminate.find_windows(docs, bench, max_windows=bound).collect()
     assert len(rows) == len(texts)
     good = [(i, t) for i, t in items if i is not None]
     for row in rows:
         n, hit, found = brute_windows(row["text"], good)
         assert (row["windows"]["n_words"], row["windows"]["n_hit"], row["windows"]["items"]) == (n, hit, found)
-    clean = decontaminate.decontaminate(docs.drop("windows"), bench, max_pattern_bytes=bound)
-    assert clean.columns == docs.drop("windows").columns and clean.count() == sum(not brute_windows(t, good)[1] for t in texts)
+    clean = decontaminate.decontaminate(docs, bench, max_windows=bound)
+    assert clean.dtypes == docs.dtypes and clean.count() == sum(not brute_windows(t, good)[1] for t in texts)
+
+
+def test_tables_of_many_windows_stay_small():
+    import tracemalloc
+
+    r = random.Random(6)
+    words = [str(r.randrange(30_000)).encode() for _ in range(60_000)]
+    tracemalloc.start()
+    tables, number = decontaminate.searchers([(i, w) for i, w, _ in decontaminate.pieces_of("x", words)])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60_000 * 300
+    text = words[100:130] + [b"other"] + words[59_980:]
+    assert decontaminate.scan(text, tables, number) == ([(0, 30), (31, 51)], {"x"})
 
 
 def test_no_benchmark_and_no_documents(spark):
@@ -283,7 +298,44 @@ def test_loose_candidates_are_judged_well(kind):
     model, threshold = pii.default_models()[kind]
     x, y = pii._examples(kind, 200, 99)
     called = model.raw(x) >= threshold
-    assert y[called].mean() > 0.95 and called[y == 1].mean() > 0.8
+    # A quarter of the examples has no cue: those that look like anything else can't be told.
+    assert y[called].mean() > 0.95 and called[y == 1].mean() > 0.7
+
+
+def plain_spans(text, models):
+    """Base spans, and loose candidates that no base span overlaps and whose trees reach the threshold."""
+    from test_llm_queries import base_spans
+
+    base = base_spans(text)
+    more = []
+    for kind, pattern in pii._LOOSE.items():
+        for m in pattern.finditer(text):
+            trees, threshold = models[kind]
+            if trees.raw(np.array([pii.features(kind, text, *m.span())]))[0] >= threshold and not any(a < m.end() and m.start() < b for _, a, b in base):
+                more.append((kind, *m.span()))
+    return sorted(base + more, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_all_spans_as_a_plain_version(sf_dir):
+    import pyarrow.parquet as pq
+
+    models = pii.default_models()
+    texts = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()]
+    r = random.Random(12)
+    bits = ["ssn: 123-45-6789", "token=\"0a1b2c3d4e5f60718293a4b5c6d7e8f9\"", "call 555-123-4567 now", "+1 (222) 555-1234", "a.b@c.org", "me [at] x [dot] org", "IBAN DE89370400440532013000", "host fe80:0:0:0:1:2:3:4 up", "10.0.0.1", "4111 1111 1111 1111", "order 123-45-6789", "word and more"]
+    texts += [" ".join(r.choice(bits) for _ in range(r.randint(1, 8))) for _ in range(300)]
+    kinds = set()
+    for text in texts:
+        spans = pii.find(text, models)[1]
+        assert spans == plain_spans(text, models)
+        kinds |= {k for k, _, _ in spans}
+    assert kinds >= {"secret", "ssn", "phone_local", "email_text", "iban", "ipv6", "email", "ip", "card", "phone"}
+
+
+def test_a_kind_without_precision_proposes_nothing():
+    models = {k: (m, float("inf")) for k, (m, _) in pii.default_models().items()}
+    base, spans = pii.find('ssn 123-45-6789, token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9", a@b.org', models)
+    assert base == spans and [k for k, _, _ in spans] == ["email"]
 
 
 def test_long_keys_are_candidates():
@@ -326,8 +378,14 @@ def test_urls(spark):
     assert (v[11]["host"], v[13]["host"], v[13]["path"]) == ("b:", "host", "") and out[0]["host"] == "clash"
     plan = url_filter.judge(df, url_filter.default_model())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    with pytest.raises(ValueError):
-        url_filter.rule_sql([("allow", f"h{i}/") for i in range(201)])
+    # As many rules more as no one expression takes: the same verdicts by a table, and theirs.
+    more = [*url_filter.RULES, *(("block" if i % 2 else "allow", f"h{i}.org/p/") for i in range(300)), ("allow", "org/p/")]
+    extra = spark.createDataFrame([(100, "http://a.h7.org/p/x"), (101, "http://h8.org/p/"), (102, "http://zh8.org/p/"), (103, "http://h7.org/q/")], "page_id bigint, url string")
+    joined = url_filter.judge(df.unionByName(extra, allowMissingColumns=True), url_filter.default_model(), rules=more)
+    w = {r["page_id"]: r["url_verdict"] for r in joined.collect()}
+    assert [w[i] for i in range(len(urls))] == v and joined.columns == url_filter.judge(df, url_filter.default_model()).columns
+    assert [(w[i]["rule"], w[i]["verdict"]) for i in range(100, 103)] == [("h7.org/p/", "block"), ("h8.org/p/", "allow"), ("org/p/", "allow")] and w[103]["rule"] is None
+    assert "Python" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_url_model_on_urls_it_has_not_seen():

@@ -16,9 +16,9 @@ def con(sf_dir):
     return connection(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry._SQL))
 def test_query_matches_sql(spark, sf_dir, con, name):
-    assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == sql_rows(con, registry.ORACLE_SQL[name])
+    assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == sql_rows(con, registry.oracle_sql()[name])
 
 
 def documents(con):

@@ -73,3 +73,37 @@ def test_tokens_round_trip(stages):
 def test_run_equals_the_stages(spark, stages):
     rows = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()}
     assert rows == {(r["doc_id"], r["ids_sha256"]) for r in stages[5].collect()}
+
+
+ODD = [(1, None), (2, ""), (3, " \t "), (4, "p q r s t u"), (5, "P q r s t u"), (5, "P q r s t u"), (6, "mail a.b@c.example.org now"), (7, "lorem ipsum dolor " * 40_000), (None, "x y z"), (None, None), (8, "aa bb cc dd ee ff"), (8, "gg hh ii jj kk ll")]
+CLASHES = ("windows", "toxicity", "personal", "tokens", "node", "_gone", "_id", "_row", "_name", "_key", "name", "least", "n", "y", "Toxicity_")
+
+
+def odd_documents(spark):
+    df = spark.createDataFrame(ODD, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    return df.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))) for c in CLASHES})
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_clashing_columns(spark, name, stage):
+    docs = odd_documents(spark)
+    out = materialise(stage(spark, docs, "/root/testdata/sf0.001"))
+    none = materialise(stage(spark, docs.limit(0), "/root/testdata/sf0.001"))
+    assert none.count() == 0 and none.columns == out.columns
+    rows = out.collect()
+    if name == "bpe":
+        assert len(rows) == len(ODD) and all((r["n_tokens"] == 0) == (r["doc_id"] in (2,) or len(r["ids"]) == 0) for r in rows)
+        return
+    assert out.dtypes == docs.dtypes
+    # Other columns are those of the row, and nothing but near duplicates goes.
+    plain = lambda r: (r["doc_id"], *(r[c] for c in CLASHES))
+    before = sorted(map(repr, map(plain, docs.collect())))
+    after = sorted(map(repr, map(plain, rows)))
+    if name == "ngram_jaccard_join":
+        assert len(after) == len(before) - 2 and not set(after) - set(before) and {r["doc_id"] for r in rows} == {1, 2, 3, 4, 6, 7, 8, None}
+    else:
+        assert after == before
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert texts[1] is None and texts[2] == "" and texts[7] == dict(ODD)[7]
+    if name == "pii":
+        assert texts[6] == "mail <EMAIL> now" and {r["doc_id"]: r["n_chars"] for r in rows}[6] == 16
