@@ -15,41 +15,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import bpe, decontaminate, jaccard_join, pii, toxicity
-from ledgerlark.llm.common import materialise, table
+from ledgerlark.llm.common import fresh, materialise, table
 
 TOXIC_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under TOXIC_FROM; null and empty texts score low and stay."""
+    """Documents that score under TOXIC_FROM; null and empty texts score low and stay, repeated rows stay
+    or go together, and an empty table stays empty. Columns stay as they are, whatever their names."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).where(F.col("toxicity") < TOXIC_FROM).drop("toxicity")
+    (score,) = fresh(docs, "toxicity")
+    return toxicity.score_documents(docs, model, to=score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked texts."""
+    """The document with the smallest id of each group of linked texts. Null and empty texts are linked
+    with nothing and stay; of rows that share an id and a set of shingles one stays; an empty table stays
+    empty. Columns stay as they are, whatever their names."""
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Null and empty texts have none and stay, repeated
+    rows stay or go together, and an empty table stays empty. Columns stay as they are, whatever their
+    names."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by their kinds; ``n_chars`` counts the new text."""
-    found = pii.find_personal_data(docs, redact=True)
-    changed = F.col("personal.spans") != ""
-    out = found.withColumn("text", F.col("personal.redacted"))
+    """All documents, with personal data replaced by their kinds; ``n_chars`` counts the new text. Null
+    and empty texts stay so, repeated rows are redacted alike, and an empty table stays empty. Other
+    columns stay as they are, whatever their names."""
+    (personal,) = fresh(docs, "personal")
+    found = pii.find_personal_data(docs, redact=True, to=personal)
+    changed = F.col(f"{personal}.spans") != ""
+    out = found.withColumn("text", F.col(f"{personal}.redacted"))
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, n).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.drop(personal)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
-    found = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token ids of every document, with digests of the ids and of what they decode to. Null and empty
+    texts have no tokens, repeated rows are encoded one by one, and an empty table gives no rows."""
+    found = bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "tokens.n_tokens", "tokens.ids_sha256", "tokens.decoded_sha256", "tokens.ids")
 
 
