@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlark.functions.hashing import hash_draw
+from ledgerlark.functions.hashing import composite_id, hash_draw
 
 #: Seeds of families are so far apart.
 FAMILY_STRIDE = 1009
@@ -100,8 +100,9 @@ Generator = Callable[[dict[str, Any]], tuple[dict[str, Any] | None, str | None]]
 
 def generate(specs: DataFrame, generator: Callable[[], Generator], record: T.StructType, *, order: str = "attempt") -> DataFrame:
     """(order, record, reason) of every specification. ``generator`` makes one generator per task; an
-    error that it raises becomes the reason."""
-    fields = [f.name for f in record.fields]
+    error that it raises becomes the reason. Before each row Python's generator is seeded with its
+    ``question_seed``, if there is one."""
+    fields, seeded = [f.name for f in record.fields], "question_seed" in specs.columns
     schema = T.StructType([specs.schema[order], T.StructField("record", record), T.StructField("reason", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +113,9 @@ def generate(specs: DataFrame, generator: Callable[[], Generator], record: T.Str
             rows = []
             for spec in batch.to_pylist():
                 try:
+                    if seeded:
+                        # What a generator draws depends on its row alone.
+                        random.seed(spec["question_seed"])
                     made, reason = make(spec)
                 except Exception as e:
                     made, reason = None, f"{type(e).__name__}:{str(e)[:160]}"
@@ -130,3 +134,30 @@ def build_family(generated: DataFrame, target: int, *, order: str = "attempt") -
     if n < target:
         raise ShortfallError(f"{n} of {target} records")
     return kept.select(order, "record.*"), drop_reasons(generated, F.col("reason"))
+
+
+def base_record(specs: DataFrame, system_text: str, user: Column, metadata: Column) -> DataFrame:
+    """Add what all frozen records have: example_id (of family, molecule and seed), the prompt of a system
+    and a user message, metadata_json and multitask_load (of ``properties``)."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return specs.withColumns(
+        {
+            "example_id": composite_id(F.col("task_family"), F.col("molecule_id"), F.col("question_seed")),
+            "prompt": F.array(message("system", F.lit(system_text)), message("user", user)),
+            "metadata_json": metadata,
+            "multitask_load": F.size("properties"),
+        }
+    )
+
+
+def longest_prompt(records: DataFrame, tokens: Column) -> DataFrame:
+    """The greatest number of tokens of a prompt, and how many prompts there are, as one row."""
+    return records.agg(F.coalesce(F.max(tokens), F.lit(0)).alias("max_prompt_tokens"), F.count("*").alias("n"))
+
+
+def batch_arithmetic(per_device: int, world_size: int, accumulation: int, generations: int) -> dict[str, int]:
+    """Completions and prompts of one generation batch; a batch that its groups don't fill is an error."""
+    whole = per_device * world_size * accumulation
+    if generations < 2 or whole % generations:
+        raise ValueError(f"{whole} completions are no whole number of groups of {generations}, of two at least")
+    return {"generation_batch_size": whole, "unique_prompts_per_generation_batch": whole // generations}

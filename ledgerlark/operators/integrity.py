@@ -99,3 +99,41 @@ def run_state(runs: DataFrame, group: str, complete: Column) -> DataFrame:
     counts = runs.groupBy(group).agg(F.count_if(complete).alias("n_complete"))
     state = F.when(F.col("n_complete") == 0, "pending").when(F.col("n_complete") == 1, "complete").otherwise("ambiguous")
     return counts.withColumn("state", state)
+
+
+def hashed_without(df: DataFrame, *bookkeeping: str, to: str = "record_sha256") -> DataFrame:
+    """Add the SHA-256 of each row as canonical JSON (keys sorted, null values kept), without the columns
+    that only keep books. Equal records have equal digests whatever these say."""
+    kept = sorted(c for c in df.columns if c not in bookkeeping)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept]), {"ignoreNullFields": "false"})
+    return df.withColumn(to, sha256(text))
+
+
+def evaluated_documents(seen: DataFrame, expected: DataFrame, key: str, content: Column) -> DataFrame:
+    """(key, state) of every document that was not evaluated just once with its own content: missing,
+    extra, repeated, or changed. Both tables have the key; ``content`` is digested where the rows are."""
+    digests = lambda df: df.groupBy(key).agg(F.count("*").alias("n"), F.min(sha256(content)).alias("h"), F.max(sha256(content)).alias("g"))
+    left, right = digests(expected).select(key, F.col("h").alias("want")), digests(seen)
+    both = left.join(right, key, "full_outer")
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("n") > 1, "repeated").when(~(F.col("h").eqNullSafe(F.col("want"))), "changed")
+    return both.select(key, state.alias("state")).where("state is not null")
+
+
+def require_records(df: DataFrame, record: Column, key: Column, n: int, digest: str) -> None:
+    """Raise unless a table has so many records and this ``chunked_hash``."""
+    row = chunked_hash(df, record, key).first()
+    if (row["n"], row["records_sha256"]) != (n, digest):
+        raise ValueError(f"{row['n']} records, {row['records_sha256']}; expected {n}, {digest}")
+
+
+def tree_difference(left: DataFrame, right: DataFrame, key: str = "path") -> DataFrame:
+    """Files that two trees do not share: missing on the right, extra there, or with other contents."""
+    changed = hash_mismatch(left, right, key).select(key, F.lit("changed").alias("state"))
+    return listing_diff(left, right, key).unionByName(changed)
+
+
+def unexpected(found: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows of ``found`` whose value is not the one that is expected for the key, with both; keys that
+    nothing is expected of are fine."""
+    want = expected.select(F.col(key), F.col(value).alias("expected"))
+    return found.select(key, value).join(want, key).where(~F.col(value).eqNullSafe(F.col("expected")))

@@ -9,6 +9,7 @@ import shutil
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
@@ -38,6 +39,28 @@ def write_json(path: str | Path, value: Any) -> None:
         f.write(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n")
 
 
+def write_yaml(path: str | Path, value: Any) -> None:
+    """A configuration, with sorted keys; an existing file is an error. Without a YAML library it is
+    written as JSON, which is YAML too."""
+    try:
+        import yaml
+    except ImportError:
+        write_json(path, value)
+        return
+    with open(path, "x", encoding="utf-8") as f:
+        yaml.safe_dump(value, f, sort_keys=True, allow_unicode=True)
+
+
+def utc_now() -> str:
+    """The time in UTC, as ISO 8601 with its offset."""
+    return datetime.now(UTC).isoformat()
+
+
+def stamp() -> str:
+    """The time in UTC, compact, for names."""
+    return datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+
+
 def write_csv(df: DataFrame, path: str | Path, columns: Sequence[str], order: Sequence[str]) -> int:
     """A report table as one CSV file with CRLF line ends; a column of ``columns`` that the table lacks
     is empty, one that it has besides is an error, and so is an existing file. Rows come to the driver

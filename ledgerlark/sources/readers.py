@@ -137,3 +137,10 @@ def single_runs(runs: DataFrame, models: Sequence[str]) -> dict[str, str]:
 def key_values(text: Column, pair: str = "\n", separator: str = "=") -> Column:
     """Map of the ``key=value`` lines of a record."""
     return F.str_to_map(text, F.lit(pair), F.lit(separator))
+
+
+def comma_rows(text: Column, columns: Sequence[str]) -> Column:
+    """Lines of comma-separated output of a command as an array of structs: blank lines are skipped, values
+    stripped, and what is over the last column stays in it."""
+    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line) != "")
+    return F.transform(lines, lambda line: F.struct(*[F.trim(F.get(F.split(line, ",", len(columns)), F.lit(i))).alias(c) for i, c in enumerate(columns)]))

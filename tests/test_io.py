@@ -168,3 +168,19 @@ def test_json_log_appends(spark, tmp_path):
     K.append_json(df, str(tmp_path / "log"))
     K.append_json(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_comma_rows(spark):
+    df = spark.createDataFrame([("gpu a, 1, x, y, z\n\n b ,2\n",), (None,)], "t string")
+    rows = df.select(R.comma_rows(F.col("t"), ("name", "n", "p", "q"))).collect()
+    assert [tuple(r) for r in rows[0][0]] == [("gpu a", "1", "x", "y, z"), ("b", "2", None, None)] and rows[1][0] is None
+
+
+def test_yaml_and_stamps(tmp_path):
+    import re
+
+    K.write_yaml(tmp_path / "c.yaml", {"b": [1], "a": None})
+    with pytest.raises(FileExistsError):
+        K.write_yaml(tmp_path / "c.yaml", {})
+    assert (tmp_path / "c.yaml").read_text().index('a') < (tmp_path / "c.yaml").read_text().index('b')
+    assert re.fullmatch(r"\d{8}T\d{6}Z", K.stamp()) and K.utc_now().endswith("+00:00")

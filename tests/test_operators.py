@@ -213,3 +213,56 @@ def test_metric_log(spark):
     assert M.fallback(long, ("absent", "y", "loss")).first()["metric"] == "y"
     assert M.fallback(long, ("absent",)).first()["metric"] is None
     assert M.bad_steps(spark.createDataFrame([(1.0,), (1.5,), (None,)], "step double")).count() == 2
+
+
+def test_records_without_bookkeeping(spark):
+    df = spark.createDataFrame([(1, "a", None, "x"), (2, "a", None, "y"), (3, "b", None, "x")], "pos int, t string, u string, note string")
+    h = [r["record_sha256"] for r in I.hashed_without(df, "pos", "note").orderBy("pos").collect()]
+    assert h[0] == h[1] != h[2] and h[0] == H.text_sha256('{"t":"a","u":null}')
+
+
+def test_evaluated_documents(spark):
+    want = spark.createDataFrame([(i, f"q{i}") for i in range(6)], "id int, q string")
+    seen = spark.createDataFrame([(0, "q0"), (1, "other"), (2, "q2"), (2, "q2"), (9, "q9"), (3, None)], "id int, q string")
+    got = {r["id"]: r["state"] for r in I.evaluated_documents(seen, want, "id", F.col("q")).collect()}
+    assert got == {1: "changed", 2: "repeated", 3: "changed", 4: "missing", 5: "missing", 9: "extra"}
+
+
+def test_required_records_and_trees(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    row = I.chunked_hash(df, F.col("sha256"), F.col("path")).first()
+    I.require_records(df, F.col("sha256"), F.col("path"), 2, row["records_sha256"])
+    with pytest.raises(ValueError):
+        I.require_records(df.limit(1), F.col("sha256"), F.col("path"), 2, row["records_sha256"])
+    other = spark.createDataFrame([("b", "3"), ("c", "4")], "path string, sha256 string")
+    assert {tuple(r) for r in I.tree_difference(df, other).collect()} == {("a", "missing"), ("c", "extra"), ("b", "changed")}
+    assert I.tree_difference(df, df).isEmpty()
+    assert [tuple(r) for r in I.unexpected(df, other, "path", "sha256").collect()] == [("b", "2", "3")]
+
+
+def test_base_records(spark):
+    specs = spark.createDataFrame([("count", "m", 7, ["p", "q"])], "task_family string, molecule_id string, question_seed bigint, properties array<string>")
+    row = B.base_record(specs, "sys", F.lit("how many?"), F.lit("{}")).first()
+    assert row["example_id"] == H.text_sha256("count\0m\x007") and row["multitask_load"] == 2
+    assert [tuple(m) for m in row["prompt"]] == [("system", "sys"), ("user", "how many?")]
+    assert tuple(B.longest_prompt(specs, F.size("properties")).first()) == (2, 1) and B.longest_prompt(specs.limit(0), F.size("properties")).first()[0] == 0
+
+
+def test_batch_arithmetic():
+    assert B.batch_arithmetic(4, 2, 3, 8) == {"generation_batch_size": 24, "unique_prompts_per_generation_batch": 3}
+    for bad in ((4, 2, 3, 7), (4, 2, 3, 1)):
+        with pytest.raises(ValueError):
+            B.batch_arithmetic(*bad)
+
+
+def test_generators_draw_by_row(spark):
+    specs = spark.createDataFrame([(i, i % 3) for i in range(12)], "attempt bigint, question_seed bigint")
+
+    def generator():
+        import random
+
+        return lambda spec: ({"x": random.random()}, None)
+
+    schema = T.StructType([T.StructField("x", T.DoubleType())])
+    rows = [B.generate(specs.repartition(n), generator, schema).orderBy("attempt").collect() for n in (1, 5)]
+    assert rows[0] == rows[1] and len({r["record"]["x"] for r in rows[0]}) == 3

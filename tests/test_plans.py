@@ -9,6 +9,7 @@ from ledgerlark.functions import text as X
 from ledgerlark.operators import evaluation as E
 from ledgerlark.operators import validation as V
 from ledgerlark.plans import bundle as B
+from ledgerlark.plans import protocol as P
 from ledgerlark.plans import report as R
 from ledgerlark.sinks import writers as K
 from ledgerlark.sources import config
@@ -85,6 +86,13 @@ def test_report(spark, tmp_path):
     R.publish(spark, observations(spark), overall, tmp_path / "report", baseline="base", labels=labels, replicates=50)
     rows = {n: list(csv.DictReader((tmp_path / "report" / n).open(newline=""))) for n in R.TABLES}
     assert [len(rows[n]) for n in R.TABLES] == [2, 6, 2, 4] and rows["overall.csv"][0]["model_label"] == "A"
+    assert list(rows["paired.csv"][0]) == ["model_key", "model_label", "scope", "n_documents", "avg_accuracy_delta", "ci95_lower", "ci95_upper", "bootstrap_replicates", "bootstrap_seed"]
+    assert {(r["model_label"], r["bootstrap_replicates"]) for r in rows["paired.csv"]} == {("A", "50")} and {r["n_documents"] for r in rows["paired.csv"]} == {"9", "3"}
+    log = spark.createDataFrame([("a", 1, 0.5), ("base", 2, None)], "model_key string, step bigint, loss double")
+    R.publish(spark, observations(spark), overall, tmp_path / "more", baseline="base", labels=labels, replicates=20, training=log)
+    assert (tmp_path / "more" / "training_metrics.csv").read_text().split("\n")[:2] == ["loss,model_key,step", "0.5,a,1"]
+    with pytest.raises(E.EvaluationError, match="missing"):
+        R.publish(spark, observations(spark), overall, tmp_path / "bad", baseline="base", labels=labels | {"b": "B"}, replicates=20)
     assert K.is_ready(tmp_path / "report", tmp_path / "report" / "manifest.json", "_COMPLETE")
     for bad in (observations(spark, drop=("a", "d1")), observations(spark).union(observations(spark).limit(1)), observations(spark, family="index")):
         with pytest.raises(E.EvaluationError):
@@ -101,3 +109,49 @@ def test_paths_and_names(spark, tmp_path):
     assert config.package_versions(["pyspark", "no-such-package"])["no-such-package"] is None
     df = spark.range(1).select(X.safe_name(F.lit("a b/c")), X.key_values(F.create_map(F.lit("b"), F.lit(2), F.lit("a"), F.lit(1))), X.is_sha256(F.lit("f" * 64)))
     assert tuple(df.first()) == ("a-b-c", "a=1,b=2", True)
+
+
+def manifest(**changes):
+    clean = dict.fromkeys(P.CLEAN, False)
+    return json.dumps({"official_task": "t", "seeds": [1, 2], "package_versions": {"b": "1", "a": "2"}, "limit": None} | clean | changes)
+
+
+def test_protocols(spark):
+    same = [("a", manifest()), ("b", manifest(package_versions={"a": "2", "b": "1"}, own="x"))]
+    runs = lambda rows: spark.createDataFrame(rows, "model_key string, manifest string")
+    P.require_one_protocol(runs(same), expected={"official_task": '"t"', "seeds": "[1,2]"})
+    for rows in ([*same, ("c", manifest(seeds=[2, 1]))], [("a", manifest(benchmark_used_for_training=True))], [("a", manifest(benchmark_used_for_training=None))]):
+        with pytest.raises(E.EvaluationError):
+            P.require_one_protocol(runs(rows))
+    with pytest.raises(E.EvaluationError):
+        P.require_one_protocol(runs(same), expected={"official_task": '"u"'})
+
+
+def test_model_bindings(spark):
+    registry = {"experiment_id": "e", "checkpoint_path": "/c", "task_family": "count"}
+    binding = {"kind": "trained", "task_family": "count", "dataset_artifact_id": "d", "dataset_records_sha256": "h", "frozen_config": {"path": "/f", "sha256": "1"}}
+    run = {"experiment_id": "e", "checkpoint_path": "/c", "checkpoint_identity": {"tree_sha256": "ab"}, "training_binding": binding}
+    completion = {"smoke_run": False, "experiment_id": "e", "task_family": "count", "dataset_artifact_id": "d", "dataset_records_sha256": "h", "final_model_identity": {"tree_sha256": "ab"}}
+    base = run | {"training_binding": {"kind": "baseline", "base_model_revision": "r"}}
+    assets = {"model_path": "/c", "model_identity": {"tree_sha256": "ab"}, "resolved_model_revision": "r"}
+    plain = {k: v for k, v in registry.items() if k != "task_family"}
+    cases = [
+        ("a", "ab", registry, run, completion, None, []),
+        ("b", "cd", registry, run, completion, None, ["checkpoint_identity", "final_model"]),
+        ("c", "ab", registry | {"task_family": "index"}, run, completion, None, ["task_family"]),
+        ("d", "ab", registry, run, completion | {"smoke_run": True}, None, ["completion"]),
+        ("e", "ab", registry, run | {"training_binding": binding | {"dataset_artifact_id": None}}, completion, None, ["dataset"]),
+        ("base", "ab", plain, base, None, assets, []),
+        ("base", "ab", registry, base, None, assets | {"resolved_model_revision": "s"}, ["completion", "kind"]),
+    ]
+    rows = [(m, t, *(None if x is None else json.dumps(x) for x in rest[:-1])) for m, t, *rest in cases]
+    df = spark.createDataFrame(rows, "model_key string, tree_sha256 string, registry string, manifest string, completion string, assets string")
+    assert [r["failed"] for r in P.failed_bindings(df, "base").collect()] == [c[-1] for c in cases]
+    files = P.bound_files(df.limit(1), ["frozen_config"]).collect()
+    assert [tuple(r) for r in files] == [("a", "frozen_config", "/f", "1")]
+
+
+def test_oracle_table(spark):
+    assert P.oracle_failures(spark).isEmpty()
+    wrong = P.oracle_failures(spark, evaluator=lambda *a: 1.0).collect()
+    assert {r["case"] for r in wrong} == {"count_wrong", "index_off_by_one"}
