@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons (general ones, and word and stem lists drawn from a bounded labelled sample by
-class-wise document frequency) and text patterns. A generative model with one hidden class per text
+class-wise document frequency), text patterns, and the labels of the sample. A generative model with one hidden class per text
 estimates by expectation maximisation how often each voter fires on either class, and from what the
 hidden class leaves unexplained how far voters go together; the log-odds of a voter count the less
 the more of its kind it goes with. A sparse linear classifier over words and stems is trained on the
@@ -191,7 +191,8 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     for i, found in enumerate(lists):
         votes[i, : len(voters)] = has[:, found].any(axis=1)
         votes[i, [len(voters) + h for h in hits[i]]] = 1
-    posterior, _, _ = label_model(votes[seen], prior)
+    # The labels vote too, as one more voter whose rates are estimated with those of the others.
+    posterior, _, _ = label_model(np.c_[votes[seen], y[seen]], prior)
 
     sparse = Rows([lists[i] for i in np.flatnonzero(seen)], len(places))
     w, bias = sparse_logistic(sparse, posterior, np.ones(len(posterior)), l1=L1)
