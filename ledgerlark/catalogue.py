@@ -180,14 +180,14 @@ def parse_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(F.col("reading.status").alias("status")).agg(F.count("*").alias("n"), F.count_if("reading.format_ok").alias("n_format_ok"))
 
 
-@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_id, status, CASE WHEN status = 'OK' THEN concat('{{"k":', CAST(json_extract(props, '$.k') AS BIGINT), '}}') END AS answer, format_ok FROM rollouts""")
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_id, status, CASE WHEN status = 'OK' THEN answer END AS answer, format_ok FROM rollouts""")
 def parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = C.read_completions(W.rollouts(spark, sf_dir), F.col("completion"), F.col("task_family"))
     return read.select("event_id", "reading.status", "reading.answer", "reading.format_ok")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.score(W.rollouts(spark, sf_dir), S.Weights(validity=0.0))
+    return S.score(W.rollouts(spark, sf_dir), evaluator=W.parity, validator=W.acceptable)
 
 
 @query(f"WITH {W.ROLLOUTS_SQL} SELECT event_id, status, correctness, format_reward, validity, round(total, 9) AS total FROM scored")
@@ -203,10 +203,10 @@ def component_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.component_means(_scored(spark, sf_dir), "event_type"), *names)
 
 
-@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_type, round(avg(CAST(status <> 'OK' AS INT)), 9) AS failure_fraction, 0.0e0 AS invalid_value_fraction,
-0.0e0 AS verifier_error_fraction, count(*) AS n FROM scored GROUP BY ALL""")
+@query(f"""WITH {W.ROLLOUTS_SQL} SELECT event_type, round(avg(CAST(status <> 'OK' AS INT)), 9) AS failure_fraction, round(avg(CAST(status = 'INVALID_SMILES' AS INT)), 9) AS invalid_value_fraction,
+round(avg(CAST(status = 'VERIFIER_ERROR' AS INT)), 9) AS verifier_error_fraction, count(*) AS n FROM scored GROUP BY ALL""")
 def failure_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.failure_fractions(_scored(spark, sf_dir), F.col("score.status"), "event_type"), "failure_fraction")
+    return _rounded(S.failure_fractions(_scored(spark, sf_dir), F.col("score.status"), "event_type"), "failure_fraction", "invalid_value_fraction", "verifier_error_fraction")
 
 
 @query(f"""WITH {W.ROLLOUTS_SQL}, c AS (SELECT example_id, trim(completion, concat(' ', chr(9), chr(10))) AS t, count(*) AS c FROM rollouts GROUP BY ALL)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.completions import constraint_value
 from ledgerlark.functions.hashing import prefix_id, sha256
+from ledgerlark.operators.scoring import exact_match
 
 MODELS = ("baseline", "cand_a", "cand_b", "cand_c")
 BASELINE = "baseline"
@@ -39,50 +43,78 @@ OBS_SQL = """obs AS (
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, example_id, event_type, task_family, task_type, completion, target_json,
-    constraints_json, props): one completion per event, in eight shapes by its id."""
+    constraints_json, props): one completion per event, of three families in eight shapes by its id."""
     shape, props = F.pmod("event_id", F.lit(8)), F.col("props")
-    block = F.concat(F.lit("<answer>"), props, F.lit("</answer>"))
+    turn, k = F.expr("event_id DIV 8 % 3"), F.get_json_object("props", "$.k")
+    number = F.pmod("event_id", F.lit(100)).cast("string")
+    by_turn = lambda count, index, constraint: F.when(turn == 0, count).when(turn == 1, index).otherwise(constraint)
+    answer = by_turn(props, F.concat(F.lit('{"k": ['), k, F.lit("]}")), F.concat(F.lit('{"Smiles": "C'), k, F.lit('"}')))
+    block = F.concat(F.lit("<answer>"), answer, F.lit("</answer>"))
     text = (
         F.when(shape == 0, F.concat(F.lit("Result: "), block))
-        .when(shape == 1, props)
-        .when(shape == 2, F.concat(F.lit("<answer>"), props))
+        .when(shape == 1, answer)
+        .when(shape == 2, F.concat(F.lit("<answer>"), answer))
         .when(shape == 3, F.concat(block, F.lit("\n"), block))
         .when(shape == 4, F.concat(block, F.lit('<answer>{"k": -1}</answer>')))
-        .when(shape == 5, F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+        .when(shape == 5, F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
         .when(shape == 6, F.lit(" \t "))
         .otherwise(F.lit('<answer>{"k": 1, "k": 1}</answer>'))
     )
+    constraint = F.concat(F.lit('[{"type":"k","operator":"=","value":'), F.pmod("event_id", F.lit(2)).cast("string"), F.lit("}]"))
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").alias("example_id"),
         "event_type",
-        F.lit("count").alias("task_family"),
-        F.lit("single_count").alias("task_type"),
+        by_turn(F.lit("count"), F.lit("index"), F.lit("constraint")).alias("task_family"),
+        by_turn(F.lit("single_count"), F.lit("single_index_identification"), F.lit("constraint_generation")).alias("task_type"),
         text.alias("completion"),
-        F.concat(F.lit('{"k":'), F.pmod("event_id", F.lit(100)).cast("string"), F.lit("}")).alias("target_json"),
-        F.lit("[]").alias("constraints_json"),
+        by_turn(F.concat(F.lit('{"k":'), number, F.lit("}")), F.concat(F.lit('{"k":['), number, F.lit("]}")), F.lit("{}")).alias("target_json"),
+        by_turn(F.lit("[]"), F.lit("[]"), constraint).alias("constraints_json"),
         "props",
     )
 
 
-ROLLOUTS_SQL = """rollouts AS (
-  SELECT event_id, user_id AS example_id, event_type, props, event_id % 8 AS shape,
+def parity(task_type: str, predicted: Any, expected: Any) -> float | dict[str, Any]:
+    """Evaluator of the rollouts: targets must be met exactly, constraints by the parity of the number of
+    the value; fewer constraints are supported where that number ends in 3."""
+    if task_type != "constraint_generation":
+        return exact_match(task_type, predicted, expected)
+    number = int(constraint_value(predicted)[1:])
+    return {"reward": float(number % 2 == expected[0]["value"]), "supported": 0 if number % 10 == 3 else 1, "total": 1}
+
+
+def acceptable(value: str) -> bool:
+    """Validator of the rollouts: numbers that 7 divides can't be judged, those that 5 divides are invalid."""
+    if int(value[1:]) % 7 == 0:
+        raise ValueError(value)
+    return int(value[1:]) % 5 != 0
+
+
+ROLLOUTS_SQL = """kinds AS (
+  SELECT event_id, user_id AS example_id, event_type, props, event_id % 8 AS shape, event_id // 8 % 3 AS turn, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
          CASE event_id % 8 WHEN 2 THEN 'MALFORMED' WHEN 4 THEN 'MULTIPLE_CONFLICTING_ANSWERS' WHEN 6 THEN 'EMPTY'
-              WHEN 7 THEN 'INVALID_JSON' ELSE 'OK' END AS status,
-         event_id % 8 = 0 AS format_ok,
-         CASE event_id % 8
-              WHEN 0 THEN concat('Result: <answer>', props, '</answer>') WHEN 1 THEN props WHEN 2 THEN concat('<answer>', props)
-              WHEN 3 THEN concat('<answer>', props, '</answer>', chr(10), '<answer>', props, '</answer>')
-              WHEN 4 THEN concat('<answer>', props, '</answer><answer>{"k": -1}</answer>')
-              WHEN 5 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 6 THEN concat(' ', chr(9), ' ')
-              ELSE '<answer>{"k": 1, "k": 1}</answer>' END AS completion,
-         CASE WHEN event_id % 8 IN (0, 1, 3, 5) AND CAST(json_extract(props, '$.k') AS BIGINT) = event_id % 100
-              THEN 1.0e0 ELSE 0.0e0 END AS correctness
-  FROM events
+              WHEN 7 THEN 'INVALID_JSON' ELSE 'OK' END AS status, event_id % 8 = 0 AS format_ok FROM events
+),
+answers AS (
+  SELECT *, CASE turn WHEN 0 THEN props WHEN 1 THEN concat('{"k": [', k, ']}') ELSE concat('{"Smiles": "C', k, '"}') END AS answer_text,
+         CASE turn WHEN 0 THEN concat('{"k":', k, '}') WHEN 1 THEN concat('{"k":[', k, ']}') ELSE concat('{"Smiles":"C', k, '"}') END AS answer FROM kinds
+),
+rollouts AS (
+  SELECT *, CASE shape
+              WHEN 0 THEN concat('Result: <answer>', answer_text, '</answer>') WHEN 1 THEN answer_text WHEN 2 THEN concat('<answer>', answer_text)
+              WHEN 3 THEN concat('<answer>', answer_text, '</answer>', chr(10), '<answer>', answer_text, '</answer>')
+              WHEN 4 THEN concat('<answer>', answer_text, '</answer><answer>{"k": -1}</answer>')
+              WHEN 5 THEN concat('```json', chr(10), answer_text, chr(10), '```') WHEN 6 THEN concat(' ', chr(9), ' ')
+              ELSE '<answer>{"k": 1, "k": 1}</answer>' END AS completion
+  FROM answers
+),
+judged AS (
+  SELECT * REPLACE (CASE WHEN status <> 'OK' OR turn < 2 THEN status WHEN k % 7 = 0 THEN 'SANITIZATION_FAILURE' WHEN k % 5 = 0 THEN 'INVALID_SMILES' ELSE status END AS status) FROM rollouts
 ),
 scored AS (
-  SELECT *, CASE WHEN format_ok THEN 1.0e0 ELSE 0.0e0 END AS format_reward, 0.0e0 AS validity,
-         correctness + 0.05e0 * CASE WHEN format_ok THEN 1.0e0 ELSE 0.0e0 END AS total FROM rollouts
+  SELECT *, correctness + 0.05e0 * format_reward + 0.05e0 * validity AS total FROM (
+    SELECT *, CASE WHEN status <> 'OK' THEN 0.0e0 WHEN turn < 2 AND k = event_id % 100 OR turn = 2 AND k % 2 = event_id % 2 AND k % 10 <> 3 THEN 1.0e0 ELSE 0.0e0 END AS correctness,
+           CASE WHEN status = 'OK' AND format_ok THEN 1.0e0 ELSE 0.0e0 END AS format_reward, CASE WHEN status = 'OK' AND turn = 2 THEN 1.0e0 ELSE 0.0e0 END AS validity FROM judged)
 )"""
 
 
