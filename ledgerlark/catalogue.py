@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from ledgerlark.operators import metric_log as M
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import validation as V
 from ledgerlark.plans import views as W
+from ledgerlark.sinks.writers import shared_folder
 from ledgerlark.streaming import metrics as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,8 +446,7 @@ def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream, one micro-batch after another; state and results are in the
     folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     schema = W.table(spark, sf_dir, "events").schema
     stream.follow(spark, f"{sf_dir}/events.parquet*", schema, f"{at}/sink", f"{at}/state").awaitTermination()
     return stream.totals(spark, f"{at}/sink")

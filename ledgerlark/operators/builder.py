@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.functions.hashing import composite_id, hash_draw
+from ledgerlark.sinks.writers import shared_folder
 
 #: Seeds of families are so far apart.
 FAMILY_STRIDE = 1009
@@ -125,10 +126,16 @@ def generate(specs: DataFrame, generator: Callable[[], Generator], record: T.Str
     return specs.mapInArrow(run, schema)
 
 
-def build_family(generated: DataFrame, target: int, *, order: str = "attempt") -> tuple[DataFrame, DataFrame]:
+def build_family(generated: DataFrame, target: int, *, order: str = "attempt", scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The first ``target`` records, and drop counts over all attempts; ShortfallError if there are too few.
 
-    ``orderBy`` with ``limit`` keeps ``target`` rows per task before they meet."""
+    Records are counted, written and their drops counted: they are generated once, and kept in ``scratch``,
+    a new folder that executors share. ``orderBy`` with ``limit`` keeps ``target`` rows per task before they
+    meet."""
+    spark = generated.sparkSession
+    scratch = scratch or shared_folder(spark, "generated")
+    generated.write.mode("errorifexists").parquet(scratch)
+    generated = spark.read.schema(generated.schema).parquet(scratch)
     kept = generated.where("record is not null").orderBy(order).limit(target)
     n = kept.count()
     if n < target:

@@ -6,6 +6,7 @@ import csv
 import json
 import os
 import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -13,7 +14,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.hashing import text_sha256
@@ -21,6 +22,17 @@ from ledgerlark.operators.integrity import tree_hash
 from ledgerlark.sources.readers import file_listing
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``. A session of one machine
+    that names none has it in its temporary folder; any other must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_dataset(df: DataFrame, path: str, *partition_by: str) -> None:
     """A Parquet dataset; an existing one is an error. Reads of one family prune the others if it is
     partitioned by family."""
@@ -98,7 +110,8 @@ def is_ready(folder: str | Path, manifest: str | Path, name: str = "_READY") ->
 
 @contextmanager
 def published(target: str | Path) -> Iterator[Path]:
-    """A hidden folder beside the target that becomes the target if all goes well, else is removed."""
+    """A hidden folder beside the target that becomes the target if all goes well, else is removed. On a
+    cluster the target is on a file system that driver and executors mount alike."""
     target = Path(target)
     if target.exists():
         raise FileExistsError(target)

@@ -24,6 +24,10 @@ SAMPLE = T.StructType(
 IGNORED = (".git", "__pycache__", ".pytest_cache", ".cache")
 
 
+#: Files of so many bytes don't become one value.
+LARGE = 1 << 28
+
+
 class SourceError(ValueError):
     """A source that can't be read as what it should be."""
 
@@ -75,13 +79,14 @@ def pool(spark: SparkSession, path: str) -> DataFrame:
 def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORED) -> DataFrame:
     """(path below the folder, size_bytes, sha256) of every file whose path has no ignored part.
 
-    Contents are hashed where they are read. The file sources leave out empty files and names with a
-    leading dot or underscore, as markers have them: those are hashed by the driver, as streams.
+    Contents are hashed where they are read, whole files of less than LARGE bytes as one value. Larger ones
+    are streamed through the driver, and so are those that the file sources leave out: empty files and
+    names with a leading dot or underscore, as markers have them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
-    listed = files.where("length > 0").select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
+    listed = files.where((F.col("length") > 0) & (F.col("length") < LARGE)).select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(base)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -89,7 +94,7 @@ def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORE
     while found.hasNext():
         status = found.next()
         name = status.getPath().toString().split(f"{base}/", 1)[1]
-        if status.getLen() == 0 or any(p[0] in "._" for p in name.split("/")):
+        if not 0 < status.getLen() < LARGE or any(p[0] in "._" for p in name.split("/")):
             stream = fs.open(status.getPath())
             rest.append((name, status.getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
             stream.close()

@@ -184,3 +184,11 @@ def test_yaml_and_stamps(tmp_path):
         K.write_yaml(tmp_path / "c.yaml", {})
     assert (tmp_path / "c.yaml").read_text().index('a') < (tmp_path / "c.yaml").read_text().index('b')
     assert re.fullmatch(r"\d{8}T\d{6}Z", K.stamp()) and K.utc_now().endswith("+00:00")
+
+
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    (tmp_path / "small").write_bytes(b"x" * 10)
+    (tmp_path / "large").write_bytes(b"y" * 5000)
+    want = {tuple(r) for r in R.file_listing(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(R, "LARGE", 1000)
+    assert {tuple(r) for r in R.file_listing(spark, str(tmp_path)).collect()} == want and len(want) == 2
