@@ -100,6 +100,17 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.place(docs.limit(0), tree).count() == 0
 
 
+def test_very_long_texts_are_placed_and_scored(spark):
+    docs, labels = labelled(spark, 60)
+    long = LONG * 5 + "é"
+    more = frame(spark, [long, long], [900, 900])
+    rows = sharding.place(more, sharding.even_tree(16)).collect()
+    assert {r["size"] for r in rows} == {len(long.encode()) + 1} and sorted(r["slot"] for r in rows) == [0, 1]
+    machine = quality.train(docs, labels)
+    scores = [r["quality"] for r in quality.score_documents(more.withColumn("quality", F.lit("x")), machine).collect()]
+    assert len(scores) == 2 and scores[0] == scores[1] and 0 <= scores[0] <= 1
+
+
 def test_weights_move_keys_only_in_their_subtrees(spark):
     tree = sharding.even_tree(16)
     heavier = (sharding.Region("r0", (sharding.Rack("k0", ((0, 3), (1, 1), (2, 1), (3, 0))), tree[0].racks[1])), tree[1])

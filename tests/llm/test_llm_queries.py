@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from oracle import connection, spark_rows, sql_rows
 
-from ledgerlark.llm import quality, registry, toxicity
+from ledgerlark.llm import license_scan, quality, registry, sharding, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,51 @@ def test_nearest_as_brute_force(spark, con, sf_dir):
     assert np.mean(hits) >= 0.9
 
 
+def drawn(children, key):
+    """Position of the child (name, weight, position) with the largest weighted draw, the first of equal ones."""
+    draws = [(np.log((int(hashlib.md5(f"{name}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w, -i) for name, w, i in children if w > 0]
+    return -max(draws)[1]
+
+
+def descended(tree, key):
+    region = tree[drawn([(r.name, r.weight, i) for i, r in enumerate(tree)], key)]
+    rack = region.racks[drawn([(f"{region.name}/{k.name}", k.weight, i) for i, k in enumerate(region.racks)], key)]
+    return drawn([(f"{region.name}/{rack.name}/{s}", w, s) for s, w in rack.shards], key)
+
+
+def test_shards_as_a_plain_version(spark, sf_dir, con):
+    tree = sharding.even_tree(sharding.SHARDS)
+    grown = sharding.grow(tree)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_sharding"](spark, sf_dir).collect()}
+    slots = {}
+    for doc_id, text in documents(con):
+        r, raw = got[doc_id], (text or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (descended(tree, str(doc_id)), descended(grown, str(doc_id)))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(got)
+
+
+def test_licence_labels_and_scores_as_a_plain_version(spark, sf_dir, con):
+    """Labels beyond the base ones, and the score: notices by a plain search of words, tags by their expressions."""
+    got = {r["doc_id"]: r for r in registry.QUERIES["op4_license_scan"](spark, sf_dir).collect()}
+    for doc_id, text in documents(con):
+        w, labels, free = words(text), set(), []
+        for phrase, label in (license_scan.BASE_PHRASES | license_scan.NOTICE_PHRASES).items():
+            p = phrase.split()
+            if any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1)):
+                labels.add(label)
+                free.append(license_scan.FREEDOM[label])
+        for m in license_scan._TAG.finditer(text or ""):
+            if tokens := license_scan.postfix(m[1]):
+                found, score = license_scan.evaluate(tokens)
+                labels |= found
+                free.append(score)
+        r = got[doc_id]
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(labels)) and r["score"] == min(free, default=0.0)
+
+
 def test_licence_places(spark, sf_dir, con):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     got = {r["doc_id"]: r for r in registry.QUERIES["op4_license_scan"](spark, sf_dir).collect()}
