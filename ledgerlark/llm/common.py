@@ -43,6 +43,19 @@ def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of one Arrow batch of texts. What a worker makes of a batch is several times as large, and the
+#: bound that Spark has by itself, 64 MB, is held by the executor and its worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Bound Arrow batches of the session by BATCH_BYTES, unless it has a bound of its own. Rows that are
+    larger go one by one; how many rows a batch may hold stays as it is."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64MB"):
+        conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents_of, fresh, materialise, raw_texts, table, words_of
+from ledgerlark.llm.common import bound_batches, documents_of, fresh, materialise, raw_texts, table, words_of
 
 WIDTH = 10
 #: Windows of one block, about: tables of 100 MB in each worker.
@@ -212,6 +212,7 @@ def find_windows(
     empty benchmark hits nothing. Columns of ``documents`` other than ``text`` stay as they are,
     whatever their names; a column ``to`` is replaced.
     """
+    bound_batches(documents)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
     pieces = items.mapInArrow(_cut(width), "item string, words binary, windows bigint")
     total = pieces.agg(F.sum("windows")).first()[0] or 0

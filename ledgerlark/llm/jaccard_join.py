@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents_of, fresh, materialise
+from ledgerlark.llm.common import bound_batches, documents_of, fresh, materialise
 from ledgerlark.llm.components import components
 
 SHINGLE = 5
@@ -535,6 +535,7 @@ def similar_groups(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     each returned. Other columns are not read; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    bound_batches(documents)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sized = docs.select("doc_id", _sized(NUMBER_BITS)(F.col("text")).alias("s")).select("doc_id", "s.n", "s.name", "s.node", "s.sketch")
     sized = materialise(sized)
