@@ -16,8 +16,10 @@ from ledgerlark.operators import integrity as I
 from ledgerlark.operators import metric_log as M
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import validation as V
+from ledgerlark.plans import protocol as P
 from ledgerlark.plans import views as W
 from ledgerlark.sinks.writers import shared_folder
+from ledgerlark.sources.readers import comma_rows
 from ledgerlark.streaming import metrics as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,3 +453,124 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.follow(spark, f"{sf_dir}/events.parquet*", schema, f"{at}/sink", f"{at}/state").awaitTermination()
     return stream.totals(spark, f"{at}/sink")
 
+
+
+# Contracts, identities and expectations
+
+
+@query("""WITH want AS (SELECT doc_id, text FROM documents WHERE doc_id % 19 <> 0),
+seen AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN concat(text, '!') ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 17 = 0 AND doc_id % 11 <> 0),
+s AS (SELECT doc_id, count(*) AS n, min(text) AS t FROM seen GROUP BY ALL)
+SELECT coalesce(w.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'extra' WHEN n > 1 THEN 'repeated' ELSE 'changed' END AS state
+FROM want w FULL JOIN s ON w.doc_id = s.doc_id WHERE s.doc_id IS NULL OR w.doc_id IS NULL OR n > 1 OR t <> text""")
+def evaluated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were not evaluated just once and unchanged."""
+    docs = W.table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = docs.where("doc_id % 11 <> 0")
+    seen = kept.withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).unionByName(kept.where("doc_id % 17 = 0"))
+    return I.evaluated_documents(seen, docs.where("doc_id % 19 <> 0"), "doc_id", F.col("text"))
+
+
+@query("""SELECT n_nationkey, sha256(concat('{"n_name":"', n_name, '","n_nationkey":', n_nationkey, ',"n_regionkey":', n_regionkey, ',"nothing":null}')) AS record_sha256 FROM nation""")
+def records_without_bookkeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.table(spark, sf_dir, "nation").withColumns({"position": F.monotonically_increasing_id(), "nothing": F.lit(None).cast("string")})
+    return I.hashed_without(rows, "position").select("n_nationkey", "record_sha256")
+
+
+@query("""WITH l AS (SELECT p_partkey AS path, p_brand AS c FROM part WHERE p_size <= 40), r AS (SELECT p_partkey AS path, CASE WHEN p_size % 5 = 0 THEN 'x' ELSE p_brand END AS c FROM part WHERE p_size >= 10)
+SELECT coalesce(l.path, r.path) AS path, CASE WHEN r.path IS NULL THEN 'missing' WHEN l.path IS NULL THEN 'extra' ELSE 'changed' END AS state
+FROM l FULL JOIN r ON l.path = r.path WHERE l.path IS NULL OR r.path IS NULL OR l.c <> r.c""")
+def tree_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = W.table(spark, sf_dir, "part")
+    brand = F.when(F.col("p_size") % 5 == 0, "x").otherwise(F.col("p_brand"))
+    left = part.where("p_size <= 40").select(F.col("p_partkey").alias("path"), H.sha256(F.col("p_brand")).alias("sha256"))
+    return I.tree_difference(left, part.where("p_size >= 10").select(F.col("p_partkey").alias("path"), H.sha256(brand).alias("sha256")))
+
+
+@query("""WITH m AS (SELECT event_id, sha256(concat(CAST(json_extract(props, '$.k') AS VARCHAR), chr(0), CASE WHEN event_id % 2 = 0 THEN '{"a":1,"b":[2]}' ELSE 'null' END, chr(0))) AS protocol_sha256, event_id % 5 <> 0 AND event_id % 7 <> 0 AS clean FROM events)
+SELECT protocol_sha256, clean, count(*) AS n FROM m GROUP BY ALL""")
+def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests whose fields differ in order and spacing only have one protocol; flags must be told to be false."""
+    flag = F.when(F.col("event_id") % 5 == 0, "true").when(F.col("event_id") % 7 == 0, "null").otherwise("false")
+    more = F.when(F.col("event_id") % 4 == 0, ', "s": {"b": [2], "a": 1}').when(F.col("event_id") % 4 == 2, ', "s": {"a":1,"b":[2]}').when(F.col("event_id") % 4 == 1, ', "s": null').otherwise("")
+    manifest = F.concat(F.lit('{"used": '), flag, F.lit(', "k": '), F.get_json_object("props", "$.k"), more, F.lit("}"))
+    runs = W.table(spark, sf_dir, "events").select("event_id", manifest.alias("manifest"))
+    return P.protocols(runs, fields=("k", "s"), flags=("used",)).groupBy("protocol_sha256", "clean").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, sha256(concat_ws(chr(0), 'count', user_id, event_id)) AS example_id, 2 AS messages, 3 AS multitask_load FROM events""")
+def base_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = W.table(spark, sf_dir, "events").select("event_id", F.lit("count").alias("task_family"), F.col("user_id").alias("molecule_id"), F.col("event_id").alias("question_seed"), F.array(*map(F.lit, "abc")).alias("properties"))
+    rows = B.base_record(specs, "answer in json", F.concat(F.lit("how many in "), F.col("molecule_id").cast("string")), F.lit("{}"))
+    return rows.where(X.prompt_contract(F.col("prompt"), F.lit("answer in json"))).select("event_id", "example_id", F.size("prompt").alias("messages"), "multitask_load")
+
+
+@query(f"""WITH {_PROMPTS_SQL} SELECT max(length(array_to_string(list_transform(prompt, lambda m: m.content), chr(10)))) AS max_prompt_tokens, count(*) AS n FROM p""")
+def longest_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest prompt, a character being a token."""
+    found = B.longest_prompt(W.prompts(spark, sf_dir), F.length(X.prompt_text(F.col("prompt"))))
+    return found.select(F.col("max_prompt_tokens").cast("bigint").alias("max_prompt_tokens"), "n")
+
+
+@query("SELECT * FROM (VALUES ('count_wrong', 0.0e0, 1.0e0, false), ('index_off_by_one', 0.0e0, 1.0e0, false)) v(\"case\", expected, got, failed)")
+def reward_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases that an evaluator which grants everything gets wrong."""
+    return P.oracle_failures(spark, evaluator=W.generous)
+
+
+_NAMES_SQL = "CASE o_orderkey % 4 WHEN 0 THEN concat('checkpoint-', o_orderkey) WHEN 1 THEN sha256(o_orderstatus) WHEN 2 THEN substr(sha256(o_orderpriority), 1, 40) ELSE concat(o_orderpriority, '/', o_orderkey) END"
+
+
+@query(f"""WITH n AS (SELECT {_NAMES_SQL} AS t FROM orders) SELECT count_if(regexp_full_match(t, '[0-9a-f]{{64}}')) AS sha256, count_if(regexp_full_match(t, '[0-9a-f]{{40}}')) AS "commit",
+count_if(regexp_full_match(t, 'checkpoint-[0-9]+')) AS checkpoint, count_if(regexp_full_match(t, '[A-Za-z0-9][A-Za-z0-9._-]*')) AS run, count(*) AS n FROM n""")
+def identifier_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    name = F.when(kind == 0, F.concat(F.lit("checkpoint-"), key)).when(kind == 1, H.sha256(F.col("o_orderstatus"))).when(kind == 2, H.prefix_id(F.col("o_orderpriority"), 40)).otherwise(F.concat("o_orderpriority", F.lit("/"), key))
+    formats = {"sha256": X.SHA256, "commit": X.COMMIT, "checkpoint": X.CHECKPOINT, "run": X.RUN}
+    return W.table(spark, sf_dir, "orders").agg(*[F.count_if(X.is_named(name, p)).alias(n) for n, p in formats.items()], F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus, want AS expected FROM (SELECT o_orderkey, o_orderpriority AS k, o_orderstatus FROM orders) JOIN (SELECT o_orderpriority AS k, min(o_orderstatus) AS want FROM orders GROUP BY ALL) USING (k)
+WHERE o_orderstatus <> want AND k LIKE '1%'""")
+def unexpected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose status isn't the one expected of their priority."""
+    orders = W.table(spark, sf_dir, "orders")
+    want = orders.where("o_orderpriority like '1%'").groupBy("o_orderpriority").agg(F.min("o_orderstatus").alias("o_orderstatus"))
+    keyed = orders.where("o_orderpriority like '1%'").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    expected = keyed.join(F.broadcast(want.withColumnRenamed("o_orderstatus", "w")), "o_orderpriority").select("o_orderkey", F.col("w").alias("o_orderstatus"))
+    return I.unexpected(keyed, expected, "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS number, concat('rest, ', n_nationkey) AS more FROM nation""")
+def command_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of comma-separated text of each region, back to rows."""
+    line = F.concat("n_name", F.lit(" , "), F.col("n_nationkey").cast("string"), F.lit(",rest, "), F.col("n_nationkey").cast("string"))
+    texts = W.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.array_join(F.collect_list(line), "\n"), F.lit("\n \n")).alias("t"))
+    return texts.select("n_regionkey", F.inline(comma_rows(F.col("t"), ("name", "number", "more"))))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity / 40 BETWEEN 0 AND 1 AND l_discount BETWEEN 0 AND 1 AND l_tax BETWEEN 0 AND 1 THEN l_quantity / 40 + 0.05e0 * l_discount + 0.05e0 * l_tax ELSE 0 END, 9) AS total,
+CASE WHEN l_quantity / 4 = floor(l_quantity / 4) THEN CAST(CAST(l_quantity / 4 AS BIGINT) AS VARCHAR) ELSE CAST(l_quantity / 4 AS VARCHAR) END AS quarter FROM lineitem""")
+def weighted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quarter = F.col("l_quantity") / 4
+    total = S.weighted_total(F.col("l_quantity") / 40, F.col("l_discount"), F.col("l_tax"))
+    return _rounded(W.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", total.alias("total"), X.whole_if_integral(quarter).alias("quarter")), "total")
+
+
+@query("SELECT l_orderkey, bool_or(l_discount > 0) AS holds FROM lineitem GROUP BY ALL")
+def positive_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = W.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("v"))
+    return values.select("l_orderkey", V.positive_constraint(F.col("v")).alias("holds"))
+
+
+#: Rules that each mutation of a record breaks.
+_BROKEN = {
+    1: ("identity",), 2: ("targets",), 3: ("targets",), 4: ("load",), 5: ("complexity",), 6: ("metadata_type", "task_type"), 7: ("family",), 8: ("prompt",),
+    9: ("target_leak",), 10: ("identity", "json", "key_names", "metadata_type"), 11: ("example_id",), 12: ("key_names",), 13: ("source",),
+}
+
+
+@query(f"""SELECT rule, count(*) AS n FROM events JOIN (VALUES {', '.join(f"({m}, '{rule}')" for m, rules in _BROKEN.items() for rule in rules)}) b(m, rule) ON event_id % 14 = m GROUP BY ALL""")
+def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of count records, each of which is changed in one of thirteen ways, or in none."""
+    return V.violation_counts(W.records(spark, sf_dir), V.record_rules("count", W.SYSTEM_TEXT, ("validation",)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.completions import constraint_value
@@ -118,6 +118,48 @@ scored AS (
 )"""
 
 
+def generous(task_type: str, predicted: Any, expected: Any) -> float:
+    """An evaluator that grants everything."""
+    return 1.0
+
+
+SYSTEM_TEXT = "answer in json"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen records of the count family, one per event, changed in the way that its id modulo 14 tells."""
+    m, user = F.pmod("event_id", F.lit(14)), F.col("user_id").cast("string")
+    changed = lambda plain, **ways: _changed(m, plain, ways)
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    target = F.concat(F.lit('{"ring_count":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    asked = F.concat(F.lit("how many rings in "), user)
+    prompt = F.array(message("system", F.lit(SYSTEM_TEXT)), message("user", F.when(m == 9, F.concat(asked, target)).otherwise(asked)))
+    meta = F.concat(F.lit('{"task_type":"single_count","smiles":"'), user, F.lit('","properties":["ring"],"key_names":["'), F.when(m == 12, "other").otherwise("ring_count"), F.lit('"]}'))
+    return table(spark, sf_dir, "events").select(
+        changed(F.concat(F.lit("e"), F.col("event_id").cast("string")), _11=F.lit("")).alias("example_id"),
+        changed(prefix_id(user), _1=F.lit("0" * 24)).alias("molecule_id"),
+        changed(F.lit("count"), _7=F.lit("index")).alias("task_family"),
+        changed(F.lit("single_count"), _6=F.lit("constraint_generation")).alias("task_type"),
+        F.when(m == 8, F.slice(prompt, 2, 1)).otherwise(prompt).alias("prompt"),
+        changed(target, _2=F.lit('{"ring_count":-1}'), _3=F.lit('{"ring_count":true}')).alias("target_json"),
+        F.lit("[]").alias("constraints_json"),
+        F.lit("").alias("reference_smiles"),
+        changed(meta, _10=F.lit("{")).alias("metadata_json"),
+        changed(F.lit(6.0), _5=F.lit(float("nan"))).alias("molecular_complexity"),
+        changed(F.lit(1), _4=F.lit(2)).alias("multitask_load"),
+        F.col("event_id").alias("question_seed"),
+        changed(F.lit("r1"), _13=F.lit("my-Validation-set")).alias("source_dataset_revision"),
+        F.lit("g1").alias("generator_revision"),
+        F.lit("h").alias("preprocessing_config_hash"),
+    )
+
+
+def _changed(m: Column, plain: Column, ways: dict[str, Column]) -> Column:
+    for way, value in ways.items():
+        plain = F.when(m == int(way[1:]), value).otherwise(plain)
+    return plain
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, prompt): the messages of each conversation in order."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
