@@ -232,10 +232,10 @@ def op8_sql() -> str:
     model = default_model()
     features = feature_sql(model.rates, model.default, "duckdb")
     return f"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages),
-r AS (SELECT page_id, url, CASE WHEN at > 0 THEN url[at + 3 :] ELSE '' END AS rest FROM u),
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+r AS (SELECT page_id, url, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT page_id, url, split_part(split_part(split_part(rest, '/', 1), '?', 1), '#', 1) AS raw, rest FROM r),
-p AS (SELECT page_id, url, translate(raw, '{_UP}', '{_LOW}') AS host, split_part(split_part(rest[length(raw) + 1 :], '?', 1), '#', 1) AS path FROM h),
+p AS (SELECT page_id, url, translate(raw, '{_UP}', '{_LOW}') AS host, split_part(split_part(substr(rest, length(raw) + 1), '?', 1), '#', 1) AS path FROM h),
 t AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
       ('block', 'net', '/es/'), ('block', 'net', '/fr/')) v(verdict, rule_host, rule_path)),
 m AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS said
