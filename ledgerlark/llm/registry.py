@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import ann, bpe, decontaminate, jaccard_join, license_scan, pii, quality, sharding, toxicity, url_filter
+from ledgerlark.llm import ann, bpe, decontaminate, fim, jaccard_join, license_scan, periodic, pii, quality, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_fim": fim.op11_fim,
+    "op13_periodic": periodic.op13_periodic,
 }
 
 _SQL: dict[str, Callable[[], str]] = {
@@ -26,6 +28,7 @@ _SQL: dict[str, Callable[[], str]] = {
     "op2_sharding": lambda: sharding.OP2_SQL,
     "op8_url_filter": url_filter.op8_sql,
     "op10_jaccard_join": lambda: jaccard_join.OP10_SQL,
+    "op11_fim": lambda: fim.OP11_SQL,
 }
 
 
