@@ -200,8 +200,8 @@ def find_runs(documents: DataFrame, *, text: str = "text", to: str = "periodic")
 
 def longest(runs: Column) -> Column:
     """The run of greatest length, of these the first; null if there is none."""
-    key = F.transform(runs, lambda r: F.struct(-r["length"], r["start"], r["period"], r))
-    return F.get(F.array_sort(key), F.lit(0)).getField("r")
+    key = F.transform(runs, lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"), r.alias("run")))
+    return F.get(F.array_sort(key), F.lit(0))["run"]
 
 
 def looped(text: Column, key: Column) -> Column:
@@ -216,7 +216,7 @@ def looped(text: Column, key: Column) -> Column:
     # Whole copies of the period follow one another, and a part of it at the end.
     rest = (n - a).cast("int")
     period = F.slice(words, a.cast("int") + 1, p.cast("int"))
-    times = F.floor((rest - 1) / p).cast("int") + 1
+    times = F.floor((rest + p - 1) / p).cast("int")
     tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), rest)
     made = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
     return F.when((h % 10 == 0) & (n > 0), made).otherwise(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import ann, bpe, decontaminate, fim, jaccard_join, license_scan, periodic, pii, quality, sharding, toxicity, url_filter
+from ledgerlark.llm import ann, bpe, decontaminate, fim, jaccard_join, license_scan, periodic, pii, quality, secrets, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": bpe.op9_bpe,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_fim": fim.op11_fim,
+    "op12_secrets": secrets.op12_secrets,
     "op13_periodic": periodic.op13_periodic,
 }
 
