@@ -239,3 +239,32 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
     )
+
+
+#: DuckDB has no CRC-32, so it is folded over the bytes by the table of its polynomial. Words that are equal
+#: and up to a quarter of the text apart are paired; neighbouring pairs of one distance make a stretch.
+OP13_SQL = r"""WITH RECURSIVE steps AS (
+  SELECT n, n AS v, 0 AS i FROM (SELECT unnest(generate_series(0, 255)) AS n)
+  UNION ALL
+  SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM steps WHERE i < 8
+),
+t AS MATERIALIZED (SELECT list(CAST(v AS BIGINT) ORDER BY n) AS crc FROM steps WHERE i = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS x,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT r, doc_id, ws, CAST(len(ws) AS BIGINT) AS n,
+  xor(list_reduce(list_transform(generate_series(1, length(x) // 2), lambda i: CAST(concat('0x', substring(x, CAST(2 * i - 1 AS BIGINT), 2)) AS BIGINT)),
+                  lambda a, b: xor(a >> 8, crc[CAST((xor(a, b) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM d, t),
+a AS (SELECT r, ws, n, h, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM h),
+p AS (SELECT r, ws, n, a, h % 10 = 0 AS looped, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS MATERIALIZED (SELECT r, n, i, CASE WHEN looped AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM p, unnest(range(n)) AS u(i)),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+numbered AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same),
+stretch AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM numbered GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM stretch GROUP BY r, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS collapsed FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = w.r AND w.i >= u.start + u.period AND w.i < u.start + u.length) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""

@@ -30,6 +30,8 @@ _SQL: dict[str, Callable[[], str]] = {
     "op8_url_filter": url_filter.op8_sql,
     "op10_jaccard_join": lambda: jaccard_join.OP10_SQL,
     "op11_fim": lambda: fim.OP11_SQL,
+    "op12_secrets": lambda: secrets.OP12_SQL,
+    "op13_periodic": lambda: periodic.OP13_SQL,
 }
 
 

@@ -61,7 +61,7 @@ FORMATS = {
 #: Opaque strings hold digits and letters of both cases, nothing of a name or path, and no words.
 OPAQUE = "[A-Za-z0-9_+/-]{20,}={0,2}"
 OPAQUE_HAS = ("[0-9]", "[a-z]", "[A-Z]")
-OPAQUE_LACKS = "[a-z]{8}|[A-Z]{8}|//|/[a-z]{4}|[0-9]{12}"
+OPAQUE_LACKS = "[a-z]{8}|[A-Z]{8}|(?:[A-Z][a-z]{3,}){2}|[a-z]{4}_|_[a-z]{4}|//|/[a-z]{4}|[0-9]{12}"
 #: What a made-up value holds, in lower case.
 MADE_UP = ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "your", "xxxx", "12345678", "abcdefgh", "00000000", "ffffffff")
 
@@ -205,3 +205,48 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("secrets.spans").alias("spans"),
         *[count("verdict", v).alias(f"n_{v}") for v in ("live", "copied", "placeholder")],
     )
+
+
+def _op12_sql() -> str:
+    """Matches are marked, and their places are the lengths of what stands before them."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def spans(group: int, pattern: str) -> str:
+        return f"""SELECT r, {group} AS grp, first, split_part(piece, chr(57345), 1) AS match FROM (
+    SELECT r, k, piece, coalesce(sum(length(replace(piece, chr(57345), ''))) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (
+      SELECT r, generate_subscripts(pieces, 1) AS k, unnest(pieces) AS piece FROM (
+        SELECT r, string_split(regexp_replace(t, {quoted(pattern)}, concat(chr(57344), '\\0', chr(57345)), 'g'), chr(57344)) AS pieces FROM d WHERE regexp_matches(t, {quoted(pattern)})))) WHERE k > 1"""
+
+    patterns = (ASSIGN, ACCESS, HEX, PEM, USERINFO, BEARER, TOKEN)
+    matches = "\n  UNION ALL ".join(spans(g, p) for g, p in enumerate(patterns))
+    formats = " ".join(f"WHEN regexp_full_match(value, {quoted(x)}) THEN {KINDS.index(k)}" for k, x in FORMATS.items())
+    has = " AND ".join(f"regexp_matches(value, {quoted(x)})" for x in OPAQUE_HAS)
+    made_up = " OR ".join(f"contains(lower(value), {quoted(x)})" for x in MADE_UP)
+    names = "[" + ", ".join(map(quoted, KINDS)) + "]"
+    listed = f"concat({names}[rank + 1], ':', first, ':', past)"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source AS owner, concat_ws('/', source, coalesce(lang, '?')) AS repository, coalesce(text, '') AS t FROM documents),
+m AS (
+  {matches}
+),
+v AS (SELECT r, grp, CAST(first AS BIGINT) AS first, match,
+  CASE grp WHEN 0 THEN regexp_extract(match, {quoted(ASSIGN)}, 2) WHEN 4 THEN regexp_extract(match, {quoted(USERINFO)}, 1) WHEN 5 THEN regexp_extract(match, {quoted(BEARER)}, 1)
+    WHEN 6 THEN rtrim(match, '.-') ELSE match END AS value FROM m),
+k AS MATERIALIZED (SELECT r, grp, first, first + length(CASE WHEN grp = 6 THEN value ELSE match END) AS past, value,
+  CASE WHEN grp < 6 THEN grp {formats}
+    WHEN regexp_full_match(value, {quoted(OPAQUE)}) AND {has} AND NOT regexp_matches(value, {quoted(OPAQUE_LACKS)}) THEN {KINDS.index("opaque")} END AS rank
+  FROM v WHERE NOT (grp = 0 AND length(value) < 8) AND NOT (grp = 1 AND length(value) < 16)),
+c AS MATERIALIZED (SELECT *, NOT ({made_up}) AND round(list_aggregate(string_split(value, ''), 'entropy'), 9) >= least({LEAST_ENTROPY}, 0.7 * log2(length(value))) AS random FROM k x
+  WHERE rank IS NOT NULL AND NOT (grp > 2 AND EXISTS (SELECT 1 FROM k y WHERE y.rank IS NOT NULL AND y.r = x.r AND y.grp < x.grp AND y.first < x.past AND y.past > x.first))),
+f AS (SELECT value, count(DISTINCT {{'o': owner}}) AS n_owners, count(DISTINCT {{'o': owner, 'p': repository}}) AS n_repositories FROM c JOIN d USING (r) GROUP BY value),
+j AS (SELECT r, rank, first, past, CASE WHEN NOT random THEN 'placeholder' WHEN n_owners > {MOST_OWNERS} OR n_repositories > {MOST_REPOSITORIES} THEN 'copied' ELSE 'live' END AS verdict FROM c JOIN f USING (value)),
+s AS (SELECT r, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(BASE))},
+  {", ".join(f"count(*) FILTER (verdict = '{x}') AS n_{x}" for x in ("live", "copied", "placeholder"))},
+  string_agg({listed}, ',' ORDER BY first, rank) FILTER (rank < {len(BASE)}) AS base,
+  string_agg({listed}, ',' ORDER BY first, rank) FILTER (rank < {len(BASE)} OR verdict = 'live') AS spans FROM j GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in (*BASE, "live", "copied", "placeholder"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)"""
+
+
+OP12_SQL = _op12_sql()
