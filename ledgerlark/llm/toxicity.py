@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons (general ones, and word and stem lists drawn from a bounded labelled sample by
-class-wise document frequency), text patterns, and the labels of the sample. A generative model with one hidden class per text
+class-wise document frequency) and text patterns. A generative model with one hidden class per text
 estimates by expectation maximisation how often each voter fires on either class, and from what the
 hidden class leaves unexplained how far voters go together; the log-odds of a voter count the less
 the more of its kind it goes with. A sparse linear classifier over words and stems is trained on the
 posterior labels, and a part of the sample that it has not seen calibrates its score.
 
-What travels to the driver are counts of at most ``MOST_FEATURES`` words and stems and their places
-in at most ``MOST_LABELLED`` texts; what travels back is a table of weights.
+Labels choose the words of the lists, set the share of the hidden class to begin with, and calibrate;
+none is a vote, and none is a target of the classifier.
+
+What travels to the driver are the telling words and stems of at most ``MOST_LABELLED`` texts, whose
+number that bound holds, and their places in these texts; what travels back is a table of weights.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, table,
 from ledgerlark.llm.linear import Rows, fold, labelled_sample, platt, sigmoid, sparse_logistic
 
 MOST_LABELLED = 12_000
-MOST_FEATURES = 3_000
 #: A word or stem counts only if so many texts of the sample have it, and if its share of texts with
 #: label 1 is so many deviations from that of the sample.
 LEAST_TEXTS = 4
 LEAST_DEVIATIONS = 3.5
-#: It votes if its share of texts with label 1 is surely (by two and a half deviations) over this.
+#: It votes if its share of texts with label 1 is over this by so many deviations. How far a voter is to be
+#: trusted is for the label model to say, so the bar is low.
 LEAST_PRECISION = 0.5
+SURE = 1.0
 L1 = 3e-4
 STEMS = (4, 5)
 GROUPS = 6
@@ -102,10 +106,10 @@ def _vocabulary(sample: DataFrame) -> list[tuple[bytes, int, int]]:
     share = n1 / (n1 + n0)
     deviations = F.abs(a - (a + b) * share) / F.sqrt((a + b) * share * (1 - share))
     kept = counts.where((a + b >= LEAST_TEXTS) & (deviations >= LEAST_DEVIATIONS)).select("feature", "a", "b", F.round(gap, 9).alias("gap"))
-    return [(bytes(r[0]), r[1], r[2]) for r in kept.orderBy(F.desc("gap"), "feature").limit(MOST_FEATURES).collect()]
+    return [(bytes(r[0]), r[1], r[2]) for r in kept.orderBy(F.desc("gap"), "feature").collect()]
 
 
-def surely(a: int, n: int, z: float = 2.5) -> float:
+def surely(a: int, n: int, z: float = SURE) -> float:
     """Lower end of the Wilson interval of a share a / n."""
     p = a / n
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
@@ -139,8 +143,31 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
     return q, rates, corr
 
 
+def voters_of(chosen: list[tuple[bytes, int, int]], places: dict[bytes, int]) -> list[np.ndarray]:
+    """Places of the features of each voter: the general lexicons, and GROUPS lists each of the words and of
+    the stems that tell label 1."""
+    voters = [np.array([places[w] for w in words.encode().split()], dtype=np.int64) for words in LEXICONS.values()]
+    telling = [f for f, a, b in chosen if surely(a, a + b) > LEAST_PRECISION]
+    for stems in (False, True):
+        kind = [places[f] for f in telling if f.startswith(b"^") == stems]
+        voters += [np.array(kind[g::GROUPS], dtype=np.int64) for g in range(GROUPS) if kind[g::GROUPS]]
+    return voters
+
+
+def votes_of(lists: list[np.ndarray], hits: list[list[int]], voters: list[np.ndarray], width: int) -> np.ndarray:
+    """For each text, given by its features and pattern hits, which voters fire."""
+    has = np.zeros((len(voters), width), dtype=bool)
+    for v, members in enumerate(voters):
+        has[v, members] = True
+    votes = np.zeros((len(lists), len(voters) + len(PATTERNS)))
+    for i, (found, hit) in enumerate(zip(lists, hits, strict=True)):
+        votes[i, : len(voters)] = has[:, found].any(axis=1)
+        votes[i, [len(voters) + h for h in hit]] = 1
+    return votes
+
+
 def _placer(places: dict[bytes, int]):
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, hits = [], []
             for raw in raw_texts(batch.column("text")):
@@ -150,7 +177,7 @@ def _placer(places: dict[bytes, int]):
             columns = [batch.column("y"), batch.column("part"), pa.array(lists, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["y", "part", "places", "hits"])
 
-    return placed
+    return rows
 
 
 def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", learn: Column | None = None) -> Model:
@@ -161,41 +188,35 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_
     learn = fold(doc_id, FOLDS) != 0 if learn is None else learn
     sample = labelled_sample(documents, labels, label, learn, MOST_LABELLED, doc_id=doc_id, text=text)
     chosen = _vocabulary(sample)
-    places = {f: i for i, (f, _, _) in enumerate(chosen)}
-    general = {f"lexicon {k}": v.encode().split() for k, v in LEXICONS.items()}
-    for words in general.values():
-        for w in words:
-            places.setdefault(w, len(places))
+    places = placed(chosen)
     rows = sample.mapInArrow(_placer(places), "y int, part int, places array<int>, hits array<int>").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     part = rows.column("part").to_numpy()
     lists = [np.array(x, dtype=np.int64) for x in rows.column("places").to_pylist()]
     hits = rows.column("hits").to_pylist()
     order = sorted(range(len(y)), key=lambda i: (part[i], y[i], len(lists[i]), lists[i].tolist(), hits[i]))
-    y, part, lists, hits = y[order], part[order], [lists[i] for i in order], [hits[i] for i in order]
+    return fit(chosen, places, [lists[i] for i in order], [hits[i] for i in order], y[order], part[order])
+
+
+def placed(chosen: list[tuple[bytes, int, int]]) -> dict[bytes, int]:
+    """A place for every chosen feature and every word of the general lexicons."""
+    places = {f: i for i, (f, _, _) in enumerate(chosen)}
+    for words in LEXICONS.values():
+        for w in words.encode().split():
+            places.setdefault(w, len(places))
+    return places
+
+
+def fit(chosen: list[tuple[bytes, int, int]], places: dict[bytes, int], lists: list[np.ndarray], hits: list[list[int]], y: np.ndarray, part: np.ndarray) -> Model:
+    """The classifier of the posterior labels of parts 0 to 3, calibrated by the labels of part 4."""
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 9))))
     seen, calibrating = part != 4, part == 4
     prior = float(y[seen].mean()) if seen.any() else float(y.mean())
-
-    # Voters: general lexicons, patterns, and lists of telling words and of telling stems.
-    telling = [(f, i) for i, (f, a, b) in enumerate(chosen) if surely(a, a + b) > LEAST_PRECISION]
-    voters = [np.array([places[w] for w in words]) for words in general.values()]
-    for stems in (False, True):
-        kind = [i for f, i in telling if f.startswith(b"^") == stems]
-        voters += [np.array(kind[g::GROUPS], dtype=np.int64) for g in range(GROUPS) if kind[g::GROUPS]]
-    votes = np.zeros((len(y), len(voters) + len(PATTERNS)))
-    has = np.zeros((len(voters), len(places)), dtype=bool)
-    for v, members in enumerate(voters):
-        has[v, members] = True
-    for i, found in enumerate(lists):
-        votes[i, : len(voters)] = has[:, found].any(axis=1)
-        votes[i, [len(voters) + h for h in hits[i]]] = 1
-    # The labels vote too, as one more voter whose rates are estimated with those of the others.
-    posterior, _, _ = label_model(np.c_[votes[seen], y[seen]], prior)
-
-    sparse = Rows([lists[i] for i in np.flatnonzero(seen)], len(places))
-    w, bias = sparse_logistic(sparse, posterior, np.ones(len(posterior)), l1=L1)
+    learned = [lists[i] for i in np.flatnonzero(seen)]
+    votes = votes_of(learned, [hits[i] for i in np.flatnonzero(seen)], voters_of(chosen, places), len(places))
+    posterior, _, _ = label_model(votes, prior)
+    w, bias = sparse_logistic(Rows(learned, len(places)), posterior, np.ones(len(posterior)), l1=L1)
     rest = np.flatnonzero(calibrating) if len(set(y[calibrating])) == 2 else np.arange(len(y))
     raw = Rows([lists[i] for i in rest], len(places)).dot(w) + bias
     scale, offset = platt(raw, y[rest])
