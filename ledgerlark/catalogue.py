@@ -20,6 +20,7 @@ from ledgerlark.plans import protocol as P
 from ledgerlark.plans import views as W
 from ledgerlark.sinks.writers import shared_folder
 from ledgerlark.sources.readers import comma_rows
+from ledgerlark.streaming import groups, runs
 from ledgerlark.streaming import metrics as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,6 +455,23 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.totals(spark, f"{at}/sink")
 
 
+@query(f"""WITH {W.ROLLOUTS_SQL}, t AS (SELECT example_id, trim(completion, concat(' ', chr(9), chr(10))) AS t, count(*) AS c FROM rollouts GROUP BY ALL),
+d AS (SELECT round(sum(c - 1) / sum(c), 9) AS duplicate_fraction, CAST(sum(c) AS BIGINT) AS n FROM t),
+v AS (SELECT example_id, var_pop(total) AS v FROM scored GROUP BY ALL)
+SELECT duplicate_fraction, n, round(avg(v), 9) AS mean_variance, round(avg(CAST(v <= 1e-12 AS INT)), 9) AS zero_variance_fraction, count(*) AS n_groups FROM v, d GROUP BY ALL""")
+def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of rollouts that arrive in several micro-batches: the run stops after the second and is
+    resumed under its frozen configuration."""
+    at, events = shared_folder(spark, "groups"), W.table(spark, sf_dir, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{at}/events")
+    arriving = W.rollouts_of(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/events"))
+    scored = S.score(arriving, evaluator=W.parity, validator=W.acceptable)
+    what = (scored, f"{at}/run", {"evaluator": "parity", "validator": "acceptable"}, F.col("example_id"), X.stripped(F.col("completion")), F.col("score.total"))
+    if groups.follow(spark, *what, stop=runs.Stop(after_batch=1)) == "stopped":
+        groups.follow(spark, *what, resume=True)
+    return _rounded(groups.metrics(spark, f"{at}/run"), "duplicate_fraction", "mean_variance", "zero_variance_fraction")
+
+
 
 # Contracts, identities and expectations
 

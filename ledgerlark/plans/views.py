@@ -42,6 +42,10 @@ OBS_SQL = """obs AS (
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollouts_of(table(spark, sf_dir, "events"))
+
+
+def rollouts_of(events: DataFrame) -> DataFrame:
     """(event_id, example_id, event_type, task_family, task_type, completion, target_json,
     constraints_json, props): one completion per event, of three families in eight shapes by its id."""
     shape, props = F.pmod("event_id", F.lit(8)), F.col("props")
@@ -61,7 +65,7 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit('<answer>{"k": 1, "k": 1}</answer>'))
     )
     constraint = F.concat(F.lit('[{"type":"k","operator":"=","value":'), F.pmod("event_id", F.lit(2)).cast("string"), F.lit("}]"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("example_id"),
         "event_type",
