@@ -19,6 +19,7 @@ from ledgerlark.operators import validation as V
 from ledgerlark.plans import protocol as P
 from ledgerlark.plans import views as W
 from ledgerlark.sinks.writers import shared_folder
+from ledgerlark.sources.metric_source import metric_rows, metric_stream
 from ledgerlark.sources.readers import comma_rows
 from ledgerlark.streaming import groups, runs
 from ledgerlark.streaming import metrics as stream
@@ -445,6 +446,26 @@ def smoke_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.gate(W.metric_log(spark, sf_dir), F.col("metric").endswith("k"), by="model_key")
 
 
+_LOGGED = """SELECT '{how}' AS how, event_type AS metric, count(*) AS n, round(sum(value), 6) AS total, min(event_id // 100) AS first_step, max(event_id // 100) AS last_step
+FROM events WHERE isfinite(value) AND {where} GROUP BY ALL"""
+
+
+@query(" UNION ALL ".join(_LOGGED.format(how=how, where=where) for how, where in (("stream", "true"), ("table", "event_id // 100 >= 10 AND event_type IN ('click', 'view')"))))
+def metric_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric log with a line for every event, written in two parts: followed by a stream that begins when
+    only one is there, and read as a table whose filters the reader takes."""
+    at, events = shared_folder(spark, "log"), W.table(spark, sf_dir, "events").where(X.finite(F.col("value")))
+    line = F.concat(F.lit('{"step": '), F.expr("event_id DIV 100").cast("string"), F.lit(', "'), "event_type", F.lit('": '), F.col("value").cast("string"), F.lit("}"))
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).select(line.alias("value")).write.mode("append").text(f"{at}/log")
+        if not part:
+            runs.run(spark, metric_stream(spark, f"{at}/log"), lambda rows: rows, f"{at}/run", {"log": "events"}, stop=runs.Stop(after_batch=0))
+    runs.run(spark, metric_stream(spark, f"{at}/log"), lambda rows: rows, f"{at}/run", {"log": "events"}, resume=True)
+    table = metric_rows(spark, f"{at}/log").where(F.col("step") >= 10).where(F.col("metric").isin("click", "view"))
+    both = runs.batches(spark, f"{at}/run").drop("batch").withColumn("how", F.lit("stream")).unionByName(table.withColumn("how", F.lit("table")))
+    return both.groupBy("how", "metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS greatest FROM events GROUP BY ALL")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream, one micro-batch after another; state and results are in the
