@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import completions as C
@@ -13,11 +13,13 @@ from ledgerlark.functions import text as X
 from ledgerlark.operators import builder as B
 from ledgerlark.operators import evaluation as E
 from ledgerlark.operators import integrity as I
+from ledgerlark.operators import merkle as K
 from ledgerlark.operators import metric_log as M
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import validation as V
 from ledgerlark.plans import protocol as P
 from ledgerlark.plans import views as W
+from ledgerlark.sinks import commits, files
 from ledgerlark.sinks.writers import shared_folder
 from ledgerlark.sources.metric_source import metric_rows, metric_stream
 from ledgerlark.sources.readers import comma_rows
@@ -526,6 +528,44 @@ def tree_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.tree_difference(left, part.where("p_size >= 10").select(F.col("p_partkey").alias("path"), H.sha256(brand).alias("sha256")))
 
 
+_LINE = ("l_orderkey", "l_linenumber")
+_LANES = ", ".join(f"CAST(sum(CAST(CAST(concat('0x', substr(h, {1 + K.LANE * i}, {K.LANE})) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+
+
+def _line_record() -> Column:
+    return F.concat_ws("|", "l_partkey", "l_suppkey", "l_returnflag")
+
+
+@query(f"""WITH r AS (SELECT sha256(concat('=', l_orderkey, chr(0), '=', l_linenumber)) AS k, sha256(concat_ws('|', l_partkey, l_suppkey, l_returnflag)) AS h FROM lineitem),
+l2 AS (SELECT substr(k, 1, 2) AS range, count(*) AS n, sha256(concat_ws(',', count(*), {_LANES})) AS digest FROM r GROUP BY 1),
+l1 AS (SELECT substr(range, 1, 1) AS range, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(range, ':', digest), ',' ORDER BY range)) AS digest FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS range, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(range, ':', digest), ',' ORDER BY range)) AS digest FROM l1)
+SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0""")
+def merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.levels(W.table(spark, sf_dir, "lineitem"), _LINE, _line_record(), 2)
+
+
+@query("""SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1000 = 7 THEN 'missing' WHEN l_orderkey % 1000 = 9 THEN 'extra' ELSE 'changed' END AS state FROM lineitem
+WHERE l_orderkey % 1000 IN (7, 9) OR (l_orderkey % 1000 = 5 AND l_returnflag <> 'CHANGED')""")
+def merkle_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that two copies of a table do not share, read from the ranges that differ."""
+    at, lines = shared_folder(spark, "trees"), W.table(spark, sf_dir, "lineitem").select(*_LINE, "l_partkey", "l_suppkey", "l_returnflag")
+    other = lines.withColumn("l_returnflag", F.when(F.col("l_orderkey") % 1000 == 5, "CHANGED").otherwise(F.col("l_returnflag")))
+    K.write(lines.where("l_orderkey % 1000 <> 9"), f"{at}/left", _LINE, _line_record(), 2)
+    K.write(other.where("l_orderkey % 1000 <> 7"), f"{at}/right", _LINE, _line_record(), 2)
+    return K.difference(spark, f"{at}/left", f"{at}/right", _LINE, _line_record())
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version that holds: orders published in two steps, and a commit that was torn after them."""
+    at, orders = shared_folder(spark, "versions"), W.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    commits.publish(spark, at, {"orders": orders.where("o_orderkey % 2 = 0")}, expected=0)
+    commits.publish(spark, at, {"orders": orders.where("o_orderkey % 2 = 1")}, append=True)
+    files.create(spark, f"{at}/{commits.LOG}/0000000003.json", '{"number":3,"tables":{"orders":[')
+    return commits.read(spark, at, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("""WITH m AS (SELECT event_id, sha256(concat(CAST(json_extract(props, '$.k') AS VARCHAR), chr(0), CASE WHEN event_id % 2 = 0 THEN '{"a":1,"b":[2]}' ELSE 'null' END, chr(0))) AS protocol_sha256, event_id % 5 <> 0 AND event_id % 7 <> 0 AS clean FROM events)
 SELECT protocol_sha256, clean, count(*) AS n FROM m GROUP BY ALL""")
 def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:

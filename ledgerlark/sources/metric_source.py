@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from ledgerlark.sources.readers import SourceError
+from ledgerlark.sources.readers import SourceError, arrow_file
 
 #: ``position`` is the byte at which a line begins; ``value`` has numbers, ``text`` any other value as JSON.
 SCHEMA = "path string, position bigint, step bigint, metric string, value double, text string"
@@ -45,16 +45,9 @@ class Range(InputPartition):
     whole: bool
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system of a path, and the path there."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
-
-
 def listed(path: str) -> dict[str, int]:
     """Bytes of the log's files by path: of the file itself, or of all below a folder but hidden ones."""
-    system, where = opened(path)
+    system, where = arrow_file(path)
     info = system.get_file_info(where)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(where, recursive=True, allow_not_found=True))
     top = len(where.rstrip("/").split("/"))
@@ -130,7 +123,7 @@ class _Log:
         return all(_TESTS[kind](x, v) for name, kind, v in self.filters if name == column)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        system, _ = opened(self.path)
+        system, _ = arrow_file(self.path)
         rows: list[tuple] = []
         with system.open_input_file(partition.path) as raw:
             for at, line, ended in lines(io.BufferedReader(raw, 1 << 20), partition):
@@ -189,7 +182,7 @@ class StreamReader(_Log, DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        system, _ = opened(self.path)
+        system, _ = arrow_file(self.path)
         for path, size in listed(self.path).items():
             known = self.known.get(path, 0)
             if size > known:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +79,37 @@ def pool(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(prefix_id(F.col("smiles")).alias("molecule_id"), "smiles")
 
 
+#: Bytes that are hashed together.
+CHUNK = 1 << 20
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the SHA-256 of each file, read chunk by chunk through Arrow's file systems."""
+    for batch in batches:
+        digests = []
+        for url in batch.column("url").to_pylist():
+            system, where = arrow_file(url)
+            digest = hashlib.sha256()
+            with system.open_input_stream(where) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size_bytes"), pa.array(digests, pa.string())], names=["path", "size_bytes", "sha256"])
+
+
+def arrow_file(url: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path there."""
+    if url.startswith("file:"):
+        url = "/" + url.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), url) if "://" not in url else fs.FileSystem.from_uri(url)
+
+
 def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORED) -> DataFrame:
     """(path below the folder, size_bytes, sha256) of every file whose path has no ignored part.
 
-    Contents are hashed where they are read, whole files of less than LARGE bytes as one value. Larger ones
-    are streamed through the driver, and so are those that the file sources leave out: empty files and
-    names with a leading dot or underscore, as markers have them.
+    Contents are hashed by tasks: files of less than LARGE bytes as one value each, larger ones chunk by
+    chunk, and so those that the file sources leave out: empty files and names with a leading dot or
+    underscore, as markers have them. Only names and sizes pass through the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
@@ -89,17 +117,17 @@ def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORE
     listed = files.where((F.col("length") > 0) & (F.col("length") < LARGE)).select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(base)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    rest, found = [], fs.listFiles(top, True)
+    found, rest = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
     while found.hasNext():
         status = found.next()
-        name = status.getPath().toString().split(f"{base}/", 1)[1]
+        url = status.getPath().toString()
+        name = url.split(f"{base}/", 1)[1]
         if not 0 < status.getLen() < LARGE or any(p[0] in "._" for p in name.split("/")):
-            stream = fs.open(status.getPath())
-            rest.append((name, status.getLen(), jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-            stream.close()
-    visible = listed.where(~F.exists(F.split("path", "/"), lambda p: p.startswith("_") | p.startswith(".")))
-    listed = visible.unionByName(spark.createDataFrame(rest, listed.schema)) if rest else visible
+            rest.append((name, status.getLen(), url))
+    listed = listed.where(~F.exists(F.split("path", "/"), lambda p: p.startswith("_") | p.startswith(".")))
+    if rest:
+        others = spark.createDataFrame(rest, "path string, size_bytes bigint, url string").repartition(min(len(rest), spark.sparkContext.defaultParallelism))
+        listed = listed.unionByName(others.mapInArrow(_hashed, "path string, size_bytes bigint, sha256 string"))
     return listed.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(i) for i in ignored]))) if ignored else listed
 
 

@@ -104,7 +104,7 @@ def test_ends_of_lines(tmp_path, monkeypatch):
     monkeypatch.setattr(M, "BACK", 3)
     for text, known, want in ((b"", 0, 0), (b"abc", 0, 0), (b"abc\n", 0, 4), (b"a\nbcdefgh", 0, 2), (b"a\nbcdefgh", 2, 2), (b"a\nb\nc", 2, 4)):
         (tmp_path / "f").write_bytes(text)
-        system, path = M.opened(str(tmp_path / "f"))
+        system, path = M.arrow_file(str(tmp_path / "f"))
         with system.open_input_file(path) as f:
             assert M.end_of_lines(f, len(text), known) == want
 
