@@ -2,10 +2,11 @@
 
 One automaton holds the notice phrases and the words of identifier tags. Texts are normalised to
 lower-cased words parted by single blanks, so a phrase occurs where its words stand consecutively.
-Where a tag word sequence occurs, the raw text after each tag is read as a licence expression:
-tokens go through a shunting-yard parser (``WITH`` binds tighter than ``AND``, ``AND`` than ``OR``)
-and the postfix form is evaluated to the licences it names and to how freely the text may be used
-(``OR``: the freest choice, ``AND``: the strictest part, ``WITH``: halfway between licence and 1).
+Where the words of a tag occur, a second automaton finds the places of all tags in the raw text, and
+what stands after each is read as a licence expression: tokens go through a shunting-yard parser
+(``WITH`` binds tighter than ``AND``, ``AND`` than ``OR``) as far as they make one, and the postfix
+form is evaluated to the licences it names and to how freely the text may be used (``OR``: the freest
+choice, ``AND``: the strictest part, ``WITH``: halfway between licence and 1).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import bound_batches, documents_of, raw_texts, words_of
+from ledgerlark.llm.common import LOWER, bound_batches, documents_of, raw_texts, words_of
 
 #: Phrases whose places are counted, and the labels they give.
 BASE_PHRASES = {
@@ -44,6 +45,13 @@ NOTICE_PHRASES = {
     "cc by nd": "cc-by-nd",
     "creative commons attribution noncommercial": "cc-by-nc",
     "cc0": "cc0",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution 4": "cc-by",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "free and unencumbered software released into the public domain": "unlicense",
+    "boost software license version 1": "bsl-1",
+    "eclipse public license": "epl",
+    "under the zlib license": "zlib",
     "all rights reserved": "proprietary",
 }
 #: How freely text under a label may be used, from 0 (not at all) to 1.
@@ -51,10 +59,15 @@ FREEDOM = {
     "cc0": 1.0,
     "mit": 1.0,
     "bsd": 1.0,
+    "isc": 1.0,
+    "unlicense": 1.0,
+    "zlib": 1.0,
+    "bsl-1": 1.0,
     "apache-2": 0.95,
     "cc-by": 0.9,
     "mpl-2": 0.7,
     "cc-by-sa": 0.6,
+    "epl": 0.6,
     "lgpl": 0.5,
     "gpl-2": 0.3,
     "gpl-3": 0.3,
@@ -79,11 +92,21 @@ _LABEL_RULES = (
     (r"cc-by-nd.*", "cc-by-nd"),
     (r"cc-by-sa.*", "cc-by-sa"),
     (r"cc-by(-[0-9.]+)?", "cc-by"),
+    (r"isc", "isc"),
+    (r"unlicense", "unlicense"),
+    (r"zlib", "zlib"),
+    (r"bsl-1.*", "bsl-1"),
+    (r"epl-.*", "epl"),
 )
 _TAG_WORDS = "spdx license identifier"
-_TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+#: A tag in the raw text, in any case of letters; a colon follows.
+_TAG = b"spdx-license-identifier"
+_COLON = re.compile(r"\s*:")
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
+#: What may stand behind an operator: a licence of a known family, one with a version or an ending of
+#: identifiers, a reference, or an exception. Any other word goes on with the sentence.
+_OPERAND = re.compile(r"(?:licenseref-|documentref-).+|[a-z0-9.+]+(?:-[a-z0-9.+]+)*-(?:[0-9][a-z0-9.+]*|only|or-later|exception)(?:-[a-z0-9.+]+)*", re.IGNORECASE)
 
 
 def label_of(identifier: str) -> str:
@@ -92,44 +115,54 @@ def label_of(identifier: str) -> str:
     return next((label for rule, label in _LABEL_RULES if re.fullmatch(rule, low)), low)
 
 
-def postfix(text: str) -> list[str] | None:
-    """The longest start of ``text`` that is a licence expression, in postfix order; else None.
+def operand(token: str) -> bool:
+    """Whether a token behind an operator is an identifier, not a word of the sentence."""
+    bare = token.rstrip(".:-")
+    return label_of(bare) in FREEDOM or _OPERAND.fullmatch(bare) is not None
 
-    An operand that follows an operand, or any other token out of place, ends the expression. A
-    dangling operator or an unclosed bracket makes it invalid.
-    """
+
+def postfix(text: str, at: int = 0) -> list[str] | None:
+    """The longest licence expression that begins at a place of ``text``, in postfix order; None if there is
+    none.
+
+    Operators are written in one case. An expression ends before a token out of place, before an operator
+    that no identifier follows, and before a bracket that is not closed."""
     out: list[str] = []
     stack: list[str] = []
-    at, operand_next = 0, True
+    depth, operand_next = 0, True
+    whole: tuple[int, list[str]] | None = None
     while m := _TOKEN.match(text, at):
         token = m[1]
-        word = token.upper()
+        word = token.upper() if token in (token.upper(), token.lower()) else token
         if token == "(":
             if not operand_next:
                 break
             stack.append(token)
+            depth += 1
         elif token == ")":
-            if operand_next or "(" not in stack:
+            if operand_next or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif word in _PRECEDENCE:
             if operand_next:
-                return None
+                break
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[word]:
                 out.append(stack.pop())
             stack.append(word)
             operand_next = True
         else:
-            if not operand_next:
+            if not operand_next or stack and stack[-1] in _PRECEDENCE and not operand(token):
                 break
             out.append(token.rstrip(".:-"))
             operand_next = False
+        if not depth and not operand_next:
+            # What is out stays as it is; what is stacked here are a few operators.
+            whole = len(out), stack[:]
         at = m.end()
-    if operand_next or "(" in stack:
-        return None
-    return out + stack[::-1]
+    return None if whole is None else out[: whole[0]] + whole[1][::-1]
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
@@ -168,6 +201,21 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+@cache
+def tags() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    found.add_word(_TAG.decode(), len(_TAG))
+    found.make_automaton()
+    return found
+
+
+def tag_ends(text: str) -> Iterator[int]:
+    """Where the expression of each tag begins, behind its colon."""
+    for end, _ in tags().iter(text.encode(errors="replace").translate(LOWER).decode(errors="replace")):
+        if m := _COLON.match(text, end + 1):
+            yield m.end()
+
+
 def scan(raw: bytes | None) -> Found:
     """What one text holds. Null and empty texts hold nothing and score 0."""
     words = words_of(raw)
@@ -191,8 +239,9 @@ def scan(raw: bytes | None) -> Found:
             out.places.append(before)
             out.base_labels.add(label)
     if tagged:
-        for m in _TAG.finditer(raw.decode(errors="replace")):
-            if tokens := postfix(m[1]):
+        text = raw.decode(errors="replace")
+        for at in tag_ends(text):
+            if tokens := postfix(text, at):
                 labels, free = evaluate(tokens)
                 out.labels |= labels
                 out.expressions.append(" ".join(tokens))
@@ -231,7 +280,7 @@ def find_licences(documents: DataFrame, *, text: str = "text") -> DataFrame:
     """Add ``licences`` to every row: counts and places of base phrases, labels, tag expressions in
     postfix order and a score, the freedom of the strictest notice or tag (0 where there is none).
     Null and empty texts hold nothing; repeated rows are read one by one; other columns stay, but a
-    column ``licences`` is replaced."""
+    column ``licences`` is replaced. An empty table stays empty."""
     bound_batches(documents)
     return documents.withColumn("licences", F.arrow_udf(_licences, _TYPE)(F.col(text)))
 

@@ -198,9 +198,15 @@ def test_licence_expressions():
     assert f("GPL-3.0-only OR MIT AND CC-BY-NC-4.0") == ({"gpl-3", "mit", "cc-by-nc"}, 0.3)
     assert f("(GPL-3.0-only OR MIT) AND CC-BY-NC-4.0")[1] == 0.2
     assert f("GPL-2.0-or-later WITH Classpath-exception-2.0 and Apache-2.0") == ({"gpl-2", "apache-2"}, 0.65)
-    assert license_scan.postfix("MIT */ code") == ["MIT"] and license_scan.postfix("MIT and more text") == ["MIT", "more", "AND"]
-    for bad in ("", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "()"):
+    assert license_scan.postfix("MIT */ code") == ["MIT"] and license_scan.postfix("Own-Terms and more text") == ["Own-Terms"]
+    for bad in ("", "AND MIT", "(MIT", "()", ")"):
         assert license_scan.postfix(bad) is None
+    # The longest valid start: operators that dangle, words of the sentence, brackets left open.
+    for text in ("MIT OR", "MIT OR )", "MIT or later text", "MIT Or Apache-2.0", "MIT AND (GPL-2.0-only OR", "MIT OR well-known things", "MIT) AND ISC"):
+        assert license_scan.postfix(text) == ["MIT"]
+    assert license_scan.postfix("MIT AND ISC OR (GPL-2.0-only") == ["MIT", "ISC", "AND"]
+    assert license_scan.postfix("MIT OR LicenseRef-Own AND text") == ["MIT", "LicenseRef-Own", "OR"]
+    assert license_scan.postfix("(" * 50_000 + "MIT" + ")" * 50_000) == ["MIT"]
     assert license_scan.label_of("LicenseRef-Own") == "licenseref-own"
 
 
@@ -213,6 +219,17 @@ def test_licence_rows(spark):
     assert (x[5]["n_base"], x[5]["first_word"], x[5]["n_words"]) == (1, 60_000, 60_003) and [x[6]["n_base"], x[7]["n_base"]] == [0, 0]
 
 
+def test_every_tag_is_read(spark):
+    texts = [
+        "/* SPDX-License-Identifier: MIT */ x = 1; /* SPDX-License-Identifier: GPL-3.0-only */",
+        "SPDX-License-Identifier: MIT OR spdx-license-identifier : Apache-2.0",
+        "é SPDX-LICENSE-IDENTIFIER:\nISC",
+        "SPDX-License-Identifier MIT and spdx license identifier: BSD-3-Clause",
+    ]
+    x = [r["licences"] for r in license_scan.find_licences(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert [(y["labels"], y["score"]) for y in x] == [("gpl-3,mit", 0.3), ("apache-2,mit", 0.95), ("", 0.0), ("", 0.0)]
+
+
 # Classifiers
 
 

@@ -80,6 +80,61 @@ def test_shards_as_a_plain_version(spark, sf_dir, con):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(got)
 
 
+FAMILIES = [("agpl-3", "agpl-3", 0.2), ("lgpl-", "lgpl", 0.5), ("gpl-2", "gpl-2", 0.3), ("gpl-3", "gpl-3", 0.3), ("apache-2", "apache-2", 0.95), ("mpl-2", "mpl-2", 0.7),
+            ("cc0", "cc0", 1.0), ("cc-by-nc", "cc-by-nc", 0.2), ("cc-by-nd", "cc-by-nd", 0.2), ("cc-by-sa", "cc-by-sa", 0.6), ("cc-by", "cc-by", 0.9), ("isc", "isc", 1.0), ("mit", "mit", 1.0)]
+
+
+def plain_expression(text):
+    """(labels, freedom) of the longest expression at the start of a text: every start is tried, by descent."""
+    tokens = re.match(r"(?:[ \t]*(?:[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*))*", text)[0]
+    tokens = re.findall(r"[()]|[^()\s]+", tokens)[:60]
+
+    def known(t):
+        low = t.lower().rstrip(".:-").rstrip("+")
+        if "bsd" in low:
+            return "bsd", 1.0
+        return next(((label, free) for start, label, free in FAMILIES if low.startswith(start)), (low, 0.4))
+
+    def parse(ts):
+        def unit():
+            if ts and ts[0] == "(":
+                ts.pop(0)
+                found = level(0)
+                assert ts and ts.pop(0) == ")"
+                return found
+            assert ts and ts[0] != ")" and ts[0].upper() not in ("AND", "OR", "WITH")
+            label, free = known(ts.pop(0))
+            return {label}, free
+
+        def level(k):
+            if k == 3:
+                return unit()
+            left = level(k + 1)
+            while ts and ts[0] in (("OR", "or"), ("AND", "and"), ("WITH", "with"))[k]:
+                ts.pop(0)
+                assert ts and (ts[0] == "(" or known(ts[0])[1] != 0.4 or re.search("-[0-9]|-exception|-only|-or-later", ts[0]))
+                right = level(k + 1)
+                left = (left[0], (left[1] + 1) / 2) if k == 2 else (left[0] | right[0], (max, min)[k](left[1], right[1]))
+            return left
+
+        found = level(0)
+        assert not ts
+        return found
+
+    for n in range(len(tokens), 0, -1):
+        try:
+            return parse(tokens[:n])
+        except AssertionError:
+            continue
+    return None
+
+
+def test_plain_expressions_agree():
+    for text in ("MIT", "GPL-3.0-only OR MIT AND CC-BY-NC-4.0", "(GPL-3.0-only OR MIT) AND CC-BY-NC-4.0 etc", "GPL-2.0-or-later WITH Classpath-exception-2.0 and Apache-2.0", "MIT or later", "MIT AND (GPL-2.0-only OR", "AND", "(MIT"):
+        tokens = license_scan.postfix(text)
+        assert (tokens and license_scan.evaluate(tokens)) == plain_expression(text), text
+
+
 def test_licence_labels_and_scores_as_a_plain_version(spark, sf_dir, con):
     """Labels beyond the base ones, and the score: notices by a plain search of words, tags by their expressions."""
     got = {r["doc_id"]: r for r in registry.QUERIES["op4_license_scan"](spark, sf_dir).collect()}
@@ -90,11 +145,10 @@ def test_licence_labels_and_scores_as_a_plain_version(spark, sf_dir, con):
             if any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1)):
                 labels.add(label)
                 free.append(license_scan.FREEDOM[label])
-        for m in license_scan._TAG.finditer(text or ""):
-            if tokens := license_scan.postfix(m[1]):
-                found, score = license_scan.evaluate(tokens)
-                labels |= found
-                free.append(score)
+        for m in re.finditer(r"(?ai:SPDX-License-Identifier)\s*:", text or ""):
+            if found := plain_expression((text or "")[m.end() : m.end() + 2000]):
+                labels |= found[0]
+                free.append(found[1])
         r = got[doc_id]
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
         assert r["labels"] == ",".join(sorted(labels)) and r["score"] == min(free, default=0.0)
