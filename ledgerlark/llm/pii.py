@@ -44,11 +44,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
-_EMAIL_TEXT = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}+)+", re.IGNORECASE)
-_PHONE_LOCAL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![\w-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{24,}+(?![A-Za-z0-9_])")
-_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_EMAIL_TEXT = re.compile(r"(?<![\w.+-])[A-Za-z0-9._+-]{1,64}+(?: ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]{1,63}+)+", re.IGNORECASE)
+_PHONE_LOCAL = re.compile(r"(?<![\w+.-])(?:\(?[0-9]{2,5}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}|[0-9]{3}-[0-9]{4})(?![\w-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])")
+_IPV6 = re.compile(r"(?<![\w:])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Characters of account numbers by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21,
+    "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24,
+    "SI": 19, "SK": 24,
+}
+#: Countries whose account numbers begin with letters for the bank.
+_LETTERS = {"BG": 4, "GB": 4, "IE": 4, "LV": 4, "MT": 4, "NL": 4, "RO": 4}
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _LOOSE = {"email_text": _EMAIL_TEXT, "phone_local": _PHONE_LOCAL, "secret": _SECRET, "ipv6": _IPV6, "iban": _IBAN, "ssn": _SSN}
 _CUES = {
@@ -60,12 +68,32 @@ _CUES = {
     "ssn": ("ssn", "social", "security", "number", "tax"),
 }
 #: Words that speak against personal data, whatever the kind.
-_AGAINST = ("order", "case", "part", "ref", "isbn", "version", "invoice", "page", "serial", "model", "build", "commit", "checksum", "sample", "chapter", "table")
+_AGAINST = ("sha1", "sha2", "sha5", "md5", "digest", "hash", "blob", "revision", "order", "case", "part", "ref", "isbn", "version", "invoice", "page", "serial", "model", "build", "commit", "checksum", "sample", "chapter", "table")
 _WORD = re.compile(r"[^\W_]+")
+_LOWER_RUN = re.compile(r"[a-z]+")
+#: How keys of well-known services begin, and how common domains end.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "sk_live_", "rk_live_", "pk_live_", "AIza", "xoxb", "xoxp", "glpat", "npm_", "hf_")
+DOMAINS = frozenset("com org net edu gov io co info biz dev app ai me eu uk us ca au de fr es it nl be ch at pl pt se no dk fi ie jp cn in br mx ru".split())
 #: Hyphened as a social security number: area, group and serial that are given out.
 _GIVEN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
 
 
+def iban_holds(bare: str) -> bool:
+    """Whether an account number without blanks has the length of its country and the right check digits."""
+    if len(bare) != IBAN_LENGTHS.get(bare[:2], 0) or not (bare.isalnum() and bare.isascii()):
+        return False
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def ipv6_holds(span: str) -> bool:
+    """Eight groups, or fewer with one gap."""
+    groups = span.split(":")
+    if "::" not in span:
+        return len(groups) == 8 and all(groups)
+    ends = span.startswith(":") and not span.startswith("::") or span.endswith(":") and not span.endswith("::")
+    return span.count("::") == 1 and ":::" not in span and not ends and sum(map(bool, groups)) <= 7
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -108,7 +136,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-FEATURE_NAMES = ("length", "digits", "letters", "upper", "entropy", "separators", "groups", "switches", "hex", "vowels", "cue", "quoted", "assigned", "checksum", "distinct", "ending", "against")
+FEATURE_NAMES = ("length", "digits", "letters", "upper", "entropy", "separators", "groups", "switches", "hex", "vowels", "cue", "quoted", "assigned", "checksum", "distinct", "ending", "against", "prefix", "run")
 
 
 def features(kind: str, text: str, first: int, past: int) -> list[float]:
@@ -124,9 +152,7 @@ def features(kind: str, text: str, first: int, past: int) -> list[float]:
     words = [w.lower() for w in _WORD.findall(before)[-8:]]
     near = before.rstrip()[-3:]
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in span]
-    bare = span.replace(" ", "").upper()
-    checksum = kind == "iban" and bare.isalnum() and bare.isascii() and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
-    checksum = checksum or kind == "ssn" and _GIVEN.fullmatch(span) is not None
+    checksum = kind == "iban" and iban_holds(span.replace(" ", "")) or kind == "ipv6" and ipv6_holds(span) or kind == "email_text" and groups[-1].lower() in DOMAINS or kind == "ssn" and _GIVEN.fullmatch(span) is not None
     return [
         float(n),
         digits / n,
@@ -145,6 +171,8 @@ def features(kind: str, text: str, first: int, past: int) -> list[float]:
         len(counts) / n,
         float(len(groups[-1]) if groups else 0),
         float(any(w.startswith(c) for w in words for c in _AGAINST)),
+        float(span.startswith(PREFIXES)),
+        float(max(map(len, _LOWER_RUN.findall(span)), default=0)),
     ]
 
 
@@ -156,6 +184,14 @@ def _examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     pick = lambda alphabet, a, b: "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
     num = lambda k: pick("0123456789", k, k)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    piece = lambda: pick("bcdfghjklmnprstvwxz", 1, 3) + pick("aeiouy", 1, 2) + pick("chlnrst", 0, 2)
+
+    def hard_words() -> list[str]:
+        """Compounds and names with as many consonants as a key may have: in lower case, with one capital, with several, with a number."""
+        many = [piece() for _ in range(r.randint(5, 9))]
+        plain = "".join(many)
+        return [plain, plain.capitalize(), plain.upper(), "".join("".join(many[k : k + 2]).capitalize() for k in range(0, len(many), 2)), plain + num(r.randint(1, 4))]
+
     rows, labels = [], []
     while len(rows) < 2 * n:
         y = len(rows) % 2
@@ -170,25 +206,48 @@ def _examples(kind: str, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             lead = f"{word()} {word()}{r.choice([' ', ending])}"
         if kind == "email_text":
-            left, right = r.choice(["[]", "()"])
+            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), ("at", "dot"), ("{at}", "{dot}")])
             local = word() + r.choice(["", ".", "_"]) + r.choice(["", word(), num(2)])
-            end = r.choice(["com", "org", "net", "edu", "io", "de", "fr", "es"]) if y else word(3, 6)
-            span = f"{local} {left}at{right} {word()} {left}dot{right} {end}"
+            end = r.choice(sorted(DOMAINS)) if y else word(1, 6)
+            if not y and end in DOMAINS:
+                continue
+            span = f"{local} {at} {word()} {dot} {end}"
         elif kind == "phone_local":
-            span = f"({num(3)}) {num(3)}-{num(4)}" if y and r.random() < 0.5 else f"{num(3)}-{num(3)}-{num(4)}" if y else r.choice([f"{num(4)}-{num(2)}-{num(4)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(2)} {num(3)}"])
+            if y:
+                span = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)} {num(3)} {num(4)}", f"0{num(3)} {num(3)} {num(3)}", f"{num(3)}-{num(4)}"])
+                if len(span) == 8 and chance >= 0.75:
+                    continue  # seven digits without a cue may be anything
+            else:
+                span = r.choice([f"{num(4)}-{num(2)}-{num(4)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(2)} {num(3)}", f"{num(3)}-{num(4)}", f"{num(2)} {num(3)} {num(3)} {num(3)}", f"{num(4)} {num(4)} {num(4)} {num(4)}"])
+                if len(span) == 8 and chance < 0.03:
+                    continue
         elif kind == "secret":
             quote = r.choice(['"', "'", ""])
             if y:
-                span = pick(hexa, 32, 64) if r.random() < 0.5 else pick(alnum, 28, 64)
+                span = r.choice([pick(hexa, 32, 64), pick(alnum, 20, 64), r.choice([*PREFIXES, "", "", ""]) + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if r.random() < 0.5 else alnum, 16, 36), r.choice(PREFIXES) + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 14, 30) + num(r.randint(0, 2))])
+                lead = lead if any(w.startswith(a) for w in map(str.lower, _WORD.findall(lead)) for a in _CUES[kind]) or r.random() < 0.6 else f"{word()} "
+                if any(w.startswith(a) for w in map(str.lower, _WORD.findall(lead)) for a in _AGAINST):
+                    lead = f"{word()} "
                 lead += quote
+            elif r.random() < 0.35:
+                # Digests look just like keys; what names them speaks against these.
+                lead = f"{word()} {r.choice(['commit', 'sha256', 'sha1', 'md5', 'checksum', 'digest', 'build', 'revision', 'hash', 'blob'])}{r.choice([' ', ': ', '=', ' = '])}"
+                span = pick(hexa, 32, 64)
             else:
-                span = r.choice([word(13, 30), "_".join(word(2, 4) for _ in range(r.randint(5, 8))), r.choice("ab0x_") * r.randint(26, 80), word(6, 9) + word(8, 12).upper() + num(2)])[:180]
+                span = r.choice([word(9, 30), "_".join(word(2, 4) for _ in range(r.randint(4, 8))), r.choice("ab0x_") * r.randint(17, 80), word(6, 9) + word(8, 12).upper() + num(2), num(r.randint(16, 20)), "".join(word(1, 3).capitalize() for _ in range(r.randint(4, 7))), *hard_words()])[:180]
         elif kind == "ipv6":
-            span = ":".join(pick(hexa, 1, 4) for _ in range(8)) if y else ":".join(num(2) for _ in range(8))
+            groups = [pick(hexa, 1, 4) for _ in range(8)]
+            gap = r.randint(0, 5)
+            short = ":".join(groups[:gap]) + "::" + ":".join(groups[gap + 2 :])
+            span = r.choice([":".join(groups), short, "::1" if r.random() < 0.1 else "fe80::" + ":".join(groups[:4]), "2001:db8::" + groups[0]]) if y else r.choice([":".join(num(2) for _ in range(r.choice([3, 3, 4, 6, 8]))), ":".join(pick(hexa, 2, 2) for _ in range(6)), f"{num(1)}:{num(2)}:{num(2)}", "::".join(word(1, 1)[:1] for _ in range(3)), ":" * 3])
         elif kind == "iban":
-            bban = num(18)
-            body = "".join(str(int(c, 36)) for c in f"{bban}DE00")
-            span = f"DE{98 - int(body) % 97:02d}{bban}" if y else f"{pick('ABCDEFG', 2, 2)}{num(2)}{pick('ABCDEFGH0123456789', 16, 16)}"
+            country = r.choice(sorted(IBAN_LENGTHS))
+            letters = _LETTERS.get(country, 0)
+            bban = pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", letters, letters) + num(IBAN_LENGTHS[country] - 4 - letters)
+            check = 98 - int("".join(str(int(c, 36)) for c in f"{bban}{country}00")) % 97
+            span = f"{country}{check:02d}{bban}" if y else r.choice([f"{country}{(check + r.randint(1, 90)) % 97:02d}{bban}", f"{pick('ABCDEFG', 2, 2)}{num(2)}{pick('ABCDEFGH0123456789', 16, 16)}"])
+            if r.random() < 0.5:
+                span = " ".join(span[k : k + 4] for k in range(0, len(span), 4))
         else:
             span = f"{num(3)}-{num(2)}-{num(4)}"
             if bool(_GIVEN.fullmatch(span)) != bool(y) and (y or r.random() < 0.5):
@@ -214,12 +273,22 @@ def default_models() -> dict[str, tuple[gbdt.Boosted, float]]:
     return out
 
 
+def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Loose spans without those that lie within a longer one of another kind, as a part of an account
+    number may look like a phone number."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0] == "secret", _RANK[s[0]])):
+        if not out or b > out[-1][2] or kind == out[-1][0]:
+            out.append((kind, a, b))
+    return out
+
+
 def find(text: str, models: dict[str, tuple[gbdt.Boosted, float]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans. A loose candidate that overlaps a base span adds nothing."""
     base = base_spans(text)
     more: list[tuple[str, int, int]] = []
     for kind, pattern in _LOOSE.items():
-        if kind == "email_text" and "[" not in text and "(" not in text:
+        if kind == "email_text" and "at" not in text and "AT" not in text and "At" not in text:
             continue
         if kind == "ipv6" and ":" not in text:
             continue
@@ -230,7 +299,7 @@ def find(text: str, models: dict[str, tuple[gbdt.Boosted, float]]) -> tuple[list
     if more:
         taken, i, past = sorted((a, b) for _, a, b in base), 0, -1
         kept = []
-        for kind, a, b in sorted(more, key=lambda s: s[1]):
+        for kind, a, b in sorted(_apart(more), key=lambda s: s[1]):
             while i < len(taken) and taken[i][0] < b:
                 past = max(past, taken[i][1])
                 i += 1
