@@ -8,10 +8,12 @@ driver from a bounded list of labelled URLs.
 from __future__ import annotations
 
 import json
+import math
 import random
+import re
+from collections import Counter
 from functools import cache
 
-import duckdb
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,23 @@ def feature_sql(rates: dict[str, float], default: float, dialect: str = "spark")
     }
 
 
+def measured(url: str, rates: dict[str, float], default: float) -> list[float]:
+    """The features of one URL, in the order of FEATURES."""
+    rest = url.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    n = max(len(low), 1)
+    query = m[1] if (m := re.search(r"[?]([^#]*)", url)) else ""
+    shares = [c / n for c in Counter(low).values()]
+    digits = lambda s: len(re.sub("[^0-9]", "", s))
+    labels = low.split(".")
+    return [
+        len(url), len(low), path.count("/"), digits(url) / max(len(url), 1), digits(low) / n, round(-sum(p * math.log(p) for p in shares), 6), query.count("&") + bool(query),
+        len(query), low.count("-"), low.count("."), url.count("%"), url.count("@"), max(map(len, labels)), rates.get(labels[-1], default),
+    ]
+
+
 def training_urls(n: int = TRAINING_URLS, seed: int = SEED) -> list[tuple[str, int]]:
     """Labelled URLs made by rule: ordinary sites (0), and the shapes that link farms, tracking
     chains and throw-away hosts have (1)."""
@@ -122,6 +141,15 @@ def training_urls(n: int = TRAINING_URLS, seed: int = SEED) -> list[tuple[str, i
             host = ".".join([*([r.choice(["www", "m", "blog", "docs", word()])] if r.random() < 0.6 else []), word(2, 4), *(["example"] if r.random() < 0.3 else []), r.choice(good_suffix)])
             path = "/" + "/".join(r.choice([word(), str(r.randint(1, 9999)), "en", "de", "fr", "es"]) for _ in range(r.randint(0, 3)))
             tail = r.choice(["", "", "", "/", ".html", "?page=2&ref=x", "?id=7", "#top", "?utm_source=feed"])
+            shape = r.random()
+            if shape < 0.15:
+                # Hyphens in the host, of projects and places; dated pages with words in their names.
+                host = ".".join([*r.choice([["www"], ["blog"], ["docs"], []]), "-".join(word(1, 2) for _ in range(r.randint(2, 3))), r.choice(["org", "de", "fr", "net", "io", "edu"])])
+                path = f"/{r.randint(1998, 2026)}/{r.randint(1, 12):02d}/{r.randint(1, 28):02d}/" + "-".join(word().capitalize() for _ in range(r.randint(1, 6))) + r.choice(["", f"-{r.randint(0, 9)}.{r.randint(0, 99)}.0"])
+                tail = r.choice(["", "/", ".html"])
+            elif shape < 0.25:
+                # Numbers in names of schools, cities and products, under the domains of countries.
+                host = ".".join([r.choice(["www", "intranet", word()]), r.choice([f"{word(1, 2)}-{word(1, 2)}{r.randint(1, 99)}", f"{word(1, 3)}{r.randint(1, 99)}", f"{r.randint(1, 99)}{word(1, 2)}"]), r.choice(["fr", "de", "es", "uk", "it", "pl", "jp", "edu", "com"])])
         else:
             shape = r.randint(0, 3)
             if shape == 0:
@@ -143,7 +171,7 @@ def training_urls(n: int = TRAINING_URLS, seed: int = SEED) -> list[tuple[str, i
 class UrlModel:
     """Trees and suffix rates fitted from (url, label) pairs, label 1 for what is to be blocked."""
 
-    def __init__(self, labelled: list[tuple[str, int]], precision: float = 0.97) -> None:
+    def __init__(self, labelled: list[tuple[str, int]], precision: float = 0.995) -> None:
         self.default = (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
         hosts = [u.partition("://")[2].split("/")[0].split("?")[0].split("#")[0].lower() for u, _ in labelled]
         by: dict[str, list[int]] = {}
@@ -156,20 +184,12 @@ class UrlModel:
         held = np.arange(len(y)) % 5 == 4
         self.trees = gbdt.fit(x[~held], y[~held])
         raw = self.trees.raw(x[held])
-        self.threshold = round(min(max(gbdt.threshold_for(raw, y[held], precision), 0.0), 4.0), 6)
+        self.threshold = round(gbdt.threshold_for(raw, y[held], precision), 6)
         self.accuracy = float(np.mean((raw >= self.threshold) == y[held])) if held.any() else 0.0
 
     def _measure(self, urls: list[str]) -> np.ndarray:
-        """Features of the training list, by the same SQL."""
-        parts, features = parts_sql("url", "duckdb"), feature_sql(self.rates, self.default, "duckdb")
-        with duckdb.connect() as con:
-            con.execute("CREATE TABLE t (i BIGINT, url VARCHAR)")
-            con.execute("INSERT INTO t SELECT unnest(range(len($1))), unnest($1)", [urls])
-            rows = con.execute(
-                f"WITH p AS (SELECT i, url, {', '.join(f'{v} AS {k}' for k, v in parts.items())} FROM t) "
-                f"SELECT {', '.join(f'{features[f]} AS {f}' for f in FEATURES)} FROM p ORDER BY i"
-            ).fetchall()
-        return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
+        """Features of the training list, as ``feature_sql`` has them."""
+        return np.array([measured(u, self.rates, self.default) for u in urls], dtype=float).reshape(-1, len(FEATURES))
 
 
 @cache

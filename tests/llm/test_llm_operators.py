@@ -454,6 +454,36 @@ def test_url_model_on_urls_it_has_not_seen():
     assert np.mean((raw >= model.threshold) == [y for _, y in fresh]) > 0.9
 
 
+def test_features_are_those_of_the_sql(spark):
+    model = url_filter.default_model()
+    urls = [*(u for u, _ in url_filter.training_urls(200, seed=3)), "", "no scheme", "http://", "HTTP://A.B-C.Com?x=1&y=%20#z?q", "http://é.ünï.com/日?本=1", "x://u@h/p//q?", "http://1.2.3.4"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    df = df.selectExpr("i", "url", *[f"{v} AS {k}" for k, v in url_filter.parts_sql("url").items()])
+    got = df.selectExpr("i", *[f"CAST({v} AS DOUBLE) AS {k}" for k, v in url_filter.feature_sql(model.rates, model.default).items()]).orderBy("i").collect()
+    for row, url in zip(got, urls, strict=True):
+        assert [row[f] for f in url_filter.FEATURES] == pytest.approx(url_filter.measured(url, model.rates, model.default), abs=2e-6), url
+
+
+#: Addresses that the generator did not write.
+ORDINARY = [
+    "https://blog.rust-lang.org/2024/02/08/Rust-1.76.0.html", "https://my-little-blog.org/2021/05/03/first-steps", "https://www.univ-paris8.fr/formations", "https://www.python.org/downloads/",
+    "https://en.wikipedia.org/wiki/Graph_theory", "https://docs.scipy.org/doc/scipy/reference/stats.html", "https://www.bbc.co.uk/news/world-europe-12345678", "https://github.com/apache/spark/pull/1234",
+    "https://stackoverflow.com/questions/11227809/why-is-it-faster", "https://www.tu-berlin.de/studieren", "https://arxiv.org/abs/1706.03762", "http://www.gutenberg.org/files/1342/1342-h/1342-h.htm",
+    "https://www.city-of-springfield.org/2019/11/02/Council-Meeting.html", "https://lycee42.fr/accueil", "https://store.example.com/item?id=7",
+]
+FARMED = [
+    "http://cheap-fast-meds-online.biz/", "http://203.0.113.7/login/%20%3Dx9f", "http://xk29fj20fkq8sd7f2kd0.top/a", "https://q8w7e6r5t4y3u2i1o0.click/?a=83hf83hf83hf&b=ksdjf8273&c=ppq83h2h",
+    "http://best-free-casino-win.info/go?x=9f8a7s6d5f4&y=8a7s6d5f4g3&z=1q2w3e4r5t&u=0p9o8i7u6y", "http://a.b.c.d.offers9921.xyz/en/x8f7d6s5a4/2/3/4/5", "http://win-big-prize-now.top/", "https://198.51.100.23/a/b/c/d/e?x=1a2b3c4d5e&y=5f6g7h8i9j",
+]
+
+
+def test_url_model_on_addresses_of_the_world():
+    model = url_filter.default_model()
+    blocked = lambda urls: [u for u, s in zip(urls, model.trees.raw(model._measure(urls)), strict=True) if s >= model.threshold]
+    assert len(blocked(ORDINARY)) <= 2, blocked(ORDINARY)
+    assert len(blocked(FARMED)) >= len(FARMED) - 2, blocked(FARMED)
+
+
 # Tokens
 
 
