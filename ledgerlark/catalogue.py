@@ -518,6 +518,19 @@ def records_without_bookkeeping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.hashed_without(rows, "position").select("n_nationkey", "record_sha256")
 
 
+@query("""SELECT l_orderkey, sha256(concat('{"a":', l_linenumber, ',"m":{"p":', l_partkey, ',"s":', l_suppkey, '},"n":[{"x":', l_linenumber, ',"y":null}],"z":{"b":"', l_returnflag, '","c":{"d":', l_orderkey, '}}}')) AS record_sha256 FROM lineitem""")
+def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of records with structs, maps and arrays, half of them written in another order of their keys."""
+    line = W.table(spark, sf_dir, "lineitem")
+    number, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    nothing = F.lit(None).cast("string")
+    z = F.struct(F.col("l_returnflag").alias("b"), F.struct(F.col("l_orderkey").alias("d")).alias("c"))
+    w = F.struct(F.struct(F.col("l_orderkey").alias("d")).alias("c"), F.col("l_returnflag").alias("b"))
+    one = line.where("l_orderkey % 2 = 0").select("l_orderkey", z.alias("z"), F.array(F.struct(nothing.alias("y"), number.alias("x"))).alias("n"), F.create_map(F.lit("p"), part, F.lit("s"), supplier).alias("m"), number.alias("a"))
+    two = line.where("l_orderkey % 2 = 1").select("l_orderkey", number.alias("a"), F.create_map(F.lit("s"), supplier, F.lit("p"), part).alias("m"), F.array(F.struct(number.alias("x"), nothing.alias("y"))).alias("n"), w.alias("z"))
+    return I.hashed_without(one, "l_orderkey").select("l_orderkey", "record_sha256").unionByName(I.hashed_without(two, "l_orderkey").select("l_orderkey", "record_sha256"))
+
+
 @query("""WITH l AS (SELECT p_partkey AS path, p_brand AS c FROM part WHERE p_size <= 40), r AS (SELECT p_partkey AS path, CASE WHEN p_size % 5 = 0 THEN 'x' ELSE p_brand END AS c FROM part WHERE p_size >= 10)
 SELECT coalesce(l.path, r.path) AS path, CASE WHEN r.path IS NULL THEN 'missing' WHEN l.path IS NULL THEN 'extra' ELSE 'changed' END AS state
 FROM l FULL JOIN r ON l.path = r.path WHERE l.path IS NULL OR r.path IS NULL OR l.c <> r.c""")
@@ -591,10 +604,20 @@ def longest_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("max_prompt_tokens").cast("bigint").alias("max_prompt_tokens"), "n")
 
 
-@query("SELECT * FROM (VALUES ('count_wrong', 0.0e0, 1.0e0, false), ('index_off_by_one', 0.0e0, 1.0e0, false)) v(\"case\", expected, got, failed)")
+@query("""SELECT evaluator, "case", expected, got, failed, count(*) AS n FROM events, (VALUES ('generous', 'count missed', 0.0e0, 1.0e0, false), ('generous', 'indices shifted', 0.0e0, 1.0e0, false),
+('generous', 'constraint missed', 0.0e0, 1.0e0, false), ('deaf', 'count met', 1.0e0, 0.0e0, false), ('deaf', 'indices met', 1.0e0, 0.0e0, false), ('deaf', 'constraint met', 1.0e0, 0.0e0, false)) v(evaluator, "case", expected, got, failed) GROUP BY ALL""")
 def reward_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cases that an evaluator which grants everything gets wrong."""
-    return P.oracle_failures(spark, evaluator=W.generous)
+    """Seven cases of every event under three evaluators: the right one gets none wrong, one that grants
+    everything and one that grants nothing are found out."""
+    events, number = W.table(spark, sf_dir, "events").select("event_id"), F.col("event_id")
+    # 210 is a multiple of what the parity evaluator and the validator look at.
+    of = lambda k: F.concat(F.lit("C"), (number * 210 + k).cast("string"))
+    cases = P.oracle_cases(events, number, {"constraint met": of(2), "constraint missed": of(1), "value refused": of(5)}, F.lit('[{"type":"k","operator":"=","value":0}]'))
+    found = [
+        P.oracle_failures(cases, evaluator=evaluator, validator=W.acceptable).select(F.lit(name).alias("evaluator"), "case", "expected", "got", "failed")
+        for name, evaluator in (("right", W.parity), ("generous", W.generous), ("deaf", W.deaf))
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("evaluator", "case", "expected", "got", "failed").agg(F.count("*").alias("n"))
 
 
 _NAMES_SQL = "CASE o_orderkey % 4 WHEN 0 THEN concat('checkpoint-', o_orderkey) WHEN 1 THEN sha256(o_orderstatus) WHEN 2 THEN substr(sha256(o_orderpriority), 1, 40) ELSE concat(o_orderpriority, '/', o_orderkey) END"
@@ -616,7 +639,7 @@ def unexpected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = W.table(spark, sf_dir, "orders")
     want = orders.where("o_orderpriority like '1%'").groupBy("o_orderpriority").agg(F.min("o_orderstatus").alias("o_orderstatus"))
     keyed = orders.where("o_orderpriority like '1%'").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    expected = keyed.join(F.broadcast(want.withColumnRenamed("o_orderstatus", "w")), "o_orderpriority").select("o_orderkey", F.col("w").alias("o_orderstatus"))
+    expected = keyed.join(want.withColumnRenamed("o_orderstatus", "w"), "o_orderpriority").select("o_orderkey", F.col("w").alias("o_orderstatus"))
     return I.unexpected(keyed, expected, "o_orderkey", "o_orderstatus")
 
 

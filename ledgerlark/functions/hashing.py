@@ -6,8 +6,9 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(value: Any) -> str:
@@ -43,3 +44,31 @@ def seed_of(column: Column) -> Column:
 def hash_draw(key: Column, digits: int = 15) -> Column:
     """Whole number in [0, 16 ** digits) from the SHA-256 of a key; at most 15 digits fit a long."""
     return F.conv(F.substring(sha256(key), 1, digits), 16, 10).cast("bigint")
+
+
+def sorted_keys(column: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs in the order of their names and the entries of its maps in
+    that of their keys, at every depth, so that equal values are written alike."""
+    if isinstance(kind, T.StructType):
+        fields = [sorted_keys(column.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields)) if fields else column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: sorted_keys(x, kind.elementType)) if _nested(kind.elementType) else column
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(column)
+        if _nested(kind.valueType):
+            entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), sorted_keys(e["value"], kind.valueType).alias("value")))
+        # Keys differ, so values never decide the order; maps among them could not be compared.
+        by_key = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.map_from_entries(by_key)
+    return column
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
+def record_json(df: DataFrame, *left_out: str) -> Column:
+    """A row as compact JSON with sorted keys at every depth and its nulls kept, without some columns."""
+    fields = sorted((f for f in df.schema.fields if f.name not in left_out), key=lambda f: f.name)
+    return F.to_json(F.struct(*[sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.hashing import sha256
+from ledgerlark.functions.hashing import record_json, sha256
 
 
 def ordered_hash(df: DataFrame, record: Column, *order: str) -> DataFrame:
@@ -102,11 +102,9 @@ def run_state(runs: DataFrame, group: str, complete: Column) -> DataFrame:
 
 
 def hashed_without(df: DataFrame, *bookkeeping: str, to: str = "record_sha256") -> DataFrame:
-    """Add the SHA-256 of each row as canonical JSON (keys sorted, null values kept), without the columns
-    that only keep books. Equal records have equal digests whatever these say."""
-    kept = sorted(c for c in df.columns if c not in bookkeeping)
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept]), {"ignoreNullFields": "false"})
-    return df.withColumn(to, sha256(text))
+    """Add the SHA-256 of each row as canonical JSON (keys sorted at every depth, null values kept), without the
+    columns that only keep books. Equal records have equal digests whatever these say."""
+    return df.withColumn(to, sha256(record_json(df, *bookkeeping)))
 
 
 def evaluated_documents(seen: DataFrame, expected: DataFrame, key: str, content: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.hashing import canonical_json, text_sha256
+from ledgerlark.functions.hashing import canonical_json, record_json, text_sha256
 from ledgerlark.operators import integrity, validation
 from ledgerlark.sinks import writers
 from ledgerlark.sources import readers
@@ -31,8 +31,8 @@ class BundleError(ValueError):
 
 
 def record_text(df: DataFrame) -> Column:
-    """A record as JSON with its columns sorted by name."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    """A record as JSON with sorted keys at every depth."""
+    return record_json(df)
 
 
 def records_digest(df: DataFrame) -> tuple[str, int]:

@@ -127,6 +127,11 @@ def generous(task_type: str, predicted: Any, expected: Any) -> float:
     return 1.0
 
 
+def deaf(task_type: str, predicted: Any, expected: Any) -> float:
+    """An evaluator that grants nothing."""
+    return 0.0
+
+
 SYSTEM_TEXT = "answer in json"
 
 

@@ -14,13 +14,6 @@ from ledgerlark.operators import scoring as S
 GROUP = ("event_type",)
 
 
-def event_metrics(events: DataFrame) -> DataFrame:
-    """Rows, finite sum and extremes of the value by type; streams and tables alike."""
-    return events.groupBy(*GROUP).agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least"), F.max("value").alias("greatest")
-    )
-
-
 def follow(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, *, fmt: str = "parquet", files_a_batch: int = 64) -> StreamingQuery:
     """Read all new files of a folder, append per-batch partial sums to the sink, and stop.
 

@@ -26,13 +26,24 @@ def test_engine_stands_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
 
 
-def test_operators_that_fail_to_import_are_an_error(tmp_path):
+def test_engine_stands_without_a_library_of_theirs(tmp_path):
+    """What can't be imported is left out and told, and the engine's own queries stay."""
     shutil.copytree(ROOT / "ledgerlark", tmp_path / "ledgerlark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     (tmp_path / "ledgerlark" / "llm").mkdir()
     (tmp_path / "ledgerlark" / "llm" / "registry.py").write_text("import no_such_module_at_all\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'paired_delta' in q and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode == 0 and "no_such_module_at_all" in done.stderr
+
+
+def test_other_errors_of_theirs_are_errors(tmp_path):
+    shutil.copytree(ROOT / "ledgerlark", tmp_path / "ledgerlark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "ledgerlark" / "llm").mkdir()
+    (tmp_path / "ledgerlark" / "llm" / "registry.py").write_text("1 / 0\n")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
-    assert done.returncode and "no_such_module_at_all" in done.stderr
+    assert done.returncode and "ZeroDivisionError" in done.stderr
 
 
 def test_nothing_else_imports_them():

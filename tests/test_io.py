@@ -93,6 +93,21 @@ def test_config():
     assert config.forbidden_keys({"x": [{"limit": 5}, {"limit": None}], "samples": ""}, ("limit", "samples")) == ["x.0.limit"]
 
 
+def test_untagged_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "t.yaml").write_text("f: !function a.b\nm: !x {k: [1, 2]}\ns: !y [a, !z b]\n")
+    assert config.untagged(tmp_path / "t.yaml") == {"f": "a.b", "m": {"k": [1, 2]}, "s": ["a", "b"]}
+    (tmp_path / "t.yaml").write_text("- 1\n")
+    with pytest.raises(config.ConfigError):
+        config.untagged(tmp_path / "t.yaml")
+
+
+def test_windows_of_event_time(spark):
+    df = spark.createDataFrame([("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 23:00:00", "a", 2.0), ("2024-01-02 00:00:00", "a", 4.0), ("2024-01-02 00:00:00", "b", 8.0)], "ts string, event_type string, value double")
+    rows = stream.windowed(df).orderBy("window", "event_type").collect()
+    assert [(r["window"]["start"].day, r["event_type"], r["n"], r["total"]) for r in rows] == [(1, "a", 2, 3.0), (2, "a", 1, 4.0), (2, "b", 1, 8.0)]
+
+
 def test_config_files(tmp_path):
     (tmp_path / "c.json").write_text('{"a": "${X}"}')
     assert config.load(tmp_path / "c.json", env={"X": "1"}) == {"a": "1"}

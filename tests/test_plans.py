@@ -1,5 +1,6 @@
 import csv
 import json
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from ledgerlark.operators import validation as V
 from ledgerlark.plans import bundle as B
 from ledgerlark.plans import protocol as P
 from ledgerlark.plans import report as R
+from ledgerlark.plans import views as W
 from ledgerlark.sinks import writers as K
-from ledgerlark.sources import config
+from ledgerlark.sources import config, readers
+from ledgerlark.sources.metric_source import metric_rows
 
 NAMES = [f.split()[0] for f in RECORD.split(", ")]
 
@@ -100,6 +103,30 @@ def test_report(spark, tmp_path):
     assert not (tmp_path / "bad").exists()
 
 
+def test_from_sample_logs_to_the_report(spark, tmp_path):
+    """Sample logs of two models and a metric log of each, to the published tables."""
+    kinds = ("single_count", "single_index_identification", "constraint_generation")
+    for k, model in enumerate(("base", "a")):
+        run = tmp_path / "runs" / model / "r1"
+        run.mkdir(parents=True)
+        lines = [{"doc_id": i, "doc_hash": f"d{i}", "doc": {"task_type": kinds[i % 3], "supercategory": "s"}, "metrics": ["avg_accuracy"], "avg_accuracy": (i * (k + 1) % 5) / 4} for i in range(9)]
+        (run / "samples_t.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+        (run / "results_1.json").write_text(json.dumps({"results": {"t": {"pass_at_1,all": 0.5, "pass_at_3,all": 0.6, "avg_accuracy,all": 0.55}}}))
+        (run / "metrics.jsonl").write_text(json.dumps({"step": 1, "loss": k / 2}) + "\n")
+        (run / "_COMPLETE").write_text("")
+    found = readers.single_runs(readers.completed_runs(spark, str(tmp_path / "runs")), ["base", "a"])
+    paths = {m: f"{tmp_path}/runs/{m}/{r}" for m, r in found.items()}
+    obs = reduce(lambda x, y: x.unionByName(y), [R.observations_of(readers.samples(spark, p), m) for m, p in paths.items()])
+    overall = [{"model_key": m} | readers.first_valid_results(spark, p, "t").first().asDict() for m, p in paths.items()]
+    log = reduce(lambda x, y: x.unionByName(y), [metric_rows(spark, f"{p}/metrics.jsonl").select(F.lit(m).alias("model_key"), "step", "metric", "value") for m, p in paths.items()])
+    R.publish(spark, obs, overall, tmp_path / "report", baseline="base", labels={"base": "Base", "a": "A"}, replicates=30, training=log.groupBy("model_key", "step").pivot("metric", ["loss"]).agg(F.first("value")))
+    rows = {n: list(csv.DictReader((tmp_path / "report" / n).open(newline=""))) for n in [*R.TABLES, "training_metrics.csv"]}
+    assert [len(rows[n]) for n in R.TABLES] == [2, 6, 2, 4] and {(r["model_key"], r["avg_accuracy"]) for r in rows["overall.csv"]} == {("base", "0.55"), ("a", "0.55")}
+    whole = next(r for r in rows["paired.csv"] if r["n_documents"] == "9")
+    assert float(whole["avg_accuracy_delta"]) == pytest.approx(sum((i * 2 % 5) / 4 - (i % 5) / 4 for i in range(9)) / 9)
+    assert [(r["model_key"], r["loss"]) for r in rows["training_metrics.csv"]] == [("a", "0.5"), ("base", "0.0")]
+
+
 def test_paths_and_names(spark, tmp_path):
     with pytest.raises(config.ConfigError):
         config.within(tmp_path, "../x")
@@ -127,6 +154,16 @@ def test_protocols(spark):
         P.require_one_protocol(runs(same), expected={"official_task": '"u"'})
 
 
+def test_protocols_with_the_digest_of_a_package(spark):
+    fields = P.fields_with("own")
+    assert len(fields) == 23 and fields[-1] == "environment_lock"
+    rows = [("a", manifest(installed_own_tree_sha256="1")), ("b", manifest(installed_own_tree_sha256="2"))]
+    df = spark.createDataFrame(rows, "model_key string, manifest string")
+    P.require_one_protocol(df)
+    with pytest.raises(E.EvaluationError):
+        P.require_one_protocol(df, fields=fields)
+
+
 def test_model_bindings(spark):
     registry = {"experiment_id": "e", "checkpoint_path": "/c", "task_family": "count"}
     binding = {"kind": "trained", "task_family": "count", "dataset_artifact_id": "d", "dataset_records_sha256": "h", "frozen_config": {"path": "/f", "sha256": "1"}}
@@ -152,6 +189,19 @@ def test_model_bindings(spark):
 
 
 def test_oracle_table(spark):
-    assert P.oracle_failures(spark).isEmpty()
-    wrong = P.oracle_failures(spark, evaluator=lambda *a: 1.0).collect()
-    assert {r["case"] for r in wrong} == {"count_wrong", "index_off_by_one"}
+    values = {"constraint met": F.lit("C2"), "constraint missed": F.lit("C1"), "value refused": F.lit("C5")}
+    cases = P.oracle_cases(spark.createDataFrame([(4,), (None,)], "n bigint"), F.col("n"), values, F.lit('[{"type":"k","operator":"=","value":0}]'))
+    assert [r["case"] for r in cases.collect()] == [c[0] for c in P.CASES]
+    assert P.oracle_failures(cases, evaluator=W.parity, validator=W.acceptable).isEmpty()
+    wrong = P.oracle_failures(cases, evaluator=W.generous, validator=W.acceptable).collect()
+    assert {r["case"] for r in wrong} == {"count missed", "indices shifted", "constraint missed"}
+    # Without its validator a refused value is judged like any other.
+    assert {r["case"] for r in P.oracle_failures(cases, evaluator=W.generous).collect()} == {"count missed", "indices shifted", "constraint missed", "value refused"}
+
+
+def test_pinned_evaluator(spark):
+    good = {"official_evaluator_commit": "c", "official_task": "t", "official_task_yaml_sha256": "y", "official_evaluator_identity": {"commit": "c", "clean": True, "source_tree_sha256": "s"}}
+    bad = [{k: "other"} for k in good] + [{"official_evaluator_identity": good["official_evaluator_identity"] | x} for x in ({"commit": "d"}, {"clean": False}, {"clean": "true"}, {"source_tree_sha256": ""}, {"source_tree_sha256": None})]
+    rows = [json.dumps(good)] + [json.dumps(good | b) for b in bad] + ["{}", "no json", None]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string")
+    assert [r["i"] for r in df.where(P.pinned(F.col("m"), "c", "t", "y")).collect()] == [0]
