@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import materialise, table
+from ledgerlark.llm.common import fresh, materialise, table
 
 SHARDS = 16
 
@@ -88,9 +88,9 @@ def _children_sql(children: list[tuple[str, int, int]], dialect: str) -> str:
     return _array_sql([one.format(*c) for c in children], dialect)
 
 
-def shard_sql(tree: Tree, key: str, dialect: str = "spark") -> tuple[str, str, str]:
-    """SQL of three steps, each over the columns of those before: ``region`` of a non-null string
-    ``key``, ``rack`` within it, and the shard. Weightless nodes draw nothing."""
+def shard_sql(tree: Tree, key: str, dialect: str = "spark", region_name: str = "region", rack_name: str = "rack") -> tuple[str, str, str]:
+    """SQL of three steps, each over the columns of those before: the region of a non-null string
+    ``key``, the rack within it, and the shard. Weightless nodes draw nothing."""
     regions = [[rack for rack in region.racks if rack.weight > 0] for region in tree if region.weight > 0]
     names = [region.name for region in tree if region.weight > 0]
     first = _children_sql([(n, sum(k.weight for k in racks), i) for i, (n, racks) in enumerate(zip(names, regions, strict=True))], dialect)
@@ -107,15 +107,17 @@ def shard_sql(tree: Tree, key: str, dialect: str = "spark") -> tuple[str, str, s
     at = "{0}[{1}]" if dialect == "spark" else "({0})[{1} + 1]"
     return (
         _choice_sql(first, key, dialect),
-        _choice_sql(at.format(second, "region"), key, dialect),
-        _choice_sql(at.format(at.format(third, "region"), "rack"), key, dialect),
+        _choice_sql(at.format(second, region_name), key, dialect),
+        _choice_sql(at.format(at.format(third, region_name), rack_name), key, dialect),
     )
 
 
 def with_shard(df: DataFrame, tree: Tree, key: str, to: str) -> DataFrame:
-    """Add column ``to``, the shard that the non-null string column ``key`` descends to."""
-    region, rack, shard = shard_sql(tree, key)
-    return df.withColumn("region", F.expr(region)).withColumn("rack", F.expr(rack)).withColumn(to, F.expr(shard).cast("int")).drop("region", "rack")
+    """Add column ``to``, the shard that the non-null string column ``key`` descends to. Other columns stay,
+    whatever their names, but a column ``to`` is replaced."""
+    at_region, at_rack = fresh(df.withColumn(to, F.lit(0)), "_region", "_rack")
+    region, rack, shard = shard_sql(tree, key, region_name=at_region, rack_name=at_rack)
+    return df.withColumn(at_region, F.expr(region)).withColumn(at_rack, F.expr(rack)).withColumn(to, F.expr(shard).cast("int")).drop(at_region, at_rack)
 
 
 def place(documents: DataFrame, tree: Tree, *, key: str = "doc_id", text: str = "text", grown: Tree | None = None) -> DataFrame:

@@ -115,7 +115,9 @@ def test_weights_move_keys_only_in_their_subtrees(spark):
     tree = sharding.even_tree(16)
     heavier = (sharding.Region("r0", (sharding.Rack("k0", ((0, 3), (1, 1), (2, 1), (3, 0))), tree[0].racks[1])), tree[1])
     keys = spark.range(4000).select(F.col("id").cast("string").alias("key"))
-    rows = sharding.with_shard(sharding.with_shard(keys, tree, "key", "a"), heavier, "key", "b").collect()
+    named = keys.withColumns({"region": F.lit("mine"), "rack": F.lit(7), "_Region": F.lit(1)})
+    rows = sharding.with_shard(sharding.with_shard(named, tree, "key", "a"), heavier, "key", "b").collect()
+    assert {(r["region"], r["rack"], r["_Region"]) for r in rows} == {("mine", 7, 1)} and len(rows[0]) == 6
     share = np.bincount([r["b"] for r in rows], minlength=16) / 4000
     assert abs(share[0] - 3 / 17) < 0.03 and share[3] == 0
     assert all(r["a"] == r["b"] for r in rows if r["a"] >= 8 and r["b"] >= 8)
@@ -592,6 +594,20 @@ def test_groups_as_brute_force(spark, seed, bits, hot, monkeypatch):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_groups(list(zip(ids, texts, strict=True)))))
 
 
+def test_groups_where_nothing_is_broadcast_and_few_signatures_are_left_out(spark, monkeypatch):
+    """Plans over the bounds of what travels with tasks give the same groups."""
+    for name, value in (("MOST_BROADCAST", 0), ("MOST_HOT", 2), ("HOT", 3), ("ONE_OF", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = near_copies(5, 120)
+    ids = list(range(100, 100 + len(texts)))
+    df = frame(spark, texts, ids)
+    assert len(jaccard_join.hot_signatures(df.select("doc_id", "text"))) == 2
+    want = brute_groups(list(zip(ids, texts, strict=True)))
+    got = jaccard_join.similar_groups(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(df).select("doc_id").collect()) == sorted({r[2] for r in want})
+
+
 def thue_morse(k):
     t = "a"
     while len(t) < k:
