@@ -13,6 +13,7 @@ from ledgerlark.functions import text as X
 from ledgerlark.operators import builder as B
 from ledgerlark.operators import evaluation as E
 from ledgerlark.operators import integrity as I
+from ledgerlark.operators import leaks as LK
 from ledgerlark.operators import merkle as K
 from ledgerlark.operators import metric_log as M
 from ledgerlark.operators import scoring as S
@@ -317,6 +318,15 @@ def leak_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.table(spark, sf_dir, "documents").agg(F.count_if(~kept).alias("leaked"), F.count("*").alias("n"))
 
 
+@query("""WITH v AS (SELECT item_id, substr(text, 11, 60) AS w FROM benchmark UNION ALL SELECT 1000 + n_nationkey, n_name FROM nation)
+SELECT DISTINCT doc_id, item_id FROM documents, v WHERE w <> '' AND contains(text, w)""")
+def leak_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold sixty characters of a benchmark item, or the name of a nation."""
+    values = W.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint"), F.substring("text", 11, 60).alias("w"))
+    names = W.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1000).cast("bigint").alias("item_id"), F.col("n_name").alias("w"))
+    return LK.leak_join(W.table(spark, sf_dir, "documents"), values.unionByName(names), key="doc_id", text="text", value_key="item_id", value="w")
+
+
 # Builder
 
 _VALID = "n_chars >= 200"
