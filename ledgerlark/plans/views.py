@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a file that makes fewer tasks than there are cores, dealt to all of them: reading a completion
+    costs far more than to move it once. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model_key, doc_hash, family, supercategory, accuracy): four models over the labelled documents.
 
@@ -42,7 +49,7 @@ OBS_SQL = """obs AS (
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollouts_of(table(spark, sf_dir, "events"))
+    return rollouts_of(spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")))
 
 
 def rollouts_of(events: DataFrame) -> DataFrame:
