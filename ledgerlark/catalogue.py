@@ -18,6 +18,7 @@ from ledgerlark.operators import merkle as K
 from ledgerlark.operators import metric_log as M
 from ledgerlark.operators import scoring as S
 from ledgerlark.operators import validation as V
+from ledgerlark.plans import contracts as N
 from ledgerlark.plans import protocol as P
 from ledgerlark.plans import views as W
 from ledgerlark.sinks import commits, files
@@ -614,6 +615,44 @@ def longest_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("max_prompt_tokens").cast("bigint").alias("max_prompt_tokens"), "n")
 
 
+#: What is changed in every twelfth document, and the rules that this breaks.
+_CHANGED = {
+    1: ('"name":"task"', '"name":"other"', "name"), 2: ('"split":"test"', '"split":"train"', "split"), 3: ('"repeats":3', '"repeats":4', "repeats"),
+    4: ('"split"', '"limit":null,"split"', "no limit"), 5: ('"a":"x"', '"a":"y"', "hooks"), 6: ('"until":[]', '"until":["."]', "generation"), 7: ('{"m":"p3"}', '{"n":"p3"}', "metrics"),
+    8: ("count", "sum", "family"), 9: ('"selector":"count"', '"selector":"index"', "selector"), 10: ('"used_for_tuning":false', '"used_for_tuning":true', "held out"), 11: ('{"task"', '["task",{"task"', "object"),
+}
+_DOCUMENT = '{"task":{"name":"task","split":"test","repeats":3,"hooks":{"a":"x","b":"y"},"generation":{"until":[],"max":5},"metrics":[{"m":"p1"},{"m":"p3"}]},"family":"count","dataset":{"selector":"count"},"flags":{"used_for_training":false,"used_for_tuning":false},"id":'
+_CONTRACT = (
+    {"rule": "name", "path": "task.name", "equals": "task"}, {"rule": "split", "path": "task.split", "equals": "test"}, {"rule": "repeats", "path": "task.repeats", "equals": 3},
+    {"rule": "no limit", "path": "task.limit", "present": False}, {"rule": "hooks", "path": "task.hooks", "equals": {"a": "x", "b": "y"}}, {"rule": "generation", "path": "task.generation", "equals": {"max": 5, "until": []}},
+    {"rule": "metrics", "path": "task.metrics", "names": {"by": "m", "all": ["p1", "p3"]}}, {"rule": "family", "path": "family", "one_of": ["count", "index"]},
+    {"rule": "selector", "path": "dataset.selector", "same_as": "family"}, {"rule": "held out", "path": "flags", "none_set": "used_for"},
+)
+
+
+@query(f"""SELECT rule, count(*) AS n, min(event_id) AS first FROM events JOIN (VALUES {', '.join(f"({k}, '{x[2]}')" for k, x in _CHANGED.items())}) b(m, rule) ON event_id % 12 = m GROUP BY ALL""")
+def document_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that documents break, of which one is made for every event."""
+    text = F.concat(F.lit(_DOCUMENT), F.col("event_id").cast("string"), F.lit("}"))
+    for k, (old, new, _) in _CHANGED.items():
+        text = F.when(F.col("event_id") % 12 == k, F.replace(F.concat(F.lit(_DOCUMENT), F.col("event_id").cast("string"), F.lit("}")), F.lit(old), F.lit(new))).otherwise(text)
+    broken = N.broken_rules(W.table(spark, sf_dir, "events").select("event_id", text.alias("doc")), "doc", _CONTRACT)
+    return broken.select("event_id", F.explode("broken").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("""SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN ['a.0.limit', 'limit'] WHEN 1 THEN ['a.1.b.c.samples'] ELSE ['limit.limit', 'limit'] END) AS path FROM events WHERE event_id % 4 <> 3""")
+def forbidden_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of forbidden keys, at several depths, in a configuration for every event."""
+    event = F.col("event_id")
+    doc = (
+        F.when(event % 4 == 3, F.lit('{"a":{"limit":null,"b":[{"samples":""}]},"limits":5}'))
+        .when(event % 3 == 0, F.concat(F.lit('{"a":[{"limit":'), (event + 1).cast("string"), F.lit('},{"samples":[]}],"limit":true}')))
+        .when(event % 3 == 1, F.lit('{"a":[0,{"b":{"c":{"samples":["x"],"limit":0}}}]}'))
+        .otherwise(F.lit('{"limit":{"limit":1}}'))
+    )
+    return N.forbidden_settings(W.table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc", ("limit", "samples"))
+
+
 @query("""SELECT evaluator, "case", expected, got, failed, count(*) AS n FROM events, (VALUES ('generous', 'count missed', 0.0e0, 1.0e0, false), ('generous', 'indices shifted', 0.0e0, 1.0e0, false),
 ('generous', 'constraint missed', 0.0e0, 1.0e0, false), ('deaf', 'count met', 1.0e0, 0.0e0, false), ('deaf', 'indices met', 1.0e0, 0.0e0, false), ('deaf', 'constraint met', 1.0e0, 0.0e0, false)) v(evaluator, "case", expected, got, failed) GROUP BY ALL""")
 def reward_table(spark: SparkSession, sf_dir: str) -> DataFrame:
