@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,31 @@ def test_paired_bootstrap_has_a_row_per_model_and_scope(spark):
     assert all(deltas[r["model_key"], r["scope"]] == pytest.approx(r["mean_delta"]) for r in out)
 
 
+def test_exact_bootstrap_as_a_plain_loop(spark):
+    """Seeds, order, chunks and quantiles of the published procedure, written out for one scope after another."""
+    families = ("count", "index", "constraint")
+    rows = [(m, f"d{i:03d}", families[i % 3], "s", ((i * i * k + i) % 11) / 10) for k, m in ((1, "base"), (3, "a"), (7, "b")) for i in range(50)]
+    obs = spark.createDataFrame(rows, "model_key string, doc_hash string, family string, supercategory string, accuracy double").repartition(5)
+    got = {(r["model_key"], r["scope"]): r for r in E.bootstrap_exact(obs, "base", 450).collect()}
+    accuracy = {(m, d): a for m, d, _, _, a in rows}
+    family = {d: f for _, d, f, _, _ in rows}
+    want = {}
+    for model in ("a", "b"):
+        for scope in ("overall", *families):
+            docs = sorted(d for d in family if scope == "overall" or family[d] == scope)
+            deltas = np.array([accuracy[model, d] - accuracy["base", d] for d in docs])
+            seed = int.from_bytes(hashlib.sha256(f"{E.SEED_PREFIX}:{model}:{scope}".encode()).digest()[:8], "big")
+            rng, means = np.random.default_rng(seed), []
+            for size in (200, 200, 50):
+                for replicate in rng.integers(0, len(docs), size=(size, len(docs))):
+                    means.append(np.mean([deltas[i] for i in replicate]))
+            want[model, scope] = (deltas.mean(), *np.quantile(means, [0.025, 0.975]), len(docs), str(seed))
+    assert set(got) == set(want)
+    for at, (mean, low, high, n, seed) in want.items():
+        r = got[at]
+        assert (r["mean_delta"], r["ci_low"], r["ci_high"]) == pytest.approx((mean, low, high), abs=1e-12) and (r["n"], r["seed"]) == (n, seed)
+
+
 def test_portable_bootstrap_as_brute_force(spark):
     n = 9
     value = {(m, i): ((i * k) % 5) / 4 for k, m in enumerate(("base", "a"), 1) for i in range(n)}
