@@ -402,6 +402,17 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.latest_by_number(names, "o_custkey", "name")
 
 
+@query("SELECT o_custkey, max(o_orderkey) AS number, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'P' GROUP BY ALL")
+def newest_valid_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer the newest order whose digest is that of its status, when those of every third order
+    are wrong and pending ones have none; beside it how many there are."""
+    digest = F.when(F.col("o_orderkey") % 3 == 0, "torn").when(F.col("o_orderstatus") != "P", H.sha256(F.col("o_orderstatus")))
+    orders = W.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", digest.alias("digest"))
+    holds = lambda df: df.where(H.sha256(F.col("o_orderstatus")) == F.col("digest"))
+    newest = I.newest_valid(orders, "o_custkey", "o_orderkey", holds, shared_folder(spark, "checkpoints"))
+    return newest.select("o_custkey", F.col("o_orderkey").alias("number")).join(holds(orders).groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey")
+
+
 @query("SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS protocols, count(*) AS n FROM orders GROUP BY ALL")
 def protocol_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.distinct_protocols(W.table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")

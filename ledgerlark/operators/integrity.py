@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.functions.hashing import record_json, sha256
 
@@ -94,6 +96,28 @@ def latest_by_number(df: DataFrame, group: str, name: str, pattern: str = r"chec
     return numbered.groupBy(group).agg(F.max_by(name, F.struct("number", name)).alias(name), F.max("number").alias("number"))
 
 
+def newest_valid(candidates: DataFrame, group: str, number: str, verify: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Of each group the candidate with the greatest number that ``verify`` keeps; groups without one are left
+    out, and so are null numbers. Of equal numbers all are candidates of one round.
+
+    To verify is dear, so it goes by rounds: the newest of every group first, and where it fails the next.
+    ``folder``, which driver and executors share, holds the numbered candidates and what each round found."""
+    spark = candidates.sparkSession
+    place = F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc(number)))
+    candidates.where(F.col(number).isNotNull()).withColumn("_place", place).write.parquet(f"{folder}/candidates")
+    numbered = spark.read.schema(T.StructType([*candidates.schema.fields, T.StructField("_place", T.IntegerType())])).parquet(f"{folder}/candidates")
+    found = numbered.limit(0).drop("_place")
+    for k in count(1):
+        at = numbered.where(F.col("_place") == k).drop("_place")
+        # Groups that are settled are verified no further; a null group is one like any other.
+        settled = found.select(F.col(group).alias("_settled")).distinct()
+        at = at.join(settled, F.col(group).eqNullSafe(F.col("_settled")), "left_anti")
+        if at.isEmpty():
+            return found
+        verify(at).write.parquet(f"{folder}/round-{k}")
+        found = found.unionByName(spark.read.schema(candidates.schema).parquet(f"{folder}/round-{k}"))
+
+
 def run_state(runs: DataFrame, group: str, complete: Column) -> DataFrame:
     """Completed runs of each group, and the state that follows from their number."""
     counts = runs.groupBy(group).agg(F.count_if(complete).alias("n_complete"))

@@ -94,6 +94,22 @@ def test_paired_bootstrap_has_a_row_per_model_and_scope(spark):
     assert all(deltas[r["model_key"], r["scope"]] == pytest.approx(r["mean_delta"]) for r in out)
 
 
+def test_newest_that_is_valid(spark, tmp_path):
+    rows = [("a", 1, True), ("a", 5, False), ("a", 3, True), ("b", 2, True), ("c", 9, False), ("c", 8, False), (None, 4, False), (None, 3, True), ("d", None, True), ("e", 7, True), ("e", 7, True)]
+    df = spark.createDataFrame(rows, "run string, number int, ok boolean")
+    asked = []
+
+    def verify(at):
+        asked.append(sorted((r["run"] or "", r["number"]) for r in at.collect()))
+        return at.where("ok")
+
+    got = I.newest_valid(df, "run", "number", verify, str(tmp_path / "a"))
+    assert sorted((r["run"] or "", r["number"]) for r in got.collect()) == [("", 3), ("a", 3), ("b", 2), ("e", 7), ("e", 7)]
+    # The newest of all, then the next where it failed, and no more.
+    assert asked == [[("", 4), ("a", 5), ("b", 2), ("c", 9), ("e", 7), ("e", 7)], [("", 3), ("a", 3), ("c", 8)]]
+    assert I.newest_valid(df.limit(0), "run", "number", verify, str(tmp_path / "b")).count() == 0
+
+
 def test_exact_bootstrap_as_a_plain_loop(spark):
     """Seeds, order, chunks and quantiles of the published procedure, written out for one scope after another."""
     families = ("count", "index", "constraint")
