@@ -255,7 +255,7 @@ def encode_documents(documents: DataFrame, path: str, *, text: str = "text", kee
     Ids are those of the tokenizers library without added special tokens, truncation and padding;
     special tokens that stand in a text get their ids. A null text is encoded as the empty text,
     which has no tokens. Repeated rows are encoded one by one; other columns stay, but a column
-    ``tokens`` is replaced.
+    ``tokens`` is replaced. An empty table stays empty.
     """
     bound_batches(documents)
     return documents.withColumn("tokens", _coder(path, keep_ids)(F.col(text)))

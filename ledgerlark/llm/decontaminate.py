@@ -210,7 +210,7 @@ def find_windows(
     Null and empty texts have no words and no hits; an item with a null id or without words has no
     windows; rows of one item id count as one item; repeated documents are judged one by one; an
     empty benchmark hits nothing. Columns of ``documents`` other than ``text`` stay as they are,
-    whatever their names; a column ``to`` is replaced.
+    whatever their names; a column ``to`` is replaced. An empty table of documents stays empty.
     """
     bound_batches(documents)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")

@@ -191,7 +191,8 @@ def train(documents: DataFrame, labels: DataFrame, *, label: str = "quality", do
 
 def score_documents(documents: DataFrame, machine: Machine, *, text: str = "text", meta: str | None = None) -> DataFrame:
     """Add ``quality``, a score from 0 to 1, to every row. A null text is scored as the empty text, a
-    null count of characters (column ``meta``) is taken from the text; repeated rows get one score; other columns stay, but a column ``quality`` is replaced."""
+    null count of characters (column ``meta``) is taken from the text; repeated rows get one score; other
+    columns stay, but a column ``quality`` is replaced. An empty table stays empty."""
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

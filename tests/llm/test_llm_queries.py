@@ -21,6 +21,23 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == sql_rows(con, registry.oracle_sql()[name])
 
 
+def test_every_operator_is_registered():
+    """Where their libraries are installed none is left out of the entry."""
+    import __spark_entry__
+
+    found = __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in found if re.match("op[0-9]+_", n)) == list(range(1, 14)) and "pipeline" in found
+
+
+def test_tables_are_removed(spark, tmp_path, monkeypatch):
+    from ledgerlark.llm import common
+
+    monkeypatch.setattr(common, "_tables", lambda spark: str(tmp_path / "own"))
+    assert common.materialise(spark.range(3)).count() == 3 and len(list((tmp_path / "own").iterdir())) == 1
+    common.remove_tables(spark)
+    assert not (tmp_path / "own").exists()
+
+
 def documents(con):
     return con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
 
