@@ -1,8 +1,9 @@
 """Frozen datasets on disk: build, validate, bundle, resolve, seal.
 
-An artifact is a folder with the records as Parquet, a manifest and a marker that holds the
-manifest's digest. It is built beside its place and renamed, so a half-built one is never seen.
-Record digests are computed where the records are (``integrity.chunked_hash``).
+An artifact is a folder with the records as Parquet and one commit (``sinks.commits``), which holds the
+manifest and its digest and is created only if there is none. A half-built artifact is never seen, on
+any file system that Spark writes to, and of two writers one has it. Record digests are computed where
+the records are (``integrity.chunked_hash``).
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.hashing import canonical_json, record_json, text_sha256
 from ledgerlark.operators import integrity, validation
-from ledgerlark.sinks import writers
+from ledgerlark.sinks import commits, writers
 from ledgerlark.sources import readers
 from ledgerlark.sources.config import within
 
 SCHEMA_VERSION = 1
-MANIFEST, READY = "manifest.json", "_READY"
+DATASET = "dataset"
 PROVENANCE = ("source_dataset_revision", "generator_revision", "preprocessing_config_hash")
 
 
@@ -47,8 +48,38 @@ def _read(path: Path) -> dict[str, Any]:
     return value
 
 
-def freeze(records: DataFrame, root: str | Path, family: str, *, system_text: str | None = None, denylist: Sequence[str] = (), drops: Mapping[str, int] | None = None, more: Mapping[str, Any] | None = None) -> Path:
-    """Validate records of one family and publish them as ``<family>-<digest prefix>`` below ``root``.
+def _committed(spark: SparkSession, folder: str | Path) -> commits.Commit:
+    """The one commit of an artifact or a bundle, if its digest is right."""
+    found = commits.newest(spark, str(folder), listed=False)
+    if found is None:
+        raise BundleError(f"{folder} is not complete")
+    return found
+
+
+def _join(root: str | Path, name: str) -> str | Path:
+    return root / name if isinstance(root, Path) else f"{root.rstrip('/')}/{name}"
+
+
+def _below(root: str | Path, relative: str) -> str | Path:
+    """A folder below another one; a path that leaves it is an error."""
+    if isinstance(root, Path):
+        return within(root, relative)
+    if relative.startswith("/") or ".." in relative.split("/"):
+        raise BundleError(f"{relative} leaves {root}")
+    return _join(root, relative)
+
+
+def _relative(root: str | Path, folder: str | Path) -> str:
+    if isinstance(root, Path):
+        return Path(folder).resolve().relative_to(root.resolve()).as_posix()
+    if not str(folder).startswith(f"{root.rstrip('/')}/"):
+        raise BundleError(f"{folder} is not below {root}")
+    return str(folder)[len(root.rstrip("/")) + 1 :]
+
+
+def freeze(records: DataFrame, root: str | Path, family: str, *, system_text: str | None = None, denylist: Sequence[str] = (), drops: Mapping[str, int] | None = None, more: Mapping[str, Any] | None = None) -> str | Path:
+    """Validate records of one family and publish them as ``<family>-<digest prefix>`` below ``root``; an
+    existing artifact is an error.
 
     All rows must agree on their provenance, which goes into the manifest."""
     validation.validate_records(records, family, system_text, denylist)
@@ -62,24 +93,19 @@ def freeze(records: DataFrame, root: str | Path, family: str, *, system_text: st
         "schema_version": SCHEMA_VERSION, "task_family": family, "num_examples": n, "records_sha256": digest,
         "task_type_counts": types, "drop_counts": dict(drops or {}), "dataset_artifact_id": artifact,
     }
-    target = Path(root) / artifact
-    with writers.published(target) as staging:
-        writers.write_dataset(records, str(staging / "dataset"))
-        writers.write_json(staging / MANIFEST, manifest)
-        writers.mark_ready(staging, staging / MANIFEST, READY)
+    target = _join(root, artifact)
+    commits.publish(records.sparkSession, str(target), {DATASET: records}, manifest, expected=0)
     return target
 
 
 def validate_artifact(spark: SparkSession, folder: str | Path, *, expected_task: str | None = None, system_text: str | None = None, denylist: Sequence[str] = ()) -> dict[str, Any]:
-    """The manifest of an artifact whose marker, rows, provenance, count and digest all agree with it."""
-    folder = Path(folder)
-    if not writers.is_ready(folder, folder / MANIFEST, READY):
-        raise BundleError(f"{folder} is not complete")
-    manifest = _read(folder / MANIFEST)
+    """The manifest of an artifact whose commit, rows, provenance, count and digest all agree."""
+    commit = _committed(spark, folder)
+    manifest = dict(commit.meta)
     family = manifest.get("task_family")
     if expected_task is not None and family != expected_task:
         raise BundleError(f"{folder} holds {family}, not {expected_task}")
-    rows = readers.dataset(spark, str(folder / "dataset"))
+    rows = commits.read(spark, str(folder), DATASET, commit)
     n = validation.validate_records(rows, family, system_text, denylist)
     foreign = ~F.lit(True)
     for c in PROVENANCE:
@@ -92,7 +118,7 @@ def validate_artifact(spark: SparkSession, folder: str | Path, *, expected_task:
             "provenance": rows.where(foreign).isEmpty(),
             "num_examples": manifest.get("num_examples") == n,
             "records_sha256": manifest.get("records_sha256") == digest,
-            "dataset_artifact_id": manifest.get("dataset_artifact_id") == folder.name,
+            "dataset_artifact_id": manifest.get("dataset_artifact_id") == str(folder).rstrip("/").rsplit("/", 1)[-1],
         }.items()
         if not ok
     ]
@@ -101,37 +127,28 @@ def validate_artifact(spark: SparkSession, folder: str | Path, *, expected_task:
     return manifest
 
 
-def bundle(artifacts: Mapping[str, str | Path], root: str | Path, config: Mapping[str, Any]) -> Path:
-    """A bundle that points at one artifact of each family below ``root``, with a readiness marker."""
-    root = Path(root)
+def bundle(spark: SparkSession, artifacts: Mapping[str, str | Path], root: str | Path, config: Mapping[str, Any]) -> str | Path:
+    """A bundle that points at one artifact of each family below ``root``; an existing one is an error."""
     entries = {}
     for family, folder in sorted(artifacts.items()):
-        manifest = _read(Path(folder) / MANIFEST)
-        if manifest["task_family"] != family:
-            raise BundleError(f"{folder} holds {manifest['task_family']}, not {family}")
-        entries[family] = {
-            "path": Path(folder).resolve().relative_to(root.resolve()).as_posix(),
-            "manifest_sha256": text_sha256((Path(folder) / MANIFEST).read_bytes()),
-            **{k: manifest[k] for k in ("dataset_artifact_id", "records_sha256", "num_examples")},
-        }
+        commit = _committed(spark, folder)
+        if commit.meta["task_family"] != family:
+            raise BundleError(f"{folder} holds {commit.meta['task_family']}, not {family}")
+        entries[family] = {"path": _relative(root, folder), "commit_sha256": commit.sha256, **{k: commit.meta[k] for k in ("dataset_artifact_id", "records_sha256", "num_examples")}}
     body = {"schema_version": SCHEMA_VERSION, "config_sha256": text_sha256(canonical_json(config)), "artifacts": entries}
     name = f"bundle-{text_sha256(canonical_json(body))[:12]}"
-    with writers.published(root / name) as staging:
-        writers.write_json(staging / MANIFEST, body | {"bundle_id": name})
-        writers.mark_ready(staging, staging / MANIFEST, READY)
-    return root / name
+    commits.publish(spark, str(_join(root, name)), {}, body | {"bundle_id": name}, expected=0)
+    return _join(root, name)
 
 
-def resolve(spark: SparkSession, folder: str | Path, task: str, **options) -> tuple[Path, dict[str, Any]]:
+def resolve(spark: SparkSession, folder: str | Path, task: str, **options) -> tuple[str | Path, dict[str, Any]]:
     """Folder and manifest of a bundle's artifact of one family, all five of their ties checked."""
-    folder = Path(folder)
-    if not writers.is_ready(folder, folder / MANIFEST, READY):
-        raise BundleError(f"{folder} is not complete")
-    entry = _read(folder / MANIFEST).get("artifacts", {}).get(task)
+    entry = _committed(spark, folder).meta.get("artifacts", {}).get(task)
     if not isinstance(entry, dict):
         raise BundleError(f"{folder} has no artifact of {task}")
-    artifact = within(folder.parent, entry["path"])
-    if text_sha256((artifact / MANIFEST).read_bytes()) != entry["manifest_sha256"]:
+    root = folder.parent if isinstance(folder, Path) else folder.rstrip("/").rsplit("/", 1)[0]
+    artifact = _below(root, entry["path"])
+    if _committed(spark, artifact).sha256 != entry["commit_sha256"]:
         raise BundleError(f"the manifest of {artifact} has changed")
     manifest = validate_artifact(spark, artifact, expected_task=task, **options)
     if wrong := [k for k in ("dataset_artifact_id", "records_sha256", "num_examples") if manifest[k] != entry[k]]:

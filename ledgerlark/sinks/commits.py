@@ -27,7 +27,7 @@ from ledgerlark.sources.readers import file_listing
 LOG = "_commits"
 
 
-class CommitConflict(RuntimeError):
+class CommitConflict(FileExistsError):
     """Another version came first."""
 
 
@@ -82,11 +82,12 @@ def broken(spark: SparkSession, root: str, commit: Commit, *, deep: bool = False
     return out
 
 
-def newest(spark: SparkSession, root: str, *, deep: bool = False) -> Commit | None:
-    """The commit of the highest number that holds; None if there is none."""
-    for number in numbers(spark, root):
+def newest(spark: SparkSession, root: str, *, deep: bool = False, listed: bool = True, among: Sequence[int] | None = None) -> Commit | None:
+    """The commit of the highest number that holds, of all or of some numbers; None if there is none. Without
+    ``listed`` only its own digest is looked at, not its files."""
+    for number in numbers(spark, root) if among is None else among:
         commit = load(spark, root, number)
-        if commit is not None and not broken(spark, root, commit, deep=deep):
+        if commit is not None and not (listed and broken(spark, root, commit, deep=deep)):
             return commit
     return None
 
@@ -114,11 +115,14 @@ def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], met
     root = str(root).rstrip("/")
     made = write(spark, root, tables)
     while True:
-        base = newest(spark, root)
+        # The base is the newest of the very numbers after which the own one comes: if there is another by now,
+        # that number is taken, and all is looked at again.
+        known = numbers(spark, root)
+        base = newest(spark, root, among=known)
         if expected is not None and expected != (base.number if base else 0):
             raise CommitConflict(f"the newest version of {root} is {base.number if base else 0}, not {expected}")
         before = base.tables if append and base else {}
-        number = max(numbers(spark, root), default=0) + 1
+        number = max(known, default=0) + 1
         body = {
             "number": number, "base": base.number if base else 0, "meta": dict(meta or {}),
             "tables": {name: [*before.get(name, []), *([made[name]] if name in made else [])] for name in sorted({*before, *made})},

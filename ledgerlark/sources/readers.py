@@ -112,11 +112,12 @@ def file_listing(spark: SparkSession, root: str, ignored: Sequence[str] = IGNORE
     underscore, as markers have them. Only names and sizes pass through the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    # An address may be written in several ways; the path in it is the same in all.
+    base = top.toUri().getPath()
     path = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
     listed = files.where((F.col("length") > 0) & (F.col("length") < LARGE)).select(path.alias("path"), F.col("length").alias("size_bytes"), sha256(F.col("content")).alias("sha256"))
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(base)
     found, rest = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
     while found.hasNext():
         status = found.next()

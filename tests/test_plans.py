@@ -13,6 +13,7 @@ from ledgerlark.plans import bundle as B
 from ledgerlark.plans import protocol as P
 from ledgerlark.plans import report as R
 from ledgerlark.plans import views as W
+from ledgerlark.sinks import commits
 from ledgerlark.sinks import writers as K
 from ledgerlark.sources import config, readers
 from ledgerlark.sources.metric_source import metric_rows
@@ -27,10 +28,10 @@ def records(spark, family, n=4):
 def test_bundle_round_trip(spark, tmp_path):
     made = {f: B.freeze(records(spark, f), tmp_path, f, system_text=SYSTEM, drops={"x": 1}) for f in V.TASK_TYPES}
     again = B.records_digest(records(spark, "count").repartition(3))
-    assert json.loads((made["count"] / "manifest.json").read_text())["records_sha256"] == again[0] and again[1] == 4
+    assert commits.newest(spark, str(made["count"])).meta["records_sha256"] == again[0] and again[1] == 4
     with pytest.raises(FileExistsError):
         B.freeze(records(spark, "count"), tmp_path, "count")
-    whole = B.bundle(made, tmp_path, {"seed": 1})
+    whole = B.bundle(spark, made, tmp_path, {"seed": 1})
     folder, manifest = B.resolve(spark, whole, "index", system_text=SYSTEM)
     assert folder == made["index"].resolve() and manifest["num_examples"] == 4 and manifest["drop_counts"] == {"x": 1}
     with pytest.raises(B.BundleError):
@@ -43,14 +44,17 @@ def test_bundle_round_trip(spark, tmp_path):
 
 def test_changed_artifacts_are_refused(spark, tmp_path):
     made = B.freeze(records(spark, "count"), tmp_path, "count", system_text=SYSTEM)
-    whole = B.bundle({"count": made}, tmp_path, {})
+    whole = B.bundle(spark, {"count": made}, tmp_path, {})
     K.write_dataset(records(spark, "count", 5), str(tmp_path / "other"))
-    (made / "dataset").rename(tmp_path / "old")
-    (tmp_path / "other").rename(made / "dataset")
+    held = made / commits.newest(spark, str(made)).tables["dataset"][0]["folder"]
+    held.rename(tmp_path / "old")
+    (tmp_path / "other").rename(held)
+    assert commits.newest(spark, str(made)) is None
     with pytest.raises(B.BundleError, match="num_examples, records_sha256"):
         B.validate_artifact(spark, made)
-    manifest = json.loads((made / "manifest.json").read_text())
-    (made / "manifest.json").write_text(json.dumps(manifest | {"num_examples": 5}))
+    (log,) = (made / commits.LOG).glob("*.json")
+    log.write_text(log.read_text().replace('"num_examples":4', '"num_examples":5'))
+    (log.parent / f".{log.name}.crc").unlink()
     for check in (lambda: B.validate_artifact(spark, made), lambda: B.resolve(spark, whole, "count")):
         with pytest.raises(B.BundleError):
             check()
@@ -62,6 +66,21 @@ def test_changed_artifacts_are_refused(spark, tmp_path):
     assert not (tmp_path / "n").exists()
 
 
+def test_bundles_by_address(spark, tmp_path):
+    """The same by addresses of a file system, as text."""
+    root = f"file://{tmp_path}/store"
+    made = {f: B.freeze(records(spark, f), root, f, system_text=SYSTEM) for f in ("count", "index")}
+    whole = B.bundle(spark, made, root, {})
+    folder, manifest = B.resolve(spark, whole, "index", system_text=SYSTEM)
+    assert folder == made["index"] and folder.startswith("file:///") and manifest["num_examples"] == 4
+    with pytest.raises(FileExistsError):
+        B.freeze(records(spark, "count"), root, "count")
+    with pytest.raises(B.BundleError, match="not complete"):
+        B.resolve(spark, f"{root}/none", "index")
+    with pytest.raises(B.BundleError, match="not below"):
+        B.bundle(spark, made, f"file://{tmp_path}/other", {})
+
+
 def test_seal(spark, tmp_path):
     (tmp_path / "a").write_text("a")
     (tmp_path / "b").write_text("b")
