@@ -355,6 +355,23 @@ def epoch_cycle_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.epoch_specs(docs, n + n // 2, key="doc_id", seed="specs", loads=(1, 3), size=n)
 
 
+_PROPERTIES = ("rings", "atoms", "bonds", "charges", "mass")
+
+
+@query(f"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) OVER () AS n FROM documents),
+e AS (SELECT doc_id, n, unnest(range(2)) AS epoch FROM p),
+o AS (SELECT doc_id, n, epoch, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY {_hex("concat_ws(':', 'sample', epoch, doc_id)")}, doc_id) - 1 AS attempt FROM e),
+l AS (SELECT attempt, doc_id, {_hex("concat_ws(':', 'sample', 'load', attempt)")} % 4 + 1 AS load FROM o WHERE attempt < n + n // 2),
+d AS (SELECT attempt, doc_id, load, name, row_number() OVER (PARTITION BY attempt ORDER BY {_hex("concat_ws(':', 'sample', 'property', name, attempt)")}, name) AS place FROM l, (VALUES {", ".join(f"('{x}')" for x in _PROPERTIES)}) v(name))
+SELECT attempt, doc_id, load, string_agg(name, ',' ORDER BY place) AS properties FROM d WHERE place <= load GROUP BY ALL""")
+def property_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications with a sample of properties each."""
+    docs = W.table(spark, sf_dir, "documents").select("doc_id")
+    n = docs.count()
+    specs = B.epoch_specs(docs, n + n // 2, key="doc_id", seed="sample", loads=(1, 4), size=n, properties=_PROPERTIES)
+    return specs.select("attempt", "doc_id", "load", F.array_join("properties", ",").alias("properties"))
+
+
 # Integrity
 
 _NATION = "concat_ws('|', n_nationkey, n_name, n_regionkey)"

@@ -53,14 +53,25 @@ def drop_reasons(attempts: DataFrame, reason: Column, *by: str) -> DataFrame:
     return attempts.withColumn("reason", reason).where("reason is not null").groupBy(*by, "reason").agg(F.count("*").alias("n"))
 
 
-def epoch_specs(pool: DataFrame, attempts: int, *, key: str, seed: str, loads: tuple[int, int], size: int | None = None) -> DataFrame:
+def property_sample(names: Sequence[str], load: Column, seed: str, attempt: Column) -> Column:
+    """``load`` of the names, drawn without replacement: those whose hashed draws for the attempt are least, in
+    the order of these."""
+    drawn = F.array(*[F.struct(hash_draw(F.concat_ws(":", F.lit(seed), F.lit("property"), F.lit(n), attempt.cast("string"))).alias("draw"), F.lit(n).alias("name")) for n in names])
+    return F.transform(F.slice(F.array_sort(drawn), F.lit(1), load.cast("int")), lambda d: d["name"])
+
+
+def epoch_specs(pool: DataFrame, attempts: int, *, key: str, seed: str, loads: tuple[int, int], size: int | None = None, properties: Sequence[str] = ()) -> DataFrame:
     """Specifications that cycle through the pool, in a new hashed order every epoch: (attempt, epoch,
-    key, load, question_seed). Every draw is a hash, so any engine and partitioning gives the same.
+    key, load, question_seed), and with ``properties`` a sample of ``load`` of them. Every draw is a hash, so
+    any engine and partitioning gives the same.
 
-    ``size``: rows of the pool, counted if not given."""
+    ``size``: rows of the pool, counted if not given. Loads must be from 1 to the number of properties, if
+    there are any."""
+    if properties and not 1 <= loads[0] <= loads[1] <= len(properties):
+        raise ValueError(f"loads {loads} do not fit {len(properties)} properties")
     n = pool.count() if size is None else size
     if n == 0:
-        return pool.sparkSession.createDataFrame([], f"attempt bigint, epoch bigint, {key} string, load bigint, question_seed bigint")
+        return pool.sparkSession.createDataFrame([], f"attempt bigint, epoch bigint, {key} string, load bigint, question_seed bigint" + ", properties array<string>" * bool(properties))
     epochs = -(-attempts // n)
     rows = pool.select(F.col(key).cast("string").alias(key)).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
     rows = rows.withColumn("place", hash_draw(F.concat_ws(":", F.lit(seed), "epoch", key)))
@@ -74,7 +85,8 @@ def epoch_specs(pool: DataFrame, attempts: int, *, key: str, seed: str, loads: t
     rows = rows.join(counts, ["epoch", "range"]).withColumn("attempt", F.col("epoch") * n + F.col("before") + within - 1).where(F.col("attempt") < attempts)
     low, high = loads
     draw = lambda what: hash_draw(F.concat_ws(":", F.lit(seed), F.lit(what), "attempt"))
-    return rows.select("attempt", "epoch", key, (draw("load") % (high - low + 1) + low).alias("load"), draw("seed").alias("question_seed"))
+    specs = rows.select("attempt", "epoch", key, (draw("load") % (high - low + 1) + low).alias("load"), draw("seed").alias("question_seed"))
+    return specs.withColumn("properties", property_sample(properties, F.col("load"), seed, F.col("attempt"))) if properties else specs
 
 
 def exact_specs(spark: SparkSession, pool: Sequence[dict[str, Any]], family: str, properties: Sequence[str], loads: tuple[int, int], seed: int, attempts: int) -> DataFrame:

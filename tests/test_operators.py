@@ -94,6 +94,22 @@ def test_paired_bootstrap_has_a_row_per_model_and_scope(spark):
     assert all(deltas[r["model_key"], r["scope"]] == pytest.approx(r["mean_delta"]) for r in out)
 
 
+def test_property_samples(spark):
+    pool, names = spark.range(40).selectExpr("cast(id as string) as k"), ("a", "b", "c", "d")
+    rows = B.epoch_specs(pool, 400, key="k", seed="s", loads=(1, 4), properties=names).collect()
+    assert len(rows) == 400 and all(len(set(r["properties"])) == len(r["properties"]) == r["load"] for r in rows)
+    # Each name is drawn as often as any other, first as well as at all.
+    for at in (lambda r: r["properties"][:1], lambda r: r["properties"]):
+        seen = [sum(n in at(r) for r in rows) for n in names]
+        assert min(seen) > 0.7 * sum(seen) / 4
+    plain = B.epoch_specs(pool, 400, key="k", seed="s", loads=(1, 4)).collect()
+    assert sorted(map(tuple, plain)) == sorted(tuple(r)[:5] for r in rows)
+    for loads in ((0, 2), (1, 5), (3, 2)):
+        with pytest.raises(ValueError):
+            B.epoch_specs(pool, 4, key="k", seed="s", loads=loads, properties=names)
+    assert "properties" in B.epoch_specs(pool.limit(0), 4, key="k", seed="s", loads=(1, 1), properties=names).columns
+
+
 def test_newest_that_is_valid(spark, tmp_path):
     rows = [("a", 1, True), ("a", 5, False), ("a", 3, True), ("b", 2, True), ("c", 9, False), ("c", 8, False), (None, 4, False), (None, 3, True), ("d", None, True), ("e", 7, True), ("e", 7, True)]
     df = spark.createDataFrame(rows, "run string, number int, ok boolean")
