@@ -525,8 +525,10 @@ def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of rollouts that arrive in several micro-batches: the run stops after the second and is
     resumed under its frozen configuration."""
     at, events = shared_folder(spark, "groups"), W.table(spark, sf_dir, "events")
-    events.repartitionByRange(4, "event_id").write.parquet(f"{at}/events")
-    arriving = W.rollouts_of(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/events"))
+    # Four batches, each of as many files as there are cores: a batch of one file is one task.
+    cores = spark.sparkContext.defaultParallelism
+    events.repartitionByRange(4 * cores, "event_id").write.parquet(f"{at}/events")
+    arriving = W.rollouts_of(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", cores).parquet(f"{at}/events"))
     scored = S.score(arriving, evaluator=W.parity, validator=W.acceptable)
     what = (scored, f"{at}/run", {"evaluator": "parity", "validator": "acceptable"}, F.col("example_id"), X.stripped(F.col("completion")), F.col("score.total"))
     if groups.follow(spark, *what, stop=runs.Stop(after_batch=1)) == "stopped":

@@ -94,3 +94,29 @@ def test_idle_parts_are_closed_and_begin_anew(spark, tmp_path):
     assert [r["closed"] for r in rows[:2]] == [False, True] and len({r["since"] for r in rows}) == 2
     # The second two came after their group was forgotten: no more duplicates than within each.
     assert tuple(G.groups(spark, folder).select("n", "duplicates").first()) == (4, 2)
+
+
+def test_parts_that_last_are_one_aggregation(spark, tmp_path, arrive):
+    """A processor in Python asks the state store for every text; it is left to groups that time closes."""
+    columns = (F.col("example"), F.col("text"), F.col("reward"))
+    plan = G.parts(arrive(1), *columns)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan
+    assert "TransformWithState" in G.parts(arrive(1), *columns, ttl_ms=1000)._jdf.queryExecution().analyzed().toString()
+    followed(spark, arrive(1), str(tmp_path / "run"))
+    rows = R.batches(spark, str(tmp_path / "run")).groupBy("example_id", "text_hash").count().collect()
+    # One part with moments of every example, and the texts that came again.
+    repeated = spark.createDataFrame(ROWS, SCHEMA).groupBy("example", F.coalesce("text", F.lit(""))).count().where("count > 1").count()
+    assert sum(r["text_hash"] is None for r in rows) == len({e for e, _, _ in ROWS}) and sum(r["text_hash"] is not None for r in rows) == repeated
+
+
+def test_a_batch_of_the_query_is_many_files(spark, sf_dir, monkeypatch):
+    from ledgerlark import catalogue
+
+    folders, follow = [], G.follow
+    monkeypatch.setattr(catalogue.groups, "follow", lambda s, stream, folder, *a, **b: folders.append(folder) or follow(s, stream, folder, *a, **b))
+    catalogue.QUERIES["stream_groups"](spark, sf_dir)
+    cores, at = spark.sparkContext.defaultParallelism, folders[0].rsplit("/", 1)[0]
+    files = spark.read.parquet(f"{at}/events").inputFiles()
+    assert len(folders) == 2 and len(files) == 4 * cores
+    batches = spark.read.parquet(f"{folders[0]}/sink").select("batch").distinct().count()
+    assert batches == 4
