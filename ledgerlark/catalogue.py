@@ -688,15 +688,12 @@ def forbidden_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reward_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven cases of every event under three evaluators: the right one gets none wrong, one that grants
     everything and one that grants nothing are found out."""
-    events, number = W.table(spark, sf_dir, "events").select("event_id"), F.col("event_id")
+    events, number = W.spread(W.table(spark, sf_dir, "events").select("event_id")), F.col("event_id")
     # 210 is a multiple of what the parity evaluator and the validator look at.
     of = lambda k: F.concat(F.lit("C"), (number * 210 + k).cast("string"))
     cases = P.oracle_cases(events, number, {"constraint met": of(2), "constraint missed": of(1), "value refused": of(5)}, F.lit('[{"type":"k","operator":"=","value":0}]'))
-    found = [
-        P.oracle_failures(cases, evaluator=evaluator, validator=W.acceptable).select(F.lit(name).alias("evaluator"), "case", "expected", "got", "failed")
-        for name, evaluator in (("right", W.parity), ("generous", W.generous), ("deaf", W.deaf))
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("evaluator", "case", "expected", "got", "failed").agg(F.count("*").alias("n"))
+    found = P.oracle_failures(cases, evaluators={"right": W.parity, "generous": W.generous, "deaf": W.deaf}, validator=W.acceptable)
+    return found.groupBy("evaluator", "case", "expected", "got", "failed").agg(F.count("*").alias("n"))
 
 
 _NAMES_SQL = "CASE o_orderkey % 4 WHEN 0 THEN concat('checkpoint-', o_orderkey) WHEN 1 THEN sha256(o_orderstatus) WHEN 2 THEN substr(sha256(o_orderpriority), 1, 40) ELSE concat(o_orderpriority, '/', o_orderkey) END"

@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a file that makes fewer tasks than there are cores, dealt to all of them: reading a completion
-    costs far more than to move it once. A table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of a file that makes few tasks, dealt to all cores: reading a completion costs far more than to
+    move it once, and a file of few row groups has tasks that read none. A table of many files stays as it is."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(max(cores, parts)) if parts < 4 * cores else df
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

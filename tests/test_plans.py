@@ -224,3 +224,10 @@ def test_pinned_evaluator(spark):
     rows = [json.dumps(good)] + [json.dumps(good | b) for b in bad] + ["{}", "no json", None]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, m string")
     assert [r["i"] for r in df.where(P.pinned(F.col("m"), "c", "t", "y")).collect()] == [0]
+
+
+def test_reward_table_reads_its_cases_once(spark, sf_dir):
+    from ledgerlark import catalogue
+
+    plan = catalogue.QUERIES["reward_table"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 2 and plan.count("Scan parquet") == 1
