@@ -85,8 +85,9 @@ def distinct_protocols(df: DataFrame, fields: Sequence[str], *by: str) -> DataFr
 
 def failed_checks(df: DataFrame, checks: dict[str, Column], to: str = "failed") -> DataFrame:
     """Add the sorted names of the checks that a row fails; a null outcome fails."""
-    names = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks.items()]), lambda x: x.isNotNull())
-    return df.withColumn(to, F.array_sort(names))
+    # In order already, and without a lambda, within which nothing is compiled and every check starts afresh.
+    names = [F.when(~F.coalesce(checks[n], F.lit(False)), n) for n in sorted(checks)]
+    return df.withColumn(to, F.array_except(F.array(*names), F.array(F.lit(None).cast("string"))) if names else F.array().cast("array<string>"))
 
 
 def latest_by_number(df: DataFrame, group: str, name: str, pattern: str = r"checkpoint-([0-9]+)$") -> DataFrame:

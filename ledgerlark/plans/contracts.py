@@ -79,10 +79,14 @@ def compiled(document: Column, rules: Sequence[Mapping[str, Any]]) -> dict[str,
 def broken_rules(df: DataFrame, document: str, rules: Sequence[Mapping[str, Any]], to: str = "broken") -> DataFrame:
     """Add the sorted names of the rules that a row's document breaks. A null text, one that is no JSON, and
     one that is no object break ``object`` alone. An empty table stays empty; a column ``to`` is replaced."""
-    parsed = F.try_parse_json(F.col(document))
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    found = failed_checks(df, compiled(parsed, rules), to)
-    return found.withColumn(to, F.when(is_object, F.col(to)).otherwise(F.array(F.lit(OBJECT))))
+    # A column, so that a text is parsed once and not by every look of every rule.
+    parsed = "_parsed"
+    while parsed in df.columns:
+        parsed += "_"
+    held = df.withColumn(parsed, F.try_parse_json(F.col(document)))
+    is_object = F.try_variant_get(F.col(parsed), "$", "map<string,variant>").isNotNull()
+    found = failed_checks(held, compiled(F.col(parsed), rules), to)
+    return found.withColumn(to, F.when(is_object, F.col(to)).otherwise(F.array(F.lit(OBJECT)))).drop(parsed)
 
 
 def forbidden_settings(df: DataFrame, key: str, document: str, forbidden: Sequence[str]) -> DataFrame:

@@ -72,3 +72,11 @@ def test_forbidden_settings_at_any_depth(spark):
     want = sorted((i, p) for i, d in enumerate(docs) for p in [*forbidden_keys(d, ("limit", "samples"))])
     assert got == sorted({*want, (1, "limit.limit")}) and (0, "x.2.0.0.deep.samples") in got
     assert C.forbidden_settings(df.limit(0), "i", "doc", ("limit",)).count() == 0
+
+
+def test_a_document_is_parsed_once(spark, sf_dir):
+    from ledgerlark import catalogue
+
+    df = spark.createDataFrame([(1, json.dumps(GOOD))], "i int, doc string")
+    for found in (C.broken_rules(df, "doc", RULES), catalogue.QUERIES["document_contract"](spark, sf_dir)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
