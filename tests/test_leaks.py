@@ -45,3 +45,21 @@ def test_empty_tables_and_long_texts(spark):
     assert found(spark, [], [("v", "a b c")]) == [] and found(spark, [(1, "a b c")], []) == []
     text = "filler words " * 100_000 + "the needle is here"
     assert found(spark, [(1, text), (2, "the needle")], [("v", "e needle i"), ("w", "needle")]) == [(1, "v"), (1, "w"), (2, "w")]
+
+
+@pytest.mark.parametrize("small", [L.SMALL, 0])
+def test_values_of_one_id_are_looked_up_apart(spark, monkeypatch, small):
+    monkeypatch.setattr(L, "SMALL", small)
+    texts = [(1, "a rare b"), (2, "a common b"), (3, "x common b")]
+    assert found(spark, texts, [("v", "a rare b"), ("v", "a common b"), ("w", "a never b"), ("w", "x common b")]) == [(1, "v"), (2, "v"), (3, "w")]
+    texts, values = made_up(4)
+    assert found(spark, texts, values) == plain(texts, values)
+
+
+def test_neither_texts_nor_their_tokens_are_moved(spark):
+    texts, values = made_up(5)
+    a, b = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(values, "item string, answer string")
+    plan = L.leak_join(a, b, key="doc_id", text="text", value_key="item", value="answer")._jdf.queryExecution().optimizedPlan().toString()
+    # What has been found is told apart once, and no pairs of documents and tokens are.
+    assert plan.count("strategy=broadcast") == 1 and "Aggregate [k" in plan
+    assert not any("Aggregate [k" in line and "token" in line for line in plan.split("\n"))
