@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from ledgerlark.functions.text import FAMILIES, in_domain
 
 OVERALL = "overall"
 REPLICATES = 2_000
-CHUNK = 200
 SEED_PREFIX = "paired-bootstrap-v1"
 
 
@@ -90,21 +88,43 @@ def bootstrap_seed(model: str, scope: str) -> int:
 def bootstrap_exact(obs: DataFrame, baseline: str, replicates: int = REPLICATES) -> DataFrame:
     """Paired bootstrap intervals drawn by NumPy's generator, seeded by model and scope.
 
-    The draw sequence depends on the order of all deltas of a scope, so a scope is one task: its size
-    is that of a benchmark, not of a corpus. ``bootstrap_portable`` spreads the draws over tasks.
+    The draw sequence depends on the order of all deltas of a scope, so a scope is one task. Spark sorts
+    them; the task holds them as numbers, eight bytes each, and two arrays of their length, as it draws one
+    replicate at a time. ``bootstrap_portable`` spreads the draws over tasks.
     """
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, scope = pdf["model_key"].iloc[0], pdf["scope"].iloc[0]
-        deltas = pdf.sort_values("doc_hash")["delta"].to_numpy()
+    def interval(model: str | None, scope: str | None, deltas: np.ndarray) -> pa.RecordBatch:
         seed = bootstrap_seed(model, scope)
         rng = np.random.default_rng(seed)
-        means = np.concatenate([deltas[rng.integers(0, len(deltas), size=(min(CHUNK, replicates - at), len(deltas)))].mean(axis=1) for at in range(0, replicates, CHUNK)])
+        # Draws of one replicate after another are those of many at once.
+        means = np.array([deltas[rng.integers(0, len(deltas), size=len(deltas))].mean() for _ in range(replicates)])
         low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"model_key": [model], "scope": [scope], "mean_delta": [deltas.mean()], "ci_low": [low], "ci_high": [high], "n": [len(deltas)], "seed": [str(seed)]})
+        found = {"model_key": model, "scope": scope, "mean_delta": deltas.mean(), "ci_low": low, "ci_high": high, "n": len(deltas), "seed": str(seed)}
+        return pa.RecordBatch.from_pylist([found], schema=told)
+
+    told = pa.schema([("model_key", pa.string()), ("scope", pa.string()), ("mean_delta", pa.float64()), ("ci_low", pa.float64()), ("ci_high", pa.float64()), ("n", pa.int64()), ("seed", pa.string())])
+
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            deltas = batch.column("delta").to_numpy(zero_copy_only=False).astype(float)
+            # Where the next model or scope begins: rows are sorted by both.
+            keys = list(zip(batch.column("model_key").to_pylist(), batch.column("scope").to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and keys[a] != at:
+                    yield interval(*at, np.concatenate(held))
+                    held = []
+                at = keys[a]
+                held.append(deltas[a:b].copy())
+        if held:
+            yield interval(*at, np.concatenate(held))
 
     rows = scoped(paired(obs, baseline)).select("model_key", "scope", "doc_hash", "delta")
-    return rows.groupBy("model_key", "scope").applyInPandas(interval, "model_key string, scope string, mean_delta double, ci_low double, ci_high double, n bigint, seed string")
+    placed = rows.repartition("model_key", "scope").sortWithinPartitions("model_key", "scope", "doc_hash", "delta")
+    return placed.select("model_key", "scope", "delta").mapInArrow(intervals, "model_key string, scope string, mean_delta double, ci_low double, ci_high double, n bigint, seed string")
 
 
 def poisson_cuts(uniform: int = 1 << 16) -> list[int]:

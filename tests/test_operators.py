@@ -324,3 +324,28 @@ def test_generators_draw_by_row(spark):
     schema = T.StructType([T.StructField("x", T.DoubleType())])
     rows = [B.generate(specs.repartition(n), generator, schema).orderBy("attempt").collect() for n in (1, 5)]
     assert rows[0] == rows[1] and len({r["record"]["x"] for r in rows[0]}) == 3
+
+
+def test_exact_bootstrap_holds_one_replicate(spark):
+    """Draws of many replicates at once, as the sequence is defined, with rows of several batches and a null scope."""
+    import numpy as np
+
+    from ledgerlark.operators import evaluation as E
+
+    obs = spark.range(3000).selectExpr("lpad(id * 7919 % 3000, 5, '0') AS doc_hash", "IF(id % 3 = 0, NULL, 'f') AS family", "'s' AS supercategory", "explode(array(struct('b' AS model_key, 0.0D AS accuracy), struct('m' AS model_key, id % 11 / 10.0D AS accuracy))) AS m")
+    obs = obs.select("doc_hash", "family", "supercategory", "m.model_key", "m.accuracy")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        df = E.bootstrap_exact(obs, "b", 250)
+        got = {r["scope"]: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["doc_hash"], r["family"], r["accuracy"]) for r in obs.where("model_key = 'm'").fillna("", ["family"]).collect())
+    for scope in ("overall", "f", None):
+        deltas = np.array([x for _, f, x in rows if scope == "overall" or f == (scope or "")])
+        rng = np.random.default_rng(E.bootstrap_seed("m", scope))
+        means = np.concatenate([deltas[rng.integers(0, len(deltas), size=(n, len(deltas)))].mean(axis=1) for n in (200, 50)])
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert (got[scope]["ci_low"], got[scope]["ci_high"], got[scope]["n"], got[scope]["mean_delta"]) == (low, high, len(deltas), deltas.mean())
