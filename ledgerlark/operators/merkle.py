@@ -23,6 +23,8 @@ DEPTH = 3
 MOST_DEPTH = 4
 #: Hexadecimal digits of a record's digest that one lane sums; four lanes hold 240 bits.
 LANE = 15
+#: A lane is summed in two parts of so many bits, which are whole numbers for some 2 ** 33 rows.
+HALF = 30
 
 
 def range_of(key: Sequence[str], depth: int = DEPTH) -> Column:
@@ -31,6 +33,12 @@ def range_of(key: Sequence[str], depth: int = DEPTH) -> Column:
     return F.substring(sha256(F.concat_ws("\0", *parts)), 1, depth)
 
 
+def _halves(h: str) -> list[Column]:
+    """The upper and lower parts of every lane of a record's digest, one lane after another."""
+    lanes = [F.conv(F.substring(h, 1 + LANE * i, LANE), 16, 10).cast("bigint") for i in range(4)]
+    return [part for x in lanes for part in (F.shiftright(x, HALF), x.bitwiseAND(F.lit((1 << HALF) - 1)))]
+
+
 def levels(df: DataFrame, key: Sequence[str], record: Column, depth: int = DEPTH, *, range_column: str | None = None) -> DataFrame:
     """(level, range, n, digest) of all ranges that hold rows, from level 0, the whole, to ``depth``. A null
     record counts as the empty text; an empty table has no ranges."""
@@ -38,8 +46,9 @@ def levels(df: DataFrame, key: Sequence[str], record: Column, depth: int = DEPTH
         raise ValueError(f"depth is from 1 to {MOST_DEPTH}")
     place = F.col(range_column) if range_column else range_of(key, depth)
     rows = df.select(place.alias("range"), sha256(F.coalesce(record, F.lit(""))).alias("h"))
-    lane = lambda i: F.sum(F.conv(F.substring("h", 1 + LANE * i, LANE), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
-    lowest = rows.groupBy("range").agg(F.count("*").alias("n"), *[lane(i) for i in range(4)])
+    sums = rows.groupBy("range").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"p{i}") for i, x in enumerate(_halves("h"))])
+    whole = lambda i: F.col(f"p{2 * i}").cast("decimal(19,0)") * F.lit(1 << HALF).cast("decimal(10,0)") + F.col(f"p{2 * i + 1}")
+    lowest = sums.select("range", "n", *[whole(i).alias(f"s{i}") for i in range(4)])
     digest = sha256(F.concat_ws(",", F.col("n").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(4)]))
     at = out = lowest.select(F.lit(depth).alias("level"), "range", "n", digest.alias("digest"))
     for level in range(depth - 1, -1, -1):
@@ -93,8 +102,15 @@ def difference(spark: SparkSession, left: str, right: str, key: Sequence[str], r
     as there are."""
     differing = differing_ranges(spark, left, right)
     sides = [rows(spark, p).where(F.col("range").isin(differing)).select(*key, sha256(F.coalesce(record, F.lit(""))).alias("h")) for p in (left, right)]
-    lane = lambda i: F.sum(F.conv(F.substring("h", 1 + LANE * i, LANE), 16, 10).cast("decimal(20,0)"))
-    both = sides[0].withColumn("side", F.lit(1)).unionByName(sides[1].withColumn("side", F.lit(2))).groupBy(*key, "side").agg(F.struct(F.count("*"), *[lane(i) for i in range(4)]).alias("d"))
-    pair = both.groupBy(*key).agg(F.max(F.when(F.col("side") == 1, F.col("d"))).alias("a"), F.max(F.when(F.col("side") == 2, F.col("d"))).alias("b"))
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "changed")
+    both = sides[0].withColumn("_side", F.lit(1)).unionByName(sides[1].withColumn("_side", F.lit(-1)))
+    # Rows are moved once, with 32 bytes of digest; almost every key is alone, so nothing is added up before.
+    placed = both.select(*key, "_side", F.unhex("h").alias("_h")).repartition(*key).withColumn("_d", F.hex("_h"))
+    off = [F.sum(F.col("_side") * x).alias(f"_p{i}") for i, x in enumerate(_halves("_d"))]
+    pair = placed.groupBy(*key).agg(F.count_if(F.col("_side") == 1).alias("_a"), F.count_if(F.col("_side") == -1).alias("_b"), *off)
+    same = F.col("_a") == F.col("_b")
+    for i in range(len(off)):
+        # The sums of a lane agree if its two parts do together.
+        if i % 2 == 0:
+            same = same & (F.col(f"_p{i}").cast("decimal(19,0)") * F.lit(1 << HALF).cast("decimal(10,0)") + F.col(f"_p{i + 1}") == 0)
+    state = F.when(F.col("_b") == 0, "missing").when(F.col("_a") == 0, "extra").when(~same, "changed")
     return pair.select(*key, state.alias("state")).where("state is not null")

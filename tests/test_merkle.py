@@ -82,3 +82,15 @@ def test_differences_of_every_kind(spark, tmp_path):
     found = {(r["k"], r["state"]) for r in K.difference(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["k"], record()).collect()}
     assert found == {(3, "missing"), (None, "missing"), (1000, "extra"), (5, "changed"), (8, "changed")}
     assert K.difference(spark, str(tmp_path / "a"), str(tmp_path / "a"), ["k"], record()).count() == 0
+
+
+def test_difference_moves_a_row_once(spark, tmp_path):
+    rows = [(1, "a", 1)] * 3 + [(2, "a", 1), (2, "b", 1), (3, "x", 1), (3, "x", 1)]
+    K.write(table(spark, rows), str(tmp_path / "a"), ["k"], record(), 1)
+    K.write(table(spark, [*rows[:2], (2, "b", 1), (2, "a", 1), (3, "y", 1), (3, "y", 1)]), str(tmp_path / "b"), ["k"], record(), 1)
+    found = K.difference(spark, str(tmp_path / "a"), str(tmp_path / "b"), ["k"], record())
+    assert sorted(map(tuple, found.collect())) == [(1, "changed"), (3, "changed")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Without sums before the exchange, of which there is one.
+    first = plan.split("== Initial Plan ==")[-1]
+    assert first.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in first.split("Exchange hashpartitioning")[1]
